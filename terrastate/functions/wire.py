@@ -21,11 +21,13 @@ WIRE_VARINT, WIRE_LEN = 0, 2
 
 def _varint_hex(v: Column) -> Column:
     """Hex string of the base-128 varint of a bigint (two's complement for negatives)."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.shiftrightunsigned(v, i * 7))
+    groups = F.array(*[F.shiftrightunsigned(v, 7 * i) for i in range(10)])
     needed = F.filter(F.transform(groups, lambda g, i: F.struct(g.alias("g"), i.alias("i"))),
                       lambda s: (s["i"] == 0) | (s["g"] != 0))
     n = F.size(needed)
-    as_bytes = F.transform(needed, lambda s: F.when(s["i"] < n - 1, (s["g"] & 127) | 128).otherwise(s["g"] & 127))
+    low7, cont = F.lit(127).cast("bigint"), F.lit(128).cast("bigint")
+    as_bytes = F.transform(needed, lambda s: F.when(s["i"] < n - 1, s["g"].bitwiseAND(low7).bitwiseOR(cont))
+                           .otherwise(s["g"].bitwiseAND(low7)))
     return F.array_join(F.transform(as_bytes, lambda b: F.lpad(F.hex(b), 2, "0")), "")
 
 

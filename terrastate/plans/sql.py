@@ -62,7 +62,7 @@ RINGS = """boxes AS (
   SELECT n_nationkey, n_name, -180.0 + 72.0*(n_nationkey % 5) AS x0, -90.0 + 36.0*floor(n_nationkey / 5) AS y0
   FROM nation),
 ring_pts AS (
-  SELECT n_nationkey AS feature_id, lower(n_name) AS country_code, n_name AS name, 0 AS ring_id, pos,
+  SELECT n_nationkey AS feature_id, n_name AS country_code, n_name AS name, 0 AS ring_id, pos,
          CASE pos WHEN 0 THEN x0+36 WHEN 1 THEN x0 WHEN 2 THEN x0+36 WHEN 3 THEN x0+72 ELSE x0+36 END AS x,
          CASE pos WHEN 0 THEN y0 WHEN 1 THEN y0+18 WHEN 2 THEN y0+36 WHEN 3 THEN y0+18 ELSE y0 END AS y
   FROM boxes, range(5) t(pos)),
@@ -87,8 +87,8 @@ CROSSINGS = """crossings AS (
 TILE_COUNTRY = """inside AS (
   SELECT DISTINCT tile_id, feature_id, country_code FROM crossings WHERE crossings % 2 = 1),
 picked AS (
-  SELECT i.tile_id, i.country_code,
-         row_number() OVER (PARTITION BY i.tile_id ORDER BY v.area, i.country_code, i.feature_id) AS rn
+  SELECT i.tile_id, lower(i.country_code) AS country_code,
+         row_number() OVER (PARTITION BY i.tile_id ORDER BY v.area, lower(i.country_code), i.feature_id) AS rn
   FROM inside i JOIN envelopes v USING (feature_id)),
 tile_country AS (
   SELECT t.tile_id, p.country_code FROM tiles t LEFT JOIN picked p ON t.tile_id = p.tile_id AND p.rn = 1)"""

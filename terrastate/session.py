@@ -29,6 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     master = master or os.environ.get("TERRASTATE_MASTER", "local[8]")
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("TERRASTATE_DRIVER_MEMORY", "16g")))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():

@@ -104,6 +104,7 @@ def country_features_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _diamond(table(spark, sf_dir, "nation"))
     feature = F.struct(
         F.lit("Feature").alias("type"),
+        F.col("n_nationkey").cast("bigint").alias("id"),
         F.create_map(F.lit("ISO_A2"), F.col("n_name"), F.lit("ADMIN"), F.col("n_name")).alias("properties"),
         F.struct(F.lit("MultiPolygon").alias("type"),
                  F.array(F.array(F.col("ring"))).alias("coordinates")).alias("geometry"),
@@ -232,3 +233,18 @@ def snapshot_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("tile_id").cast("string").alias("score"))
     bad = spark.createDataFrame([("a:b:1", "0"), ("x:notanumber", "0")], "member string, score string")
     return good.unionByName(bad)
+
+
+PAYLOAD_TRUNCATE_EVERY = 101  # fixed value: every 101st payload loses its last byte
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary Click records of ``clicks_a`` encoded in Spark; every 101st one is
+    truncated by a byte so it cannot be decoded."""
+    from terrastate.functions.wire import encode_click
+
+    c = clicks_a(spark, sf_dir)
+    enc = encode_click(F.col("tile_id"), F.col("country_id"), F.col("timestamp_ns"), F.col("click_id").cast("string"))
+    cut = F.when(F.col("click_id") % PAYLOAD_TRUNCATE_EVERY == 0,
+                 enc.substr(F.lit(1), F.octet_length(enc) - 1)).otherwise(enc)
+    return c.select(F.col("click_id").alias("source_id"), cut.alias("payload"))
