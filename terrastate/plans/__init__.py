@@ -3,7 +3,7 @@
 
 def load_all():
     """Import every query module so that the registry is complete."""
-    from terrastate.plans import element_queries, geo_queries, ownership_queries  # noqa: F401
+    from terrastate.plans import element_queries, geo_queries, ownership_queries, stream_queries  # noqa: F401
     from terrastate.plans.registry import QUERIES
 
     return QUERIES
