@@ -27,7 +27,11 @@ def epoch_ns(df: DataFrame, name: str) -> Column:
     """
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.TimestampNTZType):
-        us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+        # Wall-clock fields of a zone-less timestamp: no session zone enters.
+        c = F.col(name)
+        us = (F.unix_date(F.to_date(c)).cast("bigint") * F.lit(86_400_000_000)
+              + F.hour(c).cast("bigint") * F.lit(3_600_000_000) + F.minute(c).cast("bigint") * F.lit(60_000_000)
+              + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint"))
     elif isinstance(dtype, T.TimestampType):
         us = F.unix_micros(F.col(name))
     else:

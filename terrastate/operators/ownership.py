@@ -14,10 +14,11 @@ Scale notes
 * ``classify_clicks`` needs the running owner in arrival order, i.e. a window
   sorted within tile.  The running owner is a prefix arg-max, which is
   associative, so hot tiles are split: tiles with more than ``hot_threshold``
-  clicks (at most rows / threshold of them, so the set is broadcast with a
-  proven bound) are cut into arrival buckets of ``bucket_ns``; a small summary
-  per (tile, bucket) gives the carry-in of every bucket and the row window runs
-  per (tile, bucket).  Other tiles keep a single bucket and skip the summary.
+  clicks (found by a narrow tile-id count; at most rows / threshold of them, so
+  the set is broadcast with a proven bound) are cut into arrival buckets of
+  ``bucket_ns``; a small summary per (tile, bucket) gives the carry-in of every
+  bucket and the row window runs per (tile, bucket).  Other tiles keep one
+  bucket.  Without hot tiles the plan is a single window on ``tile_id``.
 """
 
 from __future__ import annotations
@@ -50,29 +51,43 @@ def current_ownership(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORD
     )
 
 
-def _with_buckets(clicks: DataFrame, order_cols: Sequence[str], hot_threshold: int, bucket_ns: int) -> DataFrame:
-    """Adds ``bucket``: 0 for ordinary tiles, an arrival bucket for hot tiles."""
+def hot_tiles(clicks: DataFrame, hot_threshold: int) -> list[int]:
+    """Tiles with more than ``hot_threshold`` clicks.  A narrow aggregate (tile id
+    only, partial counts map-side); the result has at most rows / threshold ids."""
     hot = (clicks.groupBy("tile_id").count()
-           .filter(F.col("count") > F.lit(hot_threshold))
-           .select("tile_id", F.lit(True).alias("_hot")))
-    # At most rows / hot_threshold tiles can pass the filter: a proven bound.
-    keyed = clicks.join(F.broadcast(hot), "tile_id", "left")
-    bucket = F.when(F.col("_hot"), F.floor(F.col(order_cols[0]) / F.lit(bucket_ns))).otherwise(F.lit(0))
-    return keyed.withColumn("_bucket", bucket.cast("bigint"))
+           .filter(F.col("count") > F.lit(hot_threshold)).select("tile_id"))
+    return [r.tile_id for r in hot.collect()]
 
 
 def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER,
-                    hot_threshold: int = DEFAULT_HOT_THRESHOLD, bucket_ns: int = DEFAULT_BUCKET_NS) -> DataFrame:
+                    hot_threshold: int = DEFAULT_HOT_THRESHOLD, bucket_ns: int = DEFAULT_BUCKET_NS,
+                    hot: Sequence[int] | None = None) -> DataFrame:
     """O3: every click with ``applied`` and what the store returned for it.
 
     Adds ``applied`` (boolean), ``previous_country`` and ``previous_ts`` (owner
-    before this click; null for the first click of a tile).  ``order_cols[0]``
-    must be a numeric arrival time when hot tiles are to be split.
+    before this click; null for the first click of a tile).  The running owner
+    is ``min(struct(-timestamp_ns, arrival..., country))`` over the earlier
+    clicks of the tile.  ``hot`` (default: detected with ``hot_tiles``) lists
+    the tiles to split into arrival buckets of ``bucket_ns`` (``order_cols[0]``
+    must then be a numeric arrival time).
     """
-    keyed = _with_buckets(clicks, order_cols, hot_threshold, bucket_ns)
+    if hot is None:
+        hot = hot_tiles(clicks, hot_threshold)
+    if not hot:
+        key = _owner_key(clicks, order_cols)
+        w = Window.partitionBy("tile_id").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+        return _finish(clicks.withColumn("_prev", F.min(key).over(w)))
+
+    spark = clicks.sparkSession
+    # Bounded by rows / hot_threshold, so broadcasting it is safe at any scale.
+    hot_df = spark.createDataFrame([(int(t),) for t in hot], "tile_id bigint").withColumn("_hot", F.lit(True))
+    keyed = clicks.join(F.broadcast(hot_df), "tile_id", "left")
+    bucket = F.when(F.col("_hot"), F.floor(F.col(order_cols[0]) / F.lit(bucket_ns))).otherwise(F.lit(0))
+    keyed = keyed.withColumn("_bucket", bucket.cast("bigint"))
     key = _owner_key(keyed, order_cols)
 
-    # Carry-in per (hot tile, bucket): best click of all earlier buckets.
+    # Carry-in per (hot tile, bucket): best click of all earlier buckets.  The
+    # summary has one row per (hot tile, bucket), a small table.
     summary = (keyed.filter(F.col("_hot"))
                .groupBy("tile_id", "_bucket").agg(F.min(key).alias("_bbest")))
     over_buckets = (Window.partitionBy("tile_id").orderBy("_bucket")
@@ -84,14 +99,17 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     rows = keyed.withColumn("_key", key).join(carry, ["tile_id", "_bucket"], "left")
     in_bucket = (Window.partitionBy("tile_id", "_bucket").orderBy(*order_cols)
                  .rowsBetween(Window.unboundedPreceding, -1))
-    prev = F.least(F.col("_carry"), F.min("_key").over(in_bucket))
-    out = rows.withColumn("_prev", prev)
+    out = rows.withColumn("_prev", F.least(F.col("_carry"), F.min("_key").over(in_bucket)))
+    return _finish(out.drop("_hot", "_bucket", "_key", "_carry"))
+
+
+def _finish(out: DataFrame) -> DataFrame:
     seen = -F.col("_prev.neg_ts")
     return (out
             .withColumn("applied", F.col("_prev").isNull() | (F.col("timestamp_ns") > seen))
             .withColumn("previous_country", F.col("_prev.country_id"))
             .withColumn("previous_ts", seen)
-            .drop("_hot", "_bucket", "_key", "_carry", "_prev"))
+            .drop("_prev"))
 
 
 def ownership_changes(classified: DataFrame, parity: bool = False) -> DataFrame:

@@ -23,8 +23,17 @@ BOX_W, BOX_H, BOXES_PER_ROW = 72.0, 36.0, 5
 MASK_W, MASK_H, MASK_THRESHOLD = 36, 18, 128
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver's table; the resolved scan (file listing, footer schema) is
+    reused within a session, the inputs being read-only."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 # --- clicks --------------------------------------------------------------------
