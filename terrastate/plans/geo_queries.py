@@ -70,7 +70,7 @@ def q_point_in_ring(spark, sf):
 
 
 @register("spatial_candidates", "G4", with_(TILES, RINGS, TILE_POINTS) + """
-SELECT p.tile_id, v.feature_id, v.country_code, 0.0 AS dist2, v.area FROM tile_points p JOIN envelopes v
+SELECT p.tile_id, v.feature_id, v.country_code, CAST(0 AS DOUBLE) AS dist2, v.area FROM tile_points p JOIN envelopes v
   ON p.lon BETWEEN v.min_x AND v.max_x AND p.lat BETWEEN v.min_y AND v.max_y""")
 def q_spatial_candidates(spark, sf):
     return geo.spatial_candidates(d.tiles(spark, sf), polygons(spark, sf))

@@ -59,10 +59,11 @@ TILES = """tiles AS (
 
 # Diamond of each nation: x0 = -180 + 72*(key % 5), y0 = -90 + 36*floor(key / 5).
 RINGS = """boxes AS (
-  SELECT n_nationkey, n_name, -180.0 + 72.0*(n_nationkey % 5) AS x0, -90.0 + 36.0*floor(n_nationkey / 5) AS y0
+  SELECT n_nationkey, n_name, CAST(-180.0 + 72.0*(n_nationkey % 5) AS DOUBLE) AS x0,
+         CAST(-90.0 + 36.0*floor(n_nationkey / 5) AS DOUBLE) AS y0
   FROM nation),
 ring_pts AS (
-  SELECT n_nationkey AS feature_id, n_name AS country_code, n_name AS name, 0 AS ring_id, pos,
+  SELECT CAST(n_nationkey AS BIGINT) AS feature_id, n_name AS country_code, n_name AS name, 0 AS ring_id, pos,
          CASE pos WHEN 0 THEN x0+36 WHEN 1 THEN x0 WHEN 2 THEN x0+36 WHEN 3 THEN x0+72 ELSE x0+36 END AS x,
          CASE pos WHEN 0 THEN y0 WHEN 1 THEN y0+18 WHEN 2 THEN y0+36 WHEN 3 THEN y0+18 ELSE y0 END AS y
   FROM boxes, range(5) t(pos)),
