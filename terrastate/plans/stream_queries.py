@@ -10,27 +10,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrastate import schemas
 from terrastate.plans.registry import register
 from terrastate.plans.sql import CLICKS_A, classified, own, with_
 from terrastate.session import scratch_path
 from terrastate.sources import derived as d
-from terrastate.sources.clicks import read_clicks
 from terrastate.streaming import ownership as so
 from terrastate.streaming import runners
 
+
+def geo_queries_sql(name: str) -> str:
+    from terrastate.plans import geo_queries  # noqa: F401
+    from terrastate.plans.registry import QUERIES
+
+    return QUERIES[name].oracle
+
 SLICES = 4  # arrival slices the fixture log is written in
 FILES_PER_TRIGGER = 2
 
 CLICK_A_SCHEMA = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
 
 
-def write_log_slices(spark, sf, slices: int = SLICES) -> str:
-    """Writes ``clicks_a`` as ``slices`` consecutive arrival ranges, one write
-    job after another, so file modification order follows arrival order."""
-    clicks = d.clicks_a(spark, sf)
+def write_log_slices(spark, sf, slices: int = SLICES, clicks=None, name: str = "click-log") -> str:
+    """Writes ``clicks_a`` (or ``clicks``) as ``slices`` consecutive arrival
+    ranges, one write job after another, so file modification order follows
+    arrival order."""
+    clicks = d.clicks_a(spark, sf) if clicks is None else clicks
     lo, hi = clicks.agg(F.min("arrival_ns"), F.max("arrival_ns")).first()
-    path = scratch_path(spark, "click-log")
+    path = scratch_path(spark, name)
     step = (hi - lo) // slices + 1
     for k in range(slices):
         part = clicks.filter((F.col("arrival_ns") >= lo + k * step) & (F.col("arrival_ns") < lo + (k + 1) * step))
@@ -38,12 +44,10 @@ def write_log_slices(spark, sf, slices: int = SLICES) -> str:
     return path
 
 
-def _stream(spark, sf):
-    path = write_log_slices(spark, sf)
-    from pyspark.sql import types as T
-
-    schema = T._parse_datatype_string(CLICK_A_SCHEMA)
-    return read_clicks(path, spark, stream=True, schema=schema, max_files_per_trigger=FILES_PER_TRIGGER)
+def _stream(spark, sf, clicks=None):
+    path = write_log_slices(spark, sf, clicks=clicks)
+    return spark.readStream.schema(clicks.schema if clicks is not None else CLICK_A_SCHEMA) \
+        .option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(path)
 
 
 @register("ownership_stream", "O2", with_(CLICKS_A, own("clicks_a", "own_a")) + "SELECT * FROM own_a")
@@ -88,4 +92,68 @@ def q_leaderboard_stream(spark, sf):
     return spark.read.parquet(out)
 
 
-_ = schemas
+@register("mirror_changes_stream", "R5", with_(CLICKS_A, classified("clicks_a", "cls")) + """
+SELECT tile_id, country_id FROM cls WHERE applied AND previous_country IS NOT NULL AND previous_country <> country_id""")
+def q_mirror_changes_stream(spark, sf):
+    out = scratch_path(spark, "mirror")
+    q = runners.start(runners.mirror(so.changes_stream(_stream(spark, sf))), path=out, name="mirror")
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("unauthorized_changes_stream", "R4", geo_queries_sql("unauthorized_changes"))
+def q_unauthorized_changes_stream(spark, sf):
+    from terrastate.plans.geo_queries import TARGET, WANTED, tile_country
+
+    out = scratch_path(spark, "watch")
+    changes = so.changes_stream(_stream(spark, sf, d.clicks_b(spark, sf)))
+    q = runners.start(runners.watch_country(changes, tile_country(spark, sf), TARGET, WANTED), path=out, name="watch")
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("dedup_clicks_stream", "O5", with_(CLICKS_A) + "SELECT tile_id, country_id, timestamp_ns, click_id FROM clicks_a")
+def q_dedup_clicks_stream(spark, sf):
+    c = d.clicks_a(spark, sf)
+    twice = c.unionByName(c.withColumn("arrival_ns", F.col("arrival_ns") + F.lit(1_000_000_000)))
+    out = scratch_path(spark, "dedup")
+    deduped = so.dedup_stream(_stream(spark, sf, twice), time_col="arrival_ns", delay="8 hours")
+    q = runners.start(deduped.select("tile_id", "country_id", "timestamp_ns", "click_id"), path=out, name="dedup")
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("reject_table_stream", "T4", with_(CLICKS_A) + """
+SELECT click_id AS source_id, 'truncated length-delimited field' AS reason FROM clicks_a WHERE click_id % 101 = 0""")
+def q_reject_table_stream(spark, sf):
+    raw = scratch_path(spark, "payload-log")
+    d.payloads(spark, sf).write.parquet(raw)
+    valid, rejects = scratch_path(spark, "valid"), scratch_path(spark, "rejects")
+    stream = spark.readStream.schema("source_id bigint, payload binary").option("maxFilesPerTrigger", 1).parquet(raw)
+    q = runners.start(stream, runners.quarantine_sink(valid, rejects), name="quarantine")
+    q.awaitTermination()
+    return spark.read.parquet(rejects).drop("batch")
+
+
+@register("periodic_audit", "T6", geo_queries_sql("claim_audit"))
+def q_periodic_audit(spark, sf):
+    """Each micro-batch upserts the snapshot (K1) and re-runs the claim audit
+    (R3) on it; the last run is the audit of the final state."""
+    from terrastate.operators.reconcile import claim_audit
+    from terrastate.plans.geo_queries import TARGET, WANTED, tile_country
+
+    snapshot, runs = scratch_path(spark, "audit-snapshot"), scratch_path(spark, "audit-runs")
+    upsert = runners.snapshot_upsert_sink(snapshot)
+    tc = tile_country(spark, sf)
+
+    def each(batch, batch_id):
+        upsert(batch, batch_id)
+        own = spark.read.parquet(snapshot).select("tile_id", "country_id", "timestamp_ns")
+        claim_audit(tc, own, TARGET, WANTED).write.mode("overwrite").parquet(f"{runs}/run={batch_id}")
+
+    owners = so.ownership_stream(_stream(spark, sf, d.clicks_b(spark, sf)))
+    q = runners.start(owners, each, mode="update", name="audit")
+    q.awaitTermination()
+    all_runs = spark.read.parquet(runs)
+    last = all_runs.agg(F.max("run")).scalar()
+    return all_runs.filter(F.col("run") == last).drop("run")

@@ -56,14 +56,14 @@ def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple
     Parts and holes are flattened into one ring list; rings with fewer than
     ``min_vertices`` vertices are dropped (they can hold no point).
     """
-    f = features.select(F.from_json(F.col(value_col), FEATURE_RAW).alias("f")).select("f.*")
-    if "id" not in f.columns or f.schema["id"].dataType is None:
-        f = f.withColumn("id", F.lit(None).cast("bigint"))
+    f = features.select(F.from_json(F.col(value_col), FEATURE_RAW).alias("f"),
+                        F.xxhash64(F.col(value_col)).alias("_text_id")).select("f.*", "_text_id")
     gtype = F.col("geometry.type")
     f = f.filter(gtype.isin(*kinds))
     coords = F.when(gtype == "MultiPolygon", F.from_json(F.col("geometry.coordinates"), MULTI)) \
         .otherwise(F.array(F.from_json(F.col("geometry.coordinates"), SINGLE)))
-    fid = F.coalesce(F.col("id"), F.monotonically_increasing_id())
+    # Features without an "id" are keyed by a hash of their text (deterministic, unlike a row counter).
+    fid = F.coalesce(F.col("id"), F.col("_text_id"))
     rings = f.select(
         fid.alias("feature_id"),
         F.coalesce(F.col("properties")["ISO_A2"], F.lit("")).alias("country_code"),
