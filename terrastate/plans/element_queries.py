@@ -287,3 +287,20 @@ def q_land_filter(spark, sf):
 @register("land_points_export", "K4", with_(_LAND) + "SELECT ordinal, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, u, v FROM land")
 def q_land_points_export(spark, sf):
     return _rounded(writers.land_point_records(_land(spark, sf)))
+
+
+@register("lower_code", "F5", """
+SELECT DISTINCT n_name AS code, lower(n_name) AS code_lower FROM nation""")
+def q_lower_code(spark, sf):
+    from terrastate.functions.scalar import lower_code
+
+    polys = d.country_features_json(spark, sf).select(F.get_json_object("value", "$.properties.ISO_A2").alias("code"))
+    return polys.distinct().select("code", lower_code(F.col("code")).alias("code_lower"))
+
+
+@register("display_label", "F6", with_(_DIM) + f"""
+SELECT code, translate(upper(code), '{_FLAGS_FROM}', '{_FLAGS_TO}') || '  ' || name AS label FROM dim""")
+def q_display_label(spark, sf):
+    from terrastate.functions.scalar import display_label
+
+    return _dim(spark, sf).select("code", display_label(F.col("code"), F.col("name")).alias("label"))

@@ -157,3 +157,18 @@ def q_periodic_audit(spark, sf):
     all_runs = spark.read.parquet(runs)
     last = all_runs.agg(F.max("run")).scalar()
     return all_runs.filter(F.col("run") == last).drop("run")
+
+
+@register("change_batches_stream", "T3", with_(CLICKS_A, classified("clicks_a", "cls")) + """
+SELECT tile_id, country_id, previous_country AS previous_country_id, click_id, timestamp_ns, arrival_ns FROM cls
+WHERE previous_country IS NOT NULL AND previous_country <> country_id AND applied""")
+def q_change_batches_stream(spark, sf):
+    """Changes handed to a listener batch by batch; everything delivered, once."""
+    out = scratch_path(spark, "delivered")
+
+    def deliver(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = runners.start(so.changes_stream(_stream(spark, sf)), deliver, name="delivery")
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
