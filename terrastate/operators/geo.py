@@ -6,23 +6,36 @@ from point (x, y) towards +x when ``(yi > y) != (yj > y)`` and
 the count is odd, and inside a country when it is inside any of its rings
 (holes count as inside, as in the reference).
 
-Plan (no nested loop): each edge is replicated to the grid keys
-(latitude band, longitude cell) where a point could see it, i.e. the bands the
-edge spans and the cells from its ring's west edge to the edge itself.  A tile
-has exactly one key, so the spatial join is an equi-join on the key followed
-by the exact test as a join condition.  The replicated edge table grows with
-the polygon data only, never with the tiles; AQE broadcasts it when it is
-small and sort-merges beyond that.
+Plan (no nested loop): a tile has exactly one grid key (latitude band,
+longitude cell), and polygon edges are replicated to the keys where they
+matter, so the spatial join is an equi-join on the key with the exact test as
+join condition.  The replicated edge table grows with the polygon data only,
+never with the tiles; AQE broadcasts it when small and sort-merges beyond.
+
+Two edge layouts give the same parity:
+
+* ``east`` (G3's crossing counts): an edge goes to every cell from its ring's
+  west edge to itself, so a tile meets all edges east of it in its band.
+* ``runs`` (G5's default): per longitude column only the edges overlapping the
+  column are kept as they are; each maximal chain of consecutive edges lying
+  entirely east of the column is replaced by its two end vertices.  Along a
+  chain the half-open span test ``(ya > y) != (yb > y)`` telescopes to
+  ``[P.y > y] xor [Q.y > y]``, and every edge east of the column is crossed by
+  the ray whenever it spans ``y``, so the two end markers carry the chain's
+  parity exactly.  A tile then meets the edges of its own cell plus two
+  markers per eastward excursion of the ring, however detailed the coastline
+  east of it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from terrastate.functions.scalar import uv_to_lat, uv_to_lon
 
 DEFAULT_BAND_DEG = 1.0
 DEFAULT_CELL_DEG = 1.0
+EAST_MARGIN = 1e-9  # an edge counts as east of a column only this far past its boundary
 
 
 def tile_lonlat(tiles: DataFrame) -> DataFrame:
@@ -43,22 +56,41 @@ def country_envelopes(polygons: DataFrame) -> DataFrame:
     return env.withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
 
 
-def ring_edges(polygons: DataFrame) -> DataFrame:
-    """Edges (xi, yi) -> (xj, yj) with j the previous vertex, plus the ring's box.
-    Horizontal edges can never be crossed and are dropped."""
-    with_prev = polygons.select(
-        "feature_id", "country_code", "ring_id",
-        F.posexplode("ring").alias("pos", "pi"),
-        F.col("ring"),
-    ).select(
-        "feature_id", "country_code", "ring_id",
-        F.col("pi.x").alias("xi"), F.col("pi.y").alias("yi"),
-        F.element_at("ring", F.when(F.col("pos") == 0, F.size("ring")).otherwise(F.col("pos"))).alias("pj"),
+def ring_vertices(polygons: DataFrame) -> DataFrame:
+    """One row per vertex k of every ring with its neighbours ``prev`` (k-1),
+    ``prev2`` (k-2) and ``next`` (k+1), cyclic, and the ring's box.
+
+    Ring-level values are computed once per ring and the neighbours come from
+    rotated copies zipped with the ring, so an exploded row never carries the
+    whole ring: linear in the ring size, also for coastlines of 10^5 vertices.
+    """
+    n = F.size("ring")
+    rotated = polygons.select(
+        "feature_id", "country_code", "ring_id", "ring",
+        F.concat(F.slice("ring", -1, 1), F.slice("ring", F.lit(1), n - 1)).alias("prev"),
+        F.concat(F.slice("ring", -2, 2), F.slice("ring", F.lit(1), n - 2)).alias("prev2"),
+        F.concat(F.slice("ring", F.lit(2), n - 1), F.slice("ring", 1, 1)).alias("next"),
         F.array_min(F.transform("ring", lambda p: p["x"])).alias("ring_min_x"),
         F.array_max(F.transform("ring", lambda p: p["x"])).alias("ring_max_x"),
+        F.array_min(F.transform("ring", lambda p: p["y"])).alias("ring_min_y"),
     )
-    return (with_prev.select("feature_id", "country_code", "ring_id", "xi", "yi",
-                             F.col("pj.x").alias("xj"), F.col("pj.y").alias("yj"), "ring_min_x", "ring_max_x")
+    return rotated.select(
+        "feature_id", "country_code", "ring_id", "ring_min_x", "ring_max_x", "ring_min_y",
+        F.posexplode(F.arrays_zip("ring", "prev", "prev2", "next")).alias("k", "v"),
+    ).select(
+        "feature_id", "country_code", "ring_id", "ring_min_x", "ring_max_x", "ring_min_y", "k",
+        F.col("v.ring").alias("pi"), F.col("v.prev").alias("pj"), F.col("v.prev2").alias("pjj"),
+        F.col("v.next").alias("pii"),
+    )
+
+
+def ring_edges(polygons: DataFrame) -> DataFrame:
+    """Edges (xi, yi) -> (xj, yj) with j the previous vertex, plus the ring's box.
+    Horizontal edges can never be crossed and are dropped."""
+    return (ring_vertices(polygons)
+            .select("feature_id", "country_code", "ring_id",
+                    F.col("pi.x").alias("xi"), F.col("pi.y").alias("yi"),
+                    F.col("pj.x").alias("xj"), F.col("pj.y").alias("yj"), "ring_min_x", "ring_max_x")
             .filter(F.col("yi") != F.col("yj")))
 
 
@@ -122,26 +154,106 @@ def spatial_candidates(tiles: DataFrame, polygons: DataFrame, band_deg: float =
     return j.select("tile_id", "feature_id", "country_code", (dx * dx + dy * dy).alias("dist2"), "area")
 
 
+def _ordered_edges(polygons: DataFrame, cell_deg: float) -> DataFrame:
+    """Every edge k (vertex k-1 -> vertex k, cyclic) with its neighbours' east
+    limits and the ring's box (ids and coordinates only: the rows are the
+    build side of the spatial join, so they are kept narrow).
+
+    ``east_max`` of an edge is the last longitude column whose whole width lies
+    west of the edge (so every point of that column sees the edge on its east
+    side): ``ceil((min(xi, xj) - margin) / w) - 2``.
+    """
+    def east_max(xa, xb):
+        return (F.ceil((F.least(xa, xb) - F.lit(EAST_MARGIN)) / F.lit(cell_deg)) - 2).cast("bigint")
+
+    return ring_vertices(polygons).select(
+        "feature_id", "ring_id",
+        F.col("pi.x").alias("xi"), F.col("pi.y").alias("yi"),
+        F.col("pj.x").alias("xj"), F.col("pj.y").alias("yj"),
+        east_max(F.col("pi.x"), F.col("pj.x")).alias("east_max"),
+        east_max(F.col("pj.x"), F.col("pjj.x")).alias("east_max_prev"),
+        east_max(F.col("pii.x"), F.col("pi.x")).alias("east_max_next"),
+        _cell(F.col("ring_min_x"), cell_deg).alias("col_lo"),
+        _cell(F.col("ring_max_x"), cell_deg).alias("col_hi"),
+        "ring_min_y",
+    )
+
+
+def column_edges(polygons: DataFrame, band_deg: float = DEFAULT_BAND_DEG, cell_deg: float = DEFAULT_CELL_DEG) -> DataFrame:
+    """The ``runs`` layout as rows keyed by (band, cell).
+
+    Per column, every edge is east (column <= its ``east_max``), local, or
+    west (never crossed).  Local edges are kept as they are (``marker`` false).
+    East edges form chains; a chain's parity is ``[P.y > y] xor [Q.y > y]``
+    for its first vertex P and last vertex Q, and since xor is a sum mod 2
+    the chain ends need no pairing: each run start / run end is one marker
+    row counting ``[marker y > y]``.  Edge k starts a run in the columns
+    ``(east_max(k-1), east_max(k)]`` (marker at vertex k-1) and ends one in
+    ``(east_max(k+1), east_max(k)]`` (marker at vertex k).  All of this is
+    row-local: no window, no aggregate, no shuffle.
+    """
+    e = _ordered_edges(polygons, cell_deg)
+    keep = ["feature_id", "ring_id"]
+    no_cells = F.array().cast("array<bigint>")
+
+    def cells(lo, hi, cond=F.lit(True)):
+        return F.when(cond & (lo <= hi), F.sequence(lo, hi)).otherwise(no_cells)
+
+    top = F.least(F.col("east_max"), F.col("col_hi"))
+    hi = F.least(_cell(F.greatest("xi", "xj") + F.lit(2 * EAST_MARGIN), cell_deg), F.col("col_hi"))
+    local_cells = cells(F.greatest(F.col("east_max") + 1, F.col("col_lo")), hi, F.col("yi") != F.col("yj"))
+    start_cells = cells(F.greatest(F.col("east_max_prev") + 1, F.col("col_lo")), top)  # run starts at vertex k-1
+    end_cells = cells(F.greatest(F.col("east_max_next") + 1, F.col("col_lo")), top)    # run ends at vertex k
+
+    def rows(cs, xi, yi, xj, yj, marker):
+        return F.transform(cs, lambda c: F.struct(c.alias("cell"), xi.alias("xi"), yi.alias("yi"), xj.alias("xj"),
+                                                  yj.alias("yj"), F.lit(marker).alias("marker")))
+
+    none = F.lit(None).cast("double")
+    # One pass: local edges, run-start markers and run-end markers of every edge.
+    out = e.select(*keep, F.explode(F.concat(
+        rows(local_cells, F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj"), False),
+        rows(start_cells, none, F.col("yj"), none, F.col("ring_min_y"), True),
+        rows(end_cells, none, F.col("yi"), none, F.col("ring_min_y"), True),
+    )).alias("r")).select(*keep, "r.*")
+    # Local edges cover the bands they span; markers every band from the ring's bottom up to the marker.
+    bands = F.sequence(_band(F.least("yi", "yj"), band_deg), _band(F.greatest("yi", "yj"), band_deg))
+    return out.withColumn("band", F.explode(bands))
+
+
 def tile_country(tiles: DataFrame, polygons: DataFrame, band_deg: float = DEFAULT_BAND_DEG,
-                 cell_deg: float = DEFAULT_CELL_DEG) -> DataFrame:
+                 cell_deg: float = DEFAULT_CELL_DEG, layout: str = "runs") -> DataFrame:
     """(tile_id, country_code) for every tile; country_code lower-cased,
     null when no ring holds the tile.  Overlaps: smallest envelope, then code.
 
     One LEFT join keeps the unassigned tiles, so no second join against the
     tile table is needed; both aggregates are keyed by tile (partial first).
+    ``layout`` picks the edge replication (see the module notes).
     """
     pts = _keyed_points(tiles, band_deg, cell_deg).alias("p")
-    edges = keyed_edges(polygons, band_deg, cell_deg).alias("e")
-    cond = ((F.col("p.band") == F.col("e.band")) & (F.col("p.cell") == F.col("e.cell"))
-            & _crossing(F.col("p.lon"), F.col("p.lat")))
+    lon, lat = F.col("p.lon"), F.col("p.lat")
+    if layout == "runs":
+        edges = column_edges(polygons, band_deg, cell_deg).alias("e")
+        above = F.col("e.yi") > lat
+        spans = above != (F.col("e.yj") > lat)
+        east_of_point = lon < (F.col("e.xj") - F.col("e.xi")) * (lat - F.col("e.yi")) / (F.col("e.yj") - F.col("e.yi")) + F.col("e.xi")
+        hit = (F.col("e.marker") & above) | (~F.col("e.marker") & spans & east_of_point)
+    elif layout == "east":
+        edges = keyed_edges(polygons, band_deg, cell_deg).alias("e")
+        hit = _crossing(lon, lat)
+    else:
+        raise ValueError(layout)
+    cond = (F.col("p.band") == F.col("e.band")) & (F.col("p.cell") == F.col("e.cell")) & hit
     j = pts.join(edges, cond, "left")
     per_ring = (j.groupBy(F.col("p.tile_id").alias("tile_id"), F.col("e.feature_id").alias("feature_id"),
-                          F.col("e.country_code").alias("country_code"), F.col("e.ring_id").alias("ring_id"),
-                          F.col("e.area").alias("area"))
-                .agg(F.count(F.col("e.xi")).alias("crossings")))
-    inside = F.when(F.col("crossings") % 2 == 1,
-                    F.struct("area", F.lower("country_code").alias("code"), "feature_id"))
-    best = per_ring.groupBy("tile_id").agg(F.min(inside).alias("best"))
+                          F.col("e.ring_id").alias("ring_id"))
+                .agg(F.count(F.col("e.yi")).alias("crossings")))
+    # Code and envelope area join the (tile, ring) parities, not the edge rows;
+    # the envelope table has one row per feature.
+    env = country_envelopes(polygons).select("feature_id", F.lower("country_code").alias("code"), "area")
+    inside = (per_ring.join(env, "feature_id", "left")
+              .withColumn("_in", F.when(F.col("crossings") % 2 == 1, F.struct("area", "code", "feature_id"))))
+    best = inside.groupBy("tile_id").agg(F.min("_in").alias("best"))
     return best.select("tile_id", F.col("best.code").alias("country_code"))
 
 

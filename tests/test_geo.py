@@ -70,3 +70,59 @@ def test_fixture_assignment(spark):
     assert tc.count() == 200
     assert tc.filter(F.col("country_code") == "nation_5").count() == 4
     assert tc.filter(F.col("country_code").isNotNull()).select("country_code").distinct().count() == 25
+
+
+def _brute(points, rings):
+    """The ray-casting rule applied literally: any ring with an odd count."""
+    out = {}
+    for tid, (x, y) in enumerate(points):
+        hits = []
+        for code, ring in rings:
+            inside = False
+            j = len(ring) - 1
+            for i in range(len(ring)):
+                (xi, yi), (xj, yj) = ring[i], ring[j]
+                if ((yi > y) != (yj > y)) and (x < (xj - xi) * (y - yi) / (yj - yi) + xi):
+                    inside = not inside
+                j = i
+            if inside:
+                hits.append(code)
+        out[tid] = hits
+    return out
+
+
+def test_layouts_match_brute_force_on_random_rings(spark):
+    import random
+
+    rnd = random.Random(7)
+    feats, rings = [], []
+    for f in range(6):
+        cx, cy = rnd.uniform(-20, 20), rnd.uniform(-20, 20)
+        pts = []
+        m = rnd.randint(8, 40)
+        for i in range(m):  # star-shaped, wiggly, vertices snapped to half-degrees (many on cell lines)
+            import math
+            a = 2 * math.pi * i / m
+            r = rnd.uniform(2, 12)
+            pts.append([round((cx + r * math.cos(a)) * 2) / 2, round((cy + r * math.sin(a)) * 2) / 2])
+        pts.append(pts[0])
+        code = f"C{f}"
+        rings.append((code, [tuple(p) for p in pts]))
+        feats.append({"type": "Feature", "id": f, "properties": {"ISO_A2": code},
+                      "geometry": {"type": "MultiPolygon", "coordinates": [[pts]]}})
+    grid = [(x / 2, y / 2) for x in range(-70, 71, 3) for y in range(-70, 71, 3)]
+    rand = [(rnd.uniform(-35, 35), rnd.uniform(-35, 35)) for _ in range(1500)]
+    points = grid + rand
+    tiles = tiles_at(spark, points)
+    polys = gsrc.country_polygons(features(spark, feats))
+    brute = _brute([((r.u - 0.5) * 360.0, (r.v - 0.5) * 180.0) for r in tiles.orderBy("tile_id").collect()], rings)
+    env = {r.feature_id: r.area for r in geo.country_envelopes(polys).collect()}
+    area = {f"c{i}": env[i] for i in range(6)}  # keyed by lower-cased code
+    expect = {t: (min(h, key=lambda c: (area[c.lower()], c.lower())).lower() if h else None) for t, h in brute.items()}
+    assert sum(v is not None for v in expect.values()) > 300  # many points inside, some in overlaps
+    assert sum(len(h) > 1 for h in brute.values()) > 10
+    for layout in ("runs", "east"):
+        for band, cell in ((1.0, 1.0), (0.5, 3.0), (0.5, 0.5)):
+            got = {r.tile_id: r.country_code
+                   for r in geo.tile_country(tiles, polys, band, cell, layout=layout).collect()}
+            assert got == expect, (layout, band, cell)
