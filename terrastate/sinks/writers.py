@@ -71,11 +71,9 @@ def load_or_build_tile_country(spark: SparkSession, folder: str, tiles: DataFram
     recomputed, as an anti join of all tiles against the stored mapping."""
     from pyspark.errors import AnalysisException
 
-    try:
+    try:  # a reader on a missing path fails when it is defined (path check), before any job
         t2c = spark.read.schema("tile_id bigint, country_code string").json(f"{folder}/tile_to_country")
-        spark.read.schema("country_code string, chunk_no bigint, tiles array<bigint>").json(
-            f"{folder}/country_to_tiles").limit(0).collect()
-        t2c.limit(0).collect()
+        spark.read.schema("country_code string, chunk_no bigint, tiles array<bigint>").json(f"{folder}/country_to_tiles")
     except AnalysisException:
         tc = build()
         write_tile_country(tc, folder)
