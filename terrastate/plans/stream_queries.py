@@ -30,17 +30,20 @@ FILES_PER_TRIGGER = 2
 CLICK_A_SCHEMA = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
 
 
-def write_log_slices(spark, sf, slices: int = SLICES, clicks=None, name: str = "click-log") -> str:
-    """Writes ``clicks_a`` (or ``clicks``) as ``slices`` consecutive arrival
-    ranges, one write job after another, so file modification order follows
-    arrival order."""
+def write_log_slices(spark, sf, slices: int = SLICES, clicks=None, name: str = "click-log",
+                     rows_per_file: int = 1_000_000) -> str:
+    """Writes ``clicks_a`` (or ``clicks``) the way a log sink lays it down: one
+    file per consecutive arrival range, written one after another, so file
+    order is arrival order.  The number of ranges grows with the log (at most
+    ``rows_per_file`` rows per file on a uniform log)."""
     clicks = d.clicks_a(spark, sf) if clicks is None else clicks
-    lo, hi = clicks.agg(F.min("arrival_ns"), F.max("arrival_ns")).first()
+    lo, hi, n = clicks.agg(F.min("arrival_ns"), F.max("arrival_ns"), F.count(F.lit(1))).first()
+    slices = max(slices, -(-n // rows_per_file))
     path = scratch_path(spark, name)
     step = (hi - lo) // slices + 1
     for k in range(slices):
         part = clicks.filter((F.col("arrival_ns") >= lo + k * step) & (F.col("arrival_ns") < lo + (k + 1) * step))
-        part.write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,22 +39,28 @@ def _classify_fn(order_cols: Sequence[str], out_cols: list[str]):
     def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = (pd.concat(list(pdfs), ignore_index=True)
                 .sort_values(list(order_cols), kind="stable").reset_index(drop=True))
-        if state.exists:
-            cur_country, cur_ts = state.get
-        else:
-            cur_country, cur_ts = None, None
-        applied, prev_c, prev_t = [], [], []
-        for country, ts in zip(rows["country_id"].tolist(), rows["timestamp_ns"].tolist()):
-            prev_c.append(cur_country)
-            prev_t.append(cur_ts)
-            ok = cur_ts is None or ts > cur_ts
-            applied.append(ok)
-            if ok:
-                cur_country, cur_ts = country, ts
-        state.update((cur_country, int(cur_ts)))
-        rows = rows.assign(applied=applied,
-                           previous_country=pd.Series(prev_c, dtype="object"),
-                           previous_ts=pd.array(prev_t, dtype="Int64"))
+        ts = rows["timestamp_ns"].to_numpy(dtype=np.int64)
+        country = rows["country_id"].to_numpy(dtype=object)
+        n = len(ts)
+        st_country, st_ts = state.get if state.exists else (None, None)
+        floor = np.int64(st_ts) if st_ts is not None else np.iinfo(np.int64).min
+        # Owner time before row i = max(state, ts[0..i-1]); a click applies when strictly newer.
+        seen = np.maximum.accumulate(np.concatenate(([floor], ts)))[:-1]
+        applied = ts > seen
+        if st_ts is None and n:
+            applied[0] = True
+        # Owner before row i = the last applied row before i (applied times only rise), else the state.
+        last = np.maximum.accumulate(np.where(applied, np.arange(n), -1))
+        before = np.concatenate(([-1], last[:-1]))
+        has = before >= 0
+        prev_country = np.where(has, country[np.maximum(before, 0)], st_country)
+        prev_ts = pd.array(np.where(has, ts[np.maximum(before, 0)], seen), dtype="Int64")
+        if st_ts is None:
+            prev_ts[~has] = pd.NA
+        if n and last[-1] >= 0:
+            state.update((str(country[last[-1]]), int(ts[last[-1]])))
+        rows = rows.assign(applied=applied, previous_country=pd.Series(prev_country, dtype="object"),
+                           previous_ts=prev_ts)
         yield rows[out_cols]
     return fold
 

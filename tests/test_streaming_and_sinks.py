@@ -72,3 +72,25 @@ def test_page_records_bounded_rows(spark):
     own = ow.current_ownership(d.clicks_b(spark, SF_SMALL))
     pages = writers.page_records(ow.ownership_pages(own, page_size=50)).collect()
     assert sum(p.n_tiles for p in pages) == 200 and max(p.n_tiles for p in pages) <= 50
+
+
+def test_classify_stream_with_ties_matches_fold(spark):
+    import random
+
+    from fold import fold
+    from terrastate.plans.stream_queries import write_log_slices
+    from terrastate.streaming import ownership as so
+    from terrastate.streaming import runners
+
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 5), rnd.choice("abc"), (rnd.randint(0, 300) // 40) * 40, i, rnd.randint(0, 5000))
+            for i in range(800)]
+    schema = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
+    clicks = spark.createDataFrame(rows, schema)
+    path = write_log_slices(spark, None, slices=3, clicks=clicks, name="ties-log")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "ties-out")
+    runners.start(so.classify_stream(stream), path=out, name="ties").awaitTermination()
+    got = {r.click_id: (r.applied, r.previous_country, r.previous_ts) for r in spark.read.parquet(out).collect()}
+    expect, _, _ = fold([dict(zip(["tile_id", "country_id", "timestamp_ns", "click_id", "arrival_ns"], r)) for r in rows])
+    assert got == expect
