@@ -15,15 +15,16 @@ def country_dim(json_rows: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def lookup(keys: DataFrame, countries: DataFrame, key_col: str = "country_id") -> DataFrame:
-    """D1 get: each key with its country name or null.  The dimension is bounded
-    by the list of country codes (a few hundred rows), so it is broadcast."""
+    """D1 get: each key with its country name or null.  No hint: AQE broadcasts
+    the dimension from its runtime size (a few hundred codes) and falls back to
+    a sort-merge join if a caller passes something large."""
     dim = countries.select(F.col("code").alias(key_col), "name")
-    return keys.join(F.broadcast(dim), key_col, "left")
+    return keys.join(dim, key_col, "left")
 
 
 def contains(keys: DataFrame, countries: DataFrame, key_col: str = "country_id") -> DataFrame:
     """D1 contains: keys that are known codes."""
-    return keys.join(F.broadcast(countries.select(F.col("code").alias(key_col))), key_col, "left_semi")
+    return keys.join(countries.select(F.col("code").alias(key_col)), key_col, "left_semi")
 
 
 def decorate(countries: DataFrame) -> DataFrame:

@@ -62,10 +62,10 @@ def leaderboard_display(ownerships: DataFrame, countries: DataFrame, total: Colu
 
     The ranking window has no partition key: it runs over the aggregated
     leaderboard, one row per country, which the country dimension bounds.
-    The dimension (a few hundred codes at most) is broadcast.
+    The dimension join is left to AQE (broadcast from its runtime size).
     """
     board = leaderboard(ownerships)
-    named = board.join(F.broadcast(countries.select(F.col("code").alias("country_id"), "name")), "country_id", "left")
+    named = board.join(countries.select(F.col("code").alias("country_id"), "name"), "country_id", "left")
     w = Window.orderBy(F.desc("score"), F.asc("country_id"))
     out = named.select(
         F.row_number().over(w).cast("bigint").alias("rank"),

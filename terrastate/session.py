@@ -65,3 +65,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Suggested settings for a cluster run over ``input_bytes`` of click log.
+
+    Returned, never applied: the deployment owns its session.  Scan splits of
+    256 MB; an initial shuffle width giving ~256 MB per reducer that AQE then
+    coalesces (advisory size) or splits (skew join); broadcast only below
+    64 MB; RocksDB state for the streaming operators (state per tile).
+    """
+    split = 256 * 1024 * 1024
+    slots = executors * cores_per_executor
+    shuffle = max(slots, -(-input_bytes // split))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.session.timeZone": "UTC",
+    }

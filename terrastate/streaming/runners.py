@@ -46,7 +46,6 @@ def snapshot_upsert_sink(snapshot_path: str) -> Callable[[DataFrame, int], None]
     partition overwrite, so a batch rewrites only the buckets it touches."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         new = batch.select("tile_id", "country_id", "timestamp_ns").withColumn(
             "bucket", F.floor(F.col("tile_id") / SNAPSHOT_BUCKET).cast("bigint")).persist()
         try:
@@ -61,7 +60,8 @@ def snapshot_upsert_sink(snapshot_path: str) -> Callable[[DataFrame, int], None]
             merged.withColumn("bucket", F.floor(F.col("tile_id") / SNAPSHOT_BUCKET).cast("bigint")) \
                 .write.mode("overwrite").parquet(staged)
             (spark.read.parquet(staged).repartition("bucket").sortWithinPartitions("tile_id")
-             .write.mode("overwrite").partitionBy("bucket").parquet(snapshot_path))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("bucket").parquet(snapshot_path))
         finally:
             new.unpersist()
     return sink
