@@ -15,9 +15,10 @@ Scale notes
   sorted within tile.  The running owner is a prefix arg-max, which is
   associative, so hot tiles are split: tiles with more than ``hot_threshold``
   clicks (found by a narrow tile-id count; at most rows / threshold of them, so
-  the set is broadcast with a proven bound) are cut into arrival buckets of
-  ``bucket_ns``; a small summary per (tile, bucket) gives the carry-in of every
-  bucket and the row window runs per (tile, bucket).  Other tiles keep one
+  the set is broadcast with a proven bound) are cut into arrival buckets sized
+  from the tile's own count and arrival span (about ``bucket_rows`` clicks
+  each at an even rate); a small summary per (tile, bucket) gives the carry-in
+  of every bucket and the row window runs per (tile, bucket).  Other tiles keep one
   bucket.  Without hot tiles the plan is a single window on ``tile_id``.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_ORDER = ("arrival_ns", "click_id")
 DEFAULT_HOT_THRESHOLD = 1_000_000
-DEFAULT_BUCKET_NS = 60 * 1_000_000_000
+DEFAULT_BUCKET_ROWS = 1_000_000
 PAGE_SIZE = 10_000  # fixed value: the client's page size
 
 
@@ -51,28 +52,33 @@ def current_ownership(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORD
     )
 
 
-def hot_tiles(clicks: DataFrame, hot_threshold: int) -> list[int]:
-    """Tiles with more than ``hot_threshold`` clicks.  A narrow aggregate (tile id
-    only, partial counts map-side); the result has at most rows / threshold ids."""
-    hot = (clicks.groupBy("tile_id").count()
-           .filter(F.col("count") > F.lit(hot_threshold)).select("tile_id"))
-    return [r.tile_id for r in hot.collect()]
+def hot_tiles(clicks: DataFrame, hot_threshold: int, time_col: str = "arrival_ns") -> list[tuple[int, int, int, int]]:
+    """Tiles with more than ``hot_threshold`` clicks, as (tile_id, clicks,
+    first arrival, last arrival).  A narrow aggregate (two columns, partial
+    counts map-side); the result has at most rows / threshold entries."""
+    hot = (clicks.groupBy("tile_id")
+           .agg(F.count(F.lit(1)).alias("n"), F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
+           .filter(F.col("n") > F.lit(hot_threshold)))
+    return [(r.tile_id, r.n, r.lo, r.hi) for r in hot.collect()]
 
 
 def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER,
-                    hot_threshold: int = DEFAULT_HOT_THRESHOLD, bucket_ns: int = DEFAULT_BUCKET_NS,
-                    hot: Sequence[int] | None = None) -> DataFrame:
+                    hot_threshold: int = DEFAULT_HOT_THRESHOLD, bucket_rows: int = DEFAULT_BUCKET_ROWS,
+                    bucket_ns: int | None = None,
+                    hot: Sequence[tuple[int, int, int, int]] | None = None) -> DataFrame:
     """O3: every click with ``applied`` and what the store returned for it.
 
     Adds ``applied`` (boolean), ``previous_country`` and ``previous_ts`` (owner
     before this click; null for the first click of a tile).  The running owner
     is ``min(struct(-timestamp_ns, arrival..., country))`` over the earlier
     clicks of the tile.  ``hot`` (default: detected with ``hot_tiles``) lists
-    the tiles to split into arrival buckets of ``bucket_ns`` (``order_cols[0]``
-    must then be a numeric arrival time).
+    the tiles to split into arrival buckets; a bucket spans the tile's arrival
+    range divided so that it holds about ``bucket_rows`` clicks at an even
+    rate, or ``bucket_ns`` when given (``order_cols[0]`` must be a numeric
+    arrival time).
     """
     if hot is None:
-        hot = hot_tiles(clicks, hot_threshold)
+        hot = hot_tiles(clicks, hot_threshold, order_cols[0])
     if not hot:
         key = _owner_key(clicks, order_cols)
         w = Window.partitionBy("tile_id").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -80,9 +86,14 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
 
     spark = clicks.sparkSession
     # Bounded by rows / hot_threshold, so broadcasting it is safe at any scale.
-    hot_df = spark.createDataFrame([(int(t),) for t in hot], "tile_id bigint").withColumn("_hot", F.lit(True))
+    def width(n, lo, hi):
+        return bucket_ns if bucket_ns else max(1, -(-(hi - lo + 1) * bucket_rows // n))
+
+    hot_df = spark.createDataFrame([(int(t), int(lo), int(width(n, lo, hi))) for t, n, lo, hi in hot],
+                                   "tile_id bigint, _origin bigint, _width bigint").withColumn("_hot", F.lit(True))
     keyed = clicks.join(F.broadcast(hot_df), "tile_id", "left")
-    bucket = F.when(F.col("_hot"), F.floor(F.col(order_cols[0]) / F.lit(bucket_ns))).otherwise(F.lit(0))
+    bucket = F.when(F.col("_hot"), F.floor((F.col(order_cols[0]) - F.col("_origin")) / F.col("_width"))) \
+        .otherwise(F.lit(0))
     keyed = keyed.withColumn("_bucket", bucket.cast("bigint"))
     key = _owner_key(keyed, order_cols)
 
@@ -100,7 +111,7 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     in_bucket = (Window.partitionBy("tile_id", "_bucket").orderBy(*order_cols)
                  .rowsBetween(Window.unboundedPreceding, -1))
     out = rows.withColumn("_prev", F.least(F.col("_carry"), F.min("_key").over(in_bucket)))
-    return _finish(out.drop("_hot", "_bucket", "_key", "_carry"))
+    return _finish(out.drop("_hot", "_origin", "_width", "_bucket", "_key", "_carry"))
 
 
 def _finish(out: DataFrame) -> DataFrame:

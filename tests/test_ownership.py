@@ -104,6 +104,11 @@ def test_classify_hot_tiles_split_into_buckets(spark):
     _check_against_fold(spark, _random_log(2), hot_threshold=10, bucket_ns=700)
 
 
+def test_classify_hot_tiles_adaptive_buckets(spark):
+    # every tile is hot; buckets of about 20 clicks from each tile's own count and arrival span
+    _check_against_fold(spark, _random_log(4), hot_threshold=10, bucket_rows=20)
+
+
 def test_changes_modes(spark):
     rows = [(1, "a", 10, 1, 1), (1, "b", 5, 2, 2), (1, "b", 20, 3, 3), (1, "b", 30, 4, 4)]
     cls = ow.classify_clicks(clicks_df(spark, rows))
