@@ -72,3 +72,16 @@ def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple
     pts = F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return (rings.select("feature_id", "country_code", "name", F.col("ring_id").cast("int"), pts.alias("ring"))
             .filter(F.size("ring") >= min_vertices))
+
+
+def read_features(spark, path: str, collection: bool = False) -> DataFrame:
+    """GeoJSON features as one JSON text per row (``value``), the input of
+    ``country_polygons``.  JSON-lines files (one feature per line) split across
+    tasks; a single ``FeatureCollection`` document (``collection=True``) cannot be
+    split, so one task parses it and its features are exploded into rows; for
+    large maps convert it to JSON lines once."""
+    if not collection:
+        return spark.read.text(path)
+    coll = (spark.read.option("multiLine", True)
+            .schema("features array<string>").json(path))
+    return coll.select(F.explode("features").alias("value"))

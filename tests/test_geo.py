@@ -126,3 +126,16 @@ def test_layouts_match_brute_force_on_random_rings(spark):
             got = {r.tile_id: r.country_code
                    for r in geo.tile_country(tiles, polys, band, cell, layout=layout).collect()}
             assert got == expect, (layout, band, cell)
+
+
+def test_read_features_lines_and_collection(spark, tmp_path):
+    feats = [{"type": "Feature", "id": i, "properties": {"ISO_A2": f"C{i}", "ADMIN": f"Country {i}"},
+              "geometry": {"type": "MultiPolygon", "coordinates": [[square(10 * i, 0, 5)]]}} for i in range(3)]
+    lines = tmp_path / "f.jsonl"
+    lines.write_text("\n".join(json.dumps(f) for f in feats))
+    coll = tmp_path / "c.geojson"
+    coll.write_text(json.dumps({"type": "FeatureCollection", "features": feats}, indent=1))
+    a = gsrc.country_polygons(gsrc.read_features(spark, str(lines)))
+    b = gsrc.country_polygons(gsrc.read_features(spark, str(coll), collection=True))
+    key = lambda df: sorted((r.feature_id, r.country_code, r.name, len(r.ring)) for r in df.collect())
+    assert key(a) == key(b) == [(i, f"C{i}", f"Country {i}", 5) for i in range(3)]
