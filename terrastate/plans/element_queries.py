@@ -24,7 +24,9 @@ _SUBJECTS = """subjects AS (
          tile_id, country_id, timestamp_ns, click_id
   FROM clicks_a),
 parsed AS (
-  SELECT *, TRY_CAST(nullif(regexp_extract(subject, '^clicks\\.tile\\.(-?[0-9]+)$', 1), '') AS BIGINT) AS subject_tile_id
+  SELECT *, CASE WHEN regexp_matches(subject, '^clicks\\.tile\\.\\+?[0-9]+$')
+                 AND TRY_CAST(substr(subject, 13) AS BIGINT) <= 4294967295
+            THEN TRY_CAST(substr(subject, 13) AS BIGINT) END AS subject_tile_id
   FROM subjects)"""
 
 

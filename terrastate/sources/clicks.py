@@ -96,12 +96,21 @@ def split_payloads(df: DataFrame, payload_col: str = "payload") -> tuple[DataFra
 
 # --- S3: subject -> tile id ---------------------------------------------------------------
 
+U32_MAX = 4_294_967_295
+
+
+def _unsigned(text, max_value: int | None = None):
+    """An unsigned decimal integer (optional '+') as bigint, else null."""
+    v = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(v <= F.lit(max_value), v) if max_value is not None else v
+
+
 def subject_tile_id(df: DataFrame, subject_col: str = "subject", prefix: str = SUBJECT_PREFIX) -> DataFrame:
-    """S3: adds ``subject_tile_id`` (null when the subject is not ``<prefix><int>``)
-    and ``subject_error``."""
-    pattern = "^" + prefix.replace(".", r"\.") + r"(-?[0-9]+)$"
+    """S3: adds ``subject_tile_id`` (null unless the subject is ``<prefix><id>``
+    with an unsigned 32-bit id) and ``subject_error``."""
+    pattern = "^" + prefix.replace(".", r"\.") + r"(.*)$"
     raw = F.regexp_extract(F.col(subject_col), pattern, 1)
-    parsed = F.when(raw != "", raw.try_cast("bigint"))
+    parsed = F.when(F.col(subject_col).startswith(prefix), _unsigned(raw, U32_MAX))
     return (df.withColumn("subject_tile_id", parsed)
             .withColumn("subject_error", F.when(parsed.isNull(), F.lit("bad subject"))))
 
@@ -130,15 +139,16 @@ def parse_snapshot(df: DataFrame, member_col: str = "member", score_col: str = "
     """("country:timestamp_ns", tile score) -> ownership rows.
 
     A member without exactly two parts or with a time that is not an unsigned
-    64-bit integer is skipped; a bad score is an error in ``strict`` mode
-    (``raise_error``) and skipped otherwise."""
+    integer is skipped (times above the signed 64-bit range cannot be held and
+    are skipped too); a score that is not an unsigned 32-bit integer is an
+    error in ``strict`` mode (``raise_error``) and skipped otherwise."""
     parts = F.split(F.col(member_col), ":")
-    ts_txt = parts.getItem(1)
-    ts = F.when(ts_txt.rlike("^[0-9]+$"), ts_txt.try_cast("bigint"))
-    score = F.col(score_col).try_cast("double")
-    tile = F.when((score == F.floor(score)) & (score >= 0), score.cast("bigint"))
-    if strict:
-        tile = F.coalesce(tile, F.raise_error(F.concat(F.lit("bad score: "), F.col(score_col))).cast("bigint"))
+    ts = _unsigned(parts.getItem(1))
+    tile = _unsigned(F.col(score_col), U32_MAX)
+    if strict:  # the score is only read for members that are otherwise valid
+        member_ok = (F.size(parts) == 2) & ts.isNotNull()
+        tile = F.when(member_ok, F.coalesce(
+            tile, F.raise_error(F.concat(F.lit("bad score: "), F.col(score_col))).cast("bigint")))
     out = df.select(tile.alias("tile_id"), parts.getItem(0).alias("country_id"), ts.alias("timestamp_ns"),
                     F.size(parts).alias("_n"))
     return (out.filter((F.col("_n") == 2) & F.col("timestamp_ns").isNotNull() & F.col("tile_id").isNotNull())

@@ -28,10 +28,13 @@ def test_encode_decode_roundtrip_and_rejects(spark):
 
 
 def test_subjects(spark):
-    df = spark.createDataFrame([("clicks.tile.12", 12), ("clicks.tile.13", 12), ("click.tile.5", 5), ("clicks.tile.x", 1)],
-                               "subject string, tile_id bigint")
+    subs = ["clicks.tile.12", "clicks.tile.13", "click.tile.5", "clicks.tile.x", "clicks.tile.-3", "clicks.tile.+7",
+            "clicks.tile.4294967295", "clicks.tile.4294967296", "clicks.tile."]
+    df = spark.createDataFrame([(s, 1) for s in subs], "subject string, tile_id bigint")
     out = {r.subject: r.subject_tile_id for r in src.subject_tile_id(df).collect()}
-    assert out == {"clicks.tile.12": 12, "clicks.tile.13": 13, "click.tile.5": None, "clicks.tile.x": None}
+    assert out == {"clicks.tile.12": 12, "clicks.tile.13": 13, "click.tile.5": None, "clicks.tile.x": None,
+                   "clicks.tile.-3": None, "clicks.tile.+7": 7, "clicks.tile.4294967295": 4294967295,
+                   "clicks.tile.4294967296": None, "clicks.tile.": None}
 
 
 def test_stamp_live_and_deterministic(spark):
@@ -42,7 +45,15 @@ def test_stamp_live_and_deterministic(spark):
 
 
 def test_parse_snapshot(spark):
-    df = spark.createDataFrame([("fr:100", "3"), ("a:b:1", "4"), ("x:notanumber", "5"), ("ru:7", "bad")],
+    df = spark.createDataFrame([("fr:100", "3"), ("a:b:1", "4"), ("x:notanumber", "5"), ("ru:7", "bad"),
+                                ("es:+8", "9"), ("de:-1", "10"), ("it:5", "5.0")],
                                "member string, score string")
-    got = [(r.tile_id, r.country_id, r.timestamp_ns) for r in src.parse_snapshot(df).collect()]
-    assert got == [(3, "fr", 100)]
+    got = sorted((r.tile_id, r.country_id, r.timestamp_ns) for r in src.parse_snapshot(df).collect())
+    assert got == [(3, "fr", 100), (9, "es", 8)]
+    import pytest
+
+    with pytest.raises(Exception):
+        src.parse_snapshot(df, strict=True).collect()
+    clean = df.filter(~F.col("score").isin("bad", "5.0"))  # bad scores only on invalid members: no error
+    bad_member = spark.createDataFrame([("a:b:c", "oops")], "member string, score string")
+    assert len(src.parse_snapshot(clean.unionByName(bad_member), strict=True).collect()) == 2
