@@ -147,3 +147,31 @@ def decode_request(buf: bytes) -> dict:
 def decode_batch_request(buf: bytes) -> dict:
     f = decode_fields(buf)
     return {"start_tile_id": _int32(f.get(1, 0)), "end_tile_id": _int32(f.get(2, 0))}
+
+
+def _embedded_hex(field: int, msg_hex: Column) -> Column:
+    """A nested message as a length-delimited field."""
+    return F.concat(F.lit(_tag_hex(field, WIRE_LEN)), _varint_hex((F.length(msg_hex) / 2).cast("bigint")), msg_hex)
+
+
+def leaderboard_entry_hex(country_id: Column, score: Column) -> Column:
+    """``entries`` item of the leaderboard reply: country (1), score (2)."""
+    return _embedded_hex(1, F.concat(_field_hex(1, country_id, "string"), _field_hex(2, score, "varint")))
+
+
+def ownership_hex(tile_id: Column, country_id: Column, timestamp_ns: Column) -> Column:
+    """``ownerships`` item of an ownership state: tile (1), country (2), time (3)."""
+    return _embedded_hex(1, F.concat(_field_hex(1, tile_id, "varint"), _field_hex(2, country_id, "string"),
+                                     _field_hex(3, timestamp_ns, "varint")))
+
+
+def decode_leaderboard(buf: bytes) -> list[tuple[str, int]]:
+    """Test helper: the (country, score) entries of a leaderboard reply."""
+    out, pos = [], 0
+    while pos < len(buf):
+        key, pos = _read_varint(buf, pos)
+        n, pos = _read_varint(buf, pos)
+        f = decode_fields(buf[pos:pos + n])
+        pos += n
+        out.append((f.get(1, b"").decode("utf-8"), f.get(2, 0)))
+    return out

@@ -88,3 +88,18 @@ def country_tile_stats(tile_country: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("tiles"),
                  F.count("country_code").alias("assigned"),
                  F.grouping_id().cast("int").alias("is_total")))
+
+
+def leaderboard_reply(board: DataFrame) -> DataFrame:
+    """L3 as the served reply: the ranked board encoded as one protobuf
+    leaderboard response, base64 text (``data``) with entry and byte counts.
+    One row built from the aggregated board (one row per country, bounded by
+    the country dimension)."""
+    from terrastate.functions.wire import leaderboard_entry_hex
+
+    entry = F.struct((-F.col("score")).alias("neg"), F.col("country_id").alias("c"),
+                     leaderboard_entry_hex(F.col("country_id"), F.col("score")).alias("hex"))
+    packed = board.agg(F.count(F.lit(1)).alias("entries"), F.array_sort(F.collect_list(entry)).alias("_e"))
+    raw = F.unhex(F.array_join(F.transform("_e", lambda e: e["hex"]), ""))
+    text = F.regexp_replace(F.base64(raw), "[\\r\\n]", "")  # plain base64, no MIME line breaks
+    return packed.select("entries", F.octet_length(raw).cast("bigint").alias("bytes"), text.alias("data"))

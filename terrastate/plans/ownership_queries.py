@@ -208,3 +208,45 @@ def q_ownership_pages_export(spark, sf):
     pages = ow.ownership_pages(ow.current_ownership(d.clicks_b(spark, sf)), page_size=FIXTURE_PAGE)
     return writers.page_records(pages)
 
+
+
+def _varint_sql(expr: str) -> str:
+    """DuckDB: hex of the base-128 varint of a non-negative bigint expression."""
+    groups = (f"list_filter(list_transform(range(10), lambda i: {{'i': i, 'g': (({expr}) >> (7 * i))}}), "
+              f"lambda s: s.i = 0 OR s.g <> 0)")
+    return (f"array_to_string(list_transform({groups}, lambda s, k: printf('%02X', (s.g & 127) | "
+            f"CASE WHEN k < len({groups}) THEN 128 ELSE 0 END)), '')")
+
+
+def _len_field_sql(tag: str, text: str) -> str:
+    return f"CASE WHEN {text} = '' THEN '' ELSE '{tag}' || {_varint_sql(f'octet_length(encode({text}))')} || hex({text}) END"
+
+
+def _varint_field_sql(tag: str, value: str) -> str:
+    return f"CASE WHEN {value} = 0 THEN '' ELSE '{tag}' || {_varint_sql(value)} END"
+
+
+def _embedded_sql(msg: str) -> str:
+    return f"'0A' || {_varint_sql(f'CAST(length({msg}) / 2 AS BIGINT)')} || {msg}"
+
+
+_ENTRY_SQL = _embedded_sql(f"({_len_field_sql('0A', 'country_id')} || {_varint_field_sql('10', 'score')})")
+_OWN_SQL = _embedded_sql(f"({_varint_field_sql('08', 'tile_id')} || {_len_field_sql('12', 'country_id')} || "
+                         f"{_varint_field_sql('18', 'timestamp_ns')})")
+
+
+@register("leaderboard_reply", "L3", with_(CLICKS_B, own("clicks_b", "own_b")) + f""",
+board AS (SELECT country_id, count(*) AS score FROM own_b GROUP BY country_id),
+enc AS (SELECT country_id, score, {_ENTRY_SQL} AS hex FROM board)
+SELECT count(*) AS entries, CAST(octet_length(unhex(string_agg(hex, '' ORDER BY score DESC, country_id))) AS BIGINT) AS bytes,
+       to_base64(unhex(string_agg(hex, '' ORDER BY score DESC, country_id))) AS data FROM enc""")
+def q_leaderboard_reply(spark, sf):
+    return lb.leaderboard_reply(lb.leaderboard(ow.current_ownership(d.clicks_b(spark, sf))))
+
+
+@register("ownership_pages_payload", "K6", with_(CLICKS_B, own("clicks_b", "own_b")) + f""",
+enc AS (SELECT CAST(floor(tile_id / {FIXTURE_PAGE}) AS BIGINT) AS page_no, tile_id, {_OWN_SQL} AS hex FROM own_b)
+SELECT page_no, count(*) AS n_tiles, to_base64(unhex(string_agg(hex, '' ORDER BY tile_id))) AS data FROM enc GROUP BY 1""")
+def q_ownership_pages_payload(spark, sf):
+    pages = ow.ownership_pages(ow.current_ownership(d.clicks_b(spark, sf)), page_size=FIXTURE_PAGE)
+    return writers.page_payloads(pages)

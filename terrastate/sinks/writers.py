@@ -137,3 +137,15 @@ def lineage_cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def page_payloads(pages: DataFrame) -> DataFrame:
+    """K6 as served: one protobuf ownership state per page, base64 text, with
+    the ownerships in tile order.  A page holds at most page_size tiles."""
+    from terrastate.functions.wire import ownership_hex
+
+    entry = F.struct("tile_id", ownership_hex(F.col("tile_id"), F.col("country_id"), F.col("timestamp_ns")).alias("hex"))
+    grouped = pages.groupBy("page_no").agg(F.count(F.lit(1)).alias("n_tiles"),
+                                           F.array_sort(F.collect_list(entry)).alias("_e"))
+    raw = F.unhex(F.array_join(F.transform("_e", lambda e: e["hex"]), ""))
+    return grouped.select("page_no", "n_tiles", F.regexp_replace(F.base64(raw), "[\\r\\n]", "").alias("data"))

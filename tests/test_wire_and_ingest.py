@@ -57,3 +57,34 @@ def test_parse_snapshot(spark):
     clean = df.filter(~F.col("score").isin("bad", "5.0"))  # bad scores only on invalid members: no error
     bad_member = spark.createDataFrame([("a:b:c", "oops")], "member string, score string")
     assert len(src.parse_snapshot(clean.unionByName(bad_member), strict=True).collect()) == 2
+
+
+def test_leaderboard_reply_golden(spark):
+    """The published reply: five entries, 46 bytes, a 75-byte JSON body."""
+    import base64
+    import json
+
+    from terrastate.operators.leaderboard import leaderboard_reply
+
+    board = spark.createDataFrame([("fr", 16478), ("sd", 1), ("ru", 31473), ("sr", 544), ("es", 874)],
+                                  "country_id string, score bigint")
+    r = leaderboard_reply(board).first()
+    assert (r.entries, r.bytes, len(r.data)) == (5, 46, 64)
+    assert len(json.dumps({"data": r.data}, separators=(",", ":"))) == 75
+    assert wire.decode_leaderboard(base64.b64decode(r.data)) == [
+        ("ru", 31473), ("fr", 16478), ("es", 874), ("sr", 544), ("sd", 1)]
+
+
+def test_page_payload_decodes(spark):
+    import base64
+
+    from terrastate.sinks.writers import page_payloads
+
+    pages = spark.createDataFrame([(0, 0, "fr", 5), (0, 3, "ru", 1733000000000000000), (1, 10, "es", 7)],
+                                  "page_no bigint, tile_id bigint, country_id string, timestamp_ns bigint")
+    got = {r.page_no: base64.b64decode(r.data) for r in page_payloads(pages).collect()}
+    first = got[0]
+    key, pos = wire._read_varint(first, 0)
+    n, pos = wire._read_varint(first, pos)
+    assert wire.decode_fields(first[pos:pos + n]) == {2: b"fr", 3: 5}  # tile 0 omitted (proto3 default)
+    assert wire.decode_fields(first[pos + n + 2:]) == {1: 3, 2: b"ru", 3: 1733000000000000000}
