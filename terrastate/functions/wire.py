@@ -52,6 +52,11 @@ def _field_hex(field: int, value: Column, kind: str) -> Column:
     return F.when(value == "", F.lit("")).otherwise(body)
 
 
+def encode_request(tile_id: Column, country_id: Column) -> Column:
+    """Binary ClickRequest record (tile 1, country 2)."""
+    return F.unhex(F.concat(_field_hex(1, tile_id, "varint"), _field_hex(2, country_id, "string")))
+
+
 def encode_click(tile_id: Column, country_id: Column, timestamp_ns: Column, click_id: Column) -> Column:
     """Binary Click record."""
     return F.unhex(F.concat(
@@ -138,10 +143,13 @@ def decode_click(buf: bytes) -> dict:
 
 def decode_request(buf: bytes) -> dict:
     f = decode_fields(buf)
-    country = f.get(2, b"")
-    if not isinstance(country, bytes):
-        raise WireError("string field with varint wire type")
-    return {"tile_id": _int32(f.get(1, 0)), "country_id": country.decode("utf-8")}
+    country, tile = f.get(2, b""), f.get(1, 0)
+    if not isinstance(country, bytes) or not isinstance(tile, int):
+        raise WireError("field with the wrong wire type")
+    try:
+        return {"tile_id": _int32(tile), "country_id": country.decode("utf-8")}
+    except UnicodeDecodeError as e:
+        raise WireError("invalid utf-8") from e
 
 
 def decode_batch_request(buf: bytes) -> dict:

@@ -306,3 +306,16 @@ def q_display_label(spark, sf):
     from terrastate.functions.scalar import display_label
 
     return _dim(spark, sf).select("code", display_label(F.col("code"), F.col("name")).alias("label"))
+
+
+@register("click_request_ingest", "S2", with_(CLICKS_A) + """
+SELECT tile_id, country_id, arrival_ns AS timestamp_ns, CAST(click_id AS VARCHAR) AS click_id,
+       'clicks.tile.' || CAST(tile_id AS VARCHAR) AS subject FROM clicks_a""")
+def q_click_request_ingest(spark, sf):
+    """Binary click requests (as posted by clients) decoded and stamped (S2 + S4)."""
+    from terrastate.functions.wire import encode_request
+
+    c = d.clicks_a(spark, sf)
+    posted = c.select("click_id", "arrival_ns", encode_request(F.col("tile_id"), F.col("country_id")).alias("payload"))
+    requests, _ = src.split_payloads(posted, kind="request")
+    return src.stamp_clicks(requests, click_id="click_id", timestamp_ns="arrival_ns")

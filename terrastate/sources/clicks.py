@@ -41,53 +41,56 @@ def read_clicks(source: DataFrame | str, spark: SparkSession | None = None, stre
 
 # --- S2: binary payloads ---------------------------------------------------------------
 
-DECODED = T.StructType([
-    T.StructField("tile_id", T.LongType()),
-    T.StructField("country_id", T.StringType()),
-    T.StructField("timestamp_ns", T.LongType()),
-    T.StructField("click_id", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
+# Record kinds: decoder and typed output fields.
+RECORDS = {
+    "click": (wire.decode_click, [("tile_id", pa.int64(), T.LongType()), ("country_id", pa.string(), T.StringType()),
+                                  ("timestamp_ns", pa.int64(), T.LongType()), ("click_id", pa.string(), T.StringType())]),
+    "request": (wire.decode_request, [("tile_id", pa.int64(), T.LongType()), ("country_id", pa.string(), T.StringType())]),
+    "batch_request": (wire.decode_batch_request, [("start_tile_id", pa.int64(), T.LongType()),
+                                                  ("end_tile_id", pa.int64(), T.LongType())]),
+}
 
 
-def _decode_batches(payload_col: str, keep: list[str]):
-    out_fields = [*keep, "tile_id", "country_id", "timestamp_ns", "click_id", "error"]
+def _decode_batches(payload_col: str, keep: list[str], kind: str):
+    decode, fields = RECORDS[kind]
+    names = [f[0] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {name: [] for name in ("tile_id", "country_id", "timestamp_ns", "click_id", "error")}
+            cols = {name: [] for name in [*names, "error"]}
             for buf in batch.column(payload_col).to_pylist():
                 try:
                     if buf is None:
                         raise wire.WireError("null payload")
-                    rec = wire.decode_click(bytes(buf))
-                    for k in ("tile_id", "country_id", "timestamp_ns", "click_id"):
+                    rec = decode(bytes(buf))
+                    for k in names:
                         cols[k].append(rec[k])
                     cols["error"].append(None)
                 except wire.WireError as e:
-                    for k in ("tile_id", "country_id", "timestamp_ns", "click_id"):
+                    for k in names:
                         cols[k].append(None)
                     cols["error"].append(str(e))
             arrays = [batch.column(k) for k in keep]
-            arrays += [pa.array(cols["tile_id"], pa.int64()), pa.array(cols["country_id"], pa.string()),
-                       pa.array(cols["timestamp_ns"], pa.int64()), pa.array(cols["click_id"], pa.string()),
-                       pa.array(cols["error"], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=out_fields)
+            arrays += [pa.array(cols[name], arrow) for name, arrow, _ in fields]
+            arrays.append(pa.array(cols["error"], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names, "error"])
     return run
 
 
-def decode_payloads(df: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Every row decoded; ``error`` is null for valid records.  Runs per
-    Arrow batch inside the tasks; other columns pass through."""
+def decode_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "click") -> DataFrame:
+    """Every row decoded as ``kind`` (click, request, batch_request);
+    ``error`` is null for valid records.  Runs per Arrow batch inside the
+    tasks; other columns pass through."""
     keep = [c for c in df.columns if c != payload_col]
-    schema = T.StructType([df.schema[c] for c in keep] + list(DECODED.fields))
-    return df.mapInArrow(_decode_batches(payload_col, keep), schema)
+    out = [T.StructField(name, spark_type) for name, _, spark_type in RECORDS[kind][1]]
+    schema = T.StructType([df.schema[c] for c in keep] + out + [T.StructField("error", T.StringType())])
+    return df.mapInArrow(_decode_batches(payload_col, keep, kind), schema)
 
 
-def split_payloads(df: DataFrame, payload_col: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(valid clicks, rejects with reason).  Both sides read one decode
-    pass when the caller caches or writes it; no shuffle either way."""
-    decoded = decode_payloads(df, payload_col)
+def split_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "click") -> tuple[DataFrame, DataFrame]:
+    """(valid records, rejects with reason).  Both sides read one
+    decode pass when the caller caches or writes it; no shuffle either way."""
+    decoded = decode_payloads(df, payload_col, kind)
     valid = decoded.filter(F.col("error").isNull()).drop("error")
     rejects = decoded.filter(F.col("error").isNotNull()).select(
         *[c for c in df.columns if c != payload_col], F.col("error").alias("reason"))

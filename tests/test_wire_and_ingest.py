@@ -88,3 +88,15 @@ def test_page_payload_decodes(spark):
     n, pos = wire._read_varint(first, pos)
     assert wire.decode_fields(first[pos:pos + n]) == {2: b"fr", 3: 5}  # tile 0 omitted (proto3 default)
     assert wire.decode_fields(first[pos + n + 2:]) == {1: 3, 2: b"ru", 3: 1733000000000000000}
+
+
+def test_request_payloads(spark):
+    sample = bytearray([8, 213, 153, 6, 18, 2, 102, 114])
+    rng = bytearray([8, 145, 78, 16, 161, 156, 1])
+    df = spark.createDataFrame([(1, sample), (2, bytearray([18, 9, 1]))], "k bigint, payload binary")
+    valid, rejects = src.split_payloads(df, kind="request")
+    assert [(r.tile_id, r.country_id) for r in valid.collect()] == [(101589, "fr")]
+    assert [r.k for r in rejects.collect()] == [2]
+    b = spark.createDataFrame([(1, rng)], "k bigint, payload binary")
+    got = src.decode_payloads(b, kind="batch_request").first()
+    assert (got.start_tile_id, got.end_tile_id, got.error) == (10001, 20001, None)
