@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 DEFAULT_ORDER = ("arrival_ns", "click_id")
 DEFAULT_HOT_THRESHOLD = 1_000_000
@@ -78,7 +78,11 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     arrival time).
     """
     if hot is None:
-        hot = hot_tiles(clicks, hot_threshold, order_cols[0])
+        numeric = isinstance(clicks.schema[order_cols[0]].dataType, T.NumericType)
+        hot = hot_tiles(clicks, hot_threshold, order_cols[0]) if numeric else []
+        if not numeric and hot_tiles(clicks, hot_threshold, "tile_id"):
+            raise ValueError(f"hot tiles need a numeric arrival column first in order_cols, got {order_cols[0]!r}; "
+                             "pass hot=[] to run them unsplit")
     if not hot:
         key = _owner_key(clicks, order_cols)
         w = Window.partitionBy("tile_id").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
