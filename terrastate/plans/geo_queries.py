@@ -152,3 +152,9 @@ def q_unauthorized_changes(spark, sf):
 SELECT tile_id, country_id FROM cls WHERE applied AND previous_country IS NOT NULL AND previous_country <> country_id""")
 def q_mirror_changes(spark, sf):
     return rc.mirror_changes(ow.ownership_changes(ow.classify_clicks(d.clicks_a(spark, sf))))
+
+
+@register("tile_country_east", "G5", _TC + "SELECT * FROM tile_country")
+def q_tile_country_east(spark, sf):
+    """G5 with the plain east-ray edge layout (every edge east of a tile in its band)."""
+    return geo.tile_country(d.tiles(spark, sf), polygons(spark, sf), layout="east")

@@ -250,3 +250,10 @@ SELECT page_no, count(*) AS n_tiles, to_base64(unhex(string_agg(hex, '' ORDER BY
 def q_ownership_pages_payload(spark, sf):
     pages = ow.ownership_pages(ow.current_ownership(d.clicks_b(spark, sf)), page_size=FIXTURE_PAGE)
     return writers.page_payloads(pages)
+
+
+@register("classify_clicks_split", "O3", with_(CLICKS_A, classified("clicks_a", "cls")) + "SELECT * FROM cls")
+def q_classify_clicks_split(spark, sf):
+    """O3 through the hot-tile plan: every tile above 10 clicks is cut into
+    arrival buckets of about 8 clicks (carry-in per bucket)."""
+    return ow.classify_clicks(d.clicks_a(spark, sf), hot_threshold=10, bucket_rows=8)
