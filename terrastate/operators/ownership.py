@@ -54,12 +54,20 @@ def current_ownership(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORD
 
 def hot_tiles(clicks: DataFrame, hot_threshold: int, time_col: str = "arrival_ns") -> list[tuple[int, int, int, int]]:
     """Tiles with more than ``hot_threshold`` clicks, as (tile_id, clicks,
-    first arrival, last arrival).  A narrow aggregate (two columns, partial
-    counts map-side); the result has at most rows / threshold entries."""
-    hot = (clicks.groupBy("tile_id")
-           .agg(F.count(F.lit(1)).alias("n"), F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
-           .filter(F.col("n") > F.lit(hot_threshold)))
-    return [(r.tile_id, r.n, r.lo, r.hi) for r in hot.collect()]
+    first arrival, last arrival).  First a narrow count on ``tile_id`` alone
+    (partial counts map-side); only when it finds hot tiles, whose number is at
+    most rows / threshold, is their arrival span read, through a broadcast
+    semi join on that bounded set."""
+    counts = clicks.groupBy("tile_id").count().filter(F.col("count") > F.lit(hot_threshold))
+    hot = [(r.tile_id, r["count"]) for r in counts.collect()]
+    if not hot:
+        return []
+    spark = clicks.sparkSession
+    ids = spark.createDataFrame([(int(t),) for t, _ in hot], "tile_id bigint")
+    spans = (clicks.join(F.broadcast(ids), "tile_id", "left_semi").groupBy("tile_id")
+             .agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")))
+    span = {r.tile_id: (r.lo, r.hi) for r in spans.collect()}
+    return [(t, n, *span[t]) for t, n in hot]
 
 
 def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER,
