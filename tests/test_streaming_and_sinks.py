@@ -136,3 +136,14 @@ def test_writers_round_trip(spark):
 
     schema = T._parse_datatype_string("tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint")
     assert read_clicks(p_log, spark, schema=schema).count() == 1000
+
+
+def test_checkpoint_dir_and_cluster_conf(spark):
+    from terrastate.session import checkpoint_dir, cluster_conf
+
+    d1, d2 = checkpoint_dir(spark), checkpoint_dir(spark)
+    assert d1 == d2 and d1  # read from the session, stable
+    assert scratch_path(spark, "x").startswith(d1.rstrip("/")) and scratch_path(spark, "x") != scratch_path(spark, "x")
+    conf = cluster_conf(100 * 2**40)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
