@@ -107,6 +107,7 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     bucket = F.when(F.col("_hot"), F.floor((F.col(order_cols[0]) - F.col("_origin")) / F.col("_width"))) \
         .otherwise(F.lit(0))
     keyed = keyed.withColumn("_bucket", bucket.cast("bigint"))
+    keyed = _refine_bursts(keyed, order_cols[0], bucket_rows)
     key = _owner_key(keyed, order_cols)
 
     # Carry-in per (hot tile, bucket): best click of all earlier buckets.  The
@@ -126,6 +127,40 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     return _finish(out.drop("_hot", "_origin", "_width", "_bucket", "_key", "_carry"))
 
 
+SUB_BUCKETS = 1 << 16  # sub-buckets per refined bucket and level (key = key * SUB_BUCKETS + fine)
+REFINE_LEVELS = 2       # coarse keys < 2^20 stay below 2^52 after two levels
+
+
+def _refine_bursts(keyed: DataFrame, time_col: str, bucket_rows: int, factor: int = 4,
+                   levels: int = REFINE_LEVELS) -> DataFrame:
+    """Re-split buckets of hot tiles that hold more than ``factor * bucket_rows``
+    clicks (a burst above the tile's average rate), evenly over the arrival
+    span the bucket's rows actually cover, up to ``levels`` times.  Each level
+    counts the hot rows only, and runs only while over-full buckets remain;
+    those number at most hot rows / (factor * bucket_rows), a bounded
+    broadcast.  Every key of a tile is scaled alike, so the order stays the
+    arrival order."""
+    spark = keyed.sparkSession
+    for _ in range(levels):
+        counts = (keyed.filter(F.col("_hot")).groupBy("tile_id", "_bucket")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
+                  .filter(F.col("n") > F.lit(factor * bucket_rows)))
+        over = []
+        for r in counts.collect():
+            span = r.hi - r.lo + 1
+            if span > 1:  # clicks of one instant cannot be split by time
+                over.append((r.tile_id, r._bucket, r.lo, max(1, -(-span * bucket_rows // r.n), -(-span // SUB_BUCKETS))))
+        if not over:
+            break
+        subs = spark.createDataFrame(over, "tile_id bigint, _bucket bigint, _sub_lo bigint, _sub bigint")
+        fine = F.when(F.col("_sub").isNotNull(), F.floor((F.col(time_col) - F.col("_sub_lo")) / F.col("_sub"))) \
+            .otherwise(F.lit(0))
+        keyed = (keyed.join(F.broadcast(subs), ["tile_id", "_bucket"], "left")
+                 .withColumn("_bucket", (F.col("_bucket") * F.lit(SUB_BUCKETS) + fine).cast("bigint"))
+                 .drop("_sub_lo", "_sub"))
+    return keyed
+
+
 def _finish(out: DataFrame) -> DataFrame:
     seen = -F.col("_prev.neg_ts")
     return (out

@@ -160,3 +160,33 @@ def test_classify_fixture_counts(spark):
     assert cls.filter(F.col("previous_country").isNull()).count() == 15
     assert ow.ownership_changes(cls).count() == 350
     assert ow.ownership_changes(cls, parity=True).count() == 809
+
+
+def test_classify_hot_tile_with_burst(spark):
+    """A hot tile with a burst far above its average rate: the burst's bucket is
+    re-split, and the result still equals the sequential fold."""
+    rnd = random.Random(9)
+    rows = [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, i, rnd.randint(0, 1_000_000)) for i in range(600)]
+    rows += [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, 1000 + i, 500_000 + rnd.randint(0, 9_000))
+             for i in range(600)]
+    rows += [(2, "z", i, 5000 + i, i * 7) for i in range(50)]
+    df = clicks_df(spark, rows)
+    keyed_hot = ow.hot_tiles(df, 10)
+    assert {t for t, *_ in keyed_hot} == {1, 2}
+    _check_against_fold(spark, rows, hot_threshold=10, bucket_rows=20)
+
+
+def test_burst_buckets_are_bounded(spark):
+    rnd = random.Random(9)
+    rows = [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, i, rnd.randint(0, 1_000_000)) for i in range(600)]
+    rows += [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, 1000 + i, 500_000 + rnd.randint(0, 9_000))
+             for i in range(600)]
+    df = clicks_df(spark, rows)
+    t, n, lo, hi = ow.hot_tiles(df, 10)[0]
+    width = -(-(hi - lo + 1) * 20 // n)
+    hot = spark.createDataFrame([(t, lo, width)], "tile_id bigint, _origin bigint, _width bigint").withColumn("_hot", F.lit(True))
+    keyed = df.join(hot, "tile_id").withColumn(
+        "_bucket", F.floor((F.col("arrival_ns") - F.col("_origin")) / F.col("_width")).cast("bigint"))
+    biggest = lambda k: k.groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert biggest(keyed) > 400  # the burst lands in one coarse bucket
+    assert biggest(ow._refine_bursts(keyed, "arrival_ns", 20)) <= 80
