@@ -17,9 +17,10 @@ Scale notes
   clicks (found by a narrow tile-id count; at most rows / threshold of them, so
   the set is broadcast with a proven bound) are cut into arrival buckets sized
   from the tile's own count and arrival span (about ``bucket_rows`` clicks
-  each at an even rate); a small summary per (tile, bucket) gives the carry-in
-  of every bucket and the row window runs per (tile, bucket).  Other tiles keep one
-  bucket.  Without hot tiles the plan is a single window on ``tile_id``.
+  each at an even rate; buckets a burst overfills are re-split over their own
+  span); a small summary per (tile, bucket) gives the carry-in of every bucket
+  and the row window runs per (tile, bucket).  Other tiles keep one bucket.
+  Without hot tiles the plan is a single window on ``tile_id``.
 """
 
 from __future__ import annotations
