@@ -190,3 +190,19 @@ def test_burst_buckets_are_bounded(spark):
     biggest = lambda k: k.groupBy("_bucket").count().agg(F.max("count")).first()[0]
     assert biggest(keyed) > 400  # the burst lands in one coarse bucket
     assert biggest(ow._refine_bursts(keyed, "arrival_ns", 20)) <= 80
+
+
+def test_property_classify_equals_fold(spark):
+    """Property: on any small log (ties, shuffled arrivals), both plans equal the fold."""
+    from hypothesis import HealthCheck, given, settings, strategies as st
+
+    click = st.tuples(st.integers(0, 3), st.sampled_from("abc"), st.integers(0, 6), st.integers(0, 50))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(click, min_size=1, max_size=40))
+    def check(raw):
+        rows = [(t, c, ts, i, arr) for i, (t, c, ts, arr) in enumerate(raw)]
+        _check_against_fold(spark, rows)
+        _check_against_fold(spark, rows, hot_threshold=2, bucket_rows=2)
+
+    check()
