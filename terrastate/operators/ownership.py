@@ -108,7 +108,10 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     bucket = F.when(F.col("_hot"), F.floor((F.col(order_cols[0]) - F.col("_origin")) / F.col("_width"))) \
         .otherwise(F.lit(0))
     keyed = keyed.withColumn("_bucket", bucket.cast("bigint"))
-    keyed = _refine_bursts(keyed, order_cols[0], bucket_rows)
+    # Each refinement level multiplies keys by SUB_BUCKETS: allow only as many as fit in 62 bits.
+    top = max((hi - lo) // width(n, lo, hi) for _, n, lo, hi in hot) + 1
+    levels = min(REFINE_LEVELS, max(0, (62 - top.bit_length()) // SUB_BUCKETS.bit_length()))
+    keyed = _refine_bursts(keyed, order_cols[0], bucket_rows, levels=levels)
     key = _owner_key(keyed, order_cols)
 
     # Carry-in per (hot tile, bucket): best click of all earlier buckets.  The
@@ -129,7 +132,7 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
 
 
 SUB_BUCKETS = 1 << 16  # sub-buckets per refined bucket and level (key = key * SUB_BUCKETS + fine)
-REFINE_LEVELS = 2       # coarse keys < 2^20 stay below 2^52 after two levels
+REFINE_LEVELS = 2       # at most; fewer when the coarse keys are already large
 
 
 def _refine_bursts(keyed: DataFrame, time_col: str, bucket_rows: int, factor: int = 4,
