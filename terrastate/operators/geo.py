@@ -193,32 +193,28 @@ def column_edges(polygons: DataFrame, band_deg: float = DEFAULT_BAND_DEG, cell_d
     row-local: no window, no aggregate, no shuffle.
     """
     e = _ordered_edges(polygons, cell_deg)
-    keep = ["feature_id", "ring_id"]
-    no_cells = F.array().cast("array<bigint>")
+    # One SQL expression (parsed once in the JVM) instead of many small Column calls.
+    w, b, m2 = repr(float(cell_deg)), repr(float(band_deg)), repr(2 * EAST_MARGIN)
 
-    def cells(lo, hi, cond=F.lit(True)):
-        return F.when(cond & (lo <= hi), F.sequence(lo, hi)).otherwise(no_cells)
-
-    top = F.least(F.col("east_max"), F.col("col_hi"))
-    hi = F.least(_cell(F.greatest("xi", "xj") + F.lit(2 * EAST_MARGIN), cell_deg), F.col("col_hi"))
-    local_cells = cells(F.greatest(F.col("east_max") + 1, F.col("col_lo")), hi, F.col("yi") != F.col("yj"))
-    start_cells = cells(F.greatest(F.col("east_max_prev") + 1, F.col("col_lo")), top)  # run starts at vertex k-1
-    end_cells = cells(F.greatest(F.col("east_max_next") + 1, F.col("col_lo")), top)    # run ends at vertex k
+    def cells(lo, hi, cond="true"):
+        return f"CASE WHEN {cond} AND {lo} <= {hi} THEN sequence({lo}, {hi}) ELSE CAST(array() AS array<bigint>) END"
 
     def rows(cs, xi, yi, xj, yj, marker):
-        return F.transform(cs, lambda c: F.struct(c.alias("cell"), xi.alias("xi"), yi.alias("yi"), xj.alias("xj"),
-                                                  yj.alias("yj"), F.lit(marker).alias("marker")))
-
-    none = F.lit(None).cast("double")
-    # One pass: local edges, run-start markers and run-end markers of every edge.
-    out = e.select(*keep, F.explode(F.concat(
-        rows(local_cells, F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj"), False),
-        rows(start_cells, none, F.col("yj"), none, F.col("ring_min_y"), True),
-        rows(end_cells, none, F.col("yi"), none, F.col("ring_min_y"), True),
-    )).alias("r")).select(*keep, "r.*")
+        return (f"transform({cs}, c -> named_struct('cell', c, 'xi', {xi}, 'yi', {yi}, 'xj', {xj}, 'yj', {yj}, "
+                f"'marker', {marker}))")
+
+    hi = f"least(CAST(floor((greatest(xi, xj) + {m2}) / {w}) AS BIGINT), col_hi)"
+    top = "least(east_max, col_hi)"
+    none = "CAST(NULL AS DOUBLE)"
+    local = rows(cells("greatest(east_max + 1, col_lo)", hi, "yi <> yj"), "xi", "yi", "xj", "yj", "false")
+    starts = rows(cells("greatest(east_max_prev + 1, col_lo)", top), none, "yj", none, "ring_min_y", "true")  # at vertex k-1
+    ends = rows(cells("greatest(east_max_next + 1, col_lo)", top), none, "yi", none, "ring_min_y", "true")    # at vertex k
+    out = (e.selectExpr("feature_id", "ring_id", f"explode(concat({local}, {starts}, {ends})) AS r")
+           .select("feature_id", "ring_id", "r.*"))
     # Local edges cover the bands they span; markers every band from the ring's bottom up to the marker.
-    bands = F.sequence(_band(F.least("yi", "yj"), band_deg), _band(F.greatest("yi", "yj"), band_deg))
-    return out.withColumn("band", F.explode(bands))
+    band = (f"explode(sequence(CAST(floor(least(yi, yj) / {b}) AS BIGINT), "
+            f"CAST(floor(greatest(yi, yj) / {b}) AS BIGINT))) AS band")
+    return out.selectExpr("*", band)
 
 
 def tile_country(tiles: DataFrame, polygons: DataFrame, band_deg: float = DEFAULT_BAND_DEG,
