@@ -64,23 +64,21 @@ def ring_vertices(polygons: DataFrame) -> DataFrame:
     rotated copies zipped with the ring, so an exploded row never carries the
     whole ring: linear in the ring size, also for coastlines of 10^5 vertices.
     """
-    n = F.size("ring")
-    rotated = polygons.select(
+    rotated = polygons.selectExpr(
         "feature_id", "country_code", "ring_id", "ring",
-        F.concat(F.slice("ring", -1, 1), F.slice("ring", F.lit(1), n - 1)).alias("prev"),
-        F.concat(F.slice("ring", -2, 2), F.slice("ring", F.lit(1), n - 2)).alias("prev2"),
-        F.concat(F.slice("ring", F.lit(2), n - 1), F.slice("ring", 1, 1)).alias("next"),
-        F.array_min(F.transform("ring", lambda p: p["x"])).alias("ring_min_x"),
-        F.array_max(F.transform("ring", lambda p: p["x"])).alias("ring_max_x"),
-        F.array_min(F.transform("ring", lambda p: p["y"])).alias("ring_min_y"),
+        "concat(slice(ring, -1, 1), slice(ring, 1, size(ring) - 1)) AS prev",
+        "concat(slice(ring, -2, 2), slice(ring, 1, size(ring) - 2)) AS prev2",
+        "concat(slice(ring, 2, size(ring) - 1), slice(ring, 1, 1)) AS next",
+        "array_min(transform(ring, p -> p.x)) AS ring_min_x",
+        "array_max(transform(ring, p -> p.x)) AS ring_max_x",
+        "array_min(transform(ring, p -> p.y)) AS ring_min_y",
     )
-    return rotated.select(
+    return rotated.selectExpr(
         "feature_id", "country_code", "ring_id", "ring_min_x", "ring_max_x", "ring_min_y",
-        F.posexplode(F.arrays_zip("ring", "prev", "prev2", "next")).alias("k", "v"),
-    ).select(
+        "posexplode(arrays_zip(ring, prev, prev2, next)) AS (k, v)",
+    ).selectExpr(
         "feature_id", "country_code", "ring_id", "ring_min_x", "ring_max_x", "ring_min_y", "k",
-        F.col("v.ring").alias("pi"), F.col("v.prev").alias("pj"), F.col("v.prev2").alias("pjj"),
-        F.col("v.next").alias("pii"),
+        "v.ring AS pi", "v.prev AS pj", "v.prev2 AS pjj", "v.next AS pii",
     )
 
 
@@ -163,18 +161,18 @@ def _ordered_edges(polygons: DataFrame, cell_deg: float) -> DataFrame:
     west of the edge (so every point of that column sees the edge on its east
     side): ``ceil((min(xi, xj) - margin) / w) - 2``.
     """
+    w, m = repr(float(cell_deg)), repr(EAST_MARGIN)
+
     def east_max(xa, xb):
-        return (F.ceil((F.least(xa, xb) - F.lit(EAST_MARGIN)) / F.lit(cell_deg)) - 2).cast("bigint")
-
-    return ring_vertices(polygons).select(
-        "feature_id", "ring_id",
-        F.col("pi.x").alias("xi"), F.col("pi.y").alias("yi"),
-        F.col("pj.x").alias("xj"), F.col("pj.y").alias("yj"),
-        east_max(F.col("pi.x"), F.col("pj.x")).alias("east_max"),
-        east_max(F.col("pj.x"), F.col("pjj.x")).alias("east_max_prev"),
-        east_max(F.col("pii.x"), F.col("pi.x")).alias("east_max_next"),
-        _cell(F.col("ring_min_x"), cell_deg).alias("col_lo"),
-        _cell(F.col("ring_max_x"), cell_deg).alias("col_hi"),
+        return f"CAST(ceil((least({xa}, {xb}) - {m}) / {w}) - 2 AS BIGINT)"
+
+    return ring_vertices(polygons).selectExpr(
+        "feature_id", "ring_id", "pi.x AS xi", "pi.y AS yi", "pj.x AS xj", "pj.y AS yj",
+        east_max("pi.x", "pj.x") + " AS east_max",
+        east_max("pj.x", "pjj.x") + " AS east_max_prev",
+        east_max("pii.x", "pi.x") + " AS east_max_next",
+        f"CAST(floor(ring_min_x / {w}) AS BIGINT) AS col_lo",
+        f"CAST(floor(ring_max_x / {w}) AS BIGINT) AS col_hi",
         "ring_min_y",
     )
 
