@@ -147,3 +147,33 @@ def test_checkpoint_dir_and_cluster_conf(spark):
     conf = cluster_conf(100 * 2**40)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_processing_time_runners(spark):
+    from terrastate.plans.stream_queries import CLICK_A_SCHEMA, write_log_slices
+    from terrastate.streaming import ownership as so
+    from terrastate.streaming import runners
+
+    log = write_log_slices(spark, SF_SMALL, slices=2, name="pt-log")
+    stream = spark.readStream.schema(CLICK_A_SCHEMA).option("maxFilesPerTrigger", 1).parquet(log)
+
+    delivered = scratch_path(spark, "pt-delivered")
+    q = runners.batched_delivery(so.changes_stream(stream),
+                                 lambda b, i: b.write.mode("overwrite").parquet(f"{delivered}/batch={i}"),
+                                 interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(delivered).count() == 350  # every change of clicks_a, delivered once
+
+    runs = scratch_path(spark, "pt-audit")
+    q = runners.periodic_audit(stream, lambda: ow.current_ownership(d.clicks_a(spark, SF_SMALL)), runs,
+                               interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    audited = spark.read.parquet(runs)
+    assert audited.select("run").distinct().count() >= 1
+    assert audited.filter(F.col("run") == audited.agg(F.max("run")).first()[0]).count() == 15
