@@ -139,3 +139,13 @@ def test_read_features_lines_and_collection(spark, tmp_path):
     b = gsrc.country_polygons(gsrc.read_features(spark, str(coll), collection=True))
     key = lambda df: sorted((r.feature_id, r.country_code, r.name, len(r.ring)) for r in df.collect())
     assert key(a) == key(b) == [(i, f"C{i}", f"Country {i}", 5) for i in range(3)]
+
+
+def test_read_coordinates_file(spark, tmp_path):
+    rows = [{"first_tile": 0, "positions": [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], "uvs": [0.5, 0.5, 0.25, 1.0]},
+            {"first_tile": 2, "positions": [0.0, 0.0, 1.0], "uvs": [0.75, 0.5]}]
+    f = tmp_path / "coords.jsonl"
+    f.write_text("\n".join(json.dumps(r) for r in rows))
+    t = gsrc.tiles_from_coordinates(gsrc.read_coordinates(spark, str(f))).orderBy("tile_id").collect()
+    assert [(r.tile_id, r.x, r.y, r.z, r.u, r.v) for r in t] == [
+        (0, 1.0, 0.0, 0.0, 0.5, 0.5), (1, 0.0, 1.0, 0.0, 0.25, 1.0), (2, 0.0, 0.0, 1.0, 0.75, 0.5)]
