@@ -41,3 +41,13 @@ def decorate(countries: DataFrame) -> DataFrame:
 def search(countries: DataFrame, query: str) -> DataFrame:
     """countries whose name contains ``query``, case-insensitively."""
     return countries.filter(fx.name_matches(F.col("name"), query))
+
+
+def codes(countries: DataFrame) -> DataFrame:
+    """D1 key list: the distinct country codes."""
+    return countries.select("code").distinct()
+
+
+def size(countries: DataFrame) -> DataFrame:
+    """D1 length: one row with the number of distinct codes."""
+    return countries.agg(F.countDistinct("code").alias("countries"))

@@ -270,3 +270,14 @@ def tiles_of_country(tc: DataFrame, code: str) -> DataFrame:
 
 def country_of_tile(tc: DataFrame, tile_id: int) -> DataFrame:
     return tc.filter(F.col("tile_id") == F.lit(tile_id))
+
+
+def country_codes(tc: DataFrame) -> DataFrame:
+    """Codes of the countries that hold tiles."""
+    return tc.filter(F.col("country_code").isNotNull()).select("country_code").distinct()
+
+
+def tile_totals(tc: DataFrame) -> DataFrame:
+    """One row with total, assigned and unassigned tile counts."""
+    return tc.agg(F.count(F.lit(1)).alias("total"), F.count("country_code").alias("assigned"),
+                  (F.count(F.lit(1)) - F.count("country_code")).alias("unassigned"))

@@ -51,3 +51,14 @@ def test_tile_lookups(spark):
     assert [r.tile_id for r in geo.unassigned_tiles(tc).collect()] == [2]
     chunks = geo.country_tiles(tc, chunk=2).collect()
     assert sorted((r.chunk_no, r.tiles) for r in chunks) == [(0, [1]), (1, [3])]
+
+
+def test_code_lists_and_totals(spark):
+    from terrastate.operators import dims
+
+    countries = spark.createDataFrame([("fr", "France"), ("ru", "Russia"), ("fr", "France")], "code string, name string")
+    assert sorted(r.code for r in dims.codes(countries).collect()) == ["fr", "ru"]
+    assert dims.size(countries).first().countries == 2
+    tc = spark.createDataFrame([(1, "fr"), (2, None), (3, "fr"), (4, "ru")], "tile_id bigint, country_code string")
+    assert sorted(r.country_code for r in geo.country_codes(tc).collect()) == ["fr", "ru"]
+    assert tuple(geo.tile_totals(tc).first()) == (4, 3, 1)
