@@ -158,3 +158,10 @@ def q_mirror_changes(spark, sf):
 def q_tile_country_east(spark, sf):
     """G5 with the plain east-ray edge layout (every edge east of a tile in its band)."""
     return geo.tile_country(d.tiles(spark, sf), polygons(spark, sf), layout="east")
+
+
+@register("tile_totals", "G7", _TC + """
+SELECT count(*) AS total, count(country_code) AS assigned, count(*) - count(country_code) AS unassigned
+FROM tile_country""")
+def q_tile_totals(spark, sf):
+    return geo.tile_totals(tile_country(spark, sf))
