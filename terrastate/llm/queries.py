@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastate.llm import packing, quality, simhash, token_counts
+from terrastate.llm import lm, packing, quality, simhash, token_counts
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(spark, documents(spark, sf_dir))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(spark, documents(spark, sf_dir), shingle=3, radius=3)
