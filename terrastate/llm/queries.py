@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrastate.llm import lm, packing, quality, simhash, token_counts
+from terrastate.llm import licenses, lm, packing, quality, simhash, token_counts
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,14 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(spark, documents(spark, sf_dir))
 
 
+@query
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_scan(spark, documents(spark, sf_dir)))
+
+
+ORACLES["op8_license_scans"] = licenses.oracle_sql()
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(spark, documents(spark, sf_dir), shingle=3, radius=3)
