@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrastate.llm import licenses, lm, packing, quality, simhash, token_counts
+from terrastate.llm import licenses, lm, order_minhash, packing, quality, simhash, token_counts
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,11 @@ ORACLES["op8_license_scans"] = licenses.oracle_sql()
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(spark, documents(spark, sf_dir), shingle=3, radius=3)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.edited_fingerprints(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        order_minhash.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+                        order_minhash.likeness("fingerprint", "next_fingerprint").alias("near_next"))
