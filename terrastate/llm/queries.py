@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastate.llm import licenses, lm, order_minhash, packing, quality, simhash, token_counts
+from terrastate.llm import decontaminate, licenses, lm, order_minhash, packing, quality, simhash, token_counts
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+@query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(spark, documents(spark, sf_dir))
