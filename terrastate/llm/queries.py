@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastate.llm import decontaminate, licenses, lm, order_minhash, packing, quality, simhash, suffix_dedup, token_counts
+from terrastate.llm import decontaminate, licenses, lm, order_minhash, packing, phrase_dedup, quality, simhash, suffix_dedup, token_counts
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,14 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(spark, documents(spark, sf_dir))
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.dedup_digest(spark, documents(spark, sf_dir))
+
+
+ORACLES["op6_substring_dedup"] = phrase_dedup.ORACLE_SQL
+
+
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(spark, documents(spark, sf_dir))
