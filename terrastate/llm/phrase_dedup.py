@@ -89,12 +89,12 @@ def judge(shard: R.Shard) -> np.ndarray:
     return bits
 
 
-def _digest(ids: list, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
+def _digest(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
     total = np.concatenate([[0], np.cumsum(flagged)])
     begin, end = u.places
     bounds = u.starts.tolist()
     rows = []
-    for doc_id, a, b in zip(ids, bounds, bounds[1:]):
+    for doc_id, a, b in zip(row["ids"], bounds, bounds[1:]):
         n = int(total[b] - total[a])
         if not n:
             kept = u.data[begin[a]:end[b - 1]] if b > a else b""  # words stand one space apart in the chunk

@@ -62,31 +62,44 @@ def unpack(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     return out
 
 
-def chunk_documents(spark: SparkSession, docs: DataFrame, single_spaces: bool, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunk_documents(spark: SparkSession, docs: DataFrame, single_spaces: bool, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of whole documents as UTF-8, compressed; a long document is a chunk
-    of its own.  ``single_spaces``: only the words of a text, joined by one space."""
+    of its own.  ``single_spaces``: only the words of a text, joined by one
+    space.  ``carry``: columns whose values go along, as carry0, carry1, ..."""
+    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    schema = ", ".join([CHUNKS, *[f"carry{k} array<{t}>" for k, t in enumerate(kinds)]])
+    rows = text_rows(docs) if not carry else docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *[F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
+        carried: list[list] = [[] for _ in carry]
 
-        def out() -> pa.RecordBatch:
+        def out(types: list) -> pa.RecordBatch:
             z = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pa.record_batch([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([z], pa.binary())],
-                                   ["chunk", "ids", "lengths", "z"])
+            arrays = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([z], pa.binary())]
+            return pa.record_batch(arrays + [pa.array([v], pa.list_(t)) for v, t in zip(carried, types)],
+                                   ["chunk", "ids", "lengths", "z", *[f"carry{k}" for k in range(len(carry))]])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            types = [b.schema.field(2 + k).type for k in range(len(carry))]
+            for doc_id, text, *values in zip(*[c.to_pylist() for c in b.columns]):
                 ids.append(doc_id)
                 data = text.encode("utf-8", "surrogatepass")
                 texts.append(b" ".join(data.split()) if single_spaces else data)
+                for held, value in zip(carried, values):
+                    held.append(value)
                 size += len(texts[-1])
                 if size >= chunk_bytes:
-                    yield out()
+                    yield out(types)
                     number, ids, texts, size = number + 1, [], [], 0
+                    carried = [[] for _ in carry]
         if ids:
-            yield out()
+            yield out(types)
 
-    return materialize(spark, text_rows(docs).mapInArrow(run, CHUNKS), "chunks")
+    return materialize(spark, rows.mapInArrow(run, schema), "chunks")
 
 
 @dataclass
@@ -369,20 +382,21 @@ def by_chunk(rows: DataFrame, value: str) -> DataFrame:
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, units: UnitsOf, judge: Judge, window: int, gram: int, positional: bool, finish, schema: str,
-                   chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = 16 << 20) -> DataFrame:
-    """``finish(units, flagged)`` rows for each chunk of ``docs``: a record batch of ``schema``."""
-    chunks = chunk_documents(spark, docs, single_spaces=units is word_units, chunk_bytes=chunk_bytes)
+                   chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``finish(row, units, flagged)`` for each chunk of ``docs``: a record batch of ``schema``."""
+    chunks = chunk_documents(spark, docs, single_spaces=units is word_units, chunk_bytes=chunk_bytes, carry=carry)
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     shards = partitions_for(spark, total, shard_bytes)
-    marks = materialize(spark, repeated_anchors(chunks, units, window, gram, shards), "marks")
-    marked = chunks.join(by_chunk(marks, "marks"), "chunk", "left")
-    flags = materialize(spark, judged(send_contexts(marked, units, window, gram, shards, positional), judge), "flags")
-    ready = marked.join(by_chunk(flags, "flags"), "chunk", "left")
+    texts = chunks.select("chunk", "ids", "lengths", "z")
+    marks = materialize(spark, repeated_anchors(texts, units, window, gram, shards), "marks")
+    per_chunk = by_chunk(marks, "marks")
+    flags = materialize(spark, judged(send_contexts(texts.join(per_chunk, "chunk", "left"), units, window, gram, shards, positional), judge), "flags")
+    ready = chunks.join(per_chunk.join(by_chunk(flags, "flags"), "chunk", "full"), "chunk", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 u = units(r["ids"], r["lengths"], r["z"])
-                yield finish(r["ids"], u, flagged_units(u, r, window, gram, shards, positional))
+                yield finish(r, u, flagged_units(u, r, window, gram, shards, positional))
 
     return ready.mapInArrow(run, schema)

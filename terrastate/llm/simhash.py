@@ -24,7 +24,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrastate.llm.common import materialize, text_rows
@@ -58,13 +58,14 @@ def simhash(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of each row."""
+    """doc_id, row_key (a hash of id and text), fp (the fingerprint's bits as a signed long) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row_key"), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = text_rows(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def spanning_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -138,15 +139,27 @@ def fingerprint_links(spark: SparkSession, distinct: DataFrame, radius: int = 3,
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links of at most ``radius`` bits) of each row."""
+    """doc_id, row_key, fp, root (the component's least fingerprint), component_id
+    (smallest doc_id reachable by links of at most ``radius`` bits) of each row."""
     fps = materialize(spark, fingerprints(docs, shingle), "simhash")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(spark, fingerprint_links(spark, fps.select("fp").distinct(), radius))
     named = (least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: the one of smallest doc_id, of repeated rows any."""
+    found = simhash_components(spark, docs, shingle, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f"))
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = keyed.join(first.select(F.col("f.row_key").alias("_row_key")), "_row_key", "left_semi")
+    # rows of equal id and text are copies of one row: partitioned and sorted by the join already
+    number = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
+    return kept.withColumn("_n", number).filter("_n = 1").select(*docs.columns)
 
 
 def hex_fingerprint(fp):

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrastate.llm import repeats as R
 
@@ -147,17 +149,11 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(list(map(list, zip(*rows))) or [[]] * len(kinds), kinds)], names)
 
 
-def _digest(ids: list, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
-    rows = [(d, n, r, s, hashlib.sha256(kept).hexdigest()) for d, n, r, s, kept in _documents(ids, u, flagged)]
+def _digest(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
+    rows = [(d, n, r, s, hashlib.sha256(kept).hexdigest()) for d, n, r, s, kept in _documents(row["ids"], u, flagged)]
     return _batch(rows, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()])
 
 
-def _texts(ids: list, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
-    """Kept texts; a character cut in two by a removal is dropped as a whole."""
-    rows = [(d, r, kept.decode("utf-8", "ignore")) for d, _, r, _, kept in _documents(ids, u, flagged)]
-    return _batch(rows, ["doc_id", "n_removed", "kept"], [pa.int64(), pa.int64(), pa.string()])
-
-
 def dedup_digest(spark: SparkSession, docs: DataFrame, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     return R.repeated_units(spark, docs, R.byte_units, judge, WINDOW, GRAM, False, _digest,
@@ -165,5 +161,17 @@ def dedup_digest(spark: SparkSession, docs: DataFrame, **sizes) -> DataFrame:
 
 
 def dedup_texts(spark: SparkSession, docs: DataFrame, **sizes) -> DataFrame:
-    """doc_id, n_removed, kept (the text without its repeats) of each document."""
-    return R.repeated_units(spark, docs, R.byte_units, judge, WINDOW, GRAM, False, _texts, "doc_id long, n_removed long, kept string", **sizes)
+    """The rows of ``docs``, with all their columns, their texts without the
+    repeats.  A character cut in two by a removal goes as a whole; a column
+    n_chars is the new length."""
+    names = docs.columns
+    carry = tuple(c for c in names if c not in ("text", "n_chars"))
+
+    def finish(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
+        kept = [data.decode("utf-8", "ignore") for *_, data in _documents(row["ids"], u, flagged)]
+        made = {"text": kept, "n_chars": list(map(len, kept))} | {c: row[f"carry{k}"] for k, c in enumerate(carry)}
+        return pa.record_batch([pa.array(made[c], t) for c, t in zip(names, types)], names)
+
+    schema = T.StructType([T.StructField("n_chars", T.LongType()) if f.name == "n_chars" else f for f in docs.schema.fields])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    return R.repeated_units(spark, docs, R.byte_units, judge, WINDOW, GRAM, False, finish, schema, carry=carry, **sizes)

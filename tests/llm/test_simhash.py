@@ -84,3 +84,13 @@ def test_empty_table_and_null_ids(spark):
     assert run(spark, []) == []
     assert [r[2] for r in S.simhash_components(spark, make_docs(spark, [(None, "a b c d"), (4, "a b c d")])).select(
         "doc_id", "fp", "component_id").collect()] == [4, 4]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = corpus()
+    docs = make_docs(spark, rows)
+    kept = S.keep_one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 3)})
+    assert S.keep_one_of_each(spark, make_docs(spark, [(None, "a b c"), (None, "a b c"), (None, "q r s t")])).count() == 2
+    assert S.keep_one_of_each(spark, make_docs(spark, [])).count() == 0

@@ -58,8 +58,11 @@ def test_matches_brute_force(spark, seed, sizes):
 def test_empty_table_and_kept_texts(spark):
     assert S.dedup_digest(spark, make_docs(spark, [])).collect() == []
     p = "a passage that is longer than fifty bytes, surely; it repeats"
-    got = {r.doc_id: (r.n_removed, r.kept) for r in S.dedup_texts(spark, make_docs(spark, [(1, "x " + p), (2, p + " y")])).collect()}
-    assert got == {1: (0, "x " + p), 2: (len(p), " y")}
+    docs = make_docs(spark, [(1, "x " + p), (2, p + " y"), (2, p + " y"), (None, None)])
+    out = S.dedup_texts(spark, docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text, r.n_chars, r.lang, r.score) for r in out.collect()), key=str)
+    assert got == sorted([(1, "x " + p, len(p) + 2, "en", "z"), (2, " y", 2, "en", "z"), (2, " y", 2, "en", "z"), (None, "", 0, "en", "z")], key=str)
 
 
 def test_maximal_repeats_have_all_their_occurrences():
