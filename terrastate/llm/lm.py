@@ -75,6 +75,23 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(local, "w string, k long").groupBy("w").agg(F.sum("k").alias("c"))
 
 
+def frequent_words(counts: DataFrame, top: int) -> list[tuple[str, int]]:
+    """Words with their counts, the most frequent first: the end, and at most ``top``, namely
+    all whose count lies above a bound found from a histogram by powers (a
+    sorted limit would send ``top`` rows of every partition to the driver)."""
+    power = F.floor(F.log2(F.col("c")) * 8).cast("int")
+    size, least = 0, None
+    for r in sorted(counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 8 x 63 rows at most
+        size += r.n
+        if size > top:
+            break
+        least = r.power
+    chosen = F.col("w") == END
+    if least is not None:
+        chosen |= power >= least
+    return sorted(((r.w, r.c) for r in counts.filter(chosen).collect()), key=lambda r: (-r[1], r[0]))
+
+
 class LogBilinear:
     """Class language model: s(c | a, b) = (r_a A + r_b B) . q_c + bias_c."""
 
@@ -142,7 +159,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, top: int = 60_000, dim: int
     rows = text_rows(docs).withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
     counts = materialize(spark, word_counts(rows.filter(~F.col("held_out"))), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = [(r.w, r.c) for r in counts.orderBy(F.desc("c"), "w").limit(top).collect()]  # at most ``top`` rows
+    frequent = frequent_words(counts, top)
     own = [END] + [w for w, _ in frequent if w != END][:OWN - 1]
     own_class = {w: k for k, w in enumerate(own)}
     norm = total + 0.1 * (distinct + 1)
