@@ -14,6 +14,7 @@ own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ _ENCODERS: dict = {}
 #: How the byte-level BPE splits a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+MARKS = frozenset(".,;:!?")
 #: White space other than the space and the line feed.
 RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -64,15 +66,32 @@ class IdEncoder:
         self.spaced: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
 
-    def _keep(self, cache: dict, key: str, ids: bytes) -> bytes:
-        if len(cache) >= self.cache_size:
-            cache.clear()
-        cache[key] = ids
-        return ids
+    def _bpe(self, pretoken: str) -> bytes:
+        mapped = pretoken.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _pretoken(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.alphabet)
-        return self._keep(self.pretokens, word, np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes())
+        if len(self.pretokens) >= self.cache_size:
+            self.pretokens.clear()
+        ids = self.pretokens[word] = self._bpe(word)
+        return ids
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a word after a space, into the cache.  Letters alone are one
+        pre-token with their space, and a mark after them is another."""
+        if word.isalpha():
+            ids = self._bpe(" " + word)
+        elif word[-1:] in MARKS and word[:-1].isalpha():
+            head, mark = word[:-1], word[-1]
+            ids = self.spaced.get(head) or self._spaced(head)
+            ids += self.pretokens.get(mark) or self._pretoken(mark)
+        else:
+            ids = self.by_pattern(" " + word)
+        if len(self.spaced) >= self.cache_size:
+            self.spaced.clear()
+        self.spaced[word] = ids
+        return ids
 
     def by_pattern(self, text: str) -> bytes:
         get, new = self.pretokens.get, self._pretoken
@@ -92,7 +111,8 @@ class IdEncoder:
         first, *words = text.split(" ")
         found = list(map(self.spaced.get, words))
         if None in found:
-            found = [self._keep(self.spaced, w, self.by_pattern(" " + w)) if f is None else f for w, f in zip(words, found)]
+            new = self._spaced
+            found = [new(w) if f is None else f for w, f in zip(words, found)]
         return self.by_pattern(first) + b"".join(found)
 
 
