@@ -81,12 +81,9 @@ def judge(shard: R.Shard) -> np.ndarray:
         if len(letters) > MOST_LETTERS:
             raise ValueError("a shard has more different words than letters; use smaller shards")
     first_id, first_start = first_places(spelled, counts, ids, starts, recurring(spelled, copies, counts, WINDOW), WINDOW)
-    bits = np.zeros(len(text), np.uint64)
-    for k in range(first_id.shape[1]):
-        a, b = first_id[text, k], first_start[text, k]
-        earlier = (a < shard.ids) | ((a == shard.ids) & (b < shard.starts + k))
-        bits |= (earlier & (shard.counts > k)).astype(np.uint64) << np.uint64(k)
-    return bits
+    a, b, k = first_id[text], first_start[text], np.arange(first_id.shape[1])
+    own, start = shard.ids[:, None], shard.starts[:, None] + k
+    return R.window_bits(((a < own) | ((a == own) & (b < start))) & (shard.counts[:, None] > k))
 
 
 def _digest(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from terrastate.llm.common import materialize, mix64, partitions_for, text_rows
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max  # a null id counts as after all others
 CHUNKS = "chunk long, ids array<long>, lengths array<long>, z binary"
 ANCHORS = "shard int, chunk long, n int, hashes binary, twice binary"
@@ -342,6 +342,14 @@ class Shard:
 Judge = Callable[[Shard], np.ndarray]
 
 
+def window_bits(flagged: np.ndarray) -> np.ndarray:
+    """Rows of booleans, one a window, as the bits of a number."""
+    packed = np.zeros((len(flagged), 8), np.uint8)
+    bits = np.packbits(flagged, axis=1, bitorder="little")
+    packed[:, :bits.shape[1]] = bits
+    return packed.view("<u8").ravel()
+
+
 def judged(contexts: DataFrame, judge: Judge) -> DataFrame:
     """(chunk, shard, flags): the judge's bits for each context, in the order they were sent."""
     def meet(rows):
@@ -382,7 +390,7 @@ def by_chunk(rows: DataFrame, value: str) -> DataFrame:
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, units: UnitsOf, judge: Judge, window: int, gram: int, positional: bool, finish, schema: str,
-                   chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = 16 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = 8 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """``finish(row, units, flagged)`` for each chunk of ``docs``: a record batch of ``schema``."""
     chunks = chunk_documents(spark, docs, single_spaces=units is word_units, chunk_bytes=chunk_bytes, carry=carry)
     total = chunks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]

@@ -121,14 +121,10 @@ def judge(shard: R.Shard) -> np.ndarray:
     counts[text] = shard.counts
     least = np.repeat(first[:, None], WINDOW - GRAM + 1, 1)  # smallest id that has each window
     for r in maximal_repeats(list(found), np.bincount(text, minlength=len(found)), counts, WINDOW):
-        low = first[r.texts].min()
-        inside = r.length - WINDOW + 1
-        for k in range(inside):
-            np.minimum.at(least, (r.texts, r.offsets + k), low)
-    bits = np.zeros(len(text), np.uint64)
-    for k in range(least.shape[1]):
-        bits |= ((least[text, k] < shard.ids) & (shard.counts > k)).astype(np.uint64) << np.uint64(k)
-    return bits
+        if len(r.texts) > 1:  # the copies of a single text have its smallest id already
+            at = r.texts[:, None], r.offsets[:, None] + np.arange(r.length - WINDOW + 1)
+            least[at] = np.minimum(least[at], first[r.texts].min())
+    return R.window_bits((least[text] < shard.ids[:, None]) & (shard.counts[:, None] > np.arange(least.shape[1])))
 
 
 def _documents(ids: list, u: R.Units, flagged: np.ndarray) -> Iterator[tuple]:
