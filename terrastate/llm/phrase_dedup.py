@@ -1,9 +1,9 @@
 """Removal of repeated phrases by sharded Aho-Corasick automata.
 
-Candidate regions come from ``repeats``.  Each shard confirms which of its
-windows recur, compiles them into an Aho-Corasick automaton (a letter stands for
-a word), and streams its regions of all documents through it to locate every
-occurrence.  Every occurrence but the first (smallest doc_id, then earliest in
+Candidate regions come from ``repeats``; equal regions are one text with the
+places of its copies.  Each shard confirms which windows recur in its texts,
+compiles them into an Aho-Corasick automaton (a letter stands for a word), and
+streams the texts of all documents through it to locate every occurrence.  Every occurrence but the first (smallest doc_id, then earliest in
 the document) is removed; phrases may overlap themselves.
 
 Results: a null or empty text has no words and nothing removed; places in
@@ -32,19 +32,20 @@ def letter(k: int) -> str:
     return chr(k + 1 if k < LETTERS else k + 0x801)
 
 
-def recurring(texts: list[str], copies: np.ndarray, counts: np.ndarray, window: int) -> list[str]:
-    """Windows that occur more than once: in several places of the texts, or in a text with copies."""
+def recurring(texts: list[str], counts: np.ndarray, window: int) -> list[str]:
+    """Confirms the windows that are found in several places of the (different) texts."""
     seen: dict[str, bool] = {}
-    for t, many, n in zip(texts, (copies > 1).tolist(), counts.tolist()):
+    for t, n in zip(texts, counts.tolist()):
         for k in range(n):
             w = t[k:k + window]
-            seen[w] = w in seen or many
+            seen[w] = w in seen
     return [w for w, again in seen.items() if again]
 
 
 def first_places(texts: list[str], counts: np.ndarray, ids: np.ndarray, starts: np.ndarray, phrases: list[str], window: int):
     """Streams the texts through the phrases' automaton: for each text and window
-    the first place (doc_id, start) of its phrase, or the text's own place."""
+    the first place (doc_id, start) of its phrase; that of a window in one text
+    only is the text's first place, which its copies share."""
     width = int(counts.max())
     first_id = np.repeat(ids[:, None], width, 1)
     first_start = starts[:, None] + np.arange(width)
@@ -54,11 +55,11 @@ def first_places(texts: list[str], counts: np.ndarray, ids: np.ndarray, starts:
     for k, p in enumerate(phrases):
         automaton.add_word(p, k)
     automaton.make_automaton()
-    found = [(k, i, end - window + 1) for i, t in enumerate(texts) for end, k in automaton.iter(t)]
-    phrase, text, at = np.array(found, np.int64).reshape(-1, 3).T
+    found = np.array([(k, i, end - window + 1) for i, t in enumerate(texts) for end, k in automaton.iter(t)], np.int64)
+    phrase, text, at = found.reshape(-1, 3).T
     place_id, place_start = first_id[text, at], first_start[text, at]
     order = np.lexsort((place_start, place_id, phrase))
-    head = order[np.concatenate([[True], np.diff(phrase[order]) > 0])]  # the first place of each phrase found
+    head = order[np.concatenate([[True], np.diff(phrase[order]) > 0])]  # the first place of each phrase
     least = np.empty((len(phrases), 2), np.int64)
     least[phrase[head], 0], least[phrase[head], 1] = place_id[head], place_start[head]
     first_id[text, at], first_start[text, at] = least[phrase, 0], least[phrase, 1]
@@ -69,18 +70,16 @@ def judge(shard: R.Shard) -> np.ndarray:
     """Bits of the windows of each context that also stand in an earlier place."""
     found: dict[bytes, int] = {}
     text = np.fromiter((found.setdefault(t, len(found)) for t in shard.units), np.int64, len(shard.units))
-    contexts = len(found)
     order = np.lexsort((shard.starts, shard.ids, text))
     head = order[np.concatenate([[True], np.diff(text[order]) > 0])]  # first place of each different text
     ids, starts, counts = shard.ids[head], shard.starts[head], shard.counts[head]
-    copies = np.bincount(text, minlength=contexts)
     letters: dict[bytes, str] = {}
     spelled = []
     for t in found:
         spelled.append("".join([letters.get(w) or letters.setdefault(w, letter(len(letters))) for w in t.split(b" ")]))
         if len(letters) > MOST_LETTERS:
             raise ValueError("a shard has more different words than letters; use smaller shards")
-    first_id, first_start = first_places(spelled, counts, ids, starts, recurring(spelled, copies, counts, WINDOW), WINDOW)
+    first_id, first_start = first_places(spelled, counts, ids, starts, recurring(spelled, counts, WINDOW), WINDOW)
     a, b, k = first_id[text], first_start[text], np.arange(first_id.shape[1])
     own, start = shard.ids[:, None], shard.starts[:, None] + k
     return R.window_bits(((a < own) | ((a == own) & (b < start))) & (shard.counts[:, None] > k))

@@ -61,7 +61,7 @@ def test_empty_table(spark):
 
 def test_automaton_locates_every_occurrence():
     texts, counts = ["abcabcab", "xbcabx"], np.array([6, 4])
-    phrases = S.recurring(texts, np.array([1, 1]), counts, 3)
+    phrases = S.recurring(texts, counts, 3)
     assert sorted(phrases) == ["abc", "bca", "cab"]
     ids, starts = S.first_places(texts, counts, np.array([5, 3]), np.array([0, 10]), phrases, 3)
     assert list(zip(ids[0].tolist(), starts[0].tolist())) == [(5, 0), (3, 11), (3, 12), (5, 0), (3, 11), (3, 12)]
