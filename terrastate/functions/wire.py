@@ -114,14 +114,23 @@ def decode_fields(buf: bytes) -> dict[int, int | bytes]:
     return out
 
 
-def _int32(v: int) -> int:
+def _tile(v) -> int:
+    """A tile id: a signed 32-bit integer that is not negative."""
+    if not isinstance(v, int):
+        raise WireError("integer field with length wire type")
     v &= 0xFFFFFFFF
-    return v - (1 << 32) if v >= 1 << 31 else v
+    if v >= 1 << 31:
+        raise WireError("negative tile id")
+    return v
 
 
-def _int64(v: int) -> int:
-    v &= 0xFFFFFFFFFFFFFFFF
-    return v - (1 << 64) if v >= 1 << 63 else v
+def _time(v) -> int:
+    """A time in ns; unsigned 64-bit on the wire, but a log column holds 63 bits."""
+    if not isinstance(v, int):
+        raise WireError("integer field with length wire type")
+    if v >= 1 << 63:
+        raise WireError("time out of range")
+    return v
 
 
 def decode_click(buf: bytes) -> dict:
@@ -132,29 +141,26 @@ def decode_click(buf: bytes) -> dict:
         click_id = f.get(4, b"")
         if not isinstance(country, bytes) or not isinstance(click_id, bytes):
             raise WireError("string field with varint wire type")
-        tile, ts = f.get(1, 0), f.get(3, 0)
-        if not isinstance(tile, int) or not isinstance(ts, int):
-            raise WireError("integer field with length wire type")
-        return {"tile_id": _int32(tile), "country_id": country.decode("utf-8"),
-                "timestamp_ns": _int64(ts), "click_id": click_id.decode("utf-8")}
+        return {"tile_id": _tile(f.get(1, 0)), "country_id": country.decode("utf-8"),
+                "timestamp_ns": _time(f.get(3, 0)), "click_id": click_id.decode("utf-8")}
     except UnicodeDecodeError as e:
         raise WireError("invalid utf-8") from e
 
 
 def decode_request(buf: bytes) -> dict:
     f = decode_fields(buf)
-    country, tile = f.get(2, b""), f.get(1, 0)
-    if not isinstance(country, bytes) or not isinstance(tile, int):
-        raise WireError("field with the wrong wire type")
+    country = f.get(2, b"")
+    if not isinstance(country, bytes):
+        raise WireError("string field with varint wire type")
     try:
-        return {"tile_id": _int32(tile), "country_id": country.decode("utf-8")}
+        return {"tile_id": _tile(f.get(1, 0)), "country_id": country.decode("utf-8")}
     except UnicodeDecodeError as e:
         raise WireError("invalid utf-8") from e
 
 
 def decode_batch_request(buf: bytes) -> dict:
     f = decode_fields(buf)
-    return {"start_tile_id": _int32(f.get(1, 0)), "end_tile_id": _int32(f.get(2, 0))}
+    return {"start_tile_id": _tile(f.get(1, 0)), "end_tile_id": _tile(f.get(2, 0))}
 
 
 def _embedded_hex(field: int, msg_hex: Column) -> Column:

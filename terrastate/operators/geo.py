@@ -222,8 +222,11 @@ def tile_country(tiles: DataFrame, polygons: DataFrame, band_deg: float = DEFAUL
 
     One LEFT join keeps the unassigned tiles, so no second join against the
     tile table is needed; both aggregates are keyed by tile (partial first).
-    ``layout`` picks the edge replication (see the module notes).
+    ``layout`` picks the edge replication (see the module notes).  Each feature
+    row is tested on its own (column ``feature_row``), whatever ids repeat.
     """
+    if "feature_row" in polygons.columns:
+        polygons = polygons.withColumn("feature_id", F.col("feature_row"))
     pts = _keyed_points(tiles, band_deg, cell_deg).alias("p")
     lon, lat = F.col("p.lon"), F.col("p.lat")
     if layout == "runs":

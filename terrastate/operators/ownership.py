@@ -11,27 +11,22 @@ Scale notes
 * ``current_ownership`` is one aggregate on ``tile_id`` with a map-side partial
   step, so a hot tile is reduced to one row per input partition before the
   shuffle.  The winner is ``min(struct(-timestamp_ns, order..., country))``.
-* ``classify_clicks`` needs the running owner in arrival order, i.e. a window
-  sorted within tile.  The running owner is a prefix arg-max, which is
-  associative, so hot tiles are split: tiles with more than ``hot_threshold``
-  clicks (found by a narrow tile-id count; at most rows / threshold of them, so
-  the set is broadcast with a proven bound) are cut into arrival buckets sized
-  from the tile's own count and arrival span (about ``bucket_rows`` clicks
-  each at an even rate; buckets a burst overfills are re-split over their own
-  span); a small summary per (tile, bucket) gives the carry-in of every bucket
-  and the row window runs per (tile, bucket).  Other tiles keep one bucket.
-  Without hot tiles the plan is a single window on ``tile_id``.
+* ``classify_clicks`` needs the running owner in arrival order.  That is a prefix
+  arg-max, which is associative, so the log is range-partitioned by (tile,
+  order columns) into even parts; a summary per (tile, part) gives each part's
+  carry-in and the row window runs per (tile, part).  One plan for every size
+  and every order type; nothing is collected and nothing is broadcast by hint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from terrastate.session import scratch_path
 
 DEFAULT_ORDER = ("arrival_ns", "click_id")
-DEFAULT_HOT_THRESHOLD = 1_000_000
-DEFAULT_BUCKET_ROWS = 1_000_000
 PAGE_SIZE = 10_000  # fixed value: the client's page size
 
 
@@ -53,116 +48,40 @@ def current_ownership(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORD
     )
 
 
-def hot_tiles(clicks: DataFrame, hot_threshold: int, time_col: str = "arrival_ns") -> list[tuple[int, int, int, int]]:
-    """Tiles with more than ``hot_threshold`` clicks, as (tile_id, clicks,
-    first arrival, last arrival).  First a narrow count on ``tile_id`` alone
-    (partial counts map-side); only when it finds hot tiles, whose number is at
-    most rows / threshold, is their arrival span read, through a broadcast
-    semi join on that bounded set."""
-    counts = clicks.groupBy("tile_id").count().filter(F.col("count") > F.lit(hot_threshold))
-    hot = [(r.tile_id, r["count"]) for r in counts.collect()]
-    if not hot:
-        return []
-    spark = clicks.sparkSession
-    ids = spark.createDataFrame([(int(t),) for t, _ in hot], "tile_id bigint")
-    spans = (clicks.join(F.broadcast(ids), "tile_id", "left_semi").groupBy("tile_id")
-             .agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")))
-    span = {r.tile_id: (r.lo, r.hi) for r in spans.collect()}
-    return [(t, n, *span[t]) for t, n in hot]
-
-
-def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER,
-                    hot_threshold: int = DEFAULT_HOT_THRESHOLD, bucket_rows: int = DEFAULT_BUCKET_ROWS,
-                    bucket_ns: int | None = None,
-                    hot: Sequence[tuple[int, int, int, int]] | None = None) -> DataFrame:
+def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER, buckets: int | None = None) -> DataFrame:
     """O3: every click with ``applied`` and what the store returned for it.
 
     Adds ``applied`` (boolean), ``previous_country`` and ``previous_ts`` (owner
     before this click; null for the first click of a tile).  The running owner
     is ``min(struct(-timestamp_ns, arrival..., country))`` over the earlier
-    clicks of the tile.  ``hot`` (default: detected with ``hot_tiles``) lists
-    the tiles to split into arrival buckets; a bucket spans the tile's arrival
-    range divided so that it holds about ``bucket_rows`` clicks at an even
-    rate, or ``bucket_ns`` when given (``order_cols[0]`` must be a numeric
-    arrival time).
+    clicks of the tile.
+
+    The log is range-partitioned by (tile, ``order_cols``) into ``buckets``
+    even parts (default: the session's shuffle partitions), whatever the type of
+    the order columns and however the clicks spread over tiles and time: a hot
+    tile, or a burst of one instant, is cut by the order columns themselves.
+    The parts are written once to the checkpoint folder, which fixes their
+    numbers for both readers below.
     """
-    if hot is None:
-        numeric = isinstance(clicks.schema[order_cols[0]].dataType, T.NumericType)
-        hot = hot_tiles(clicks, hot_threshold, order_cols[0]) if numeric else []
-        if not numeric and hot_tiles(clicks, hot_threshold, "tile_id"):
-            raise ValueError(f"hot tiles need a numeric arrival column first in order_cols, got {order_cols[0]!r}; "
-                             "pass hot=[] to run them unsplit")
-    if not hot:
-        key = _owner_key(clicks, order_cols)
-        w = Window.partitionBy("tile_id").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-        return _finish(clicks.withColumn("_prev", F.min(key).over(w)))
-
     spark = clicks.sparkSession
-    # Bounded by rows / hot_threshold, so broadcasting it is safe at any scale.
-    def width(n, lo, hi):
-        return bucket_ns if bucket_ns else max(1, -(-(hi - lo + 1) * bucket_rows // n))
-
-    hot_df = spark.createDataFrame([(int(t), int(lo), int(width(n, lo, hi))) for t, n, lo, hi in hot],
-                                   "tile_id bigint, _origin bigint, _width bigint").withColumn("_hot", F.lit(True))
-    keyed = clicks.join(F.broadcast(hot_df), "tile_id", "left")
-    bucket = F.when(F.col("_hot"), F.floor((F.col(order_cols[0]) - F.col("_origin")) / F.col("_width"))) \
-        .otherwise(F.lit(0))
-    keyed = keyed.withColumn("_bucket", bucket.cast("bigint"))
-    # Each refinement level multiplies keys by SUB_BUCKETS: allow only as many as fit in 62 bits.
-    top = max((hi - lo) // width(n, lo, hi) for _, n, lo, hi in hot) + 1
-    levels = min(REFINE_LEVELS, max(0, (62 - top.bit_length()) // SUB_BUCKETS.bit_length()))
-    keyed = _refine_bursts(keyed, order_cols[0], bucket_rows, levels=levels)
-    key = _owner_key(keyed, order_cols)
-
-    # Carry-in per (hot tile, bucket): best click of all earlier buckets.  The
-    # summary has one row per (hot tile, bucket), a small table.
-    summary = (keyed.filter(F.col("_hot"))
-               .groupBy("tile_id", "_bucket").agg(F.min(key).alias("_bbest")))
-    over_buckets = (Window.partitionBy("tile_id").orderBy("_bucket")
-                    .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (summary.withColumn("_carry", F.min("_bbest").over(over_buckets))
-             .filter(F.col("_carry").isNotNull())
-             .select("tile_id", "_bucket", "_carry"))
-
-    rows = keyed.withColumn("_key", key).join(carry, ["tile_id", "_bucket"], "left")
-    in_bucket = (Window.partitionBy("tile_id", "_bucket").orderBy(*order_cols)
-                 .rowsBetween(Window.unboundedPreceding, -1))
-    out = rows.withColumn("_prev", F.least(F.col("_carry"), F.min("_key").over(in_bucket)))
-    return _finish(out.drop("_hot", "_origin", "_width", "_bucket", "_key", "_carry"))
-
-
-SUB_BUCKETS = 1 << 16  # sub-buckets per refined bucket and level (key = key * SUB_BUCKETS + fine)
-REFINE_LEVELS = 2       # at most; fewer when the coarse keys are already large
-
-
-def _refine_bursts(keyed: DataFrame, time_col: str, bucket_rows: int, factor: int = 4,
-                   levels: int = REFINE_LEVELS) -> DataFrame:
-    """Re-split buckets of hot tiles that hold more than ``factor * bucket_rows``
-    clicks (a burst above the tile's average rate), evenly over the arrival
-    span the bucket's rows actually cover, up to ``levels`` times.  Each level
-    counts the hot rows only, and runs only while over-full buckets remain;
-    those number at most hot rows / (factor * bucket_rows), a bounded
-    broadcast.  Every key of a tile is scaled alike, so the order stays the
-    arrival order."""
-    spark = keyed.sparkSession
-    for _ in range(levels):
-        counts = (keyed.filter(F.col("_hot")).groupBy("tile_id", "_bucket")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
-                  .filter(F.col("n") > F.lit(factor * bucket_rows)))
-        over = []
-        for r in counts.collect():
-            span = r.hi - r.lo + 1
-            if span > 1:  # clicks of one instant cannot be split by time
-                over.append((r.tile_id, r._bucket, r.lo, max(1, -(-span * bucket_rows // r.n), -(-span // SUB_BUCKETS))))
-        if not over:
-            break
-        subs = spark.createDataFrame(over, "tile_id bigint, _bucket bigint, _sub_lo bigint, _sub bigint")
-        fine = F.when(F.col("_sub").isNotNull(), F.floor((F.col(time_col) - F.col("_sub_lo")) / F.col("_sub"))) \
-            .otherwise(F.lit(0))
-        keyed = (keyed.join(F.broadcast(subs), ["tile_id", "_bucket"], "left")
-                 .withColumn("_bucket", (F.col("_bucket") * F.lit(SUB_BUCKETS) + fine).cast("bigint"))
-                 .drop("_sub_lo", "_sub"))
-    return keyed
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = clicks.repartitionByRange(n, "tile_id", *order_cols).withColumn("_bucket", F.spark_partition_id())
+    path = scratch_path(spark, "arrivals")
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    key = _owner_key(rows, order_cols)
+
+    # Carry-in: best click of the tile's earlier parts.  Only tiles that cross a
+    # cut have one, so this table has fewer than ``buckets`` rows.
+    summary = rows.groupBy("tile_id", "_bucket").agg(F.min(key).alias("_best"))
+    earlier = Window.partitionBy("tile_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (summary.withColumn("_carry", F.min("_best").over(earlier))
+             .filter(F.col("_carry").isNotNull()).select("tile_id", "_bucket", "_carry"))
+
+    in_bucket = Window.partitionBy("tile_id", "_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    out = (rows.withColumn("_seen", F.min(key).over(in_bucket)).join(carry, ["tile_id", "_bucket"], "left")
+           .withColumn("_prev", F.least(F.col("_carry"), F.col("_seen"))))
+    return _finish(out.select(*clicks.columns, "_prev"))
 
 
 def _finish(out: DataFrame) -> DataFrame:

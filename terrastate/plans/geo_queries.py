@@ -8,7 +8,7 @@ from terrastate.operators import geo
 from terrastate.operators import leaderboard as lb
 from terrastate.operators import ownership as ow
 from terrastate.operators import reconcile as rc
-from terrastate.plans.registry import register
+from terrastate.plans.registry import QUERIES, register
 from terrastate.plans.sql import (CLICKS_A, CLICKS_B, CLICKS_B_REPLICA, CROSSINGS, RINGS, TILE_COUNTRY, TILE_POINTS,
                                   TILES, classified, own, with_)
 from terrastate.session import scratch_path
@@ -105,6 +105,9 @@ def q_country_tile_stats(spark, sf):
 @register("tile_country_files", "K3", _TC + "SELECT * FROM tile_country")
 def q_tile_country_files(spark, sf):
     folder = scratch_path(spark, "tile-country")
+    for name in ("tile_to_country", "country_to_tiles"):  # what an interrupted write leaves: no finished files
+        spark.createDataFrame([], "tile_id bigint, country_code string").write.json(f"{folder}/{name}/_temporary/0")
+    writers.load_or_build_tile_country(spark, folder, d.tiles(spark, sf), lambda: tile_country(spark, sf))
     return writers.load_or_build_tile_country(spark, folder, d.tiles(spark, sf), lambda: tile_country(spark, sf))
 
 
@@ -165,3 +168,42 @@ SELECT count(*) AS total, count(country_code) AS assigned, count(*) - count(coun
 FROM tile_country""")
 def q_tile_totals(spark, sf):
     return geo.tile_totals(tile_country(spark, sf))
+
+
+_SHARED = with_(TILES, RINGS, TILE_POINTS) + """,
+shapes AS (SELECT n_nationkey, n_name, copy, f AS ring_no, x0 + 36 AS cx, y0 + 18 AS cy, CASE f WHEN 0 THEN 1.5 ELSE 0.25 END AS k
+           FROM boxes, range(2) r(f), range(2) c(copy) WHERE copy = 0 OR n_nationkey % 2 = 0),
+corners AS (SELECT *, pos, cx + k * CASE pos WHEN 1 THEN -36 WHEN 3 THEN 36 ELSE 0 END AS x,
+                   cy + k * CASE pos WHEN 0 THEN -18 WHEN 4 THEN -18 WHEN 2 THEN 18 ELSE 0 END AS y FROM shapes, range(5) t(pos)),
+sides AS (SELECT a.n_nationkey, a.n_name, a.copy, a.ring_no, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj
+          FROM corners a JOIN corners b ON (a.n_nationkey, a.copy, a.ring_no) = (b.n_nationkey, b.copy, b.ring_no) AND b.pos = (a.pos + 4) % 5),
+hits AS (SELECT p.tile_id, s.n_nationkey, s.n_name, s.copy, s.ring_no FROM tile_points p JOIN sides s
+         ON (s.yi > p.lat) <> (s.yj > p.lat) AND p.lon < (s.xj - s.xi) * (p.lat - s.yi) / (s.yj - s.yi) + s.xi
+         GROUP BY ALL HAVING count(*) % 2 = 1),
+best AS (SELECT tile_id, min(lower(n_name)) AS country_code FROM hits GROUP BY tile_id)
+"""  # all envelopes are of one size, so the smallest code wins
+
+
+@register("tile_country_shared", "G5", _SHARED + "SELECT t.tile_id, country_code FROM tiles t LEFT JOIN best USING (tile_id)")
+def q_tile_country_shared(spark, sf):
+    """Repeated features without ids, features that share one, overlaps and inner rings."""
+    shapes = country_polygons(d.shared_features_json(spark, sf))
+    return geo.tile_country(d.tiles(spark, sf), shapes)
+
+
+@register("country_tiles_lookup", "G7", _TC + f"SELECT tile_id FROM tile_country WHERE country_code = '{TARGET}'")
+def q_country_tiles_lookup(spark, sf):
+    return geo.tiles_of_country(tile_country(spark, sf), TARGET)
+
+
+@register("assigned_country_codes", "G7", _TC + "SELECT DISTINCT country_code FROM tile_country WHERE country_code IS NOT NULL")
+def q_assigned_country_codes(spark, sf):
+    return geo.country_codes(tile_country(spark, sf))
+
+
+@register("retake_requests", "R4", QUERIES["unauthorized_changes"].oracle.replace(
+    "SELECT c.tile_id, c.country_id, c.previous_country AS previous_country_id, c.click_id, c.timestamp_ns, c.arrival_ns",
+    f"SELECT c.tile_id, '{WANTED}' AS country_id"))
+def q_retake_requests(spark, sf):
+    """R4's answer: one request per offending change."""
+    return rc.retake_requests(q_unauthorized_changes(spark, sf), WANTED)

@@ -209,7 +209,6 @@ def q_ownership_pages_export(spark, sf):
     return writers.page_records(pages)
 
 
-
 def _varint_sql(expr: str) -> str:
     """DuckDB: hex of the base-128 varint of a non-negative bigint expression."""
     groups = (f"list_filter(list_transform(range(10), lambda i: {{'i': i, 'g': (({expr}) >> (7 * i))}}), "
@@ -254,6 +253,38 @@ def q_ownership_pages_payload(spark, sf):
 
 @register("classify_clicks_split", "O3", with_(CLICKS_A, classified("clicks_a", "cls")) + "SELECT * FROM cls")
 def q_classify_clicks_split(spark, sf):
-    """O3 through the hot-tile plan: every tile above 10 clicks is cut into
-    arrival buckets of about 8 clicks (carry-in per bucket)."""
-    return ow.classify_clicks(d.clicks_a(spark, sf), hot_threshold=10, bucket_rows=8)
+    """O3 cut into many parts: most tiles cross several cuts."""
+    return ow.classify_clicks(d.clicks_a(spark, sf), buckets=64)
+
+
+# Ties: click times cut to two days; one instant: every click of a few hot tiles arrives at the same time.
+TIE_NS = 2 * 86_400_000_000_000
+
+_TIES = with_(CLICKS_B, f"""ties AS (SELECT tile_id, country_id, (timestamp_ns // {TIE_NS}) * {TIE_NS} AS timestamp_ns, click_id, arrival_ns FROM clicks_b)""")
+_BURST = with_(CLICKS_A, "burst AS (SELECT tile_id % 3 AS tile_id, country_id, timestamp_ns, click_id, CAST(0 AS BIGINT) AS arrival_ns FROM clicks_a)")
+
+
+def ties(spark, sf):
+    c = d.clicks_b(spark, sf)
+    return c.withColumn("timestamp_ns", F.expr(f"(timestamp_ns div {TIE_NS}) * {TIE_NS}"))
+
+
+def burst(spark, sf):
+    c = d.clicks_a(spark, sf)
+    return c.withColumn("tile_id", F.col("tile_id") % 3).withColumn("arrival_ns", F.lit(0).cast("bigint"))
+
+
+@register("ownership_lww_ties", "O1", _TIES + ", " + own("ties", "own_t") + " SELECT * FROM own_t")
+def q_ownership_lww_ties(spark, sf):
+    return ow.current_ownership(ties(spark, sf))
+
+
+@register("classify_clicks_ties", "O3", _TIES + ", " + classified("ties", "cls") + " SELECT * FROM cls")
+def q_classify_clicks_ties(spark, sf):
+    return ow.classify_clicks(ties(spark, sf))
+
+
+@register("classify_clicks_burst", "O3", _BURST + ", " + classified("burst", "cls") + " SELECT * FROM cls")
+def q_classify_clicks_burst(spark, sf):
+    """Three hot tiles whose clicks all arrive in one instant, cut by click_id."""
+    return ow.classify_clicks(burst(spark, sf), buckets=32)

@@ -120,7 +120,7 @@ def q_dedup_clicks_stream(spark, sf):
     c = d.clicks_a(spark, sf)
     twice = c.unionByName(c.withColumn("arrival_ns", F.col("arrival_ns") + F.lit(1_000_000_000)))
     out = scratch_path(spark, "dedup")
-    deduped = so.dedup_stream(_stream(spark, sf, twice), time_col="arrival_ns", delay="8 hours")
+    deduped = so.dedup_stream(_stream(spark, sf, twice))
     q = runners.start(deduped.select("tile_id", "country_id", "timestamp_ns", "click_id"), path=out, name="dedup")
     q.awaitTermination()
     return spark.read.parquet(out)

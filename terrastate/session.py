@@ -7,6 +7,7 @@ runs and tests only; on a cluster the caller owns the session.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,11 +41,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, read from the session.
 
-    Read from the session; only when it is unset (local tests) a fresh scratch
-    folder is created and registered.  Never falls back to a machine-local
-    folder when the cluster names one.
+    Only a session in one process (master ``local[...]``: tests, the bench) gets
+    a scratch folder where it is unset; on a cluster that is an error, because
+    executors would each write to their own disk.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="terrastate-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -67,6 +70,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate folder that this library wrote itself."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
     """Suggested settings for a cluster run over ``input_bytes`` of click log.
 

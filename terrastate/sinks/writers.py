@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrastate.session import scratch_path
+from terrastate.session import path_exists, scratch_path
 
 
 # --- K1: ownership snapshot ---------------------------------------------------------------
@@ -67,17 +67,13 @@ def write_tile_country(tile_country: DataFrame, folder: str) -> None:
 
 
 def load_or_build_tile_country(spark: SparkSession, folder: str, tiles: DataFrame, build) -> DataFrame:
-    """Reuse written files when both exist; only the unassigned tiles are
+    """Reuse written files when both were finished (their ``_SUCCESS`` marks are
+    there: an interrupted write counts as none); only the unassigned tiles are
     recomputed, as an anti join of all tiles against the stored mapping."""
-    from pyspark.errors import AnalysisException
-
-    try:  # a reader on a missing path fails when it is defined (path check), before any job
-        t2c = spark.read.schema("tile_id bigint, country_code string").json(f"{folder}/tile_to_country")
-        spark.read.schema("country_code string, chunk_no bigint, tiles array<bigint>").json(f"{folder}/country_to_tiles")
-    except AnalysisException:
-        tc = build()
-        write_tile_country(tc, folder)
-        t2c = spark.read.schema("tile_id bigint, country_code string").json(f"{folder}/tile_to_country")
+    names = ("tile_to_country", "country_to_tiles")
+    if not all(path_exists(spark, f"{folder}/{n}/_SUCCESS") for n in names):
+        write_tile_country(build(), folder)
+    t2c = spark.read.schema("tile_id bigint, country_code string").json(f"{folder}/tile_to_country")
     unassigned = tiles.select("tile_id").join(t2c, "tile_id", "left_anti").select(
         "tile_id", F.lit(None).cast("string").alias("country_code"))
     return t2c.unionByName(unassigned)

@@ -23,17 +23,8 @@ BOX_W, BOX_H, BOXES_PER_ROW = 72.0, 36.0, 5
 MASK_W, MASK_H, MASK_THRESHOLD = 36, 18, 128
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver's table; the resolved scan (file listing, footer schema) is
-    reused within a session, the inputs being read-only."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --- clicks --------------------------------------------------------------------
@@ -121,6 +112,25 @@ def country_features_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.to_json(feature).alias("value"))
 
 
+def shared_features_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that are easy to confuse: nations with an even key come twice and
+    have no id, the others share one id; every feature has an outer ring half as
+    wide again as its box (so neighbours overlap) and a small inner ring."""
+    even = F.col("n_nationkey") % 2 == 0
+    copies = F.explode(F.when(even, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    d = _diamond(table(spark, sf_dir, "nation")).select("*", copies)
+
+    def scaled(factor: float):
+        cx, cy = (F.col("ring")[1][0] + F.col("ring")[3][0]) / 2, (F.col("ring")[0][1] + F.col("ring")[2][1]) / 2
+        return F.transform("ring", lambda p: F.array(cx + (p[0] - cx) * factor, cy + (p[1] - cy) * factor))
+
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.when(~even, F.lit(7).cast("bigint")).alias("id"),
+        F.create_map(F.lit("ISO_A2"), F.col("n_name"), F.lit("ADMIN"), F.col("n_name")).alias("properties"),
+        F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(scaled(1.5), scaled(0.25))).alias("coordinates")).alias("geometry"))
+    return d.select(F.to_json(feature).alias("value"))
+
+
 def coordinates_json(spark: SparkSession, sf_dir: str, chunk: int = 1000) -> DataFrame:
     """The tile coordinate file as JSON rows, one per chunk of ``chunk`` tiles:
     ``{"first_tile", "positions", "uvs"}``.  Chunks keep any single row bounded."""

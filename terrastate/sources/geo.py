@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from terrastate import schemas
 
@@ -52,12 +52,16 @@ def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple
     """GeoJSON features (one JSON text per row) -> one row per ring.
 
     Parity default keeps ``MultiPolygon`` features only; ``kinds`` may add
-    ``Polygon``.  Code from ``ISO_A2``, name from ``ADMIN``, missing -> "".
+    ``Polygon``.  Code from ``ISO_A2``, name from ``ADMIN`` (fixed values),
+    missing -> "".  ``feature_id`` is the file's id (or a hash of the text) and
+    may repeat; ``feature_row`` is unique to each feature row.
     Parts and holes are flattened into one ring list; rings with fewer than
     ``min_vertices`` vertices are dropped (they can hold no point).
     """
-    f = features.select(F.from_json(F.col(value_col), FEATURE_RAW).alias("f"),
-                        F.xxhash64(F.col(value_col)).alias("_text_id")).select("f.*", "_text_id")
+    # Every feature row is a feature of its own: identical texts are numbered.
+    same = Window.partitionBy(F.col(value_col)).orderBy(F.lit(0))
+    f = features.select(F.from_json(F.col(value_col), FEATURE_RAW).alias("f"), F.xxhash64(F.col(value_col)).alias("_text_id"),
+                        F.xxhash64(F.col(value_col), F.row_number().over(same)).alias("feature_row")).select("f.*", "_text_id", "feature_row")
     gtype = F.col("geometry.type")
     f = f.filter(gtype.isin(*kinds))
     coords = F.when(gtype == "MultiPolygon", F.from_json(F.col("geometry.coordinates"), MULTI)) \
@@ -65,12 +69,12 @@ def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple
     # Features without an "id" are keyed by a hash of their text (deterministic, unlike a row counter).
     fid = F.coalesce(F.col("id"), F.col("_text_id"))
     rings = f.select(
-        fid.alias("feature_id"),
+        fid.alias("feature_id"), "feature_row",
         F.coalesce(F.col("properties")["ISO_A2"], F.lit("")).alias("country_code"),
         F.coalesce(F.col("properties")["ADMIN"], F.lit("")).alias("name"),
         F.posexplode(F.flatten(coords)).alias("ring_id", "ring"))
     pts = F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return (rings.select("feature_id", "country_code", "name", F.col("ring_id").cast("int"), pts.alias("ring"))
+    return (rings.select("feature_id", "feature_row", "country_code", "name", F.col("ring_id").cast("int"), pts.alias("ring"))
             .filter(F.size("ring") >= min_vertices))
 
 

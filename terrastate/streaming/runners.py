@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from terrastate.operators.reconcile import mirror_changes, unauthorized_changes
-from terrastate.session import scratch_path
+from terrastate.session import path_exists, remove_path, scratch_path
 from terrastate.sinks.writers import merge_snapshot
 
 SNAPSHOT_BUCKET = 100_000  # tiles per snapshot partition folder
@@ -43,27 +42,30 @@ def snapshot_upsert_sink(snapshot_path: str) -> Callable[[DataFrame, int], None]
     """K1 on a stream: merge each batch's owners into the snapshot.
 
     The snapshot is partitioned by tile bucket and written with dynamic
-    partition overwrite, so a batch rewrites only the buckets it touches."""
+    partition overwrite, so a batch reads and rewrites only the buckets it
+    touches: their numbers (at most tiles / ``SNAPSHOT_BUCKET``) become a
+    partition filter.  Whether there is a snapshot yet is asked of the file
+    system; any error in reading it fails the batch and leaves it as it is."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.select("tile_id", "country_id", "timestamp_ns").withColumn(
             "bucket", F.floor(F.col("tile_id") / SNAPSHOT_BUCKET).cast("bigint")).persist()
+        staged = scratch_path(spark, f"snapshot-batch-{batch_id}")
         try:
-            try:
-                touched = new.select("bucket").distinct()
-                old = spark.read.parquet(snapshot_path).join(touched, "bucket", "left_semi")
+            merged = new.select("tile_id", "country_id", "timestamp_ns")
+            if path_exists(spark, snapshot_path):
+                touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+                old = spark.read.parquet(snapshot_path).filter(F.col("bucket").isin(touched))
                 merged = merge_snapshot(old, new)
-            except AnalysisException:  # first batch: no snapshot yet
-                merged = new.select("tile_id", "country_id", "timestamp_ns")
             # Read-then-overwrite the same folder needs the merged result cut from its source.
-            staged = scratch_path(spark, f"snapshot-batch-{batch_id}")
             merged.withColumn("bucket", F.floor(F.col("tile_id") / SNAPSHOT_BUCKET).cast("bigint")) \
                 .write.mode("overwrite").parquet(staged)
-            (spark.read.parquet(staged).repartition("bucket").sortWithinPartitions("tile_id")
+            (spark.read.parquet(staged).repartitionByRange("bucket", "tile_id").sortWithinPartitions("bucket", "tile_id")
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("bucket").parquet(snapshot_path))
         finally:
             new.unpersist()
+            remove_path(spark, staged)
     return sink
 
 
@@ -94,12 +96,17 @@ def quarantine_sink(valid_path: str, reject_path: str, payload_col: str = "paylo
     """T4: decode a batch of raw payloads; valid clicks and rejects (with reason)
     go to their tables in the same batch.  Output folders are per batch id, so
     a retried batch overwrites its own files instead of duplicating them."""
-    from terrastate.sources.clicks import split_payloads
+    from terrastate.sources.clicks import decode_payloads
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        valid, rejects = split_payloads(batch, payload_col)
-        valid.write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+        spark, staged = batch.sparkSession, scratch_path(batch.sparkSession, f"decoded-{batch_id}")
+        decode_payloads(batch, payload_col).write.parquet(staged)  # one decode, two readers
+        decoded = spark.read.parquet(staged)
+        keep = [c for c in batch.columns if c != payload_col]
+        decoded.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
+        decoded.filter("error IS NOT NULL").select(*keep, F.col("error").alias("reason")).write.mode("overwrite").parquet(
+            f"{reject_path}/batch={batch_id}")
+        remove_path(spark, staged)
     return sink
 
 

@@ -99,14 +99,26 @@ def test_classify_matches_fold_with_ties(spark):
     _check_against_fold(spark, _random_log(1))
 
 
-def test_classify_hot_tiles_split_into_buckets(spark):
-    # every tile is "hot"; buckets of 700 arrival units -> many carries across buckets
-    _check_against_fold(spark, _random_log(2), hot_threshold=10, bucket_ns=700)
+def test_classify_cut_into_many_parts(spark):
+    for n in (1, 3, 40):
+        _check_against_fold(spark, _random_log(2), buckets=n)
 
 
-def test_classify_hot_tiles_adaptive_buckets(spark):
-    # every tile is hot; buckets of about 20 clicks from each tile's own count and arrival span
-    _check_against_fold(spark, _random_log(4), hot_threshold=10, bucket_rows=20)
+def test_classify_one_instant_is_cut_by_the_other_order_columns(spark):
+    rnd = random.Random(7)
+    rows = [(1, rnd.choice("abcd"), rnd.randint(0, 300), i, 5) for i in range(1000)]
+    _check_against_fold(spark, rows, buckets=50)
+    parts = clicks_df(spark, rows).repartitionByRange(50, "tile_id", "arrival_ns", "click_id").groupBy(F.spark_partition_id()).count()
+    assert parts.agg(F.max("count")).first()[0] <= 60
+
+
+def test_classify_string_order_is_the_same_at_any_size(spark):
+    rows = _random_log(6, n=400, tiles=3)
+    df = clicks_df(spark, rows).withColumn("seq", F.format_string("%09d", F.col("arrival_ns") * 1000 + F.col("click_id") % 1000)).withColumn(
+        "seq", F.concat(F.lit("s"), "seq"))
+    results = [sorted(ow.classify_clicks(df, ("seq", "click_id"), buckets=n).select("click_id", "applied", "previous_country", "previous_ts").collect())
+               for n in (1, 20)]
+    assert results[0] == results[1]
 
 
 def test_changes_modes(spark):
@@ -162,36 +174,6 @@ def test_classify_fixture_counts(spark):
     assert ow.ownership_changes(cls, parity=True).count() == 809
 
 
-def test_classify_hot_tile_with_burst(spark):
-    """A hot tile with a burst far above its average rate: the burst's bucket is
-    re-split, and the result still equals the sequential fold."""
-    rnd = random.Random(9)
-    rows = [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, i, rnd.randint(0, 1_000_000)) for i in range(600)]
-    rows += [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, 1000 + i, 500_000 + rnd.randint(0, 9_000))
-             for i in range(600)]
-    rows += [(2, "z", i, 5000 + i, i * 7) for i in range(50)]
-    df = clicks_df(spark, rows)
-    keyed_hot = ow.hot_tiles(df, 10)
-    assert {t for t, *_ in keyed_hot} == {1, 2}
-    _check_against_fold(spark, rows, hot_threshold=10, bucket_rows=20)
-
-
-def test_burst_buckets_are_bounded(spark):
-    rnd = random.Random(9)
-    rows = [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, i, rnd.randint(0, 1_000_000)) for i in range(600)]
-    rows += [(1, rnd.choice("abcd"), rnd.randint(0, 50) * 10, 1000 + i, 500_000 + rnd.randint(0, 9_000))
-             for i in range(600)]
-    df = clicks_df(spark, rows)
-    t, n, lo, hi = ow.hot_tiles(df, 10)[0]
-    width = -(-(hi - lo + 1) * 20 // n)
-    hot = spark.createDataFrame([(t, lo, width)], "tile_id bigint, _origin bigint, _width bigint").withColumn("_hot", F.lit(True))
-    keyed = df.join(hot, "tile_id").withColumn(
-        "_bucket", F.floor((F.col("arrival_ns") - F.col("_origin")) / F.col("_width")).cast("bigint"))
-    biggest = lambda k: k.groupBy("_bucket").count().agg(F.max("count")).first()[0]
-    assert biggest(keyed) > 400  # the burst lands in one coarse bucket
-    assert biggest(ow._refine_bursts(keyed, "arrival_ns", 20)) <= 80
-
-
 def test_property_classify_equals_fold(spark):
     """Property: on any small log (ties, shuffled arrivals), both plans equal the fold."""
     from hypothesis import HealthCheck, given, settings, strategies as st
@@ -203,6 +185,6 @@ def test_property_classify_equals_fold(spark):
     def check(raw):
         rows = [(t, c, ts, i, arr) for i, (t, c, ts, arr) in enumerate(raw)]
         _check_against_fold(spark, rows)
-        _check_against_fold(spark, rows, hot_threshold=2, bucket_rows=2)
+        _check_against_fold(spark, rows, buckets=7)
 
     check()
