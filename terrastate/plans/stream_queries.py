@@ -1,10 +1,11 @@
 """Registered queries that run Structured Streaming end to end (O2, O3-stream,
 O4-stream, L4-stream, K1 on a stream).
 
-The click log is first laid down as files in arrival slices (the shape a log
-sink produces), then read with ``readStream`` a few files per trigger under
-``availableNow``; the stream's output is read back, so each result can be
-compared with the batch oracle (stream = batch)."""
+Each query follows a log that grows: the earlier half of the clicks (by arrival)
+is appended to it and the stream catches up, then the later half is appended and
+the stream goes on from its checkpoint.  Both appends are ordinary distributed
+writes.  The stream's output is read back, so each result can be compared with
+the batch oracle (stream = batch)."""
 
 from __future__ import annotations
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from terrastate.plans.registry import register
 from terrastate.plans.sql import CLICKS_A, classified, own, with_
 from terrastate.session import scratch_path
+from terrastate.sinks import writers
 from terrastate.sources import derived as d
+from terrastate.sources.clicks import read_clicks
 from terrastate.streaming import ownership as so
 from terrastate.streaming import runners
 
@@ -24,49 +27,38 @@ def geo_queries_sql(name: str) -> str:
 
     return QUERIES[name].oracle
 
-SLICES = 4  # arrival slices the fixture log is written in
-FILES_PER_TRIGGER = 2
 
-CLICK_A_SCHEMA = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
-
-
-def write_log_slices(spark, sf, slices: int = SLICES, clicks=None, name: str = "click-log",
-                     rows_per_file: int = 1_000_000) -> str:
-    """Writes ``clicks_a`` (or ``clicks``) the way a log sink lays it down: one
-    file per consecutive arrival range, written one after another, so file
-    order is arrival order.  The number of ranges grows with the log (at most
-    ``rows_per_file`` rows per file on a uniform log)."""
+def follow(spark, sf, run, clicks=None) -> None:
+    """``run(stream, checkpoint)`` starts a query on the growing log of ``clicks``
+    (default ``clicks_a``); it is started again, from its checkpoint, after the
+    second append."""
     clicks = d.clicks_a(spark, sf) if clicks is None else clicks
-    lo, hi, n = clicks.agg(F.min("arrival_ns"), F.max("arrival_ns"), F.count(F.lit(1))).first()
-    slices = max(slices, -(-n // rows_per_file))
-    path = scratch_path(spark, name)
-    step = (hi - lo) // slices + 1
-    for k in range(slices):
-        part = clicks.filter((F.col("arrival_ns") >= lo + k * step) & (F.col("arrival_ns") < lo + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    path, checkpoint = scratch_path(spark, "click-log"), scratch_path(spark, "stream")
+    middle = clicks.agg(F.percentile_approx("arrival_ns", 0.5)).scalar()
+    for part in (F.col("arrival_ns") <= middle, F.col("arrival_ns") > middle):
+        clicks.filter(part).write.mode("append").parquet(path)
+        run(read_clicks(path, spark, stream=True, schema=clicks.schema), checkpoint).awaitTermination()
 
 
-def _stream(spark, sf, clicks=None):
-    path = write_log_slices(spark, sf, clicks=clicks)
-    return spark.readStream.schema(clicks.schema if clicks is not None else CLICK_A_SCHEMA) \
-        .option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(path)
+def stored_tile_country(spark, sf):
+    """The tile mapping as K3 keeps it: computed once, read by every micro-batch."""
+    from terrastate.plans.geo_queries import tile_country
+
+    folder = scratch_path(spark, "tile-country")
+    return writers.load_or_build_tile_country(spark, folder, d.tiles(spark, sf), lambda: tile_country(spark, sf))
 
 
 @register("ownership_stream", "O2", with_(CLICKS_A, own("clicks_a", "own_a")) + "SELECT * FROM own_a")
 def q_ownership_stream(spark, sf):
     snapshot = scratch_path(spark, "snapshot")
-    q = runners.start(so.ownership_stream(_stream(spark, sf)), runners.snapshot_upsert_sink(snapshot),
-                      mode="update", name="ownership")
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.start(so.ownership_stream(log), runners.snapshot_upsert_sink(snapshot), mode="update", checkpoint=at))
     return spark.read.parquet(snapshot).select("tile_id", "country_id", "timestamp_ns")
 
 
 @register("classify_stream", "O3", with_(CLICKS_A, classified("clicks_a", "cls")) + "SELECT * FROM cls")
 def q_classify_stream(spark, sf):
     out = scratch_path(spark, "classified")
-    q = runners.start(so.classify_stream(_stream(spark, sf)), path=out, name="classify")
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.start(so.classify_stream(log), path=out, checkpoint=at))
     return spark.read.parquet(out)
 
 
@@ -75,8 +67,7 @@ SELECT tile_id, country_id, previous_country AS previous_country_id, click_id, t
 WHERE previous_country IS NOT NULL AND previous_country <> country_id AND applied""")
 def q_changes_stream(spark, sf):
     out = scratch_path(spark, "changes")
-    q = runners.notification_sink(so.changes_stream(_stream(spark, sf)), out)
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.notification_sink(so.changes_stream(log), out, checkpoint=at))
     return spark.read.schema("tile_id bigint, country_id string, previous_country_id string, click_id bigint, "
                              "timestamp_ns bigint, arrival_ns bigint").json(out)
 
@@ -90,8 +81,7 @@ def q_leaderboard_stream(spark, sf):
         # complete mode: every batch carries the whole board; overwrite keeps the last one
         batch.filter(F.col("score") > 0).write.mode("overwrite").parquet(out)
 
-    q = runners.start(so.leaderboard_stream(_stream(spark, sf)), sink, mode="complete", name="leaderboard")
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.start(so.leaderboard_stream(log), sink, mode="complete", checkpoint=at))
     return spark.read.parquet(out)
 
 
@@ -99,19 +89,17 @@ def q_leaderboard_stream(spark, sf):
 SELECT tile_id, country_id FROM cls WHERE applied AND previous_country IS NOT NULL AND previous_country <> country_id""")
 def q_mirror_changes_stream(spark, sf):
     out = scratch_path(spark, "mirror")
-    q = runners.start(runners.mirror(so.changes_stream(_stream(spark, sf))), path=out, name="mirror")
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.start(runners.mirror(so.changes_stream(log)), path=out, checkpoint=at))
     return spark.read.parquet(out)
 
 
 @register("unauthorized_changes_stream", "R4", geo_queries_sql("unauthorized_changes"))
 def q_unauthorized_changes_stream(spark, sf):
-    from terrastate.plans.geo_queries import TARGET, WANTED, tile_country
+    from terrastate.plans.geo_queries import TARGET, WANTED
 
-    out = scratch_path(spark, "watch")
-    changes = so.changes_stream(_stream(spark, sf, d.clicks_b(spark, sf)))
-    q = runners.start(runners.watch_country(changes, tile_country(spark, sf), TARGET, WANTED), path=out, name="watch")
-    q.awaitTermination()
+    out, tc = scratch_path(spark, "watch"), stored_tile_country(spark, sf)
+    follow(spark, sf, lambda log, at: runners.start(runners.watch_country(so.changes_stream(log), tc, TARGET, WANTED), path=out, checkpoint=at),
+           d.clicks_b(spark, sf))
     return spark.read.parquet(out)
 
 
@@ -120,9 +108,8 @@ def q_dedup_clicks_stream(spark, sf):
     c = d.clicks_a(spark, sf)
     twice = c.unionByName(c.withColumn("arrival_ns", F.col("arrival_ns") + F.lit(1_000_000_000)))
     out = scratch_path(spark, "dedup")
-    deduped = so.dedup_stream(_stream(spark, sf, twice))
-    q = runners.start(deduped.select("tile_id", "country_id", "timestamp_ns", "click_id"), path=out, name="dedup")
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.start(so.dedup_stream(log).select("tile_id", "country_id", "timestamp_ns", "click_id"),
+                                                    path=out, checkpoint=at), twice)
     return spark.read.parquet(out)
 
 
@@ -140,23 +127,23 @@ def q_reject_table_stream(spark, sf):
 
 @register("periodic_audit", "T6", geo_queries_sql("claim_audit"))
 def q_periodic_audit(spark, sf):
-    """Each micro-batch upserts the snapshot (K1) and re-runs the claim audit
-    (R3) on it; the last run is the audit of the final state."""
+    """The snapshot is kept by K1's sink; next to it the claim audit (R3) is run
+    again and again; the last run is the audit of the final state."""
     from terrastate.operators.reconcile import claim_audit
-    from terrastate.plans.geo_queries import TARGET, WANTED, tile_country
+    from terrastate.plans.geo_queries import TARGET, WANTED
 
     snapshot, runs = scratch_path(spark, "audit-snapshot"), scratch_path(spark, "audit-runs")
-    upsert = runners.snapshot_upsert_sink(snapshot)
-    tc = tile_country(spark, sf)
+    tc = stored_tile_country(spark, sf)
 
-    def each(batch, batch_id):
-        upsert(batch, batch_id)
-        own = spark.read.parquet(snapshot).select("tile_id", "country_id", "timestamp_ns")
-        claim_audit(tc, own, TARGET, WANTED).write.mode("overwrite").parquet(f"{runs}/run={batch_id}")
+    def audit():
+        return claim_audit(tc, spark.read.parquet(snapshot).select("tile_id", "country_id", "timestamp_ns"), TARGET, WANTED)
 
-    owners = so.ownership_stream(_stream(spark, sf, d.clicks_b(spark, sf)))
-    q = runners.start(owners, each, mode="update", name="audit")
-    q.awaitTermination()
+    def run(log, at):
+        runners.start(so.ownership_stream(log), runners.snapshot_upsert_sink(snapshot), mode="update",
+                      checkpoint=f"{at}/snapshot").awaitTermination()
+        return runners.periodic_audit(log, audit, runs, checkpoint=f"{at}/audit", available_now=True)
+
+    follow(spark, sf, run, d.clicks_b(spark, sf))
     all_runs = spark.read.parquet(runs)
     last = all_runs.agg(F.max("run")).scalar()
     return all_runs.filter(F.col("run") == last).drop("run")
@@ -172,6 +159,5 @@ def q_change_batches_stream(spark, sf):
     def deliver(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = runners.start(so.changes_stream(_stream(spark, sf)), deliver, name="delivery")
-    q.awaitTermination()
+    follow(spark, sf, lambda log, at: runners.batched_delivery(so.changes_stream(log), deliver, checkpoint=at, available_now=True))
     return spark.read.parquet(out).drop("batch")

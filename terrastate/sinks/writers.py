@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrastate.session import path_exists, scratch_path
+from terrastate.session import path_exists
 
 
 # --- K1: ownership snapshot ---------------------------------------------------------------
@@ -126,15 +126,6 @@ def write_pages(pages: DataFrame, path: str) -> None:
     page_records(pages).write.mode("overwrite").json(path)
 
 
-def lineage_cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write to the shared checkpoint folder and read back (survives executor loss,
-    unlike a local checkpoint)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def page_payloads(pages: DataFrame) -> DataFrame:
     """K6 as served: one protobuf ownership state per page, base64 text, with
     the ownerships in tile order.  A page holds at most page_size tiles."""

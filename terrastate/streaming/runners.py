@@ -87,9 +87,9 @@ def mirror(changes: DataFrame) -> DataFrame:
 
 
 def batched_delivery(changes: DataFrame, deliver: Callable[[DataFrame, int], None], interval: str = "1 second",
-                     checkpoint: str | None = None) -> StreamingQuery:
-    """Pending changes handed to ``deliver`` in periodic batches."""
-    return start(changes, deliver, checkpoint=checkpoint, processing_time=interval, name="delivery")
+                     checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
+    """Pending changes handed to ``deliver`` in periodic batches (``available_now``: until the log's present end)."""
+    return start(changes, deliver, checkpoint=checkpoint, processing_time=None if available_now else interval, name="delivery")
 
 
 def quarantine_sink(valid_path: str, reject_path: str, payload_col: str = "payload") -> Callable[[DataFrame, int], None]:
@@ -111,9 +111,9 @@ def quarantine_sink(valid_path: str, reject_path: str, payload_col: str = "paylo
 
 
 def periodic_audit(trigger_stream: DataFrame, audit: Callable[[], DataFrame], out_path: str,
-                   interval: str = "120 seconds", checkpoint: str | None = None) -> StreamingQuery:
+                   interval: str = "120 seconds", checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
     """A full audit (R3) or diff (R1) recomputed on a processing-time
     trigger next to the live stream; each run is written under its batch id."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         audit().write.mode("overwrite").parquet(f"{out_path}/run={batch_id}")
-    return start(trigger_stream, sink, checkpoint=checkpoint, processing_time=interval, name="audit")
+    return start(trigger_stream, sink, checkpoint=checkpoint, processing_time=None if available_now else interval, name="audit")

@@ -78,7 +78,7 @@ def test_classify_stream_with_ties_matches_fold(spark):
     import random
 
     from fold import fold
-    from terrastate.plans.stream_queries import write_log_slices
+    from terrastate.plans.stream_queries import follow
     from terrastate.streaming import ownership as so
     from terrastate.streaming import runners
 
@@ -87,10 +87,8 @@ def test_classify_stream_with_ties_matches_fold(spark):
             for i in range(800)]
     schema = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
     clicks = spark.createDataFrame(rows, schema)
-    path = write_log_slices(spark, None, slices=3, clicks=clicks, name="ties-log")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = scratch_path(spark, "ties-out")
-    runners.start(so.classify_stream(stream), path=out, name="ties").awaitTermination()
+    follow(spark, None, lambda log, at: runners.start(so.classify_stream(log), path=out, checkpoint=at), clicks)
     got = {r.click_id: (r.applied, r.previous_country, r.previous_ts) for r in spark.read.parquet(out).collect()}
     expect, _, _ = fold([dict(zip(["tile_id", "country_id", "timestamp_ns", "click_id", "arrival_ns"], r)) for r in rows])
     assert got == expect
@@ -150,12 +148,13 @@ def test_checkpoint_dir_and_cluster_conf(spark):
 
 
 def test_processing_time_runners(spark):
-    from terrastate.plans.stream_queries import CLICK_A_SCHEMA, write_log_slices
+    from terrastate.sources.clicks import read_clicks
     from terrastate.streaming import ownership as so
     from terrastate.streaming import runners
 
-    log = write_log_slices(spark, SF_SMALL, slices=2, name="pt-log")
-    stream = spark.readStream.schema(CLICK_A_SCHEMA).option("maxFilesPerTrigger", 1).parquet(log)
+    log, clicks = scratch_path(spark, "pt-log"), d.clicks_a(spark, SF_SMALL)
+    clicks.write.parquet(log)
+    stream = read_clicks(log, spark, stream=True, schema=clicks.schema)
 
     delivered = scratch_path(spark, "pt-delivered")
     q = runners.batched_delivery(so.changes_stream(stream),
@@ -179,9 +178,49 @@ def test_processing_time_runners(spark):
     assert audited.filter(F.col("run") == audited.agg(F.max("run")).first()[0]).count() == 15
 
 
-def test_lineage_cut_goes_through_the_checkpoint_folder(spark):
-    df = ow.current_ownership(d.clicks_a(spark, SF_SMALL))
-    cut = writers.lineage_cut(df, "cut-test")
-    assert rows(cut) == rows(df)
-    plan = cut._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan parquet" in plan and "cut-test" in plan  # read back from the shared folder, no lineage
+def _owners(spark, rows):
+    return spark.createDataFrame(rows, "tile_id bigint, country_id string, timestamp_ns bigint")
+
+
+def test_snapshot_sink_keeps_the_snapshot_when_a_batch_fails(spark):
+    import pytest
+
+    from terrastate.session import path_exists
+    from terrastate.streaming.runners import snapshot_upsert_sink
+
+    path = scratch_path(spark, "upsert")
+    sink = snapshot_upsert_sink(path)
+    sink(_owners(spark, [(t, "a", 10) for t in range(2000)] + [(300_000, "z", 1)]), 0)
+    sink(_owners(spark, [(1, "b", 20), (2, "b", 5)]), 1)
+    stored = {r.tile_id: r.country_id for r in spark.read.parquet(path).collect()}
+    assert len(stored) == 2001 and stored[1] == "b" and stored[2] == "a"
+    spark.read.parquet(path).drop("country_id").limit(5).write.mode("append").partitionBy("bucket").parquet(path)  # a broken file
+    broken = snapshot_upsert_sink(path)
+    with pytest.raises(Exception):
+        broken(spark.range(3).withColumnRenamed("id", "tile_id"), 2)
+    assert spark.read.parquet(path).count() >= 2001 and path_exists(spark, path)
+
+
+def test_interrupted_tile_country_files_are_written_again(spark):
+    folder = scratch_path(spark, "tc-cut")
+    tiles = spark.createDataFrame([(1,), (2,)], "tile_id bigint")
+    mapping = spark.createDataFrame([(1, "fr"), (2, None)], "tile_id bigint, country_code string")
+    for name in ("tile_to_country", "country_to_tiles"):
+        mapping.write.json(f"{folder}/{name}/_temporary/0")
+    got = writers.load_or_build_tile_country(spark, folder, tiles, lambda: mapping)
+    assert rows(got) == rows(mapping)
+
+
+def test_dedup_stream_drops_no_click_that_was_never_seen(spark):
+    from terrastate.sources.clicks import read_clicks
+    from terrastate.streaming import ownership as so
+    from terrastate.streaming import runners
+
+    hour = 3_600_000_000_000
+    schema = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
+    log, out, at = scratch_path(spark, "late-log"), scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
+    for rows_ in ([(1, "a", 1, 1, 100 * hour)], [(1, "a", 1, 2, 101 * hour), (1, "a", 1, 1, 101 * hour)], [(1, "a", 1, 3, 90 * hour)]):
+        spark.createDataFrame(rows_, schema).write.mode("append").parquet(log)
+        stream = read_clicks(log, spark, stream=True, schema=spark.read.parquet(log).schema)
+        runners.start(so.dedup_stream(stream), path=out, checkpoint=at).awaitTermination()
+    assert sorted(r.click_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]

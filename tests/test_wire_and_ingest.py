@@ -100,3 +100,23 @@ def test_request_payloads(spark):
     b = spark.createDataFrame([(1, rng)], "k bigint, payload binary")
     got = src.decode_payloads(b, kind="batch_request").first()
     assert (got.start_tile_id, got.end_tile_id, got.error) == (10001, 20001, None)
+
+
+def _varint(v):
+    out = bytearray()
+    while True:
+        out.append((v & 127) | (128 if v > 127 else 0))
+        v >>= 7
+        if not v:
+            return bytes(out)
+
+
+def test_out_of_range_values_and_wrong_types_are_rejects(spark):
+    minus = _varint((1 << 64) - 1)
+    cases = [(1, b"\x08" + minus, "negative tile id"), (2, b"\x08\x01\x18" + _varint((1 << 64) - 1), "time out of range"),
+             (3, b"\x08\x01\x18" + _varint((1 << 63) - 1), None), (4, b"\x0a\x01a", "integer field with length wire type")]
+    df = spark.createDataFrame([(k, bytearray(p)) for k, p, _ in cases], "k bigint, payload binary")
+    assert {r.k: r.error for r in src.decode_payloads(df).collect()} == {k: e for k, _, e in cases}
+    batch = [(1, b"\x08\x01\x10\x05", None), (2, b"\x0a\x01a", "integer field with length wire type"), (3, b"\x08" + minus, "negative tile id"), (4, None, "null payload")]
+    df = spark.createDataFrame([(k, None if p is None else bytearray(p)) for k, p, _ in batch], "k bigint, payload binary")
+    assert {r.k: r.error for r in src.decode_payloads(df, kind="batch_request").collect()} == {k: e for k, _, e in batch}
