@@ -29,6 +29,7 @@ from terrastate.llm.common import crc_mod, materialize, text_rows
 STATS = ("bytes words word_mean word_sd letters upper digits spaces lines punctuation symbols symbol_kinds high "
          "distinct top_word same_next upper_words symbol_ends distinct_pairs line_repeats line_mean capitals short_words").split()
 
+FEW_WORDS = 8
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line feed, 6 punctuation, 7 symbol, 8 beyond ASCII
 for _chars, _kind in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), (b" \t\r\x0b\x0c", 4), (b"\n", 5), (b".,;:'\"-()", 6),
                       (b"!?#$%&*+/<=>@[\\]^_`{|}~", 7), (range(128, 256), 8)):
@@ -83,7 +84,10 @@ class QualityModel:
     levels: np.ndarray  # calibrated probability at each knot
 
     def features(self, stats: np.ndarray) -> np.ndarray:
-        x = np.clip((stats - self.mean) / self.scale, -8, 8)
+        """Waves of the standardised statistics, these themselves, and a constant.
+        Ratios over a few words say little: they are drawn towards the mean."""
+        words = np.expm1(stats[:, STATS.index("words")])
+        x = np.clip((stats - self.mean) / self.scale, -8, 8) * (words / (words + FEW_WORDS))[:, None]
         waves = np.cos(x @ self.frequencies + self.phases) * np.sqrt(2 / len(self.phases))
         return np.hstack([waves, x, np.ones((len(x), 1))])
 
