@@ -10,9 +10,11 @@ from terrastate.operators import ownership as ow
 from terrastate.operators import reconcile as rc
 from terrastate.plans.registry import register
 from terrastate.plans.sql import CLICKS_A, CLICKS_B, TILES, own, with_
+from terrastate.session import scratch_path
 from terrastate.sinks import writers
 from terrastate.sources import clicks as src
 from terrastate.sources import derived as d
+from terrastate.sources import osm as osm_source
 
 SEARCH = "ion_1"  # fixed parameter of the search query
 
@@ -182,6 +184,37 @@ def q_osm_elements(spark, sf):
                     t["population"].alias("population"), "dense", "block_id")
 
 
+def _stored(spark, elements, name, read, fmt):
+    """Elements laid down as files, and read by the source's reader."""
+    path = scratch_path(spark, name)
+    elements.write.format(fmt).save(path)
+    return read(spark, path, fmt)
+
+
+@register("osm_nodes_source", "S9", with_(_NODES) + """
+SELECT id, lat, lon, place, name, population, dense, block_id FROM nodes""")
+def q_osm_nodes_source(spark, sf):
+    n = _stored(spark, d.osm_nodes(spark, sf), "osm-nodes", osm_source.read_nodes, "parquet")
+    t = F.col("tags")
+    return n.select("id", "lat", "lon", t["place"].alias("place"), t["name"].alias("name"),
+                    t["population"].alias("population"), "dense", "block_id")
+
+
+@register("osm_ways_source", "S9", with_(_WAYS) + "SELECT id, nodes, highway, name, 'paved' AS surface, block_id FROM ways")
+def q_osm_ways_source(spark, sf):
+    w = _stored(spark, d.osm_ways(spark, sf), "osm-ways", osm_source.read_ways, "json")
+    t = F.col("tags")
+    return w.select("id", F.array_join(F.col("refs").cast("array<string>"), ",").alias("nodes"), t["highway"].alias("highway"),
+                    t["name"].alias("name"), t["surface"].alias("surface"), "block_id")
+
+
+@register("osm_relations_source", "S9", """
+SELECT c_custkey AS id, lower(c_mktsegment) AS type, CAST(floor(c_custkey / 100) AS BIGINT) AS block_id FROM customer""")
+def q_osm_relations_source(spark, sf):
+    r = _stored(spark, d.osm_relations(spark, sf), "osm-relations", osm_source.read_relations, "json")
+    return r.select("id", F.col("tags")["type"].alias("type"), "block_id")
+
+
 @register("extract_cities", "M1", with_(_CITIES) + "SELECT * FROM cities")
 def q_extract_cities(spark, sf):
     return osm.extract_cities(_nodes(spark, sf))
@@ -260,6 +293,14 @@ def q_xyz_to_uv(spark, sf):
     return _rounded(points.xyz_to_uv(_unit(spark, sf)))
 
 
+@register("xyz_to_uv_code", "G8", with_(_RAW) + """
+SELECT ordinal, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(0.5 + atan2(z, x) / (2 * pi()), 6) AS u,
+       round(0.5 - asin(y) / pi(), 6) AS v FROM unit""")
+def q_xyz_to_uv_code(spark, sf):
+    """The point script's own formula."""
+    return _rounded(points.xyz_to_uv(_unit(spark, sf), convention="code"))
+
+
 @register("dedup_points", "G10", with_(_RAW) + """
 SELECT min(ordinal) AS ordinal, round(arg_min(x, ordinal), 6) AS x, round(arg_min(y, ordinal), 6) AS y,
        round(arg_min(z, ordinal), 6) AS z

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrastate.operators.ownership import classify_clicks, current_ownership, ownership_changes
 from terrastate.plans.registry import register
 from terrastate.plans.sql import CLICKS_A, classified, own, with_
 from terrastate.session import scratch_path
@@ -48,6 +49,34 @@ def stored_tile_country(spark, sf):
     return writers.load_or_build_tile_country(spark, folder, d.tiles(spark, sf), lambda: tile_country(spark, sf))
 
 
+@register("click_log_stream", "S1", with_(CLICKS_A) + "SELECT * FROM clicks_a")
+def q_click_log_stream(spark, sf):
+    """The log followed from its start, across a restart."""
+    out = scratch_path(spark, "log-copy")
+    follow(spark, sf, lambda log, at: runners.start(log, path=out, checkpoint=at))
+    return spark.read.parquet(out)
+
+
+@register("snapshot_files", "K1", with_(CLICKS_A, own("clicks_a", "own_a")) + "SELECT * FROM own_a")
+def q_snapshot_files(spark, sf):
+    """The batch sink, written twice and read back."""
+    clicks, base = d.clicks_a(spark, sf), scratch_path(spark, "snapshot")
+    half = clicks.agg(F.percentile_approx("arrival_ns", 0.5)).scalar()
+    writers.write_snapshot(current_ownership(clicks.filter(F.col("arrival_ns") <= half)), base)
+    return writers.upsert_snapshot(spark, base, current_ownership(clicks.filter(F.col("arrival_ns") > half)), f"{base}-next")
+
+
+@register("notification_files", "K2", with_(CLICKS_A, classified("clicks_a", "cls")) + """
+SELECT tile_id, country_id, previous_country AS previous_country_id, click_id, timestamp_ns, arrival_ns FROM cls
+WHERE previous_country IS NOT NULL AND previous_country <> country_id AND applied""")
+def q_notification_files(spark, sf):
+    """The batch sink, written and read back."""
+    path = scratch_path(spark, "notifications")
+    changes = ownership_changes(classify_clicks(d.clicks_a(spark, sf)))
+    writers.write_notifications(changes, path)
+    return spark.read.schema(changes.schema).json(path)
+
+
 @register("ownership_stream", "O2", with_(CLICKS_A, own("clicks_a", "own_a")) + "SELECT * FROM own_a")
 def q_ownership_stream(spark, sf):
     snapshot = scratch_path(spark, "snapshot")
