@@ -72,10 +72,11 @@ def add_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
         both = F.when(forward, F.xxhash64(item(first), item(second))).otherwise(F.xxhash64(item(second), item(first)))
         return F.struct(bins(first).cast("int").alias("bin"), F.right(F.lpad(F.lower(F.hex(both)), 16, "0"), F.lit(DIGITS)).alias("sig"))
 
-    found = F.map_from_entries(F.transform("_s", signature))
-    df = step(df, found)
-    return df.select(*keep, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda b: F.coalesce(
-        F.try_element_at("_x", b), F.lit(EMPTY))), "").alias(out))
+    # each column is used twice or more outside of lambdas, or the optimizer would move its computation into one
+    df = step(df, F.transform("_s", signature))
+    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), F.col("_x.bin")),
+                        lambda b: F.struct(b.alias("bin"), F.lit(EMPTY).alias("sig")))
+    return df.select(*keep, F.array_join(F.array_sort(F.concat("_x", empty))["sig"], "").alias(out))
 
 
 def likeness(a: str, b: str) -> Column:
