@@ -1,19 +1,17 @@
 """Protocol-buffer wire format of the click records.
 
 Encoding is written with Spark built-ins (varints from shifts and masks, bytes
-via ``unhex``), so it stays in the JVM.  Decoding of a variable-length record
-cannot be expressed that way; it is a small per-record helper run inside
-``mapInArrow`` on Arrow batches.
+via ``unhex``), so it stays in the JVM.  Decoding reads whole Arrow batches inside
+``mapInArrow``: all records in step, with numpy over the batch's byte buffer.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-# Field numbers of the record types (proto3).
-CLICK_FIELDS = {"tile_id": 1, "country_id": 2, "timestamp_ns": 3, "click_id": 4}
-CLICK_REQUEST_FIELDS = {"tile_id": 1, "country_id": 2}
-BATCH_REQUEST_FIELDS = {"start_tile_id": 1, "end_tile_id": 2}
 WIRE_VARINT, WIRE_LEN = 0, 2
 
 
@@ -64,103 +62,151 @@ def encode_click(tile_id: Column, country_id: Column, timestamp_ns: Column, clic
         _field_hex(3, timestamp_ns, "varint"), _field_hex(4, click_id, "string")))
 
 
-# --- decode (per record, inside Arrow batches) -----------------------------------------
+# --- decode (a whole Arrow batch at a time) ----------------------------------------------
 
 class WireError(ValueError):
     pass
 
 
-def _read_varint(buf: bytes, pos: int) -> tuple[int, int]:
-    result = shift = 0
-    while True:
-        if pos >= len(buf):
-            raise WireError("truncated varint")
-        b = buf[pos]
-        pos += 1
-        result |= (b & 0x7F) << shift
-        if not b & 0x80:
-            return result, pos
-        shift += 7
-        if shift >= 70:
-            raise WireError("varint too long")
-
-
-def decode_fields(buf: bytes) -> dict[int, int | bytes]:
-    """Last value wins per field number (proto3 merge rule for scalars)."""
-    pos, out = 0, {}
-    while pos < len(buf):
-        key, pos = _read_varint(buf, pos)
-        field, wire = key >> 3, key & 7
-        if field == 0:
-            raise WireError("field number 0")
-        if wire == WIRE_VARINT:
-            out[field], pos = _read_varint(buf, pos)
-        elif wire == WIRE_LEN:
-            n, pos = _read_varint(buf, pos)
-            if pos + n > len(buf):
-                raise WireError("truncated length-delimited field")
-            out[field] = buf[pos:pos + n]
-            pos += n
-        elif wire == 1:
-            if pos + 8 > len(buf):
-                raise WireError("truncated fixed64")
-            pos += 8
-        elif wire == 5:
-            if pos + 4 > len(buf):
-                raise WireError("truncated fixed32")
-            pos += 4
-        else:
-            raise WireError(f"unsupported wire type {wire}")
-    return out
-
-
-def _tile(v) -> int:
-    """A tile id: a signed 32-bit integer that is not negative."""
-    if not isinstance(v, int):
-        raise WireError("integer field with length wire type")
-    v &= 0xFFFFFFFF
-    if v >= 1 << 31:
-        raise WireError("negative tile id")
-    return v
-
-
-def _time(v) -> int:
-    """A time in ns; unsigned 64-bit on the wire, but a log column holds 63 bits."""
-    if not isinstance(v, int):
-        raise WireError("integer field with length wire type")
-    if v >= 1 << 63:
-        raise WireError("time out of range")
-    return v
-
-
-def decode_click(buf: bytes) -> dict:
-    """Click record -> dict; raises WireError on malformed input."""
-    f = decode_fields(buf)
-    try:
-        country = f.get(2, b"")
-        click_id = f.get(4, b"")
-        if not isinstance(country, bytes) or not isinstance(click_id, bytes):
-            raise WireError("string field with varint wire type")
-        return {"tile_id": _tile(f.get(1, 0)), "country_id": country.decode("utf-8"),
-                "timestamp_ns": _time(f.get(3, 0)), "click_id": click_id.decode("utf-8")}
-    except UnicodeDecodeError as e:
-        raise WireError("invalid utf-8") from e
-
-
-def decode_request(buf: bytes) -> dict:
-    f = decode_fields(buf)
-    country = f.get(2, b"")
-    if not isinstance(country, bytes):
-        raise WireError("string field with varint wire type")
+#: Field numbers of the record kinds (proto3), in the order in which they are checked.
+RECORDS = {
+    "click": [("tile_id", 1, "tile"), ("country_id", 2, "text"), ("timestamp_ns", 3, "time"), ("click_id", 4, "text")],
+    "request": [("tile_id", 1, "tile"), ("country_id", 2, "text")],
+    "batch_request": [("start_tile_id", 1, "tile"), ("end_tile_id", 2, "tile")],
+}
+REASONS = [None, "truncated varint", "varint too long", "field number 0", "truncated length-delimited field", "truncated fixed64",
+           "truncated fixed32", "unsupported wire type", "string field with varint wire type", "integer field with length wire type",
+           "negative tile id", "time out of range", "invalid utf-8", "null payload"]
+_CODE = {r: i for i, r in enumerate(REASONS)}
+
+
+class _Cursors:
+    """One cursor a record over the batch's bytes; a record stops at its first error."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, nulls: np.ndarray):
+        self.data, self.pos, self.ends = data, starts.astype(np.int64), ends.astype(np.int64)
+        self.error = np.where(nulls, _CODE["null payload"], 0)
+
+    def fail(self, rows: np.ndarray, reason: str) -> None:
+        self.error[rows] = _CODE[reason]
+
+    def open(self) -> np.ndarray:
+        return np.flatnonzero((self.error == 0) & (self.pos < self.ends))
+
+    def varints(self, rows: np.ndarray) -> np.ndarray:
+        """The varint at each row's cursor, which moves behind it."""
+        value, reading = np.zeros(len(rows), np.uint64), np.arange(len(rows))
+        for shift in range(0, 70, 7):
+            r = rows[reading]
+            short = self.pos[r] >= self.ends[r]
+            self.fail(r[short], "truncated varint")
+            reading, r = reading[~short], r[~short]
+            byte = self.data[self.pos[r]].astype(np.uint64)
+            self.pos[r] += 1
+            value[reading] |= (byte & np.uint64(127)) << np.uint64(shift)
+            reading = reading[byte > 127]
+            if not len(reading):
+                return value
+        self.fail(rows[reading], "varint too long")
+        return value
+
+    def skip(self, rows: np.ndarray, n: np.ndarray, reason: str) -> np.ndarray:
+        """Moves the cursors on; the rows that had enough bytes left."""
+        enough = n <= (self.ends[rows] - self.pos[rows]).astype(np.uint64)
+        self.fail(rows[~enough], reason)
+        self.pos[rows[enough]] += n[enough].astype(np.int64)
+        return enough
+
+
+def decode_batch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, nulls: np.ndarray, kind: str) -> tuple[list[pa.Array], pa.Array]:
+    """Columns of all records of ``kind`` in a batch, and why each reject is one.
+
+    All records are read in step, field by field: as many numpy passes as the
+    longest record has fields.  The last value of a field wins; fields of other
+    numbers are skipped.  A reject has nulls in all columns.
+    """
+    n, fields = len(starts), RECORDS[kind]
+    number_of = {number: k for k, (_, number, _) in enumerate(fields)}
+    value = np.zeros((len(fields), n), np.uint64)  # of varints, and where a text ends
+    begin = np.zeros((len(fields), n), np.int64)
+    wire_of = np.full((len(fields), n), -1)  # no such field: the default value
+    c = _Cursors(data, starts, ends, nulls)
+    while len(rows := c.open()):
+        key = c.varints(rows)
+        rows, key = rows[ok := c.error[rows] == 0], key[ok]
+        number, wire = key >> np.uint64(3), (key & np.uint64(7)).astype(np.int64)
+        c.fail(rows[number == 0], "field number 0")
+        c.fail(rows[(number > 0) & ~np.isin(wire, (0, 1, 2, 5))], "unsupported wire type")
+        for w, size, reason in ((1, 8, "truncated fixed64"), (5, 4, "truncated fixed32")):
+            at = rows[(wire == w) & (number > 0)]
+            c.skip(at, np.full(len(at), size, np.uint64), reason)
+        for w in (WIRE_VARINT, WIRE_LEN):
+            picked = (wire == w) & (number > 0)
+            at, which = rows[picked], number[picked]
+            read = c.varints(at)
+            ok = c.error[at] == 0
+            at, which, read = at[ok], which[ok], read[ok]
+            first = c.pos[at]
+            if w == WIRE_LEN:
+                ok = c.skip(at, read, "truncated length-delimited field")
+                at, which, read, first = at[ok], which[ok], c.pos[at[ok]].astype(np.uint64), first[ok]
+            for field, k in number_of.items():
+                mine = which == field
+                value[k, at[mine]], begin[k, at[mine]], wire_of[k, at[mine]] = read[mine], first[mine], w
+
+    def reject(where: np.ndarray, reason: str) -> None:
+        c.error[(c.error == 0) & where] = _CODE[reason]
+
+    texts: dict[int, pa.Array] = {}
+    for k, (_, _, type_) in enumerate(fields):
+        if type_ == "text":
+            reject(wire_of[k] == WIRE_VARINT, "string field with varint wire type")
+    for k, (_, _, type_) in enumerate(fields):
+        if type_ == "text":
+            texts[k], bad = _texts(data, np.where(wire_of[k] == WIRE_LEN, begin[k], 0), np.where(wire_of[k] == WIRE_LEN, value[k].astype(np.int64), 0))
+            reject(bad, "invalid utf-8")
+            continue
+        reject(wire_of[k] == WIRE_LEN, "integer field with length wire type")
+        if type_ == "tile":  # a signed 32-bit integer that is not negative
+            value[k] &= np.uint64(0xFFFFFFFF)
+            reject(value[k] >= np.uint64(1 << 31), "negative tile id")
+        else:  # unsigned 64-bit on the wire, but a log column holds 63 bits
+            reject(value[k] >= np.uint64(1 << 63), "time out of range")
+    bad = c.error > 0
+    columns = [pc.if_else(pa.array(~bad), texts[k], None) if k in texts else pa.array(value[k].astype(np.int64), mask=bad) for k in range(len(fields))]
+    return columns, pa.array(REASONS, pa.string()).take(pa.array(c.error))
+
+
+def _texts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Strings cut from the batch's bytes, and which of them are not UTF-8 (empty here)."""
+    def gather(b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum(e - b)])
+        return data[np.arange(offsets[-1]) + np.repeat(b - offsets[:-1], e - b)], offsets
+
+    raw, offsets = gather(begin, end)
+    bad = np.zeros(len(begin), bool)
+    head = raw[offsets[:-1][end > begin]]
     try:
-        return {"tile_id": _tile(f.get(1, 0)), "country_id": country.decode("utf-8")}
-    except UnicodeDecodeError as e:
-        raise WireError("invalid utf-8") from e
-
-
-def decode_batch_request(buf: bytes) -> dict:
-    f = decode_fields(buf)
-    return {"start_tile_id": _tile(f.get(1, 0)), "end_tile_id": _tile(f.get(2, 0))}
+        if ((head & 0xC0) == 0x80).any():
+            raise UnicodeDecodeError("utf-8", b"", 0, 1, "a text starts inside a character")
+        raw.tobytes().decode("utf-8")
+    except UnicodeDecodeError:  # rare: tell which
+        for i, (b, e) in enumerate(zip(begin.tolist(), end.tolist())):
+            try:
+                data[b:e].tobytes().decode("utf-8")
+            except UnicodeDecodeError:
+                bad[i] = True
+        raw, offsets = gather(begin, np.where(bad, begin, end))
+    return pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]), bad
+
+
+def decode_record(buf: bytes, kind: str) -> dict:
+    """One record as a dict; raises WireError on malformed input (tests and small tools)."""
+    data = np.frombuffer(buf, np.uint8)
+    columns, reason = decode_batch(data, np.array([0]), np.array([len(buf)]), np.array([False]), kind)
+    if reason[0].as_py() is not None:
+        raise WireError(reason[0].as_py())
+    return {name: col[0].as_py() for (name, _, _), col in zip(RECORDS[kind], columns)}
 
 
 def _embedded_hex(field: int, msg_hex: Column) -> Column:
@@ -177,15 +223,3 @@ def ownership_hex(tile_id: Column, country_id: Column, timestamp_ns: Column) ->
     """``ownerships`` item of an ownership state: tile (1), country (2), time (3)."""
     return _embedded_hex(1, F.concat(_field_hex(1, tile_id, "varint"), _field_hex(2, country_id, "string"),
                                      _field_hex(3, timestamp_ns, "varint")))
-
-
-def decode_leaderboard(buf: bytes) -> list[tuple[str, int]]:
-    """Test helper: the (country, score) entries of a leaderboard reply."""
-    out, pos = [], 0
-    while pos < len(buf):
-        key, pos = _read_varint(buf, pos)
-        n, pos = _read_varint(buf, pos)
-        f = decode_fields(buf[pos:pos + n])
-        pos += n
-        out.append((f.get(1, b"").decode("utf-8"), f.get(2, 0)))
-    return out

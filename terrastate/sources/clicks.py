@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -41,39 +42,19 @@ def read_clicks(source: DataFrame | str, spark: SparkSession | None = None, stre
 
 # --- S2: binary payloads ---------------------------------------------------------------
 
-# Record kinds: decoder and typed output fields.
-RECORDS = {
-    "click": (wire.decode_click, [("tile_id", pa.int64(), T.LongType()), ("country_id", pa.string(), T.StringType()),
-                                  ("timestamp_ns", pa.int64(), T.LongType()), ("click_id", pa.string(), T.StringType())]),
-    "request": (wire.decode_request, [("tile_id", pa.int64(), T.LongType()), ("country_id", pa.string(), T.StringType())]),
-    "batch_request": (wire.decode_batch_request, [("start_tile_id", pa.int64(), T.LongType()),
-                                                  ("end_tile_id", pa.int64(), T.LongType())]),
-}
+TYPES = {"tile": T.LongType(), "time": T.LongType(), "text": T.StringType()}
 
 
 def _decode_batches(payload_col: str, keep: list[str], kind: str):
-    decode, fields = RECORDS[kind]
-    names = [f[0] for f in fields]
+    names = [name for name, _, _ in wire.RECORDS[kind]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {name: [] for name in [*names, "error"]}
-            for buf in batch.column(payload_col).to_pylist():
-                try:
-                    if buf is None:
-                        raise wire.WireError("null payload")
-                    rec = decode(bytes(buf))
-                    for k in names:
-                        cols[k].append(rec[k])
-                    cols["error"].append(None)
-                except wire.WireError as e:
-                    for k in names:
-                        cols[k].append(None)
-                    cols["error"].append(str(e))
-            arrays = [batch.column(k) for k in keep]
-            arrays += [pa.array(cols[name], arrow) for name, arrow, _ in fields]
-            arrays.append(pa.array(cols["error"], pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names, "error"])
+            col = batch.column(payload_col).cast(pa.large_binary())
+            offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
+            data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+            columns, reason = wire.decode_batch(data, offsets[:-1], offsets[1:], col.is_null().to_numpy(zero_copy_only=False), kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *columns, reason], names=[*keep, *names, "error"])
     return run
 
 
@@ -82,7 +63,7 @@ def decode_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "cl
     ``error`` is null for valid records.  Runs per Arrow batch inside the
     tasks; other columns pass through."""
     keep = [c for c in df.columns if c != payload_col]
-    out = [T.StructField(name, spark_type) for name, _, spark_type in RECORDS[kind][1]]
+    out = [T.StructField(name, TYPES[type_]) for name, _, type_ in wire.RECORDS[kind]]
     schema = T.StructType([df.schema[c] for c in keep] + out + [T.StructField("error", T.StringType())])
     return df.mapInArrow(_decode_batches(payload_col, keep, kind), schema)
 

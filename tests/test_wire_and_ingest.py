@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+import wire_reader
 from terrastate.functions import wire
 from terrastate.sources import clicks as src
 
 
 def test_wire_goldens():
-    assert wire.decode_request(bytes([8, 213, 153, 6, 18, 2, 102, 114])) == {"tile_id": 101589, "country_id": "fr"}
-    assert wire.decode_batch_request(bytes([8, 145, 78, 16, 161, 156, 1])) == {"start_tile_id": 10001, "end_tile_id": 20001}
+    assert wire.decode_record(bytes([8, 213, 153, 6, 18, 2, 102, 114]), "request") == {"tile_id": 101589, "country_id": "fr"}
+    assert wire.decode_record(bytes([8, 145, 78, 16, 161, 156, 1]), "batch_request") == {"start_tile_id": 10001, "end_tile_id": 20001}
 
 
 def test_encode_decode_roundtrip_and_rejects(spark):
@@ -24,7 +25,7 @@ def test_encode_decode_roundtrip_and_rejects(spark):
     assert reasons == {99: "truncated varint", 98: "truncated length-delimited field"}
     # the request sample decodes as a click too (same first two fields)
     sample = bytes([8, 213, 153, 6, 18, 2, 102, 114])
-    assert wire.decode_click(sample)["tile_id"] == 101589
+    assert wire.decode_record(sample, "click")["tile_id"] == 101589
 
 
 def test_subjects(spark):
@@ -71,7 +72,7 @@ def test_leaderboard_reply_golden(spark):
     r = leaderboard_reply(board).first()
     assert (r.entries, r.bytes, len(r.data)) == (5, 46, 64)
     assert len(json.dumps({"data": r.data}, separators=(",", ":"))) == 75
-    assert wire.decode_leaderboard(base64.b64decode(r.data)) == [
+    assert wire_reader.decode_leaderboard(base64.b64decode(r.data)) == [
         ("ru", 31473), ("fr", 16478), ("es", 874), ("sr", 544), ("sd", 1)]
 
 
@@ -84,10 +85,10 @@ def test_page_payload_decodes(spark):
                                   "page_no bigint, tile_id bigint, country_id string, timestamp_ns bigint")
     got = {r.page_no: base64.b64decode(r.data) for r in page_payloads(pages).collect()}
     first = got[0]
-    key, pos = wire._read_varint(first, 0)
-    n, pos = wire._read_varint(first, pos)
-    assert wire.decode_fields(first[pos:pos + n]) == {2: b"fr", 3: 5}  # tile 0 omitted (proto3 default)
-    assert wire.decode_fields(first[pos + n + 2:]) == {1: 3, 2: b"ru", 3: 1733000000000000000}
+    key, pos = wire_reader._read_varint(first, 0)
+    n, pos = wire_reader._read_varint(first, pos)
+    assert wire_reader.decode_fields(first[pos:pos + n]) == {2: b"fr", 3: 5}  # tile 0 omitted (proto3 default)
+    assert wire_reader.decode_fields(first[pos + n + 2:]) == {1: 3, 2: b"ru", 3: 1733000000000000000}
 
 
 def test_request_payloads(spark):
@@ -120,3 +121,52 @@ def test_out_of_range_values_and_wrong_types_are_rejects(spark):
     batch = [(1, b"\x08\x01\x10\x05", None), (2, b"\x0a\x01a", "integer field with length wire type"), (3, b"\x08" + minus, "negative tile id"), (4, None, "null payload")]
     df = spark.createDataFrame([(k, None if p is None else bytearray(p)) for k, p, _ in batch], "k bigint, payload binary")
     assert {r.k: r.error for r in src.decode_payloads(df, kind="batch_request").collect()} == {k: e for k, _, e in batch}
+
+
+def test_batch_decode_equals_the_per_record_reader():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(11)
+
+    def field():
+        n, w = rnd.randint(0, 6), rnd.choice([0, 0, 0, 2, 2, 2, 1, 5, 3])
+        body = {0: lambda: _varint(rnd.choice([0, 1, 300, (1 << 31) - 1, 1 << 31, (1 << 63) - 1, 1 << 63, (1 << 64) - 1])),
+                1: lambda: bytes(rnd.randint(0, 8)), 5: lambda: bytes(rnd.randint(0, 4)), 3: lambda: b"",
+                2: lambda: (lambda t: _varint(len(t) + (rnd.random() < 0.05)) + t)(rnd.choice([b"", b"fr", "é漢".encode(), b"\xff", b"\xc3"]))}[w]()
+        return _varint((n << 3) | w) + body
+
+    records = [b"".join(field() for _ in range(rnd.randint(0, 5))) for _ in range(4000)] + [b"\x80" * 12, b"", b"\x08"]
+    data, ends = np.frombuffer(b"".join(records), np.uint8), np.cumsum([len(r) for r in records])
+    for kind, fields in wire.RECORDS.items():
+        columns, reason = wire.decode_batch(data, np.concatenate([[0], ends[:-1]]), ends, np.zeros(len(records), bool), kind)
+        for i, r in enumerate(records):
+            try:
+                f, why = wire_reader.decode_fields(r), None
+            except wire_reader.WireError as e:
+                f, why = None, str(e).replace(" 3", "").replace(" 4", "").replace(" 6", "").replace(" 7", "") if "unsupported" in str(e) else str(e)
+            got = reason[i].as_py()
+            if f is None:
+                assert got == why, (r, got, why)
+                continue
+            checks = [isinstance(f.get(n, b"" if t == "text" else 0), bytes if t == "text" else int) for _, n, t in fields]
+            good = all(checks)
+            if good:
+                want = []
+                for _, n, t in fields:
+                    v = f.get(n, b"" if t == "text" else 0)
+                    if t == "text":
+                        try:
+                            v = v.decode()
+                        except UnicodeDecodeError:
+                            good = False
+                    elif t == "tile":
+                        v &= 0xFFFFFFFF
+                        good &= v < 1 << 31
+                    else:
+                        v &= 0xFFFFFFFFFFFFFFFF
+                        good &= v < 1 << 63
+                    want.append(v)
+            assert (got is None) == good, (r, got)
+            assert [c[i].as_py() for c in columns] == (want if good else [None] * len(fields))
