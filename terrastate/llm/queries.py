@@ -53,6 +53,9 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(spark, documents(spark, sf_dir))
 
 
+ORACLES["op5_suffix_array_dedup"] = suffix_dedup.ORACLE_SQL
+
+
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.dedup_digest(spark, documents(spark, sf_dir))

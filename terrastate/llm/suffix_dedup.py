@@ -171,3 +171,20 @@ def dedup_texts(spark: SparkSession, docs: DataFrame, **sizes) -> DataFrame:
     schema = T.StructType([T.StructField("n_chars", T.LongType()) if f.name == "n_chars" else f for f in docs.schema.fields])
     types = [to_arrow_type(f.dataType) for f in schema.fields]
     return R.repeated_units(spark, docs, R.byte_units, judge, WINDOW, GRAM, False, finish, schema, carry=carry, **sizes)
+
+
+#: The registered query in plain SQL, over all windows (two hex digits a byte).
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, doc_id, unnest([md5(substr(x, 2 * i + 1, 100)) for i in range(CAST(length(x) // 2 - 49 AS BIGINT))]) AS h,
+             unnest(range(CAST(length(x) // 2 - 49 AS BIGINT))) AS i FROM d WHERE length(x) >= 100),
+f AS (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM p),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM f WHERE first < doc_id),
+spans AS (SELECT r, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < i - 1) AS n_spans
+          FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM gone) GROUP BY r),
+bytes AS (SELECT r, unnest([substr(x, 2 * i + 1, 2) for i in range(CAST(length(x) // 2 AS BIGINT))]) AS b,
+                 unnest(range(CAST(length(x) // 2 AS BIGINT))) AS i FROM d),
+kept AS (SELECT r, string_agg(b, '' ORDER BY i) AS k FROM bytes ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (r) LEFT JOIN kept USING (r)"""
