@@ -73,21 +73,20 @@ def test_fixture_assignment(spark):
 
 
 def _brute(points, rings):
-    """The ray-casting rule applied literally: any ring with an odd count."""
-    out = {}
-    for tid, (x, y) in enumerate(points):
-        hits = []
-        for code, ring in rings:
-            inside = False
-            j = len(ring) - 1
-            for i in range(len(ring)):
-                (xi, yi), (xj, yj) = ring[i], ring[j]
-                if ((yi > y) != (yj > y)) and (x < (xj - xi) * (y - yi) / (yj - yi) + xi):
-                    inside = not inside
-                j = i
-            if inside:
-                hits.append(code)
-        out[tid] = hits
+    """Even-odd rule from all abscissas at which a ring cuts the point's parallel:
+    a ring holds the point if an odd number of them lie east of it."""
+    import numpy as np
+
+    lon, lat = np.array(points).T
+    out = {t: [] for t in range(len(points))}
+    for code, ring in rings:
+        a = np.array(ring)
+        b = np.roll(a, 1, axis=0)
+        a, b = a[a[:, 1] != b[:, 1]], b[a[:, 1] != b[:, 1]]
+        cuts = (a[:, 1] > lat[:, None]) ^ (b[:, 1] > lat[:, None])
+        where = (b[:, 0] - a[:, 0]) * (lat[:, None] - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+        for t in np.flatnonzero((cuts & (where > lon[:, None])).sum(axis=1) % 2):
+            out[int(t)].append(code)
     return out
 
 
