@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrastate.operators.ownership import classify_clicks, current_ownership, ownership_changes
+from terrastate.operators.ownership import classify_clicks, current_ownership, ownership_changes, retained_clicks
+from terrastate.plans.ownership_queries import RETENTION_NS
 from terrastate.plans.registry import register
 from terrastate.plans.sql import CLICKS_A, classified, own, with_
 from terrastate.session import scratch_path
@@ -57,6 +58,15 @@ def q_click_log_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+@register("retained_clicks_stream", "T1", with_(CLICKS_A) + f"""
+SELECT * FROM clicks_a WHERE arrival_ns > (SELECT max(arrival_ns) FROM clicks_a) - {RETENTION_NS}""")
+def q_retained_clicks_stream(spark, sf):
+    """What the store holds after the log was followed to its end."""
+    store = scratch_path(spark, "retained")
+    follow(spark, sf, lambda log, at: runners.start(log, runners.retention_sink(store, RETENTION_NS), checkpoint=at))
+    return retained_clicks(spark.read.parquet(store).drop("hour", "batch"), RETENTION_NS)
+
+
 @register("snapshot_files", "K1", with_(CLICKS_A, own("clicks_a", "own_a")) + "SELECT * FROM own_a")
 def q_snapshot_files(spark, sf):
     """The batch sink, written twice and read back."""

@@ -18,6 +18,7 @@ from terrastate.session import path_exists, remove_path, scratch_path
 from terrastate.sinks.writers import merge_snapshot
 
 SNAPSHOT_BUCKET = 100_000  # tiles per snapshot partition folder
+HOUR_NS = 3_600_000_000_000
 
 
 def _checkpoint(spark: SparkSession, checkpoint: str | None, name: str) -> str:
@@ -69,6 +70,31 @@ def snapshot_upsert_sink(snapshot_path: str) -> Callable[[DataFrame, int], None]
     return sink
 
 
+def retention_sink(path: str, retention_ns: int, time_col: str = "arrival_ns") -> Callable[[DataFrame, int], None]:
+    """T1 on a stream: a store of the clicks of the last ``retention_ns``, measured
+    back from the newest entry.  Clicks are kept in folders of an hour; folders
+    that lie wholly before the cut are removed (as many as hours have passed),
+    and readers apply ``retained_clicks`` to what is left.  A retried batch
+    overwrites its own folders."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = [batch.agg(F.max(time_col)).first()[0]]
+        stored = spark.read.parquet(path) if path_exists(spark, path) else None
+        if stored is not None:
+            seen.append(stored.agg(F.max(time_col)).first()[0])
+        newest = max((x for x in seen if x is not None), default=None)
+        if newest is None:
+            return
+        cut = newest - retention_ns
+        (batch.filter(F.col(time_col) > cut).withColumn("hour", F.floor(F.col(time_col) / HOUR_NS).cast("bigint"))
+         .withColumn("batch", F.lit(batch_id)).repartition("hour")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path))
+        if stored is not None:
+            for r in stored.filter(F.col("hour") < cut // HOUR_NS).select("hour").distinct().collect():
+                remove_path(spark, f"{path}/hour={r.hour}")
+    return sink
+
+
 def notification_sink(changes: DataFrame, path: str, checkpoint: str | None = None, **kw) -> StreamingQuery:
     """K2: the change stream appended to files."""
     cols = ["tile_id", "country_id", "previous_country_id"]
