@@ -125,7 +125,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 256, width: float =
     d = len(STATS)
     if n > fit_rows:
         rows = rows.filter(F.pmod(F.xxhash64("pick"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    rows = rows.repartition(tasks, "pick").persist()
+    rows = rows.repartition(tasks).persist()  # evenly, whatever texts repeat
     # fixed-size sums: tasks rows of moments, then tasks blocks of normal equations
     moments = np.array(rows.select(*[F.expr(f"stats[{i}] AS s{i}") for i in range(d)]).agg(
         *[F.avg(f"s{i}") for i in range(d)], *[F.stddev_pop(f"s{i}") for i in range(d)]).first(), np.float64)
