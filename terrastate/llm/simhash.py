@@ -115,7 +115,8 @@ def fingerprint_links(spark: SparkSession, distinct: DataFrame, radius: int = 3,
     left = (tiles.select(F.explode(offsets).alias("d"), *keys, F.col("cut").alias("cut_a"), F.col("fps").alias("fps_a"))
             .select("cut_a", "fps_a", *[(F.col(f"q{k}") + F.col(f"d.d{k}")).alias(f"q{k}") for k in range(4)],
                     (F.expr("d.d0 = 0 AND d.d1 = 0 AND d.d2 = 0 AND d.d3 = 0")).alias("own")))
-    pairs = (left.join(tiles, keys).filter("NOT own OR cut_a <= cut")
+    # never by broadcast: the exploded side is many times what its file size makes the planner expect
+    pairs = (left.hint("merge").join(tiles, keys).filter("NOT own OR cut_a <= cut")
              .select(F.col("fps_a").alias("a"), F.col("fps").alias("b"), F.expr("own AND cut_a = cut").alias("same")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
