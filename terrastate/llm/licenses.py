@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-DataFrame functions only.  A block is a line of a document, as a set of words; a
+DataFrame functions only.  A block is a line of a document, or (``run``) any run
+of so many consecutive words, whatever lines they stand on, as a set of words; a
 template meets it if at least ``threshold`` of the template's words stand in
 the block.  Words are ordered by their frequency over all blocks, rarest first.
 Such a pair shares at least ``need`` words, so both prefixes (all but need - 1
@@ -8,7 +9,9 @@ of the words in that order) share a word; the block has at least ``need`` words;
 and a shared word at places i and j leaves room for ``need`` shared words.  The
 join is on prefix words, the other filters prune it, and the pairs left are
 counted exactly.  Templates are a parameter of the job, so what is broadcast
-(their words) has that size; only words that templates use are counted.
+(their words) has that size; only words that templates use are counted.  Runs
+are joined as stretches of two runs, one beginning at every run's length, so that
+each run lies in a stretch; a pair left is counted in every run of its stretch.
 
 Beside it, phrases are places where certain words stand consecutively.
 
@@ -72,6 +75,27 @@ def phrase_starts(words: Column, phrases: dict[str, str]) -> Column:
     return F.concat(*[places(p.split(), label) for p, label in phrases.items()])
 
 
+def longest(templates: dict[str, str]) -> int:
+    """Words of the longest template: the length of a run."""
+    return max(len(words.split()) for words in templates.values())
+
+
+def prefix_index(spark: SparkSession, sets: dict[str, list[str]], ranked: list[str], threshold: float) -> tuple[list[tuple], DataFrame]:
+    """The prefix words of each template (all but need - 1, rarest first), as rows and as a broadcast table."""
+    index = [(label, w, i, len(words), need(len(words), threshold), sorted(words, key=ranked.index))
+             for label, words in sets.items() for i, w in enumerate(sorted(words, key=ranked.index)) if i <= len(words) - need(len(words), threshold)]
+    return index, F.broadcast(spark.createDataFrame(index, "label string, word string, t_at int, t_size int, need int, t_words array<string>"))
+
+
+def filtered_pairs(seeds: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs of a block's template words (rarest first; each with its place ``b_at``) and a template that pass the filters."""
+    return (seeds.join(prefixes, "word")
+            .filter(F.col("size") >= F.col("need"))  # length
+            .filter(F.col("b_at") <= F.size("words") - F.col("need"))  # prefix of the block
+            .filter(F.least("b_at", "t_at") + 1 + F.least(F.size("words") - F.col("b_at") - 1, F.col("t_size") - F.col("t_at") - 1)
+                    >= F.col("need")))  # position
+
+
 def block_matches(spark: SparkSession, rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """(key, label, containment): best block of each document for each template it meets.  ``rows``: key, lowered."""
     sets = {label: sorted(set(words.split())) for label, words in templates.items()}
@@ -88,27 +112,49 @@ def block_matches(spark: SparkSession, rows: DataFrame, templates: dict[str, str
     ranked = sorted(used, key=lambda w: (frequency.get(w, 0), w))
     order = F.array(*map(F.lit, ranked))  # rarest first; as many as the templates' words
 
-    index = [(label, w, i, len(words), need(len(words), threshold), sorted(words, key=ranked.index))
-             for label, words in sets.items() for i, w in enumerate(sorted(words, key=ranked.index)) if i <= len(words) - need(len(words), threshold)]
-    prefixes = F.broadcast(spark.createDataFrame(index, "label string, word string, t_at int, t_size int, need int, t_words array<string>"))
+    _, prefixes = prefix_index(spark, sets, ranked, threshold)
     # words of no template match nothing, so a block's order is that of its template words
     ordered = blocks.select("block", "size", "words").distinct().withColumn("words", F.array_intersect(order, "words"))
     seeds = ordered.select("block", "size", "words", F.posexplode("words").alias("b_at", "word"))
-    pairs = (seeds.join(prefixes, "word")
-             .filter(F.col("size") >= F.col("need"))  # length
-             .filter(F.col("b_at") <= F.size("words") - F.col("need"))  # prefix of the block
-             .filter(F.least("b_at", "t_at") + 1 + F.least(F.size("words") - F.col("b_at") - 1, F.col("t_size") - F.col("t_at") - 1)
-                     >= F.col("need"))  # position
-             .select("block", "label", "words", "t_words", "t_size", "need").dropDuplicates(["block", "label"]))
+    pairs = filtered_pairs(seeds, prefixes).select("block", "label", "words", "t_words", "t_size", "need").dropDuplicates(["block", "label"])
     met = (pairs.withColumn("shared", F.size(F.array_intersect("words", "t_words"))).filter("shared >= need")
            .select("block", "label", (F.col("shared") / F.col("t_size")).alias("containment")))
     return (blocks.select("key", "block").join(met, "block")
             .groupBy("key", "label").agg(F.max("containment").alias("containment")))
 
 
+def run_matches(spark: SparkSession, rows: DataFrame, templates: dict[str, str], threshold: float, run: int) -> DataFrame:
+    """(key, label, containment): best run of ``run`` consecutive words of each document for each template it meets."""
+    sets = {label: sorted(set(words.split())) for label, words in templates.items()}
+    used = sorted({w for words in sets.values() for w in words})
+    texts = rows.select("key", words_of(F.col("lowered")).alias("all"))
+    frequency = {r.w: r.n for r in texts.select(F.explode(F.array_intersect("all", F.array(*map(F.lit, used)))).alias("w"))
+                 .groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked = sorted(used, key=lambda w: (frequency.get(w, 0), w))
+    order = F.array(*map(F.lit, ranked))
+    index, prefixes = prefix_index(spark, sets, ranked, threshold)
+    first = F.array(*map(F.lit, sorted({w for _, w, *_ in index})))
+
+    # only texts, and then stretches, with a prefix word can meet a template
+    stretches = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("all") / run).cast("int") - 1, F.lit(0))),
+                            lambda k: F.slice("all", k * run + 1, 2 * run))
+    blocks = (texts.select("key", F.explode(F.when(F.arrays_overlap("all", first), stretches)).alias("stretch"))
+              .filter(F.arrays_overlap("stretch", first))
+              .withColumn("words", F.array_intersect(order, "stretch")))
+    seeds = blocks.select("key", "stretch", F.size(F.array_distinct("stretch")).alias("size"), "words", F.posexplode("words").alias("b_at", "word"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("stretch") - run + 1, F.lit(1)))
+    shared = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("stretch", s, run), F.col("t_words")))))
+    met = filtered_pairs(seeds, prefixes).filter(F.size(F.array_intersect("words", "t_words")) >= F.col("need"))
+    return (met.select("key", "label", "t_size", "need", shared.alias("shared")).filter("shared >= need")
+            .groupBy("key", "label").agg(F.max(F.col("shared") / F.col("t_size")).alias("containment")))
+
+
 def license_scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None,
-                 threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_words, places (label, start of each phrase place), matches (label, containment of each template met) of each row."""
+                 threshold: float = 0.8, run: int | None = None) -> DataFrame:
+    """doc_id, n_words, places (label, start of each phrase place), matches (label, containment of each template met) of each row.
+
+    ``run``: templates are looked for in all runs of so many consecutive words (``longest``), not in lines.
+    """
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     rows = text_rows(docs).withColumn("key", F.xxhash64("text", "doc_id")).withColumn("lowered", lower_ascii(F.col("text")))
     # the words are looked at one by one only in texts that hold a phrase's words in a row
@@ -119,7 +165,8 @@ def license_scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str]
     found = (rows.select("doc_id", "key", F.regexp_count("lowered", F.lit(WORD)).cast("long").alias("n_words"),
                          F.when(maybe & F.col("lowered").rlike(near), words_of(F.col("lowered"))).otherwise(F.array().cast("array<string>")).alias("words"))
              .select("doc_id", "key", "n_words", phrase_starts(F.col("words"), phrases).alias("places")))
-    matches = block_matches(spark, rows.select("key", "lowered"), templates, threshold)
+    texts = rows.select("key", "lowered")
+    matches = block_matches(spark, texts, templates, threshold) if run is None else run_matches(spark, texts, templates, threshold, run)
     by_text = matches.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("matches"))
     return found.join(by_text, "key", "left").select(
         "doc_id", "n_words", "places", F.coalesce("matches", F.array().cast("array<struct<label:string,containment:double>>")).alias("matches"))
@@ -135,8 +182,9 @@ def digest(scan: DataFrame) -> DataFrame:
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"))
 
 
-def oracle_sql(templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> str:
-    """The registered query in plain SQL: every line against every template."""
+def oracle_sql(templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8,
+               run: int | None = None) -> str:
+    """The registered query in plain SQL: every line (or run of words) against every template."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     word, out = WORD.replace("'", "''"), []
     for p, label in phrases.items():
@@ -144,12 +192,16 @@ def oracle_sql(templates: dict[str, str] | None = None, phrases: dict[str, str]
         out.append(f"[{{'label': '{label}', 'start': i}} for i in range(len(w)) if {same}]")
     places = "list_concat(list_concat(" + out[0] + ", " + out[1] + "), " + out[2] + ")" if len(out) == 3 else out[0]
     sets = ", ".join(f"('{label}', {sorted(set(x.split()))!r})" for label, x in templates.items())
+    blocks = f"list_distinct(regexp_extract_all(line, '{word}')) AS words FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)"
+    if run is not None:
+        blocks = (f"list_distinct(w[i + 1:i + {run}]) AS words FROM (SELECT r, w, unnest(range(greatest(len(w) - {run} + 1, 1))) AS i "
+                  f"FROM (SELECT r, regexp_extract_all(t, '{word}') AS w FROM d))")
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
                FROM documents),
     p AS (SELECT r, doc_id, len(w) AS n_words, {places} AS places FROM (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS w FROM d)),
     templates(label, words) AS (VALUES {sets}),
-    lines AS (SELECT DISTINCT r, list_distinct(regexp_extract_all(line, '{word}')) AS words FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+    lines AS (SELECT DISTINCT r, {blocks}),
     met AS (SELECT r, label, max(len(list_intersect(l.words, t.words)) / len(t.words)) AS containment FROM lines l, templates t
             WHERE len(list_intersect(l.words, t.words)) >= ceil({threshold} * len(t.words) - 1e-9) GROUP BY r, label),
     m AS (SELECT r, list(label) AS labels, max(containment) AS best FROM met GROUP BY r)

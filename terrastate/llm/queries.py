@@ -77,6 +77,14 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_license_scans"] = licenses.oracle_sql()
 
 
+@query
+def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_scan(spark, documents(spark, sf_dir), run=licenses.longest(licenses.TEMPLATES)))
+
+
+ORACLES["op8_license_passages"] = licenses.oracle_sql(run=licenses.longest(licenses.TEMPLATES))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(spark, documents(spark, sf_dir), shingle=3, radius=3)

@@ -66,3 +66,56 @@ def test_empty_table_and_digest(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.digest(L.license_scan(spark, make_docs(spark, corpus())))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def brute_runs(rows, templates, threshold, run):
+    out = []
+    for d, t in rows:
+        words, best = re.findall(L.WORD, lower(t)), {}
+        for i in range(max(1, len(words) - run + 1)):
+            block = set(words[i:i + run])
+            for label, x in templates.items():
+                x = set(x.split())
+                if len(block & x) >= L.need(len(x), threshold):
+                    best[label] = max(best.get(label, 0), len(block & x) / len(x))
+        out.append((d, sorted((k, round(v, 9)) for k, v in best.items())))
+    return sorted(out, key=str)
+
+
+def wrapped():
+    """Notices on two lines, also behind comment marks, and words that only a very long line joins."""
+    rows = [(1, "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"),
+            (2, " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy"),
+            (3, " ".join(["released", *["x"] * 40, "under", *["y"] * 40, "the", *["z"] * 40, "license"]))]
+    rng = random.Random(8)
+    for k, t in enumerate(L.TEMPLATES.values()):  # at every place of a stretch
+        for before in range(40):
+            words = ["zebra"] * before + [w for w in t.split() if rng.random() < 0.93] + ["x9"] * rng.randint(0, 40)
+            rows.append((100 * k + 10 + before, "".join(w + rng.choice([" ", " ", "\n", "\n# "]) for w in words)))
+    return rows
+
+
+@pytest.mark.parametrize("threshold,run", [(0.8, L.longest(L.TEMPLATES)), (0.5, 7), (1.0, 17)])
+def test_runs_match_brute_force(spark, threshold, run):
+    rows = corpus() + wrapped()
+    got = L.license_scan(spark, make_docs(spark, rows), L.TEMPLATES, threshold=threshold, run=run).collect()
+    found = sorted(((r.doc_id, [(m.label, round(m.containment, 9)) for m in r.matches]) for r in got), key=str)
+    assert found == brute_runs(rows, L.TEMPLATES, threshold, run)
+
+
+def test_wrapped_notices_are_found(spark):
+    scan = L.license_scan(spark, make_docs(spark, wrapped()[:3]), run=L.longest(L.TEMPLATES))
+    assert {r.doc_id: r.labels for r in L.digest(scan).collect()} == {1: "bsd", 2: "mpl", 3: ""}
+    assert not re.search("Python|Pandas|Arrow", scan._jdf.queryExecution().executedPlan().toString())
+
+
+def test_runs_match_the_oracle(spark, tmp_path):
+    import duckdb
+
+    run = L.longest(L.TEMPLATES)
+    docs = make_docs(spark, corpus()[:60] + wrapped()[:120])
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    rows = con.execute(L.oracle_sql(run=run)).fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in L.digest(L.license_scan(spark, docs, run=run)).collect())
