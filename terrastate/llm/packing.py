@@ -1,10 +1,12 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
 Hierarchical residual packing: each partition tokenises its documents, cuts the
-longer ones, packs the pieces best-fit and emits bins that are nearly full.
-Underfull bins become items: round by round they are dealt to fewer tasks, each
-packs the bins it gets best-fit again, until one task holds what is left or a
-round no longer helps.  A round's task gets a bounded number of pieces.
+longer ones, packs the pieces best-fit and emits them with their ids, written
+once; bins that are nearly full stay as they are.  Underfull bins become items:
+round by round they are dealt to fewer tasks, each packs the bins it gets
+best-fit again, until one task holds what is left or a round no longer helps.  A
+round's task gets a bounded number of pieces, without their ids, which are
+joined by the pieces' first places once all are placed.
 
 Results: a document is its ids and the end id, so an empty or null text is one
 piece of one token; documents longer than a sequence are cut so that all pieces
@@ -28,6 +30,12 @@ from terrastate.llm.common import materialize, text_rows
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+#: A piece's place; ``open``: its bin has more free tokens than the slack; home: its place after the first round.
+PLACES = "doc_id long, piece int, start long, length long, sequence_id long, offset long"
+TOKENS = PLACES + ", open boolean, ids array<int>"
+MOVED = PLACES + ", open boolean, home long, home_offset long"
+HOME = ["home", "home_offset"]
+BATCH_ROWS = 4096
 _ENCODERS: dict = {}
 
 #: How the byte-level BPE splits a text into pre-tokens.
@@ -145,39 +153,52 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
     return bins, offsets, count
 
 
-def tokenise_and_pack(docs: DataFrame, path: str, size: int, end_id: int, flush: int) -> DataFrame:
-    """Pieces of all documents, packed best-fit within each partition, ``flush`` pieces at a time."""
+def names_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def tokenise_and_pack(docs: DataFrame, path: str, size: int, end_id: int, flush: int, flush_tokens: int, slack: int) -> DataFrame:
+    """Pieces of all documents with their ids, packed best-fit within each partition, ``flush`` pieces or ``flush_tokens`` tokens at a time."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, IdEncoder(path))
         first = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
-
-        def packed() -> pa.RecordBatch:
-            nonlocal first
-            ids, piece, start, length, crc = map(list, zip(*rows))
-            bins, offsets, count = best_fit(np.array(length), size)
+        held = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal first, held
+            ids, piece, start, length, data = map(list, zip(*rows))
+            sizes = np.array(length)
+            bins, offsets, count = best_fit(sizes, size)
+            filled = np.bincount(bins, weights=sizes, minlength=count)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
             arrays = [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                      pa.array(crc, pa.int64()), pa.array(bins + first), pa.array(offsets)]
-            first += count
+                      pa.array(bins + first), pa.array(offsets), pa.array(filled[bins] < size - slack), tokens]
+            first, held = first + count, 0
             rows.clear()
-            return pa.record_batch(arrays, COLUMNS)
+            batch = pa.record_batch(arrays, names_of(TOKENS))
+            yield from (batch.slice(at, BATCH_ROWS) for at in range(0, batch.num_rows, BATCH_ROWS))
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 data = encoder.encode(text) + end
                 for k, (at, n) in enumerate(cut(len(data) // 4, size)):
-                    rows.append((doc_id, k, at, n, zlib.crc32(data[4 * at:4 * (at + n)])))
+                    rows.append((doc_id, k, at, n, data[4 * at:4 * (at + n)]))
+                    held += n
+                    if held >= flush_tokens:
+                        yield from packed()
                 if len(rows) >= flush:
-                    yield packed()
+                    yield from packed()
         if rows:
-            yield packed()
+            yield from packed()
 
-    return text_rows(docs).mapInArrow(run, PIECES)
+    return text_rows(docs).mapInArrow(run, TOKENS)
 
 
-def merge_round(under: DataFrame, tasks: int, size: int) -> DataFrame:
+def merge_round(under: DataFrame, tasks: int, size: int, slack: int) -> DataFrame:
     """Deal the underfull bins to ``tasks`` tasks; each packs its bins as items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -190,41 +211,69 @@ def merge_round(under: DataFrame, tasks: int, size: int) -> DataFrame:
         bins, offsets, count = best_fit(used, size)
         new = np.empty(count, np.int64)
         new[bins[::-1]] = names[::-1]  # a merged bin takes the number of one of its members
-        yield from (rows.set_column(5, "sequence_id", pa.array(new[bins[member]]))
-                    .set_column(6, "offset", pa.array(rows.column("offset").to_numpy() + offsets[member]))
-                    .combine_chunks().to_batches())
+        filled = np.bincount(bins, weights=used, minlength=count)
+        moved = {"sequence_id": new[bins[member]], "offset": rows.column("offset").to_numpy() + offsets[member], "open": (filled[bins] < size - slack)[member]}
+        for name, values in moved.items():
+            rows = rows.set_column(rows.column_names.index(name), name, pa.array(values))
+        yield from rows.combine_chunks().to_batches()
 
-    return under.repartition(tasks, F.xxhash64("sequence_id")).mapInArrow(run, PIECES)
+    return under.repartition(tasks, F.xxhash64("sequence_id")).mapInArrow(run, MOVED)
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, flush: int = 200_000,
-         per_task: int = 400_000, fan_in: int = 8, slack: int = 8) -> DataFrame:
-    """Pieces with their sequence and place in it.
+def packed_pieces(spark: SparkSession, docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, flush: int = 200_000,
+                  per_task: int = 400_000, fan_in: int = 8, slack: int = 8, flush_tokens: int = 8 << 20) -> DataFrame:
+    """Pieces with their sequence, place in it, and token ids.
 
-    ``flush``: pieces packed at once in the first round; ``per_task``: pieces a
-    merging task gets; ``fan_in``: by how much the tasks shrink each round;
-    ``slack``: free tokens up to which a bin counts as nearly full.
+    ``flush`` and ``flush_tokens``: pieces and tokens packed at once in the
+    first round; ``per_task``: pieces a merging task gets; ``fan_in``: by how
+    much the tasks shrink each round; ``slack``: free tokens up to which a bin
+    counts as nearly full.
     """
-    pieces = materialize(spark, tokenise_and_pack(docs, path, size, end_id, flush), "pieces")
-    done: list[DataFrame] = []
+    tokens = materialize(spark, tokenise_and_pack(docs, path, size, end_id, flush, flush_tokens, slack), "pieces")
+    places, out = names_of(PLACES), [*names_of(PLACES), "ids"]
+    home = [F.col("sequence_id").alias("home"), F.col("offset").alias("home_offset")]
+    under = tokens.filter("open").select(*places, "open", *home)
+    moved: list[DataFrame] = []
     tasks = None
     before = None
     while True:
-        # a full piece is a bin by itself; only the others are summed
-        single = pieces.filter(F.col("length") >= size)
-        shared = pieces.filter(F.col("length") < size)
-        fill = shared.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-        under_bins = fill.filter(F.col("fill") < size - slack).select("sequence_id")
-        done.append(single)
-        done.append(shared.join(under_bins, "sequence_id", "left_anti").select(*COLUMNS))
-        under = materialize(spark, shared.join(under_bins, "sequence_id", "left_semi").select(*COLUMNS), "underfull")
         rows, bins = under.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
         least = max(1, -(-rows // per_task))
         if not rows or tasks == 1 or (before is not None and tasks == least and bins > 0.999 * before):
-            return _union(done + [under])
-        tasks = least if tasks is None and rows <= per_task else max(least, (tasks or pieces.rdd.getNumPartitions()) // fan_in)
+            break
+        tasks = least if tasks is None and rows <= per_task else max(least, (tasks or tokens.rdd.getNumPartitions()) // fan_in)
         before = bins
-        pieces = materialize(spark, merge_round(under, tasks, size), "merged")
+        merged = materialize(spark, merge_round(under, tasks, size, slack), "merged")
+        moved.append(merged.filter(~F.col("open")))
+        under = merged.filter("open")
+    homeless = _union([*moved, under]).select(*places, *HOME)
+    ids = tokens.filter("open").select(*home, "ids")
+    return tokens.filter(~F.col("open")).select(*out).unionByName(homeless.join(ids, HOME).select(*out))
+
+
+def with_crc(pieces: DataFrame) -> DataFrame:
+    """``packed_pieces`` with the column ids_crc32: of the ids as little-endian unsigned 32-bit bytes."""
+    names = [*COLUMNS, "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids")
+            data, ends = memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B"), ids.offsets.to_pylist()
+            crc = pa.array([zlib.crc32(data[4 * x:4 * y]) for x, y in zip(ends, ends[1:])], pa.int64())
+            yield pa.record_batch([crc if n == "ids_crc32" else b.column(n) for n in names], names)
+
+    return pieces.mapInArrow(run, PIECES + ", ids array<int>")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """(sequence_id, n_tokens, ids): the packed sequences, one a row, of ``packed_pieces``."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return (pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.flatten(F.transform(parts, lambda x: x.ids)).alias("ids")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, path: str, **options) -> DataFrame:
+    """The registered query's columns: ``packed_pieces`` with a checksum for the ids."""
+    return with_crc(packed_pieces(spark, docs, path, **options)).select(*COLUMNS)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from fixtures_llm import make_docs
 from terrastate.llm.common import tokenizer_path
-from terrastate.llm.packing import IdEncoder, best_fit, cut, pack
+from terrastate.llm.packing import IdEncoder, best_fit, cut, pack, packed_pieces, sequences, with_crc
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -65,3 +65,23 @@ def test_ids_match_the_library_on_odd_texts():
     encoder = IdEncoder(PATH, cache_size=50)
     for t in texts:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("options", [{}, {"flush": 5, "per_task": 7, "fan_in": 2}, {"flush_tokens": 100}])
+def test_ids_go_along_into_the_sequences(spark, options):
+    from tokenizers import Tokenizer
+
+    rng, t = random.Random(2), Tokenizer.from_file(PATH)
+    rows = [(i, " ".join(rng.choice(["the", "Cat", "naïve", "x1"]) for _ in range(rng.randint(0, 90)))) for i in range(100)]
+    rows += [(300, None), (301, "w " * 900), (302, "same"), (302, "same"), (None, "null id")]
+    pieces = packed_pieces(spark, make_docs(spark, rows).repartition(3), PATH, size=64, slack=2, **options).cache()
+    got = pieces.collect()
+    texts = {d: t.encode(x or "", add_special_tokens=False).ids + [2] for d, x in rows}
+    assert all(list(r.ids) == texts[r.doc_id][r.start:r.start + r.length] for r in got)
+    assert sum(r.length for r in got) == sum(len(texts[d]) for d, _ in rows)
+    packed = {r.sequence_id: (r.n_tokens, list(r.ids)) for r in sequences(pieces).collect()}
+    assert len(packed) == len({r.sequence_id for r in got})
+    for r in got:
+        n, ids = packed[r.sequence_id]
+        assert n == len(ids) <= 64 and ids[r.offset:r.offset + r.length] == list(r.ids)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in with_crc(pieces).collect())

@@ -80,3 +80,8 @@ def test_odd_rows_pass_through_every_stage(spark, tmp_path):
             assert name == "best_fit_packing" or out.columns == docs.columns
             docs = out
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_the_last_stage_keeps_the_ids(spark):
+    out = P.packing_stage(spark, make_docs(spark, [(1, "a b c"), (2, None)]), SF)
+    assert sorted((r.doc_id, len(r.ids), r.ids[-1]) for r in out.collect()) == [(1, 4, 2), (2, 1, 2)]
