@@ -3,10 +3,12 @@
 A token is a lower-cased word or the end of its text.  The model gives
 P(class of the token | classes of the two before) times P(token | its class):
 the most frequent words are classes of their own, all others fall in classes by
-their first two characters.  The class model is log-bilinear (two context
-matrices over class vectors), trained in numpy with noise-contrastive
-estimation on the class trigrams of all training texts; batched matrix products
-then give the normalised log-probability of every class in every context.
+their first two characters; their number grows with the counted vocabulary, up to
+``MOST`` of each kind.  The class model is log-bilinear (two context matrices
+over class vectors), trained in numpy with noise-contrastive estimation: each
+step goes over the class trigrams of all training texts by their full counts,
+with the expected counts of the noise, so nothing is drawn; batched matrix
+products then give the normalised log-probability of every class in every context.
 Within a class a seen word has its share of the class's count, and what the
 words seen once make up (Good-Turing) goes to the event of an unseen word.
 
@@ -35,8 +37,9 @@ from pyspark.sql import functions as F
 from terrastate.llm.common import crc_mod, materialize, text_rows
 
 END = ""  # no word is empty
-OWN, SHARED = 32, 32  # classes of one frequent word each (the end first), and classes by first characters
-CLASSES = OWN + SHARED
+#: Classes of one frequent word each (the end first), and as many by first characters.  A step of the training costs
+#: the third power of their number, in time and in the cells of a task and of the broadcast table.
+LEAST, MOST = 32, 48
 PREFIX = 2
 FLUSH = 400_000
 
@@ -45,12 +48,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shared_class(word: str) -> int:
-    return OWN + zlib.crc32(word[:PREFIX].encode("utf-8", "surrogatepass")) % SHARED
+def classes_of_a_kind(distinct: int) -> int:
+    """Classes of each kind for so many different words: their cube root, between the bounds."""
+    return min(MOST, max(LEAST, round(distinct ** (1 / 3))))
 
 
-def shared_class_column(word):
-    return (F.lit(OWN) + F.crc32(F.substring(word, 1, PREFIX).cast("binary")) % SHARED).cast("int")
+def shared_class(word: str, own: int) -> int:
+    return own + zlib.crc32(word[:PREFIX].encode("utf-8", "surrogatepass")) % own
+
+
+def shared_class_column(word, own: int):
+    return (F.lit(own) + F.crc32(F.substring(word, 1, PREFIX).cast("binary")) % own).cast("int")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -97,38 +105,37 @@ class LogBilinear:
 
     def __init__(self, classes: int, dim: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.rng = rng
         self.params = {"context": rng.normal(0, 0.3, (classes, dim)), "A": np.eye(dim) * 0.5, "B": np.eye(dim) * 0.5,
                        "target": rng.normal(0, 0.1, (classes, dim)), "bias": np.zeros(classes)}
         self.slow = {k: np.zeros_like(v) for k, v in self.params.items()}
         self.fast = {k: np.zeros_like(v) for k, v in self.params.items()}
 
     def train(self, cells: np.ndarray, counts: np.ndarray, steps: int, batch: int, noise: int, rate: float) -> None:
-        """Noise-contrastive estimation on trigrams (rows a, b, c of ``cells``, drawn by their counts)."""
+        """Noise-contrastive estimation on trigrams (rows a, b, c of ``cells``) by their counts.  Each step takes
+        all cells, and for the noise its expected counts; ``batch`` contexts are held at once."""
         p, n = self.params, len(p_bias := self.params["bias"])
         unigram = np.bincount(cells[:, 2], weights=counts, minlength=n) + 0.5
         unigram /= unigram.sum()
         p_bias[:] = np.log(unigram)
-        level = np.cumsum(counts) / counts.sum()
-        noise_level = np.cumsum(unigram)
         log_noise = np.log(noise * unigram)
-        row = np.arange(batch)[:, None]
+        true = np.bincount((cells[:, 0] * n + cells[:, 1]) * n + cells[:, 2], weights=counts / counts.sum(), minlength=n ** 3).reshape(n * n, n)
+        used = np.flatnonzero(true.any(1))  # contexts that occur
+        true = true[used]
+        both = true + true.sum(1, keepdims=True) * noise * unigram
+        a, b = used // n, used % n
         for step in range(1, steps + 1):
-            a, b, c = cells[np.minimum(np.searchsorted(level, self.rng.random(batch)), len(cells) - 1)].T
-            fake = np.minimum(np.searchsorted(noise_level, self.rng.random((batch, noise))), n - 1)
-            which = np.column_stack([c, fake])
-            ra, rb = p["context"][a], p["context"][b]
-            q = ra @ p["A"] + rb @ p["B"]
-            logits = np.take_along_axis(q @ p["target"].T + p["bias"] - log_noise, which, 1)
-            error = -1 / (1 + np.exp(-logits))
-            error[:, 0] += 1
-            g = np.zeros((batch, n))
-            np.add.at(g, (row, which), error / batch)
-            dq = g @ p["target"]
-            dcontext = np.zeros_like(p["context"])
-            np.add.at(dcontext, a, dq @ p["A"].T)
-            np.add.at(dcontext, b, dq @ p["B"].T)
-            grads = {"context": dcontext, "A": ra.T @ dq, "B": rb.T @ dq, "target": g.T @ q, "bias": g.sum(0)}
+            grads = {k: np.zeros_like(v) for k, v in p.items()}
+            dq = np.zeros((n * n, p["A"].shape[0]))
+            left, right = p["context"] @ p["A"], p["context"] @ p["B"]
+            for at in range(0, len(used), batch):
+                part = slice(at, at + batch)
+                q = left[a[part]] + right[b[part]]
+                g = true[part] - both[part] / (1 + np.exp(-(q @ p["target"].T + p["bias"] - log_noise)))
+                dq[used[part]] = g @ p["target"]
+                grads["target"] += g.T @ q
+                grads["bias"] += g.sum(0)
+            da, db = (dq.reshape(n, n, -1).sum(axis) for axis in (1, 0))
+            grads |= {"context": da @ p["A"].T + db @ p["B"].T, "A": p["context"].T @ da, "B": p["context"].T @ db}
             for k, d in grads.items():
                 self.slow[k] += 0.1 * (d - self.slow[k])
                 self.fast[k] += 0.001 * (d * d - self.fast[k])
@@ -143,39 +150,41 @@ class LogBilinear:
         return (s - top - np.log(np.exp(s - top).sum(-1, keepdims=True))) / np.log(10)
 
 
-def trigram_cells(classes: np.ndarray) -> np.ndarray:
-    """Cell a*C*C + b*C + c of each token of a text; the end class stands before its start."""
+def trigram_cells(classes: np.ndarray, number: int) -> np.ndarray:
+    """Cell a*C*C + b*C + c of each token of a text, of C = ``number`` classes; the end class stands before its start."""
     padded = np.concatenate([np.zeros(2, np.int64), classes])
-    return (padded[:-2] * CLASSES + padded[1:-1]) * CLASSES + padded[2:]
+    return (padded[:-2] * number + padded[1:-1]) * number + padded[2:]
 
 
 def lm_scores(spark: SparkSession, docs: DataFrame, top: int = 60_000, dim: int = 24, steps: int = 1_000,
               batch: int = 2_048, noise: int = 10, rate: float = 0.02, seed: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
-    ``top``: frequent words whose counts are broadcast; the rest is the model's
-    size and the fixed length of its training.
+    ``top``: frequent words whose counts are broadcast; ``steps``: how often
+    the training goes over all trigrams; the rest is the model's size.
     """
     rows = text_rows(docs).withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
     counts = materialize(spark, word_counts(rows.filter(~F.col("held_out"))), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_words(counts, top)
-    own = [END] + [w for w, _ in frequent if w != END][:OWN - 1]
+    n_own = classes_of_a_kind(distinct)
+    number = 2 * n_own
+    own = [END] + [w for w, _ in frequent if w != END][:n_own - 1]
     own_class = {w: k for k, w in enumerate(own)}
     norm = total + 0.1 * (distinct + 1)
 
     # counts by class, over all words: tokens and words seen once
-    class_of = F.coalesce(*[F.when(F.col("w") == w, F.lit(k)) for w, k in own_class.items()], shared_class_column(F.col("w")))
+    class_of = F.coalesce(*[F.when(F.col("w") == w, F.lit(k)) for w, k in own_class.items()], shared_class_column(F.col("w"), n_own))
     sums = {r.k: (r.t, r.ones) for r in counts.groupBy(class_of.alias("k")).agg(
         F.sum("c").alias("t"), F.count_if(F.col("c") == 1).alias("ones")).collect()}
-    tokens = np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], np.float64)
-    ones = np.array([sums.get(k, (0, 0))[1] for k in range(CLASSES)], np.float64)
-    unseen = np.where(np.arange(CLASSES) < OWN, 0.0, (ones + 0.5) / (tokens + 1.0))
-    unseen[(np.arange(CLASSES) >= OWN) & (tokens == 0)] = 1.0
+    tokens = np.array([sums.get(k, (0, 0))[0] for k in range(number)], np.float64)
+    ones = np.array([sums.get(k, (0, 0))[1] for k in range(number)], np.float64)
+    unseen = np.where(np.arange(number) < n_own, 0.0, (ones + 0.5) / (tokens + 1.0))
+    unseen[(np.arange(number) >= n_own) & (tokens == 0)] = 1.0
     log_unseen = np.log10(np.maximum(unseen, 1e-300))
     log_share = np.log10(np.maximum(1 - unseen, 1e-300)) - np.log10(np.maximum(tokens, 1))  # add log10(c)
 
-    f_class = np.array([own_class.get(w, shared_class(w)) for w, _ in frequent], np.int64)
+    f_class = np.array([own_class.get(w, shared_class(w, n_own)) for w, _ in frequent], np.int64)
     f_count = np.array([c for _, c in frequent], np.float64)
     shared_table = spark.sparkContext.broadcast((
         {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(frequent)}, f_class,
@@ -202,7 +211,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, top: int = 60_000, dim: int
                         rare[words[i]] += 1
                         start = words[i][:4 * PREFIX].decode("utf-8", "ignore")[:PREFIX]
                         c = by_prefix.get(start)
-                        k[i] = c if c is not None else by_prefix.setdefault(start, shared_class(start))
+                        k[i] = c if c is not None else by_prefix.setdefault(start, shared_class(start, n_own))
                     out.append((rid, len(ids), int(seen.sum()), base[ids[seen]].sum(), inner[ids[seen]].sum(),
                                 k.astype(np.uint8).tobytes(), [w.decode() for w in rare], list(rare.values())))
                     rid += 1
@@ -216,37 +225,37 @@ def lm_scores(spark: SparkSession, docs: DataFrame, top: int = 60_000, dim: int
                                                      "inner double, classes binary, rare array<string>, times array<long>"), "tokens")
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CLASSES ** 3, np.int64)
+        seen = np.zeros(number ** 3, np.int64)
         for b in batches:
             for data in b.column(0).to_pylist():
-                np.add.at(seen, trigram_cells(np.frombuffer(data, np.uint8).astype(np.int64)), 1)
+                np.add.at(seen, trigram_cells(np.frombuffer(data, np.uint8).astype(np.int64), number), 1)
         cell = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(cell), pa.array(seen[cell])], ["cell", "n"])
 
     cells = (texts.filter(~F.col("held_out")).select("classes").mapInArrow(trigrams, "cell long, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas())  # CLASSES^3 rows at most
-    if len(cells):
-        cell = cells["cell"].to_numpy()
-        model = LogBilinear(CLASSES, dim, seed)
-        model.train(np.column_stack([cell // CLASSES ** 2, cell // CLASSES % CLASSES, cell % CLASSES]), cells["n"].to_numpy(np.float64),
+             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())  # number^3 rows at most
+    if cells.num_rows:
+        cell, times = cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(np.float64)
+        model = LogBilinear(number, dim, seed)
+        model.train(np.column_stack([cell // number ** 2, cell // number % number, cell % number]), times,
                     steps, batch, noise, rate)
         log_class = spark.sparkContext.broadcast(model.log10_table().ravel())
     else:
-        log_class = spark.sparkContext.broadcast(np.zeros(CLASSES ** 3))
-        log_unseen = np.zeros(CLASSES)
+        log_class = spark.sparkContext.broadcast(np.zeros(number ** 3))
+        log_unseen = np.zeros(number)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lp = log_class.value
         names = ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "inner"]
         for b in batches:
-            outer = [lp[trigram_cells(np.frombuffer(d, np.uint8).astype(np.int64))].sum() for d in b.column("classes").to_pylist()]
+            outer = [lp[trigram_cells(np.frombuffer(d, np.uint8).astype(np.int64), number)].sum() for d in b.column("classes").to_pylist()]
             yield pa.record_batch([b.column(n) for n in names] + [pa.array(outer, pa.float64())], [*names, "outer"])
 
     scored = texts.select("doc_id", "held_out", "rid", "n_tokens", "known", "base", "inner", "classes").mapInArrow(
         score, "doc_id long, held_out boolean, rid long, n_tokens long, known long, base double, inner double, outer double")
     rare = (texts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x"))
             .select("rid", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
-            .join(counts, "w", "left").withColumn("k", shared_class_column(F.col("w"))))
+            .join(counts, "w", "left").withColumn("k", shared_class_column(F.col("w"), n_own)))
     of_class = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("k") + 1)
     rare = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"),

@@ -61,3 +61,24 @@ def test_model_is_normalised_and_learns_contexts():
     table = model.log10_table()
     assert np.allclose((10 ** table).sum(-1), 1)
     assert table[cells[:, 0], cells[:, 1], cells[:, 2]].mean() > math.log10(1 / 8) + 0.3
+
+
+def test_training_takes_every_cell_by_its_full_count():
+    cells = np.array([(a, b, (a + b) % 6) for a in range(6) for b in range(6)])
+    counts = np.where(np.arange(36) == 7, 1.0, 1e7)  # a cell that hardly any draw would meet
+
+    def table(cells, counts, batch):
+        model = lm.LogBilinear(6, 8, 3)
+        model.train(cells, counts, 40, batch, 10, 0.05)
+        return model.log10_table()
+
+    whole = table(cells, counts, 1000)
+    assert np.allclose(whole, table(cells, counts, 5), atol=1e-9)
+    assert np.allclose(whole, table(cells[::-1], counts[::-1] * 3, 1000), atol=1e-3)
+    rare = np.concatenate([counts, [2.0]])  # counts of a cell add up
+    assert np.allclose(table(np.concatenate([cells, cells[7:8]]), rare, 1000), table(cells, counts + 2 * (np.arange(36) == 7), 1000), atol=1e-9)
+
+
+def test_classes_follow_the_vocabulary():
+    assert [lm.classes_of_a_kind(n) for n in (0, 1_000, 100_000, 10 ** 9)] == [lm.LEAST, lm.LEAST, 46, lm.MOST]
+    assert 2 * lm.MOST <= 256  # a class is a byte
