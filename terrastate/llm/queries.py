@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastate.llm import decontaminate, licenses, lm, order_minhash, packing, phrase_dedup, quality, simhash, suffix_dedup, token_counts
+from terrastate.llm import decontaminate, dialogue, licenses, lm, order_minhash, packing, phrase_dedup, quality, simhash, suffix_dedup, token_counts
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                         order_minhash.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
                         order_minhash.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(spark, dialogue.damaged(table(spark, sf_dir, "conversations")))
