@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastate.llm import decontaminate, dialogue, licenses, lm, order_minhash, packing, phrase_dedup, quality, simhash, suffix_dedup, token_counts
+from terrastate.llm import decontaminate, dialogue, licenses, lm, order_minhash, packing, periodic, phrase_dedup, quality, simhash, suffix_dedup, token_counts, webtext
 from terrastate.llm.common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,16 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         order_minhash.likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.page_texts(spark, table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.with_planted_runs(documents(spark, sf_dir)), least=24, times=3))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(spark, dialogue.damaged(table(spark, sf_dir, "conversations")))
