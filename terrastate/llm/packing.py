@@ -16,9 +16,10 @@ own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
 #: A piece's place; ``open``: its bin has more free tokens than the slack; home: its place after the first round.
 PLACES = "doc_id long, piece int, start long, length long, sequence_id long, offset long"
-TOKENS = PLACES + ", open boolean, ids array<int>"
-MOVED = PLACES + ", open boolean, home long, home_offset long"
+TOKENS = PLACES + ", ids_crc32 long, open boolean, ids array<int>"
+MOVED = PLACES + ", ids_crc32 long, open boolean, home long, home_offset long"
 HOME = ["home", "home_offset"]
 BATCH_ROWS = 4096
 _ENCODERS: dict = {}
@@ -41,9 +42,8 @@ _ENCODERS: dict = {}
 #: How the byte-level BPE splits a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MARKS = frozenset(".,;:!?")
-#: White space other than the space and the line feed.
-RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Characters that every Unicode version since 5 classes alike: ASCII and Latin letters, Cyrillic, dashes and quotes, Han, Hangul.
+UNSETTLED = re.compile("[^\n\x20-\x7e\xa1-\xac\xae-\u024f\u0400-\u045f\u2010-\u2027\u4e00-\u9fa5\uac00-\ud7a3]").search
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -56,10 +56,11 @@ def byte_alphabet() -> dict[int, str]:
 class IdEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    Where no two white-space characters stand together, pre-tokens never cross
-    a space, so a text is cut at its spaces and the ids of each word (with its
-    space) are cached; other texts are cut by the pattern.  Each cache starts
-    anew at ``cache_size`` entries.
+    Texts go through ``ranked_encoder`` of the same vocabulary.  A text with a
+    special string goes through the library itself; one with a character outside
+    ``UNSETTLED``'s classes, which libraries of another Unicode version may class
+    another way, is split by the pattern, and the library's model encodes its
+    pre-tokens, through a cache that starts anew at ``cache_size`` entries.
     """
 
     def __init__(self, path: str, cache_size: int = 400_000):
@@ -69,65 +70,55 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.split = self.tokenizer.model, regex.compile(PATTERN).findall
-        self.two_spaces = regex.compile(r"\s\s").search
         self.alphabet, self.cache_size = byte_alphabet(), cache_size
-        self.spaced: dict[str, bytes] = {}
+        self.ranked = ranked_encoder(self.tokenizer)
         self.pretokens: dict[str, bytes] = {}
 
-    def _bpe(self, pretoken: str) -> bytes:
-        mapped = pretoken.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def _pretoken(self, word: str) -> bytes:
         if len(self.pretokens) >= self.cache_size:
             self.pretokens.clear()
-        ids = self.pretokens[word] = self._bpe(word)
-        return ids
-
-    def _spaced(self, word: str) -> bytes:
-        """Ids of a word after a space, into the cache.  Letters alone are one
-        pre-token with their space, and a mark after them is another."""
-        if word.isalpha():
-            ids = self._bpe(" " + word)
-        elif word[-1:] in MARKS and word[:-1].isalpha():
-            head, mark = word[:-1], word[-1]
-            ids = self.spaced.get(head) or self._spaced(head)
-            ids += self.pretokens.get(mark) or self._pretoken(mark)
-        else:
-            ids = self.by_pattern(" " + word)
-        if len(self.spaced) >= self.cache_size:
-            self.spaced.clear()
-        self.spaced[word] = ids
+        mapped = word.encode().decode("latin-1").translate(self.alphabet)
+        ids = self.pretokens[word] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def by_pattern(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.ranked is not None and UNSETTLED(text) is None:
+            return array("I", self.ranked(text)).tobytes()
         get, new = self.pretokens.get, self._pretoken
         return b"".join([new(w) if (ids := get(w)) is None else ids for w in self.split(text)])
 
-    def double_space(self, text: str) -> bool:
-        """Whether two white-space characters stand together (substring tests first: they are much faster)."""
-        if any(s in text for s in RARE_SPACES):
-            return self.two_spaces(text) is not None
-        return "  " in text or " \n" in text or "\n " in text or "\n\n" in text
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.double_space(text):
-            return self.by_pattern(text)
-        first, *words = text.split(" ")
-        found = list(map(self.spaced.get, words))
-        if None in found:
-            new = self._spaced
-            found = [new(w) if f is None else f for w, f in zip(words, found)]
-        return self.by_pattern(first) + b"".join(found)
+def ranked_encoder(tokenizer) -> Callable[[str], list[int]] | None:
+    """The same vocabulary as byte strings with ranks, by another library that is much faster; None where
+    the file is not such a plain byte-level one (merges in the order of their ids, split by ``PATTERN``, nothing else)."""
+    import json
 
+    import tiktoken
 
-def cut(n: int, size: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of ``n`` tokens: only the first may be shorter than ``size``."""
-    first = n % size or min(n, size)
-    return [(0, first)] + [(at, size) for at in range(first, n, size)]
+    told = json.loads(tokenizer.to_str())
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    plain = (model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+             and told["normalizer"] is None and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True))
+    if not plain:
+        return None
+    back = {c: b for b, c in byte_alphabet().items()}
+    special = {t["content"] for t in told["added_tokens"]}
+    ranks = {bytes(back[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if not all(bytes([b]) in ranks for b in range(256)) or any(a >= b for a, b in zip(made, made[1:])):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def cut_all(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of so many tokens each: only the first may be shorter than ``size``."""
+    count = -(-lengths // size)
+    owner = np.repeat(np.arange(len(lengths)), count)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    short = (lengths - (count - 1) * size)[owner]
+    return owner, piece, np.where(piece == 0, 0, short + (piece - 1) * size), np.where(piece == 0, short, size)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -164,35 +155,37 @@ def tokenise_and_pack(docs: DataFrame, path: str, size: int, end_id: int, flush:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, IdEncoder(path))
         first = TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
-        held = 0
+        ids: list[int | None] = []
+        data: list[bytes] = []  # each document's ids
+        tokens = pieces = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal first, held
-            ids, piece, start, length, data = map(list, zip(*rows))
-            sizes = np.array(length)
+            nonlocal first, tokens, pieces
+            owner, piece, start, sizes = cut_all(np.array([len(d) // 4 for d in data], np.int64), size)
+            buffer = b"".join(data)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            view, at = memoryview(buffer), (4 * ends).tolist()
+            crc = [zlib.crc32(view[x:y]) for x, y in zip(at, at[1:])]
             bins, offsets, count = best_fit(sizes, size)
             filled = np.bincount(bins, weights=sizes, minlength=count)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            arrays = [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                      pa.array(bins + first), pa.array(offsets), pa.array(filled[bins] < size - slack), tokens]
-            first, held = first + count, 0
-            rows.clear()
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.Array.from_buffers(pa.int32(), len(buffer) // 4, [None, pa.py_buffer(buffer)]))
+            arrays = [pa.array(ids, pa.int64()).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(sizes),
+                      pa.array(bins + first), pa.array(offsets), pa.array(crc, pa.int64()), pa.array(filled[bins] < size - slack), lists]
+            first, tokens, pieces = first + count, 0, 0
+            ids.clear()
+            data.clear()
             batch = pa.record_batch(arrays, names_of(TOKENS))
-            yield from (batch.slice(at, BATCH_ROWS) for at in range(0, batch.num_rows, BATCH_ROWS))
+            yield from (batch.slice(x, BATCH_ROWS) for x in range(0, batch.num_rows, BATCH_ROWS))
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                data = encoder.encode(text) + end
-                for k, (at, n) in enumerate(cut(len(data) // 4, size)):
-                    rows.append((doc_id, k, at, n, data[4 * at:4 * (at + n)]))
-                    held += n
-                    if held >= flush_tokens:
-                        yield from packed()
-                if len(rows) >= flush:
+                ids.append(doc_id)
+                data.append(encoder.encode(text) + end)
+                tokens += len(data[-1]) // 4
+                pieces += 1 + len(data[-1]) // (4 * size)
+                if tokens >= flush_tokens or pieces >= flush:
                     yield from packed()
-        if rows:
+        if ids:
             yield from packed()
 
     return text_rows(docs).mapInArrow(run, TOKENS)
@@ -222,7 +215,7 @@ def merge_round(under: DataFrame, tasks: int, size: int, slack: int) -> DataFram
 
 def packed_pieces(spark: SparkSession, docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, flush: int = 200_000,
                   per_task: int = 400_000, fan_in: int = 8, slack: int = 8, flush_tokens: int = 8 << 20) -> DataFrame:
-    """Pieces with their sequence, place in it, and token ids.
+    """Pieces with their sequence, place in it, token ids, and the CRC32 of these as little-endian unsigned 32-bit bytes.
 
     ``flush`` and ``flush_tokens``: pieces and tokens packed at once in the
     first round; ``per_task``: pieces a merging task gets; ``fan_in``: by how
@@ -230,7 +223,7 @@ def packed_pieces(spark: SparkSession, docs: DataFrame, path: str, size: int = 1
     counts as nearly full.
     """
     tokens = materialize(spark, tokenise_and_pack(docs, path, size, end_id, flush, flush_tokens, slack), "pieces")
-    places, out = names_of(PLACES), [*names_of(PLACES), "ids"]
+    places, out = [*names_of(PLACES), "ids_crc32"], [*COLUMNS, "ids"]
     home = [F.col("sequence_id").alias("home"), F.col("offset").alias("home_offset")]
     under = tokens.filter("open").select(*places, "open", *home)
     moved: list[DataFrame] = []
@@ -251,20 +244,6 @@ def packed_pieces(spark: SparkSession, docs: DataFrame, path: str, size: int = 1
     return tokens.filter(~F.col("open")).select(*out).unionByName(homeless.join(ids, HOME).select(*out))
 
 
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """``packed_pieces`` with the column ids_crc32: of the ids as little-endian unsigned 32-bit bytes."""
-    names = [*COLUMNS, "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            data, ends = memoryview(ids.values.to_numpy().astype("<i4", copy=False)).cast("B"), ids.offsets.to_pylist()
-            crc = pa.array([zlib.crc32(data[4 * x:4 * y]) for x, y in zip(ends, ends[1:])], pa.int64())
-            yield pa.record_batch([crc if n == "ids_crc32" else b.column(n) for n in names], names)
-
-    return pieces.mapInArrow(run, PIECES + ", ids array<int>")
-
-
 def sequences(pieces: DataFrame) -> DataFrame:
     """(sequence_id, n_tokens, ids): the packed sequences, one a row, of ``packed_pieces``."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
@@ -272,8 +251,8 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, **options) -> DataFrame:
-    """The registered query's columns: ``packed_pieces`` with a checksum for the ids."""
-    return with_crc(packed_pieces(spark, docs, path, **options)).select(*COLUMNS)
+    """The registered query's columns: ``packed_pieces`` without the ids themselves."""
+    return packed_pieces(spark, docs, path, **options).select(*COLUMNS)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

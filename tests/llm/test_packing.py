@@ -9,7 +9,7 @@ import pytest
 
 from fixtures_llm import make_docs
 from terrastate.llm.common import tokenizer_path
-from terrastate.llm.packing import IdEncoder, best_fit, cut, pack, packed_pieces, sequences, with_crc
+from terrastate.llm.packing import IdEncoder, best_fit, cut_all, pack, packed_pieces, ranked_encoder, sequences
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -54,7 +54,8 @@ def test_empty_table(spark):
 
 
 def test_cut_and_best_fit():
-    assert cut(5, 4) == [(0, 1), (1, 4)] and cut(4, 4) == [(0, 4)] and cut(8, 4) == [(0, 4), (4, 4)] and cut(1, 4) == [(0, 1)]
+    cuts = [c.tolist() for c in cut_all(np.array([5, 4, 8, 1]), 4)]
+    assert list(zip(*cuts)) == [(0, 0, 0, 1), (0, 1, 1, 4), (1, 0, 0, 4), (2, 0, 0, 4), (2, 1, 4, 4), (3, 0, 0, 1)]
     bins, offsets, count = best_fit(np.array([6, 4, 5, 3, 2]), 10)
     assert count == 2 and bins.tolist() == [0, 0, 1, 1, 1] and offsets.tolist() == [0, 6, 0, 5, 8]
 
@@ -63,8 +64,9 @@ def test_ids_match_the_library_on_odd_texts():
     rng = random.Random(4)
     texts = ["".join(rng.choice("    ab\n\t\r'sve<é漢😀  　½²1") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     encoder = IdEncoder(PATH, cache_size=50)
-    for t in texts:
-        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    got = map(encoder.encode, texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("options", [{}, {"flush": 5, "per_task": 7, "fan_in": 2}, {"flush_tokens": 100}])
@@ -84,4 +86,22 @@ def test_ids_go_along_into_the_sequences(spark, options):
     for r in got:
         n, ids = packed[r.sequence_id]
         assert n == len(ids) <= 64 and ids[r.offset:r.offset + r.length] == list(r.ids)
-    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in with_crc(pieces).collect())
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
+
+
+def test_ids_match_the_library_on_words_of_the_corpus():
+    import duckdb
+    from tokenizers import Tokenizer
+
+    texts = [t for t, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    encoder, library = IdEncoder(PATH, cache_size=3_000), Tokenizer.from_file(PATH)
+    assert ranked_encoder(library) is not None
+    got = map(encoder.encode, texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_another_kind_of_vocabulary_is_not_ranked():
+    from tokenizers import Tokenizer
+
+    assert ranked_encoder(Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))) is None
