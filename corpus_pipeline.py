@@ -35,7 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their token ids, packed into sequences of 1024 tokens."""
-    return packing.with_crc(packing.packed_pieces(spark, docs, tokenizer_path("byte_bpe_50k.json"), size=1024, end_id=2))
+    return packing.packed_pieces(spark, docs, tokenizer_path("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
 STAGES = [("quality_classifier", quality_stage), ("simhash_near_dedup", simhash_stage), ("suffix_array_dedup", suffix_stage),
