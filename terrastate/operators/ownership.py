@@ -11,11 +11,11 @@ Scale notes
 * ``current_ownership`` is one aggregate on ``tile_id`` with a map-side partial
   step, so a hot tile is reduced to one row per input partition before the
   shuffle.  The winner is ``min(struct(-timestamp_ns, order..., country))``.
-* ``classify_clicks`` needs the running owner in arrival order.  That is a prefix
-  arg-max, which is associative, so the log is range-partitioned by (tile,
-  order columns) into even parts; a summary per (tile, part) gives each part's
-  carry-in and the row window runs per (tile, part).  One plan for every size
-  and every order type; nothing is collected and nothing is broadcast by hint.
+* ``classify_clicks`` needs the running owner in arrival order.  Where the fullest
+  tile is bounded that is one window per tile.  A hotter tile is cut: a prefix
+  arg-max is associative, so the log is range-partitioned by (tile, order
+  columns) into even parts, a summary per (tile, part) gives each part's carry-in
+  and the row window runs per (tile, part).
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from terrastate.session import scratch_path
+from terrastate.functions.names import free_name
+from terrastate.session import checkpoint_dir
 
 DEFAULT_ORDER = ("arrival_ns", "click_id")
 PAGE_SIZE = 10_000  # fixed value: the client's page size
@@ -48,49 +49,90 @@ def current_ownership(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORD
     )
 
 
-def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER, buckets: int | None = None) -> DataFrame:
+HOT_TILE = 1_000_000  # clicks of one tile that one task may classify by itself
+
+
+def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER, buckets: int | None = None,
+                    before: DataFrame | None = None, hot_tile: int = HOT_TILE) -> DataFrame:
     """O3: every click with ``applied`` and what the store returned for it.
 
     Adds ``applied`` (boolean), ``previous_country`` and ``previous_ts`` (owner
-    before this click; null for the first click of a tile).  The running owner
-    is ``min(struct(-timestamp_ns, arrival..., country))`` over the earlier
-    clicks of the tile.
-
-    The log is range-partitioned by (tile, ``order_cols``) into ``buckets``
-    even parts (default: the session's shuffle partitions), whatever the type of
-    the order columns and however the clicks spread over tiles and time: a hot
-    tile, or a burst of one instant, is cut by the order columns themselves.
-    The parts are written once to the checkpoint folder, which fixes their
-    numbers for both readers below.
+    before this click; null for the first click of a tile).  ``before`` holds the
+    owners from before these clicks (tile_id, country_id, timestamp_ns).
+
+    The clicks of the fullest tile are counted first.  Up to ``hot_tile`` of them
+    a tile is one window in arrival order.  Beyond that (or with ``buckets``
+    given) the log is range-partitioned by (tile, ``order_cols``) into even
+    parts, whatever the type of the order columns: a hot tile, or a burst of one
+    instant, is cut by the order columns themselves; the parts are checkpointed,
+    which fixes their numbers (Spark removes the checkpoint with the last
+    reference to it where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is
+    on).  A log that is classified again and again is better kept as an
+    ``arrivals.ArrivalLog``, which is never copied.
     """
+    if buckets is None and _fullest_tile(clicks) <= hot_tile:
+        return _classify_tiles(clicks, order_cols, before)
     spark = clicks.sparkSession
+    checkpoint_dir(spark)
+    part = free_name(clicks, "part")
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = clicks.repartitionByRange(n, "tile_id", *order_cols).withColumn("_bucket", F.spark_partition_id())
-    path = scratch_path(spark, "arrivals")
-    ranged.write.parquet(path)
-    rows = spark.read.schema(ranged.schema).parquet(path)
-    key = _owner_key(rows, order_cols)
-
-    # Carry-in: best click of the tile's earlier parts.  Only tiles that cross a
-    # cut have one, so this table has fewer than ``buckets`` rows.
-    summary = rows.groupBy("tile_id", "_bucket").agg(F.min(key).alias("_best"))
-    earlier = Window.partitionBy("tile_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (summary.withColumn("_carry", F.min("_best").over(earlier))
-             .filter(F.col("_carry").isNotNull()).select("tile_id", "_bucket", "_carry"))
-
-    in_bucket = Window.partitionBy("tile_id", "_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    out = (rows.withColumn("_seen", F.min(key).over(in_bucket)).join(carry, ["tile_id", "_bucket"], "left")
-           .withColumn("_prev", F.least(F.col("_carry"), F.col("_seen"))))
-    return _finish(out.select(*clicks.columns, "_prev"))
-
-
-def _finish(out: DataFrame) -> DataFrame:
-    seen = -F.col("_prev.neg_ts")
-    return (out
-            .withColumn("applied", F.col("_prev").isNull() | (F.col("timestamp_ns") > seen))
-            .withColumn("previous_country", F.col("_prev.country_id"))
-            .withColumn("previous_ts", seen)
-            .drop("_prev"))
+    rows = clicks.repartitionByRange(n, "tile_id", *order_cols).withColumn(part, F.spark_partition_id().cast("bigint")).checkpoint()
+    bests = best_clicks(rows, order_cols, part)
+    if before is not None:
+        bests = bests.unionByName(earlier_owners(before, rows, order_cols, part))
+    return classify_parts(rows, bests, order_cols, part).select(*_out_columns(clicks))
+
+
+def _fullest_tile(clicks: DataFrame) -> int:
+    return clicks.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+
+
+def _out_columns(clicks: DataFrame) -> list[str]:
+    made = ("applied", "previous_country", "previous_ts")
+    return [c for c in clicks.columns if c not in made] + list(made)
+
+
+def _classify_tiles(clicks: DataFrame, order_cols: Sequence[str], before: DataFrame | None) -> DataFrame:
+    """A tile at a time: the owner's time is the running maximum, the owner the last click that applied."""
+    rows, since, owner = clicks, free_name(clicks, "since"), free_name(clicks, "owner")
+    if before is not None:
+        state = before.select("tile_id", F.col("timestamp_ns").alias(since), F.col("country_id").alias(owner))
+        rows = rows.join(state, "tile_id", "left")
+    else:
+        rows = rows.withColumn(since, F.lit(None).cast(clicks.schema["timestamp_ns"].dataType)).withColumn(owner, F.lit(None).cast("string"))
+    earlier = Window.partitionBy("tile_id").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("previous_ts", F.greatest(F.max("timestamp_ns").over(earlier), F.col(since)))
+    rows = rows.withColumn("applied", F.col("previous_ts").isNull() | (F.col("timestamp_ns") > F.col("previous_ts")))
+    applied = F.struct(F.col("country_id"))  # a struct, so that a null country is an owner too
+    last = F.last(F.when(F.col("applied"), applied), ignorenulls=True).over(earlier)
+    rows = rows.withColumn("previous_country", F.when(last.isNotNull(), last["country_id"]).otherwise(F.col(owner)))
+    return rows.select(*_out_columns(clicks))
+
+
+def best_clicks(rows: DataFrame, order_cols: Sequence[str], part: str) -> DataFrame:
+    """(tile_id, part, best): of every part the click that owns each of its tiles afterwards."""
+    return rows.groupBy("tile_id", part).agg(F.min(_owner_key(rows, order_cols)).alias("best"))
+
+
+def earlier_owners(owners: DataFrame, rows: DataFrame, order_cols: Sequence[str], part: str) -> DataFrame:
+    """Owners from before all parts as ``best_clicks`` of a part before the first; they win equal times."""
+    fields = [(-F.col("timestamp_ns")).alias("neg_ts")]
+    fields += [F.lit(None).cast(rows.schema[c].dataType).alias(f"o{i}") for i, c in enumerate(order_cols)]
+    key = F.struct(*fields, F.col("country_id").alias("country_id"))
+    return owners.select("tile_id", F.lit(-1).cast("bigint").alias(part), key.alias("best"))
+
+
+def classify_parts(rows: DataFrame, bests: DataFrame, order_cols: Sequence[str], part: str) -> DataFrame:
+    """Classification of parts in arrival order, each tile's carry-in the best click of its earlier parts."""
+    carry, previous = free_name(rows, "carry"), free_name(rows, "previous")
+    earlier = Window.partitionBy("tile_id").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (bests.select("tile_id", part, F.min("best").over(earlier).alias(carry)).filter(F.col(carry).isNotNull()))
+    inside = Window.partitionBy("tile_id", part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.min(_owner_key(rows, order_cols)).over(inside)
+    out = rows.withColumn(previous, seen).join(carried, ["tile_id", part], "left").withColumn(previous, F.least(F.col(carry), F.col(previous)))
+    since = -F.col(previous)["neg_ts"]
+    return (out.withColumn("applied", F.col(previous).isNull() | (F.col("timestamp_ns") > since))
+            .withColumn("previous_country", F.col(previous)["country_id"]).withColumn("previous_ts", since).select(*_out_columns(rows)))
 
 
 def ownership_changes(classified: DataFrame, parity: bool = False) -> DataFrame:
@@ -108,14 +150,21 @@ def ownership_changes(classified: DataFrame, parity: bool = False) -> DataFrame:
         *[c for c in ("click_id", "timestamp_ns", "arrival_ns") if c in classified.columns])
 
 
-def dedup_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """One row per ``click_id``, the earliest delivery (deterministic, unlike dropDuplicates).
+def has_id(clicks: DataFrame, id_col: str = "click_id") -> Column:
+    """Whether a click names itself: a null id, or the empty default of the wire format, says nothing."""
+    return F.coalesce(F.col(id_col).cast("string"), F.lit("")) != ""
+
+
+def dedup_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER, id_col: str = "click_id") -> DataFrame:
+    """One row per ``id_col``, the earliest delivery (deterministic, unlike dropDuplicates); clicks without an id all stay.
     Partial aggregation keeps copies of a click from meeting in one task unreduced."""
-    others = [c for c in clicks.columns if c != "click_id"]
-    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols) if c != "click_id"],
-                   *[F.col(c) for c in others])
-    best = clicks.groupBy("click_id").agg(F.min(key).alias("_first"))
-    return best.select(*[F.col(f"_first.{c}").alias(c) if c != "click_id" else F.col(c) for c in clicks.columns])
+    named = clicks.filter(has_id(clicks, id_col))
+    key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols) if c != id_col],
+                   *[F.col(c).alias(f"c{i}") for i, c in enumerate(clicks.columns)])
+    first = free_name(clicks, "first")
+    best = named.groupBy(id_col).agg(F.min(key).alias(first))
+    return (best.select(*[F.col(first)[f"c{i}"].alias(c) for i, c in enumerate(clicks.columns)])
+            .unionByName(clicks.filter(~has_id(clicks, id_col))))
 
 
 def bootstrap_ownership(snapshot: DataFrame, log: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER) -> DataFrame:

@@ -87,6 +87,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it isn't there."""
+    fs, p = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, such as a manifest."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears whole or not at all: written beside its place under another name, then renamed."""
+    import uuid
+
+    fs, p = _file_system(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{p.getName()}.{uuid.uuid4().hex[:8]}")
+    stream = fs.create(aside, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.rename(aside, p):
+        raise OSError(f"could not publish {path}")
+
+
 def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
     """Suggested settings for a cluster run over ``input_bytes`` of click log.
 

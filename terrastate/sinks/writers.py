@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrastate.session import path_exists
+from terrastate.sinks.versions import Outbox, columns_of
 
 
 # --- K1: ownership snapshot ---------------------------------------------------------------
@@ -47,8 +48,12 @@ def notification_records(changes: DataFrame) -> DataFrame:
                           *[c for c in ("click_id", "timestamp_ns", "arrival_ns") if c in changes.columns])
 
 
-def write_notifications(changes: DataFrame, path: str, fmt: str = "json") -> None:
-    notification_records(changes).write.mode("append").format(fmt).save(path)
+def write_notifications(changes: DataFrame, path: str, batch: int = 0, order_cols: tuple[str, ...] = ("arrival_ns", "click_id")) -> Outbox:
+    """The changes as batch ``batch`` of the outbox at ``path``; writing a batch again delivers nothing twice."""
+    records = notification_records(changes)
+    outbox = Outbox(changes.sparkSession, path, columns_of(records), order_cols)
+    outbox.put(records, batch)
+    return outbox
 
 
 # --- K3: tile -> country files ------------------------------------------------------------------

@@ -1,28 +1,29 @@
-"""Ownership on streams (O2, O3-stream, O4-stream, L4-stream, O5-stream, K1/K2 on streams).
-
-State is keyed by tile and kept in the streaming state store (checkpointed,
-RocksDB when configured), so it survives executor loss and restarts.  Arrival
-order across micro-batches is the log order; within a micro-batch it is
-``order_cols``.  There is no state timeout: a late click is accepted and
-ignored when it is not newer than the state (T2), never dropped by a watermark.
+"""Ownership on streams.
+
+O2 is a streaming aggregate.  What needs the owner from before each click runs
+micro-batch by micro-batch: the batch operator over the batch's clicks, with the
+owners of the tiles they touch carried in from a versioned store.  So a tile's
+clicks of one batch spread over tasks as in batch, no Python runs, and the state
+is ordinary files.  The store's version says which batch it holds; a retried
+batch starts from the version before it and overwrites its own output.
+
+Arrival order across micro-batches is the log order; within a micro-batch it is
+``order_cols``.  There is no state timeout: a late click is accepted and ignored
+when it is not newer than the state (T2), never dropped by a watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
 
+from terrastate.functions.names import free_name
 from terrastate.operators.leaderboard import score_deltas
-from terrastate.operators.ownership import DEFAULT_ORDER, _owner_key, ownership_changes
+from terrastate.operators.ownership import DEFAULT_ORDER, HOT_TILE, _owner_key, classify_clicks, current_ownership, dedup_clicks, has_id
+from terrastate.sinks.versions import SnapshotStore, Versions
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("country_id", T.StringType()),
-    T.StructField("timestamp_ns", T.LongType()),
-])
+Sink = Callable[[DataFrame, int], None]
 
 
 def ownership_stream(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
@@ -35,68 +36,79 @@ def ownership_stream(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDE
                        (-F.col("best.neg_ts")).alias("timestamp_ns"))
 
 
-def _classify_fn(order_cols: Sequence[str], out_cols: list[str]):
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = (pd.concat(list(pdfs), ignore_index=True)
-                .sort_values(list(order_cols), kind="stable").reset_index(drop=True))
-        ts = rows["timestamp_ns"].to_numpy(dtype=np.int64)
-        country = rows["country_id"].to_numpy(dtype=object)
-        n = len(ts)
-        st_country, st_ts = state.get if state.exists else (None, None)
-        floor = np.int64(st_ts) if st_ts is not None else np.iinfo(np.int64).min
-        # Owner time before row i = max(state, ts[0..i-1]); a click applies when strictly newer.
-        seen = np.maximum.accumulate(np.concatenate(([floor], ts)))[:-1]
-        applied = ts > seen
-        if st_ts is None and n:
-            applied[0] = True
-        # Owner before row i = the last applied row before i (applied times only rise), else the state.
-        last = np.maximum.accumulate(np.where(applied, np.arange(n), -1))
-        before = np.concatenate(([-1], last[:-1]))
-        has = before >= 0
-        prev_country = np.where(has, country[np.maximum(before, 0)], st_country)
-        prev_ts = pd.array(np.where(has, ts[np.maximum(before, 0)], seen), dtype="Int64")
-        if st_ts is None:
-            prev_ts[~has] = pd.NA
-        if n and last[-1] >= 0:
-            owner = country[last[-1]]
-            state.update((None if owner is None or owner != owner else str(owner), int(ts[last[-1]])))
-        rows = rows.assign(applied=applied, previous_country=pd.Series(prev_country, dtype="object"),
-                           previous_ts=prev_ts)
-        yield rows[out_cols]
-    return fold
-
-
-def classify_stream(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """O3 on a stream: every click with ``applied``, ``previous_country``,
-    ``previous_ts``; one state cell (country, time) per tile.  A tile's rows of
-    one micro-batch are folded in arrival order inside one task; the trigger
-    size (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``) bounds that group."""
-    out_schema = T.StructType(list(clicks.schema.fields) + [
-        T.StructField("applied", T.BooleanType()),
-        T.StructField("previous_country", T.StringType()),
-        T.StructField("previous_ts", T.LongType()),
-    ])
-    fn = _classify_fn(order_cols, out_schema.fieldNames())
-    return clicks.groupBy("tile_id").applyInPandasWithState(
-        fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def changes_stream(clicks: DataFrame, parity: bool = False, order_cols: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """O4 on a stream (append mode): notifications as clicks arrive."""
-    return ownership_changes(classify_stream(clicks, order_cols), parity=parity)
-
-
-def leaderboard_stream(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """L4 on a stream: +1/-1 deltas of applied clicks summed per country
-    (update or complete mode).  Countries at 0 are filtered by readers."""
-    deltas = score_deltas(classify_stream(clicks, order_cols))
-    return deltas.groupBy("country_id").agg(F.sum("delta").alias("score"))
-
-
-def dedup_stream(clicks: DataFrame) -> DataFrame:
-    """O5 on a stream: drop redelivered clicks (same ``click_id``).
-
-    There is no watermark, so no click that was never seen is dropped however
-    late it is delivered; the price is one state cell per click id (keep the
-    state in RocksDB, see ``cluster_conf``)."""
-    return clicks.dropDuplicates(["click_id"])
+def classify_sink(state_path: str, deliver: Sink, order_cols: Sequence[str] = DEFAULT_ORDER, hot_tile: int = HOT_TILE) -> Sink:
+    """O3 on a stream: ``deliver`` gets every batch's clicks with ``applied``, ``previous_country`` and ``previous_ts``.
+
+    ``deliver`` must write the same output when it gets a batch again; the owners are published after it."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        clicks = batch.persist()
+        try:
+            store = SnapshotStore(batch.sparkSession, state_path)
+            parent = store.before(batch_id)
+            before = store.read(parent).join(clicks.select("tile_id").distinct(), "tile_id", "left_semi") if parent.folders else None
+            deliver(classify_clicks(clicks, order_cols, before=before, hot_tile=hot_tile), batch_id)
+            store.add(current_ownership(clicks, order_cols), batch_id, parent)
+        finally:
+            clicks.unpersist()
+    return sink
+
+
+def batch_files(path: str, shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Sink:
+    """A ``deliver`` that writes ``shape`` of each batch to a folder of its own; a batch that comes again overwrites it."""
+    def deliver(rows: DataFrame, batch_id: int) -> None:
+        shape(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return deliver
+
+
+def leaderboard_sink(state_path: str, order_cols: Sequence[str] = DEFAULT_ORDER) -> Sink:
+    """L4 on a stream: the +1/-1 deltas of applied clicks added to the totals of the batch before."""
+    def deliver(classified: DataFrame, batch_id: int) -> None:
+        totals = leaderboard_totals(classified.sparkSession, state_path)
+        deltas = score_deltas(classified).select("country_id", F.col("delta").alias("score"))
+        every = totals.read(totals.before(batch_id)).unionByName(deltas)
+        totals.replace(every.groupBy("country_id").agg(F.sum("score").alias("score")).filter("score <> 0").coalesce(1), batch_id)
+    return classify_sink(f"{state_path}/owners", deliver, order_cols)
+
+
+def leaderboard_totals(spark, state_path: str) -> Versions:
+    """The totals kept by ``leaderboard_sink``: a row per country, so one small file a batch."""
+    totals = Versions(spark, f"{state_path}/totals")
+    totals.schema = "country_id string, score bigint"
+    return totals
+
+
+def dedup_sink(index_path: str, deliver: Sink, id_col: str = "click_id", order_cols: Sequence[str] = DEFAULT_ORDER) -> Sink:
+    """O5 on a stream: ``deliver`` gets the clicks whose id no earlier batch had, the first delivery of each.
+
+    The ids seen are files sorted by id, merged by level; a batch is anti-joined with the files and row groups in its range
+    of ids.  Nothing is held in memory and nothing expires, so no click that was never seen is dropped, however late it is.
+    A null or empty id says nothing; such clicks all pass."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark, kind = batch.sparkSession, batch.schema[id_col].dataType.simpleString()
+        clicks = batch.persist()
+        try:
+            index = IdIndex(spark, index_path, id_col, kind)
+            parent = index.before(batch_id)
+            fresh = dedup_clicks(clicks, order_cols, id_col)
+            if parent.folders:
+                low, high = clicks.filter(has_id(clicks, id_col)).agg(F.min(id_col), F.max(id_col)).first()
+                known = index.read(parent).filter(F.col(id_col).between(F.lit(low), F.lit(high)))
+                seen = free_name(fresh, "seen")
+                marked = fresh.join(known.withColumn(seen, F.lit(True)), id_col, "left")
+                fresh = marked.filter(F.col(seen).isNull()).select(*clicks.columns)
+            deliver(fresh, batch_id)
+            index.add(fresh.filter(has_id(fresh, id_col)).select(id_col), batch_id, parent)
+        finally:
+            clicks.unpersist()
+    return sink
+
+
+class IdIndex(Versions):
+    """Ids seen, each once: folders sorted by id over their files."""
+
+    def __init__(self, spark, path: str, id_col: str, kind: str):
+        super().__init__(spark, path)
+        self.id_col, self.schema = id_col, f"`{id_col}` {kind}"
+
+    def laid_out(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(self.id_col).sortWithinPartitions(self.id_col)

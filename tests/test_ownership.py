@@ -188,3 +188,62 @@ def test_property_classify_equals_fold(spark):
         _check_against_fold(spark, rows, buckets=7)
 
     check()
+
+
+def test_classify_keeps_columns_of_any_name(spark):
+    rows = [(1, "a", 10, 1, 1, "mine", "p", "c", "s"), (1, "b", 20, 2, 2, "yours", "q", "d", "t")]
+    df = spark.createDataFrame(rows, SCHEMA + ", _bucket string, _Prev string, _carry string, _seen string")
+    df = df.withColumn("_part", F.lit("part")).withColumn("_since", F.lit("since")).withColumn("_owner", F.lit("owner")).withColumn("_previous", F.lit("x"))
+    for n in (None, 3):
+        got = ow.classify_clicks(df, buckets=n)
+        assert got.columns == [*df.columns, "applied", "previous_country", "previous_ts"]
+        assert sorted(tuple(r)[:-3] for r in got.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_classify_with_owners_from_before(spark):
+    before = spark.createDataFrame([(1, "z", 50), (2, "y", 5), (4, "w", 1)], "tile_id bigint, country_id string, timestamp_ns bigint")
+    rows = [(1, "a", 50, 1, 1), (1, "b", 60, 2, 2), (1, "c", 55, 3, 3), (2, "a", 6, 4, 1), (3, "a", 1, 5, 1), (3, "b", 1, 6, 2)]
+    want = {1: (False, "z", 50), 2: (True, "z", 50), 3: (False, "b", 60), 4: (True, "y", 5), 5: (True, None, None), 6: (False, "a", 1)}
+    for n in (None, 1, 4):
+        got = ow.classify_clicks(clicks_df(spark, rows), buckets=n, before=before).collect()
+        assert {r.click_id: (r.applied, r.previous_country, r.previous_ts) for r in got} == want
+
+
+def test_a_null_country_is_an_owner(spark):
+    rows = [(1, "a", 1, 1, 1), (1, None, 2, 2, 2), (1, "b", 3, 3, 3)]
+    for n in (None, 3):
+        got = {r.click_id: (r.applied, r.previous_country, r.previous_ts) for r in ow.classify_clicks(clicks_df(spark, rows), buckets=n).collect()}
+        assert got == {1: (True, None, None), 2: (True, "a", 1), 3: (True, None, 2)}
+
+
+def test_clicks_without_an_id_are_not_one_click(spark):
+    rows = [(1, "a", 1, None, 1), (1, "a", 1, None, 1), (2, "a", 1, 7, 9), (2, "a", 1, 7, 3)]
+    got = sorted(tuple(r) for r in ow.dedup_clicks(clicks_df(spark, [r for r in rows if r[3]])).collect())
+    assert got == [(2, "a", 1, 7, 3)]
+    assert ow.dedup_clicks(clicks_df(spark, rows)).count() == 3
+    text = clicks_df(spark, rows).withColumn("click_id", F.when(F.col("click_id").isNull(), F.lit("")).otherwise(F.col("click_id").cast("string")))
+    assert ow.dedup_clicks(text).count() == 3
+
+
+def test_arrival_log_is_classified_where_it_lies(spark):
+    import pytest
+
+    from terrastate.operators.arrivals import ArrivalLog
+    from terrastate.session import list_names, scratch_path
+
+    rows = sorted(_random_log(9), key=lambda r: (r[4], r[3]))
+    log = ArrivalLog(spark, scratch_path(spark, "arrivals"))
+    for at in range(0, 3000, 1000):
+        assert log.append(clicks_df(spark, rows[at:at + 1000]), parts=7) == at // 1000
+    expect, _, _ = fold([dict(zip(["tile_id", "country_id", "timestamp_ns", "click_id", "arrival_ns"], r)) for r in rows])
+
+    def found(df):
+        return {r.click_id: (r.applied, r.previous_country, r.previous_ts) for r in df.collect()}
+
+    files = [list_names(spark, f"{log.path}/{k}") for k in ("rows", "bests", "published")]
+    assert found(log.classified()) == expect
+    assert found(log.classified(first=2)) == {r[3]: expect[r[3]] for r in rows[2000:]}
+    assert files == [list_names(spark, f"{log.path}/{k}") for k in ("rows", "bests", "published")]  # nothing was written
+    with pytest.raises(ValueError):
+        log.append(clicks_df(spark, rows[:5]))
+    assert found(log.classified()) == expect and log.clicks().count() == 3000

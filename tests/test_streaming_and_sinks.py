@@ -1,6 +1,7 @@
 """Stream = batch on the smallest fixture, sinks that write and read back,
 and independence from the session time zone."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -9,7 +10,9 @@ from terrastate.operators import ownership as ow
 from terrastate.plans import load_all
 from terrastate.session import scratch_path
 from terrastate.sinks import writers
+from terrastate.sinks.versions import Outbox
 from terrastate.sources import derived as d
+from terrastate.streaming.runners import CHANGE_SCHEMA
 
 
 def rows(df, cols=None):
@@ -74,7 +77,8 @@ def test_page_records_bounded_rows(spark):
     assert sum(p.n_tiles for p in pages) == 200 and max(p.n_tiles for p in pages) <= 50
 
 
-def test_classify_stream_with_ties_matches_fold(spark):
+@pytest.mark.parametrize("hot_tile", [10**6, 5])
+def test_classify_stream_with_ties_matches_fold(spark, hot_tile):
     import random
 
     from fold import fold
@@ -87,8 +91,9 @@ def test_classify_stream_with_ties_matches_fold(spark):
             for i in range(800)]
     schema = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
     clicks = spark.createDataFrame(rows, schema)
-    out = scratch_path(spark, "ties-out")
-    follow(spark, None, lambda log, at: runners.start(so.classify_stream(log), path=out, checkpoint=at), clicks)
+    out, state = scratch_path(spark, "ties-out"), scratch_path(spark, "ties-owners")
+    sink = so.classify_sink(state, so.batch_files(out), hot_tile=hot_tile)
+    follow(spark, None, lambda log, at: runners.start(log, sink, checkpoint=at), clicks)
     got = {r.click_id: (r.applied, r.previous_country, r.previous_ts) for r in spark.read.parquet(out).collect()}
     expect, _, _ = fold([dict(zip(["tile_id", "country_id", "timestamp_ns", "click_id", "arrival_ns"], r)) for r in rows])
     assert got == expect
@@ -119,7 +124,7 @@ def test_writers_round_trip(spark):
     cls = ow.classify_clicks(d.clicks_a(spark, SF_SMALL))
     p_n = scratch_path(spark, "notes")
     writers.write_notifications(ow.ownership_changes(cls), p_n)
-    assert spark.read.json(p_n).count() == 350
+    assert Outbox(spark, p_n, CHANGE_SCHEMA).pending().count() == 350
 
     pts = points.xyz_to_uv(points.normalize_points(d.raw_points(spark, SF_SMALL)))
     land = points.land_filter(pts, d.land_mask(spark), d.MASK_W, d.MASK_H, d.MASK_THRESHOLD)
@@ -157,9 +162,7 @@ def test_processing_time_runners(spark):
     stream = read_clicks(log, spark, stream=True, schema=clicks.schema)
 
     delivered = scratch_path(spark, "pt-delivered")
-    q = runners.batched_delivery(so.changes_stream(stream),
-                                 lambda b, i: b.write.mode("overwrite").parquet(f"{delivered}/batch={i}"),
-                                 interval="1 second")
+    q = runners.batched_delivery(stream, scratch_path(spark, "pt-owners"), so.batch_files(delivered), interval="1 second")
     try:
         q.processAllAvailable()
     finally:
@@ -182,25 +185,6 @@ def _owners(spark, rows):
     return spark.createDataFrame(rows, "tile_id bigint, country_id string, timestamp_ns bigint")
 
 
-def test_snapshot_sink_keeps_the_snapshot_when_a_batch_fails(spark):
-    import pytest
-
-    from terrastate.session import path_exists
-    from terrastate.streaming.runners import snapshot_upsert_sink
-
-    path = scratch_path(spark, "upsert")
-    sink = snapshot_upsert_sink(path)
-    sink(_owners(spark, [(t, "a", 10) for t in range(2000)] + [(300_000, "z", 1)]), 0)
-    sink(_owners(spark, [(1, "b", 20), (2, "b", 5)]), 1)
-    stored = {r.tile_id: r.country_id for r in spark.read.parquet(path).collect()}
-    assert len(stored) == 2001 and stored[1] == "b" and stored[2] == "a"
-    spark.read.parquet(path).drop("country_id").limit(5).write.mode("append").partitionBy("bucket").parquet(path)  # a broken file
-    broken = snapshot_upsert_sink(path)
-    with pytest.raises(Exception):
-        broken(spark.range(3).withColumnRenamed("id", "tile_id"), 2)
-    assert spark.read.parquet(path).count() >= 2001 and path_exists(spark, path)
-
-
 def test_interrupted_tile_country_files_are_written_again(spark):
     folder = scratch_path(spark, "tc-cut")
     tiles = spark.createDataFrame([(1,), (2,)], "tile_id bigint")
@@ -217,10 +201,14 @@ def test_dedup_stream_drops_no_click_that_was_never_seen(spark):
     from terrastate.streaming import runners
 
     hour = 3_600_000_000_000
-    schema = "tile_id bigint, country_id string, timestamp_ns bigint, click_id bigint, arrival_ns bigint"
-    log, out, at = scratch_path(spark, "late-log"), scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
-    for rows_ in ([(1, "a", 1, 1, 100 * hour)], [(1, "a", 1, 2, 101 * hour), (1, "a", 1, 1, 101 * hour)], [(1, "a", 1, 3, 90 * hour)]):
+    schema = "tile_id bigint, country_id string, timestamp_ns bigint, click_id string, arrival_ns bigint"
+    log, out, at, index = (scratch_path(spark, n) for n in ("late-log", "late-out", "late-ckpt", "late-ids"))
+    batches = ([(1, "a", 1, "1", 100 * hour), (2, "a", 1, None, 100 * hour), (3, "a", 1, None, 100 * hour)],
+               [(1, "a", 1, "2", 101 * hour), (1, "a", 1, "1", 101 * hour), (4, "a", 1, "", 101 * hour), (5, "a", 1, "", 101 * hour), (1, "a", 1, "2", 100 * hour)],
+               [(1, "a", 1, "3", 90 * hour), (6, "a", 1, None, 90 * hour), (1, "a", 1, "2", 90 * hour)])
+    for rows_ in batches:
         spark.createDataFrame(rows_, schema).write.mode("append").parquet(log)
         stream = read_clicks(log, spark, stream=True, schema=spark.read.parquet(log).schema)
-        runners.start(so.dedup_stream(stream), path=out, checkpoint=at).awaitTermination()
-    assert sorted(r.click_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+        runners.start(stream, so.dedup_sink(index, so.batch_files(out)), checkpoint=at).awaitTermination()
+    got = [(r.click_id, r.arrival_ns // hour) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=str) == sorted([("1", 100), (None, 100), (None, 100), ("2", 100), ("", 101), ("", 101), ("3", 90), (None, 90)], key=str)
