@@ -56,7 +56,9 @@ def encode_request(tile_id: Column, country_id: Column) -> Column:
 
 
 def encode_click(tile_id: Column, country_id: Column, timestamp_ns: Column, click_id: Column) -> Column:
-    """Binary Click record."""
+    """Binary Click record; a time beyond 63 bits comes as a decimal."""
+    beyond = F.expr("CAST(18446744073709551616 AS DECIMAL(21,0))")
+    timestamp_ns = F.when(timestamp_ns <= F.lit(2 ** 63 - 1), timestamp_ns.try_cast("bigint")).otherwise((timestamp_ns - beyond).try_cast("bigint"))
     return F.unhex(F.concat(
         _field_hex(1, tile_id, "varint"), _field_hex(2, country_id, "string"),
         _field_hex(3, timestamp_ns, "varint"), _field_hex(4, click_id, "string")))
@@ -118,8 +120,9 @@ class _Cursors:
         return enough
 
 
-def decode_batch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, nulls: np.ndarray, kind: str) -> tuple[list[pa.Array], pa.Array]:
-    """Columns of all records of ``kind`` in a batch, and why each reject is one.
+def decode_batch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, nulls: np.ndarray, kind: str,
+                 wide: bool = False) -> tuple[list[pa.Array], pa.Array]:
+    """Columns of all records of ``kind`` in a batch, and why each reject is one.  ``wide``: times as decimal(20,0).
 
     All records are read in step, field by field: as many numpy passes as the
     longest record has fields.  The last value of a field wins; fields of other
@@ -170,10 +173,18 @@ def decode_batch(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, nulls:
         if type_ == "tile":  # a signed 32-bit integer that is not negative
             value[k] &= np.uint64(0xFFFFFFFF)
             reject(value[k] >= np.uint64(1 << 31), "negative tile id")
-        else:  # unsigned 64-bit on the wire, but a log column holds 63 bits
+        elif not wide:  # unsigned 64-bit on the wire, but a bigint column holds 63 bits
             reject(value[k] >= np.uint64(1 << 63), "time out of range")
     bad = c.error > 0
-    columns = [pc.if_else(pa.array(~bad), texts[k], None) if k in texts else pa.array(value[k].astype(np.int64), mask=bad) for k in range(len(fields))]
+
+    def column(k: int) -> pa.Array:
+        if k in texts:
+            return pc.if_else(pa.array(~bad), texts[k], None)
+        if wide and fields[k][2] == "time":
+            return pa.array(np.where(bad, 0, value[k]), pa.uint64(), mask=bad).cast(pa.decimal128(20, 0))
+        return pa.array(value[k].astype(np.int64), mask=bad)
+
+    columns = [column(k) for k in range(len(fields))]
     return columns, pa.array(REASONS, pa.string()).take(pa.array(c.error))
 
 

@@ -14,7 +14,7 @@ def extract_cities(nodes: DataFrame, include_dense: bool = True) -> DataFrame:
     tags = F.col("tags")
     src = nodes if include_dense else nodes.filter(~F.col("dense"))
     pop = tags["population"]
-    population = F.when(pop.rlike("^[+-]?[0-9]+$"), pop.try_cast("bigint"))
+    population = F.when(pop.rlike(r"\A[+-]?[0-9]+\z"), pop.try_cast("bigint"))
     return (src.filter(tags["place"].isin(*CITY_PLACES) & tags["name"].isNotNull())
             .select("id", tags["name"].alias("name"), "lat", "lon", population.alias("population")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrastate.functions.wire import encode_click
 from terrastate.operators import dims, osm, points
 from terrastate.operators import ownership as ow
 from terrastate.operators import reconcile as rc
@@ -12,6 +13,7 @@ from terrastate.plans.registry import register
 from terrastate.plans.sql import CLICKS_A, CLICKS_B, TILES, own, with_
 from terrastate.session import scratch_path
 from terrastate.sinks import writers
+from terrastate.sinks.versions import SnapshotStore
 from terrastate.sources import clicks as src
 from terrastate.sources import derived as d
 from terrastate.sources import osm as osm_source
@@ -70,6 +72,23 @@ def q_stamp_clicks(spark, sf):
     return src.stamp_clicks(c, click_id="click_id", timestamp_ns="arrival_ns")
 
 
+@register("unsigned_times", "S5", with_(CLICKS_A) + """,
+wide AS (SELECT tile_id, country_id, click_id, arrival_ns, CASE WHEN click_id % 10 = 0 THEN 18446744073709551615::HUGEINT
+           ELSE timestamp_ns::HUGEINT + 9223372036854775808::HUGEINT END AS ts FROM clicks_a)
+SELECT tile_id, country_id, CAST(ts AS VARCHAR) AS timestamp_ns FROM (
+  SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts DESC, arrival_ns, click_id) AS rn FROM wide) WHERE rn = 1""")
+def q_unsigned_times(spark, sf):
+    """Unsigned 64-bit times from payload through ownership and the stored snapshot to its textual rows and back."""
+    c = d.unsigned_clicks(spark, sf)
+    sent = c.select("arrival_ns", F.col("click_id").alias("place"),
+                    encode_click(F.col("tile_id"), F.col("country_id"), F.col("timestamp_ns"), F.col("click_id").cast("string")).alias("payload"))
+    valid, _ = src.split_payloads(sent, wide=True)
+    store = SnapshotStore(spark, scratch_path(spark, "unsigned"), time=src.WIDE)
+    store.add(ow.current_ownership(valid, ("arrival_ns", "place")))
+    members = store.read().select(F.concat_ws(":", "country_id", F.col("timestamp_ns").cast("string")).alias("member"), F.col("tile_id").cast("string").alias("score"))
+    return src.parse_snapshot(members, strict=True, wide=True).withColumn("timestamp_ns", F.col("timestamp_ns").cast("string"))
+
+
 @register("parse_snapshot", "S5", with_(CLICKS_B, own("clicks_b", "own_b")) + "SELECT * FROM own_b")
 def q_parse_snapshot(spark, sf):
     return src.parse_snapshot(d.snapshot_strings(spark, sf))
@@ -106,6 +125,16 @@ def q_country_contains(spark, sf):
     return dims.contains(ids, _dim(spark, sf))
 
 
+@register("country_codes", "D1", with_(_DIM) + "SELECT DISTINCT code FROM dim")
+def q_country_codes(spark, sf):
+    return dims.codes(_dim(spark, sf))
+
+
+@register("country_count", "D1", with_(_DIM) + "SELECT count(DISTINCT code) AS countries FROM dim")
+def q_country_count(spark, sf):
+    return dims.size(_dim(spark, sf))
+
+
 _FLAGS_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FLAGS_TO = "".join(chr(0x1F1E6 + i) for i in range(26))
 

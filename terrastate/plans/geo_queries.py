@@ -14,7 +14,7 @@ from terrastate.plans.sql import (CLICKS_A, CLICKS_B, CLICKS_B_REPLICA, CROSSING
 from terrastate.session import scratch_path
 from terrastate.sinks import writers
 from terrastate.sources import derived as d
-from terrastate.sources.geo import country_polygons, tiles_from_coordinates
+from terrastate.sources.geo import country_polygons, read_features, tiles_from_coordinates, tiles_from_document
 from terrastate import schemas
 
 TARGET, WANTED = "nation_5", "nation_9"  # fixed parameters of the audit fixture
@@ -42,6 +42,30 @@ def q_tiles_from_coordinates(spark, sf):
     return t.select("tile_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")], "u", "v")
 
 
+@register("tiles_from_document", "S6", with_(TILES) + """
+SELECT tile_id, round(cos(radians((v - 0.5) * 180.0)) * cos(radians((u - 0.5) * 360.0)), 6) AS x,
+       round(sin(radians((v - 0.5) * 180.0)), 6) AS y,
+       round(cos(radians((v - 0.5) * 180.0)) * sin(radians((u - 0.5) * 360.0)), 6) AS z, u, v FROM tiles""")
+def q_tiles_from_document(spark, sf):
+    """The one-object file, written and read back by byte ranges."""
+    path = scratch_path(spark, "coordinates")
+    d.coordinates_document(spark, sf, path)
+    return tiles_from_document(spark, path).select("tile_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")], "u", "v")
+
+
+@register("country_polygons_document", "S7", with_(RINGS) + """
+SELECT feature_id, country_code, name, ring_id,
+       string_agg(CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR), ',' ORDER BY pos) AS ring
+FROM ring_pts GROUP BY ALL""")
+def q_country_polygons_document(spark, sf):
+    """One FeatureCollection document, written and read back by byte ranges."""
+    path = scratch_path(spark, "features")
+    d.features_document(spark, sf, path)
+    p = country_polygons(read_features(spark, path, collection=True))
+    txt = F.array_join(F.transform("ring", lambda q: F.concat(q["x"].cast("string"), F.lit(" "), q["y"].cast("string"))), ",")
+    return p.select("feature_id", "country_code", "name", "ring_id", txt.alias("ring"))
+
+
 @register("country_polygons", "S7", with_(RINGS) + """
 SELECT feature_id, country_code, name, ring_id,
        string_agg(CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR), ',' ORDER BY pos) AS ring

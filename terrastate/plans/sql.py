@@ -14,7 +14,7 @@ CLICKS_A = """clicks_a AS (
 CLICKS_B_ENV = """clicks_b_env AS (
   SELECT l_partkey AS tile_id, lower(n_name) AS country_id,
          epoch_us(l_shipdate)*1000 + l_orderkey*10 + l_linenumber AS timestamp_ns,
-         l_orderkey*10 + l_linenumber AS click_id,
+         ((l_orderkey*10 + l_linenumber)*10000000 + l_partkey)*10000 + l_suppkey AS click_id,
          epoch_us(l_shipdate)*1000 + l_orderkey*10 + l_linenumber AS arrival_ns,
          l_orderkey
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""

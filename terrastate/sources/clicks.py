@@ -45,7 +45,7 @@ def read_clicks(source: DataFrame | str, spark: SparkSession | None = None, stre
 TYPES = {"tile": T.LongType(), "time": T.LongType(), "text": T.StringType()}
 
 
-def _decode_batches(payload_col: str, keep: list[str], kind: str):
+def _decode_batches(payload_col: str, keep: list[str], kind: str, wide: bool):
     names = [name for name, _, _ in wire.RECORDS[kind]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,25 +53,27 @@ def _decode_batches(payload_col: str, keep: list[str], kind: str):
             col = batch.column(payload_col).cast(pa.large_binary())
             offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
             data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
-            columns, reason = wire.decode_batch(data, offsets[:-1], offsets[1:], col.is_null().to_numpy(zero_copy_only=False), kind)
+            columns, reason = wire.decode_batch(data, offsets[:-1], offsets[1:], col.is_null().to_numpy(zero_copy_only=False), kind, wide)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *columns, reason], names=[*keep, *names, "error"])
     return run
 
 
-def decode_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "click") -> DataFrame:
+def decode_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "click", wide: bool = False) -> DataFrame:
     """Every row decoded as ``kind`` (click, request, batch_request);
     ``error`` is null for valid records.  Runs per Arrow batch inside the
-    tasks; other columns pass through."""
+    tasks; other columns pass through.  With ``wide``, times are decimal(20,0)
+    and any unsigned 64-bit time is valid; else those above 63 bits are rejects."""
     keep = [c for c in df.columns if c != payload_col]
-    out = [T.StructField(name, TYPES[type_]) for name, _, type_ in wire.RECORDS[kind]]
+    types = TYPES | ({"time": T.DecimalType(20, 0)} if wide else {})
+    out = [T.StructField(name, types[type_]) for name, _, type_ in wire.RECORDS[kind]]
     schema = T.StructType([df.schema[c] for c in keep] + out + [T.StructField("error", T.StringType())])
-    return df.mapInArrow(_decode_batches(payload_col, keep, kind), schema)
+    return df.mapInArrow(_decode_batches(payload_col, keep, kind, wide), schema)
 
 
-def split_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "click") -> tuple[DataFrame, DataFrame]:
+def split_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "click", wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """(valid records, rejects with reason).  Both sides read one
     decode pass when the caller caches or writes it; no shuffle either way."""
-    decoded = decode_payloads(df, payload_col, kind)
+    decoded = decode_payloads(df, payload_col, kind, wide)
     valid = decoded.filter(F.col("error").isNull()).drop("error")
     rejects = decoded.filter(F.col("error").isNotNull()).select(
         *[c for c in df.columns if c != payload_col], F.col("error").alias("reason"))
@@ -83,18 +85,31 @@ def split_payloads(df: DataFrame, payload_col: str = "payload", kind: str = "cli
 U32_MAX = 4_294_967_295
 
 
+WIDE = "decimal(20,0)"  # holds every unsigned 64-bit number
+
+
+def _is_unsigned(text):
+    """An unsigned decimal integer with an optional '+', and nothing else (no line end behind it)."""
+    return text.rlike(r"\A\+?[0-9]+\z")
+
+
 def _unsigned(text, max_value: int | None = None):
     """An unsigned decimal integer (optional '+') as bigint, else null."""
-    v = F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("bigint"))
+    v = F.when(_is_unsigned(text), text.try_cast("bigint"))
     return F.when(v <= F.lit(max_value), v) if max_value is not None else v
 
 
+def _unsigned_wide(text):
+    """An unsigned 64-bit integer as ``WIDE``, else null."""
+    v = F.when(_is_unsigned(text), text.try_cast("decimal(38,0)"))
+    return F.when(v <= F.expr("CAST(18446744073709551615 AS DECIMAL(38,0))"), v).cast(WIDE)
+
+
 def subject_tile_id(df: DataFrame, subject_col: str = "subject", prefix: str = SUBJECT_PREFIX) -> DataFrame:
     """S3: adds ``subject_tile_id`` (null unless the subject is ``<prefix><id>``
     with an unsigned 32-bit id) and ``subject_error``."""
-    pattern = "^" + prefix.replace(".", r"\.") + r"(.*)$"
-    raw = F.regexp_extract(F.col(subject_col), pattern, 1)
-    parsed = F.when(F.col(subject_col).startswith(prefix), _unsigned(raw, U32_MAX))
+    rest = F.substring(F.col(subject_col), len(prefix) + 1, 1 << 30)
+    parsed = F.when(F.col(subject_col).startswith(prefix), _unsigned(rest, U32_MAX))
     return (df.withColumn("subject_tile_id", parsed)
             .withColumn("subject_error", F.when(parsed.isNull(), F.lit("bad subject"))))
 
@@ -119,15 +134,21 @@ def stamp_clicks(requests: DataFrame, click_id: str | None = None, timestamp_ns:
 # --- S5: sorted-set snapshot rows ---------------------------------------------------------
 
 def parse_snapshot(df: DataFrame, member_col: str = "member", score_col: str = "score",
-                   strict: bool = False) -> DataFrame:
+                   strict: bool = False, wide: bool = False) -> DataFrame:
     """("country:timestamp_ns", tile score) -> ownership rows.
 
     A member without exactly two parts or with a time that is not an unsigned
-    integer is skipped (times above the signed 64-bit range cannot be held and
-    are skipped too); a score that is not an unsigned 32-bit integer is an
-    error in ``strict`` mode (``raise_error``) and skipped otherwise."""
+    64-bit integer is skipped; a score that is not an unsigned 32-bit integer is
+    an error in ``strict`` mode (``raise_error``) and skipped otherwise.  With
+    ``wide`` the time is a decimal(20,0), which holds all of them; a bigint
+    doesn't hold the upper half: such members are skipped, in ``strict`` mode
+    an error."""
     parts = F.split(F.col(member_col), ":")
-    ts = _unsigned(parts.getItem(1))
+    full = _unsigned_wide(parts.getItem(1))
+    ts = full if wide else full.try_cast("bigint")
+    if strict and not wide:
+        ts = F.when(full.isNotNull() & ts.isNull() & (F.size(parts) == 2), F.raise_error(
+            F.concat(F.lit("time beyond 63 bits: "), F.col(member_col))).cast("bigint")).otherwise(ts)
     tile = _unsigned(F.col(score_col), U32_MAX)
     if strict:  # the score is only read for members that are otherwise valid
         member_ok = (F.size(parts) == 2) & ts.isNotNull()

@@ -19,6 +19,8 @@ U_MULT, U_MOD = 7919, 10007
 V_MULT, V_MOD = 104729, 10009
 BOX_W, BOX_H, BOXES_PER_ROW = 72.0, 36.0, 5
 
+LINE_PARTS, LINE_SUPPLIERS = 10_000_000, 10_000  # fixed values: room for part and supplier numbers in a click id
+
 # Fixed values of the land mask fixture.
 MASK_W, MASK_H, MASK_THRESHOLD = 36, 18, 128
 
@@ -50,13 +52,15 @@ def clicks_b_env(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = table(spark, sf_dir, "supplier")
     nat = table(spark, sf_dir, "nation")
     ts = epoch_ns(li, "l_shipdate") + F.col("l_orderkey") * F.lit(10) + F.col("l_linenumber")
+    # an order line repeats, but not on the same part of the same supplier
+    line_id = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * LINE_PARTS + F.col("l_partkey")) * LINE_SUPPLIERS + F.col("l_suppkey")
     joined = (li.join(sup, li.l_suppkey == sup.s_suppkey)
               .join(nat, sup.s_nationkey == nat.n_nationkey))
     return joined.select(
         F.col("l_partkey").alias("tile_id"),
         F.lower("n_name").alias("country_id"),
         ts.alias("timestamp_ns"),
-        (F.col("l_orderkey") * F.lit(10) + F.col("l_linenumber")).alias("click_id"),
+        line_id.alias("click_id"),
         ts.alias("arrival_ns"),
         F.col("l_orderkey"),
     )
@@ -144,6 +148,37 @@ def coordinates_json(spark: SparkSession, sf_dir: str, chunk: int = 1000) -> Dat
     )).alias("value"))
 
 
+def _document(parts: list[DataFrame], path: str) -> None:
+    """One text file of the lines of ``parts`` (place, value), in their order."""
+    lines = parts[0].withColumn("part", F.lit(0))
+    for k, p in enumerate(parts[1:], 1):
+        lines = lines.unionByName(p.withColumn("part", F.lit(k)))
+    lines.repartition(1).sortWithinPartitions("part", "place").select("value").write.text(path)
+
+
+def _line(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.col("id").alias("place"), F.lit(text).alias("value"))
+
+
+def coordinates_document(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The tile coordinate file as it is published: one object with two flat arrays."""
+    t = tiles(spark, sf_dir)
+
+    def numbers(*names: str) -> DataFrame:
+        text = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
+        return t.select(F.col("tile_id").alias("place"), F.concat(F.when(F.col("tile_id") > 0, ",").otherwise(""), text).alias("value"))
+
+    _document([_line(spark, '{"positions":['), numbers("x", "y", "z"), _line(spark, '],"uvs":['), numbers("u", "v"), _line(spark, "]}")], path)
+
+
+def features_document(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The country features as one ``FeatureCollection`` document, with other objects and odd strings beside them."""
+    head = '{"type":"FeatureCollection","name":"a } \\"{ in a string","crs":{"type":"name","properties":{"name":"}{"}},"features":['
+    f = country_features_json(spark, sf_dir).withColumn("place", F.get_json_object("value", "$.id").cast("bigint"))
+    rows = f.select("place", F.concat(F.when(F.col("place") > 0, ",").otherwise(""), "value").alias("value"))
+    _document([_line(spark, head), rows, _line(spark, '],"bbox":[0,1]}')], path)
+
+
 def country_dim_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Country dimension as JSON objects code -> name (one object per nation)."""
     n = table(spark, sf_dir, "nation")
@@ -254,6 +289,13 @@ def snapshot_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+def unsigned_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clicks_a`` with times in the upper half of the unsigned 64-bit range, every tenth the greatest there is."""
+    most, half = F.expr("CAST(18446744073709551615 AS DECIMAL(20,0))"), F.expr("CAST(9223372036854775808 AS DECIMAL(20,0))")
+    late = (F.col("timestamp_ns") + half).cast("decimal(20,0)")
+    return clicks_a(spark, sf_dir).withColumn("timestamp_ns", F.when(F.col("click_id") % 10 == 0, most).otherwise(late))
+
+
 PAYLOAD_TRUNCATE_EVERY = 101  # fixed value: every 101st payload loses its last byte
 
 

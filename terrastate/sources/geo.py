@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from terrastate import schemas
+from terrastate.sources.json_split import flat_numbers, objects_in_lists
 
 FEATURE_RAW = T.StructType([
     T.StructField("type", T.StringType()),
@@ -44,9 +45,27 @@ def tiles_from_coordinates(df: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def read_coordinates(spark, path: str) -> DataFrame:
+    """Coordinate rows of JSON lines, one chunk of tiles a line."""
     return spark.read.schema(schemas.COORDINATES).json(path)
 
 
+def tiles_from_document(spark, path: str, strict: bool = True) -> DataFrame:
+    """One document ``{"positions": [...], "uvs": [...]}``, however large and on however few lines, read in many tasks ->
+    one row per tile (tile id = ordinal).  Lengths that don't match fail the job in ``strict`` mode; otherwise only tiles
+    with all five numbers are kept."""
+    numbers = flat_numbers(spark, path).filter(F.col("key").isin("positions", "uvs"))
+    per = F.when(F.col("key") == "positions", 3).otherwise(2)
+    rows = numbers.select(F.floor(F.col("i") / per).cast("bigint").alias("tile_id"), "key", (F.col("i") % per).alias("axis"), "number")
+    pick = {"x": ("positions", 0), "y": ("positions", 1), "z": ("positions", 2), "u": ("uvs", 0), "v": ("uvs", 1)}
+    tiles = rows.groupBy("tile_id").agg(*[F.max(F.when((F.col("key") == k) & (F.col("axis") == a), F.col("number"))).alias(n) for n, (k, a) in pick.items()])
+    whole = F.col("x").isNotNull()
+    for n in ("y", "z", "u", "v"):
+        whole = whole & F.col(n).isNotNull()
+    if strict:  # a tile that lacks a number tells that the lengths don't match
+        whole = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("coordinates: positions/uvs lengths do not match")).cast("boolean"))
+    return tiles.filter(whole)
+
+
 def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple[str, ...] = ("MultiPolygon",),
                      min_vertices: int = 3) -> DataFrame:
     """GeoJSON features (one JSON text per row) -> one row per ring.
@@ -58,10 +77,13 @@ def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple
     Parts and holes are flattened into one ring list; rings with fewer than
     ``min_vertices`` vertices are dropped (they can hold no point).
     """
-    # Every feature row is a feature of its own: identical texts are numbered.
-    same = Window.partitionBy(F.col(value_col)).orderBy(F.lit(0))
-    f = features.select(F.from_json(F.col(value_col), FEATURE_RAW).alias("f"), F.xxhash64(F.col(value_col)).alias("_text_id"),
-                        F.xxhash64(F.col(value_col), F.row_number().over(same)).alias("feature_row")).select("f.*", "_text_id", "feature_row")
+    # Every feature row is a feature of its own.  Hashes are counted; only the texts whose hash repeats are numbered.
+    texts = features.select(F.col(value_col).alias("v"), F.xxhash64(value_col).alias("_text_id"))
+    again = texts.groupBy("_text_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_text_id")
+    number = F.row_number().over(Window.partitionBy("_text_id").orderBy(F.lit(0)))
+    f = (texts.join(again, "_text_id", "left_anti").withColumn("feature_row", F.col("_text_id"))
+         .unionByName(texts.join(again, "_text_id", "left_semi").withColumn("feature_row", F.xxhash64("v", number)))
+         .select(F.from_json("v", FEATURE_RAW).alias("f"), "_text_id", "feature_row").select("f.*", "_text_id", "feature_row"))
     gtype = F.col("geometry.type")
     f = f.filter(gtype.isin(*kinds))
     coords = F.when(gtype == "MultiPolygon", F.from_json(F.col("geometry.coordinates"), MULTI)) \
@@ -81,11 +103,9 @@ def country_polygons(features: DataFrame, value_col: str = "value", kinds: tuple
 def read_features(spark, path: str, collection: bool = False) -> DataFrame:
     """GeoJSON features as one JSON text per row (``value``), the input of
     ``country_polygons``.  JSON-lines files (one feature per line) split across
-    tasks; a single ``FeatureCollection`` document (``collection=True``) cannot be
-    split, so one task parses it and its features are exploded into rows; for
-    large maps convert it to JSON lines once."""
+    tasks, and so does a single ``FeatureCollection`` document
+    (``collection=True``): its objects are cut out by byte ranges."""
     if not collection:
         return spark.read.text(path)
-    coll = (spark.read.option("multiLine", True)
-            .schema("features array<string>").json(path))
-    return coll.select(F.explode("features").alias("value"))
+    found = objects_in_lists(spark, path).select("value")
+    return found.filter(F.get_json_object("value", "$.type") == "Feature")
