@@ -27,12 +27,12 @@ def served_builder(spark, sf_dir):
     from terrastate.operators.leaderboard import leaderboard_ranked
     from terrastate.operators.ownership import current_ownership
     from terrastate.session import scratch_path
-    from terrastate.sinks.writers import write_snapshot
+    from terrastate.sinks.versions import SnapshotStore
     from terrastate.sources import derived as d
 
-    path = scratch_path(spark, "bench-snapshot")
-    write_snapshot(current_ownership(d.clicks_b(spark, sf_dir)), path)
-    return lambda spark, _sf: leaderboard_ranked(spark.read.parquet(path))
+    store = SnapshotStore(spark, scratch_path(spark, "bench-snapshot"))
+    store.add(current_ownership(d.clicks_b(spark, sf_dir)))
+    return lambda _spark, _sf: leaderboard_ranked(store.read())
 
 
 def main() -> None:

@@ -103,12 +103,9 @@ def _cell(lon, cell_deg):
 def keyed_edges(polygons: DataFrame, band_deg: float = DEFAULT_BAND_DEG, cell_deg: float = DEFAULT_CELL_DEG) -> DataFrame:
     """Edges replicated to every (band, cell) key where a point may cross them."""
     e = ring_edges(polygons)
-    env = country_envelopes(polygons).select("feature_id", "area")
     bands = F.sequence(_band(F.least("yi", "yj"), band_deg), _band(F.greatest("yi", "yj"), band_deg))
     cells = F.sequence(_cell(F.col("ring_min_x"), cell_deg), _cell(F.greatest("xi", "xj"), cell_deg) + 1)
-    return (e.join(env, "feature_id")
-            .withColumn("band", F.explode(bands))
-            .withColumn("cell", F.explode(cells)))
+    return e.withColumn("band", F.explode(bands)).withColumn("cell", F.explode(cells))
 
 
 def _crossing(lon, lat):
@@ -137,19 +134,20 @@ def ring_crossings(tiles: DataFrame, polygons: DataFrame, band_deg: float = DEFA
 
 
 def spatial_candidates(tiles: DataFrame, polygons: DataFrame, band_deg: float = DEFAULT_BAND_DEG,
-                       cell_deg: float = DEFAULT_CELL_DEG) -> DataFrame:
-    """(tile, feature) pairs whose envelope holds the point, with the
-    envelope's squared distance (0 for these) and area: the only countries the
-    exact test needs.  Envelopes are exploded to grid keys; equi-join on the key."""
+                       cell_deg: float = DEFAULT_CELL_DEG, reach: float = 0.0) -> DataFrame:
+    """(tile, feature) pairs whose envelope is at most ``reach`` degrees from
+    the point, with its squared distance (0 inside) and area.  With no reach
+    these are the only countries the exact test needs; with one, the order by
+    distance tells the nearest countries of a point that lies in none.
+    Envelopes, grown by the reach, are exploded to grid keys; equi-join on the key."""
     env = country_envelopes(polygons)
-    keyed_env = (env.withColumn("band", F.explode(F.sequence(_band(F.col("min_y"), band_deg), _band(F.col("max_y"), band_deg))))
-                 .withColumn("cell", F.explode(F.sequence(_cell(F.col("min_x"), cell_deg), _cell(F.col("max_x"), cell_deg)))))
+    keyed_env = (env.withColumn("band", F.explode(F.sequence(_band(F.col("min_y") - reach, band_deg), _band(F.col("max_y") + reach, band_deg))))
+                 .withColumn("cell", F.explode(F.sequence(_cell(F.col("min_x") - reach, cell_deg), _cell(F.col("max_x") + reach, cell_deg)))))
     pts = _keyed_points(tiles, band_deg, cell_deg)
-    j = pts.join(keyed_env, ["band", "cell"]).filter(
-        F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y")))
     dx = F.greatest(F.col("min_x") - F.col("lon"), F.lit(0.0), F.col("lon") - F.col("max_x"))
     dy = F.greatest(F.col("min_y") - F.col("lat"), F.lit(0.0), F.col("lat") - F.col("max_y"))
-    return j.select("tile_id", "feature_id", "country_code", (dx * dx + dy * dy).alias("dist2"), "area")
+    return (pts.join(keyed_env, ["band", "cell"]).select("tile_id", "feature_id", "country_code", (dx * dx + dy * dy).alias("dist2"), "area")
+            .filter(F.col("dist2") <= reach * reach))
 
 
 def _ordered_edges(polygons: DataFrame, cell_deg: float) -> DataFrame:

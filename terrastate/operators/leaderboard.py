@@ -61,10 +61,12 @@ def leaderboard_display(ownerships: DataFrame, countries: DataFrame, total: Colu
     """Rank, display name, tiles and percent of ``total``.
 
     The ranking window has no partition key: it runs over the aggregated
-    leaderboard, one row per country, which the country dimension bounds.
-    The dimension join is left to AQE (broadcast from its runtime size).
+    leaderboard, one row per country.  With ``k`` the board is cut to its top k
+    before it (TakeOrdered, k rows a task), so the window's one task has k rows
+    however many codes the clicks made up.  The dimension join is left to AQE
+    (broadcast from its runtime size).
     """
-    board = leaderboard(ownerships)
+    board = leaderboard_ranked(ownerships, k) if k is not None else leaderboard(ownerships)
     named = board.join(countries.select(F.col("code").alias("country_id"), "name"), "country_id", "left")
     w = Window.orderBy(F.desc("score"), F.asc("country_id"))
     out = named.select(
@@ -74,7 +76,7 @@ def leaderboard_display(ownerships: DataFrame, countries: DataFrame, total: Colu
         F.col("score").alias("tiles"),
         percent_of(F.col("score"), total).alias("percent"),
     )
-    return out.filter(F.col("rank") <= k) if k is not None else out
+    return out
 
 
 def country_tile_stats(tile_country: DataFrame) -> DataFrame:

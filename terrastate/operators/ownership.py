@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrastate.functions.names import free_name
-from terrastate.session import checkpoint_dir
+from terrastate.session import checkpoint_dir, estimated_bytes
 
 DEFAULT_ORDER = ("arrival_ns", "click_id")
 PAGE_SIZE = 10_000  # fixed value: the client's page size
@@ -50,6 +50,7 @@ def current_ownership(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORD
 
 
 HOT_TILE = 1_000_000  # clicks of one tile that one task may classify by itself
+LEAST_CLICK_BYTES = 8  # of a click in a stored log, compressed
 
 
 def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER, buckets: int | None = None,
@@ -60,8 +61,9 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     before this click; null for the first click of a tile).  ``before`` holds the
     owners from before these clicks (tile_id, country_id, timestamp_ns).
 
-    The clicks of the fullest tile are counted first.  Up to ``hot_tile`` of them
-    a tile is one window in arrival order.  Beyond that (or with ``buckets``
+    The clicks of the fullest tile are counted first (not where the planner's
+    estimate of the log leaves no room for a hot one).  Up to ``hot_tile`` of
+    them a tile is one window in arrival order.  Beyond that (or with ``buckets``
     given) the log is range-partitioned by (tile, ``order_cols``) into even
     parts, whatever the type of the order columns: a hot tile, or a burst of one
     instant, is cut by the order columns themselves; the parts are checkpointed,
@@ -70,7 +72,7 @@ def classify_clicks(clicks: DataFrame, order_cols: Sequence[str] = DEFAULT_ORDER
     on).  A log that is classified again and again is better kept as an
     ``arrivals.ArrivalLog``, which is never copied.
     """
-    if buckets is None and _fullest_tile(clicks) <= hot_tile:
+    if buckets is None and (estimated_bytes(clicks) <= hot_tile * LEAST_CLICK_BYTES or _fullest_tile(clicks) <= hot_tile):
         return _classify_tiles(clicks, order_cols, before)
     spark = clicks.sparkSession
     checkpoint_dir(spark)

@@ -18,6 +18,7 @@ from terrastate.sources.geo import country_polygons, read_features, tiles_from_c
 from terrastate import schemas
 
 TARGET, WANTED = "nation_5", "nation_9"  # fixed parameters of the audit fixture
+REACH = 5.0  # degrees around a tile, in the query of near countries
 CHUNK = 100  # tiles per country-tiles row in the registered query
 
 
@@ -93,6 +94,15 @@ def q_point_in_ring(spark, sf):
     return geo.ring_crossings(d.tiles(spark, sf), polygons(spark, sf))
 
 
+@register("spatial_candidates_near", "G4", with_(TILES, RINGS, TILE_POINTS) + f"""
+SELECT * FROM (SELECT p.tile_id, v.feature_id, v.country_code, v.area,
+  pow(greatest(v.min_x - p.lon, 0, p.lon - v.max_x), 2) + pow(greatest(v.min_y - p.lat, 0, p.lat - v.max_y), 2) AS dist2
+  FROM tile_points p CROSS JOIN envelopes v) WHERE dist2 <= {REACH * REACH}""")
+def q_spatial_candidates_near(spark, sf):
+    """Also the countries whose envelope is near, by distance."""
+    return geo.spatial_candidates(d.tiles(spark, sf), polygons(spark, sf), reach=REACH)
+
+
 @register("spatial_candidates", "G4", with_(TILES, RINGS, TILE_POINTS) + """
 SELECT p.tile_id, v.feature_id, v.country_code, CAST(0 AS DOUBLE) AS dist2, v.area FROM tile_points p JOIN envelopes v
   ON p.lon BETWEEN v.min_x AND v.max_x AND p.lat BETWEEN v.min_y AND v.max_y""")

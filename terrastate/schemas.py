@@ -12,59 +12,6 @@ CLICK = T.StructType([
     T.StructField("arrival_ns", T.LongType(), True),
 ])
 
-CLICK_REQUEST = T.StructType([
-    T.StructField("tile_id", T.LongType(), False),
-    T.StructField("country_id", T.StringType(), False),
-])
-
-OWNERSHIP = T.StructType([
-    T.StructField("tile_id", T.LongType(), False),
-    T.StructField("country_id", T.StringType(), False),
-    T.StructField("timestamp_ns", T.LongType(), False),
-])
-
-UPDATE_NOTIFICATION = T.StructType([
-    T.StructField("tile_id", T.LongType(), False),
-    T.StructField("country_id", T.StringType(), False),
-    T.StructField("previous_country_id", T.StringType(), True),
-])
-
-LEADERBOARD_ENTRY = T.StructType([
-    T.StructField("country_id", T.StringType(), False),
-    T.StructField("score", T.LongType(), False),
-])
-
-TILE = T.StructType([
-    T.StructField("tile_id", T.LongType(), False),
-    T.StructField("x", T.DoubleType(), True),
-    T.StructField("y", T.DoubleType(), True),
-    T.StructField("z", T.DoubleType(), True),
-    T.StructField("u", T.DoubleType(), False),
-    T.StructField("v", T.DoubleType(), False),
-])
-
-POINT2 = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-
-# One ring of one country feature; parts and holes are flattened to rings.
-POLYGON_RING = T.StructType([
-    T.StructField("feature_id", T.LongType(), False),
-    T.StructField("country_code", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("ring_id", T.IntegerType(), False),
-    T.StructField("ring", T.ArrayType(POINT2), False),
-])
-
-# GeoJSON feature as read with ``spark.read.json`` / ``from_json``.
-GEOJSON_FEATURE = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("geometry", T.StructType([
-        T.StructField("type", T.StringType()),
-        # MultiPolygon: parts -> rings -> positions -> [lon, lat]
-        T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))),
-    ])),
-])
-
 # Coordinates file: flat xyz triplets and uv pairs.  ``first_tile`` lets one
 # file be split into many rows (chunks), so no single row has to hold the globe.
 COORDINATES = T.StructType([
@@ -73,11 +20,6 @@ COORDINATES = T.StructType([
     T.StructField("uvs", T.ArrayType(T.DoubleType())),
 ])
 
-COUNTRY = T.StructType([
-    T.StructField("code", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-])
-
 OSM_NODE = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("lat", T.DoubleType(), False),
@@ -99,30 +41,3 @@ OSM_RELATION = T.StructType([
     T.StructField("tags", T.MapType(T.StringType(), T.StringType()), False),
     T.StructField("block_id", T.LongType(), False),
 ])
-
-CITY = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("name", T.StringType(), True),
-    T.StructField("lat", T.DoubleType(), False),
-    T.StructField("lon", T.DoubleType(), False),
-    T.StructField("population", T.LongType(), True),
-])
-
-ROAD = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("name", T.StringType(), True),
-    T.StructField("nodes", T.ArrayType(T.LongType()), False),
-])
-
-POINT3 = T.StructType([
-    T.StructField("ordinal", T.LongType(), False),
-    T.StructField("x", T.DoubleType(), False),
-    T.StructField("y", T.DoubleType(), False),
-    T.StructField("z", T.DoubleType(), False),
-])
-
-MASK_PIXEL = T.StructType([
-    T.StructField("px", T.IntegerType(), False),
-    T.StructField("py", T.IntegerType(), False),
-    T.StructField("red", T.IntegerType(), False),
-])

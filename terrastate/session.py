@@ -10,7 +10,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every plan in this package.  AQE re-plans joins from
 # runtime sizes (broadcast only below the threshold, sort-merge beyond it),
@@ -87,6 +87,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size (file sizes for a plain scan, a product for joins); no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none where it isn't there."""
     fs, p = _file_system(spark, path)
