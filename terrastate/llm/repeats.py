@@ -7,7 +7,12 @@ words) that occur more than once in the corpus.  The steps they share:
    (compressed) to the shared checkpoint folder with the ids of their documents.
 2. Winnowing: in each window the ``gram`` of least hash is its anchor, so equal
    windows have equal anchors.  Each chunk sends the distinct anchor hashes it
-   holds, and gets back one bit for each: whether it occurs anywhere else.
+   holds, and gets back for each whether it occurs anywhere else, and whether it
+   is *heavy*: held in more different surroundings than one shard should see,
+   as a stock phrase is.  Windows of heavy anchors go on to the gram of next
+   least hash, and so on; those whose first ``LEVELS`` anchors are all heavy are
+   dealt by the hash of the whole window.  What a window's anchor is thus depends
+   on its own units and on counts over the whole corpus only, never on the chunk.
 3. Windows of repeated anchors are candidates.  A run of windows with the same
    anchor, with all their units, is a context.  Equal contexts of a chunk are one
    row (with the first document that holds it), dealt to shards by anchor; equal
@@ -15,12 +20,17 @@ words) that occur more than once in the corpus.  The steps they share:
 4. A shard (the operator's part) says of each context which of its windows also
    occur in an earlier place; the chunk of the context gets that back.
 
-A passage that a third of all documents share thus costs one row a chunk.
-Hashes only choose candidates; shards compare the units themselves.
+A passage that a third of all documents share thus costs one row a chunk, and a
+phrase that they share in other surroundings each time is spread over shards.
+Chunks and shards both grow as the square root of the corpus (up to ``MOST_BYTES``),
+so the rows between them, one for each chunk and shard at most, grow in
+proportion to it.  Hashes only choose candidates; shards compare the units
+themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,15 +43,19 @@ from pyspark.sql import functions as F
 
 from terrastate.llm.common import materialize, mix64, partitions_for, text_rows
 
-CHUNK_BYTES = 2 << 20
+MOST_BYTES = 64 << 20
+CHUNK_SQUARE, SHARD_SQUARE = 4_800, 76_000  # chunks (shards) hold the root of so many times the corpus: 2 and 8 MB of 840 MB
+HEAVY, HEAVY_PER_CHUNK, LEVELS = 2_000, 8, 3
 NO_ID = np.iinfo(np.int64).max  # a null id counts as after all others
 CHUNKS = "chunk long, ids array<long>, lengths array<long>, z binary"
-ANCHORS = "shard int, chunk long, n int, hashes binary, twice binary"
-MARKS = "chunk long, shard int, marks binary"
+ANCHORS = "shard int, chunk long, n int, hashes binary, kinds binary"
+MARKS = "chunk long, shard int, marks binary, heavy int"
 
 _rng = np.random.default_rng(20)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+LEVEL_CODE = _rng.integers(1, 1 << 63, LEVELS + 2, dtype=np.uint64)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -62,7 +76,7 @@ def unpack(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
     return out
 
 
-def chunk_documents(spark: SparkSession, docs: DataFrame, single_spaces: bool, chunk_bytes: int = CHUNK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def chunk_documents(spark: SparkSession, docs: DataFrame, single_spaces: bool, chunk_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of whole documents as UTF-8, compressed; a long document is a chunk
     of its own.  ``single_spaces``: only the words of a text, joined by one
     space.  ``carry``: columns whose values go along, as carry0, carry1, ..."""
@@ -201,7 +215,7 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def distinct_anchors(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct anchor hashes in order of shard and hash, whether each occurs twice here, their shards, each anchor's index.
+    """Distinct anchor hashes in order of shard and hash, how often each occurs here, their shards, each anchor's index.
 
     What a shard sees of a hash are its low 32 bits; with the shard that is
     enough to keep chance repeats (which cost a comparison only) rare.
@@ -209,65 +223,145 @@ def distinct_anchors(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.nd
     low = hashes & np.uint64(0xFFFFFFFF)
     shard = shard_of(hashes, shards)
     key, index, counts = np.unique((shard.astype(np.uint64) << np.uint64(32)) | low, return_inverse=True, return_counts=True)
-    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts > 1, (key >> np.uint64(32)).astype(np.int64), index
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts, (key >> np.uint64(32)).astype(np.int64), index
 
 
-def anchor_places(anchors: np.ndarray) -> np.ndarray:
-    """The different anchors of a chunk, in text order."""
-    return anchors[np.concatenate([[True], anchors[1:] != anchors[:-1]])] if len(anchors) else anchors
+@dataclass
+class Contexts:
+    """Runs of windows that share an anchor, by window order within a level."""
+
+    first: np.ndarray  # first window's start (unit)
+    count: np.ndarray  # windows in the run
+    anchor: np.ndarray  # anchor hash
+
+    def of(self, which: np.ndarray) -> Contexts:
+        return Contexts(self.first[which], self.count[which], self.anchor[which])
+
+
+def joined(parts: list[Contexts]) -> Contexts:
+    return Contexts(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("first", "count", "anchor")])
+
+
+def runs_of(starts: np.ndarray, places: np.ndarray, anchors: np.ndarray) -> Contexts:
+    """Consecutive windows with one anchor place."""
+    if not len(starts):
+        return Contexts(starts, starts, np.zeros(0, np.uint64))
+    change = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    return Contexts(starts[change], np.diff(np.concatenate([change, [len(starts)]])), anchors[change])
+
+
+def nth_places(starts: np.ndarray, grams: np.ndarray, width: int, n: int, block: int = 1 << 16) -> np.ndarray:
+    """The (first) place of the gram of ``n``-th least hash in each window, or -1 where it has fewer."""
+    out = np.empty(len(starts), np.int64)
+    none, low = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
+    for at in range(0, len(starts), block):
+        part = starts[at:at + block]
+        key = ((grams[part[:, None] + np.arange(width)] >> low) << low) | np.arange(width, dtype=np.uint64)
+        best = key.min(1)
+        for _ in range(n - 1):
+            best = np.where((key >> low) > (best >> low)[:, None], key, none).min(1)
+        out[at:at + block] = np.where(best == none, -1, part + (best & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return out
+
+
+Marks = list[dict[int, bytes]]  # of each level so far, by shard
+
+
+def anchored(u: Units, window: int, gram: int, shards: int, marks: Marks) -> tuple[Contexts, Contexts | None]:
+    """The candidate contexts by the marks so far, and those whose anchors are to be marked next (None: none)."""
+    starts, places, grams = window_anchors(u, window, gram)
+    anchors = grams[places] if len(places) else np.zeros(0, np.uint64)
+    done: list[Contexts] = []
+    runs = runs_of(starts, places, anchors)
+    for level, known in enumerate(marks, 1):
+        again, heavy = marked(runs.anchor, shards, known)
+        done.append(runs.of(again & ~heavy))
+        cut = runs.of(again & heavy)
+        if not len(cut.first):
+            return joined(done), None
+        starts = np.repeat(cut.first, cut.count) + np.arange(int(cut.count.sum())) - np.repeat(np.cumsum(cut.count) - cut.count, cut.count)
+        whole = np.ones(len(starts), bool)
+        parts = []
+        if level < LEVELS:
+            places = nth_places(starts, grams, window - gram + 1, level + 1)
+            whole = places < 0
+            parts.append(runs_of(starts[~whole], places[~whole], mix64(grams[places[~whole]] ^ LEVEL_CODE[level])))
+        single = starts[whole]
+        with np.errstate(over="ignore"):
+            windows = mix64(gram_hashes(u.hashes, window)[single] ^ LEVEL_CODE[LEVELS])
+        parts.append(Contexts(single, np.ones(len(single), np.int64), windows))
+        runs = joined(parts)
+    return (joined(done) if done else runs.of(np.zeros(len(runs.first), bool))), runs
+
+
+def marked(anchors: np.ndarray, shards: int, known: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each anchor occurs again, and whether it is heavy."""
+    low, _, shard, index = distinct_anchors(anchors, shards)
+    bits = np.zeros((2, len(low)), bool)
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(low)]):
+        raw = np.frombuffer(known[int(shard[lo])], np.uint8).reshape(2, -1)
+        bits[:, lo:hi] = np.unpackbits(raw, axis=1, count=hi - lo)
+    return bits[0][index], bits[1][index]
+
+
+def surroundings(u: Units, runs: Contexts, index: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """In how many different contexts each distinct anchor stands here (by hash); 0 where it stands once."""
+    out = np.zeros(len(counts), np.int64)
+    often = np.flatnonzero(counts[index] > 1)
+    if len(often):
+        powers = np.cumprod(np.concatenate([[1], np.full(len(u.hashes), MULTIPLIER, np.uint64)]).astype(np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u.hashes * powers[:-1], dtype=np.uint64)])
+        a = runs.first[often]
+        b = a + runs.count[often] + window - 1
+        back = np.cumprod(np.concatenate([[1], np.full(len(u.hashes), INVERSE, np.uint64)]).astype(np.uint64))
+        text = mix64((total[b] - total[a]) * back[a]) ^ (b - a).astype(np.uint64)
+        pairs = np.unique(np.stack([index[often].astype(np.uint64), text]), axis=1)
+        np.add.at(out, pairs[0].astype(np.int64), 1)
+    return out
 
 
 UnitsOf = Callable[[list, list, bytes], Units]
 
 
-def repeated_anchors(chunks: DataFrame, units: UnitsOf, window: int, gram: int, shards: int) -> DataFrame:
-    """(chunk, shard, marks): a bit for each distinct anchor hash of the chunk in the shard, whether it occurs again."""
+def repeated_anchors(chunks: DataFrame, units: UnitsOf, window: int, gram: int, shards: int, most: int) -> DataFrame:
+    """(chunk, shard, marks, heavy): two bits for each distinct anchor hash of the chunk in the shard, of the level that the
+    chunk's marks lead to: whether it occurs again, and whether in more than ``most`` surroundings."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                _, anchors, grams = window_anchors(units(r["ids"], r["lengths"], r["z"]), window, gram)
-                low, twice, shard, _ = distinct_anchors(grams[anchor_places(anchors)], shards)
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                u = units(r["ids"], r["lengths"], r["z"])
+                _, runs = anchored(u, window, gram, shards, marks_of(r))
                 rows = []
-                for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)]):
-                    rows.append((int(shard[lo]), r["chunk"], hi - lo, pack(np.diff(low[lo:hi], prepend=np.uint32(0))), np.packbits(twice[lo:hi]).tobytes()))
+                if runs is not None:
+                    low, counts, shard, index = distinct_anchors(runs.anchor, shards)
+                    with np.errstate(over="ignore"):
+                        kinds = np.minimum(surroundings(u, runs, index, counts, window), 255).astype(np.uint8)
+                    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)]):
+                        rows.append((int(shard[lo]), r["chunk"], hi - lo, pack(np.diff(low[lo:hi], prepend=np.uint32(0))), pack(kinds[lo:hi])))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                                      ["shard", "chunk", "n", "hashes", "twice"])
+                                      ["shard", "chunk", "n", "hashes", "kinds"])
 
     def meet(rows):
-        parts, twice, n = [], [], rows.column("n").to_pylist()
-        for size, data, bits in zip(n, rows.column("hashes").to_pylist(), rows.column("twice").to_pylist()):
+        parts, kinds, n = [], [], rows.column("n").to_pylist()
+        for size, data, held in zip(n, rows.column("hashes").to_pylist(), rows.column("kinds").to_pylist()):
             parts.append(np.cumsum(unpack(data, (np.uint32, size))[0], dtype=np.uint32))
-            twice.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool))
+            kinds.append(unpack(held, (np.uint8, size))[0])
+        held = np.concatenate(kinds).astype(np.int64)
         _, index, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        again = (counts[index] > 1) | np.concatenate(twice)
-        marks = [np.packbits(again[hi - size:hi]).tobytes() for size, hi in zip(n, np.cumsum(n).tolist())]
-        return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"), "marks": pa.array(marks, pa.binary())})
+        again = (counts[index] > 1) | (held > 0)
+        heavy = np.bincount(index, weights=np.maximum(held, 1))[index] > most
+        ends = np.cumsum(n).tolist()
+        marks = [np.packbits([again[hi - size:hi], heavy[hi - size:hi]], axis=1).tobytes() for size, hi in zip(n, ends)]
+        weights = [int(heavy[hi - size:hi].sum()) for size, hi in zip(n, ends)]
+        return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"), "marks": pa.array(marks, pa.binary()), "heavy": pa.array(weights, pa.int32())})
 
     return chunks.mapInArrow(send, ANCHORS).groupBy("shard").applyInArrow(meet, MARKS)
 
 
-@dataclass
-class Contexts:
-    """Runs of candidate windows that share an anchor, by window order."""
-
-    first: np.ndarray  # first window's start (unit)
-    count: np.ndarray  # windows in the run
-    anchor: np.ndarray  # anchor hash
-
-
-def candidate_contexts(u: Units, window: int, gram: int, shards: int, marks: dict[int, bytes]) -> Contexts:
-    starts, anchors, grams = window_anchors(u, window, gram)
-    places = anchor_places(anchors)
-    low, _, shard, index = distinct_anchors(grams[places], shards)
-    again = np.zeros(len(low), bool)
-    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)]):
-        again[lo:hi] = np.unpackbits(np.frombuffer(marks[int(shard[lo])], np.uint8), count=hi - lo).astype(bool)
-    change = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.zeros(0, np.int64)
-    count = np.diff(np.concatenate([change, [len(anchors)]]))
-    keep = again[index]
-    return Contexts(starts[change][keep], count[keep], grams[places][keep])
+def candidate_contexts(u: Units, window: int, gram: int, shards: int, marks: Marks) -> Contexts:
+    return anchored(u, window, gram, shards, marks)[0]
 
 
 @dataclass
@@ -324,8 +418,13 @@ def send_contexts(chunks: DataFrame, units: UnitsOf, window: int, gram: int, sha
     return chunks.mapInArrow(run, "shard int, chunk long, n int, head binary, z binary")
 
 
-def marks_of(row: dict) -> dict[int, bytes]:
-    return {m["shard"]: m["marks"] for m in row["marks"] or ()}
+def marks_of(row: dict) -> Marks:
+    out: Marks = []
+    for m in sorted(row["marks"] or (), key=lambda m: m["level"]):
+        while len(out) < m["level"]:
+            out.append({})
+        out[m["level"] - 1][m["shard"]] = m["marks"]
+    return out
 
 
 @dataclass
@@ -385,21 +484,67 @@ def flagged_units(u: Units, row: dict, window: int, gram: int, shards: int, posi
     return np.cumsum(edge[:-1]) > 0
 
 
-def by_chunk(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy("chunk").agg(F.collect_list(F.struct("shard", value)).alias(value))
+def by_chunk(rows: DataFrame, *values: str) -> DataFrame:
+    return rows.groupBy("chunk").agg(F.collect_list(F.struct("shard", *values)).alias(values[-1]))
+
+
+def sizes_for(total: int) -> tuple[int, int]:
+    """Bytes of a chunk and of a shard for a corpus of ``total`` bytes: both grow as its square root, so the number of their
+    pairs grows as the corpus."""
+    return (min(max(math.isqrt(total * CHUNK_SQUARE), 256 << 10), MOST_BYTES), min(max(math.isqrt(total * SHARD_SQUARE), 1 << 20), MOST_BYTES))
+
+
+@dataclass
+class Prepared:
+    """A corpus in chunks, its marks by chunk, and how windows are anchored and dealt."""
+
+    chunks: DataFrame
+    marks: DataFrame
+    shards: int
+    window: int
+    gram: int
+    units: UnitsOf
+
+
+def prepare(spark: SparkSession, docs: DataFrame, units: UnitsOf, window: int, gram: int, chunk_bytes: int | None = None,
+            shard_bytes: int | None = None, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> Prepared:
+    """Steps 1 and 2.  ``heavy``: surroundings of an anchor up to which it is not heavy, or ``HEAVY_PER_CHUNK`` times the
+    chunks if that is more."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    own = sizes_for(total)
+    chunks = chunk_documents(spark, docs, single_spaces=units is word_units, chunk_bytes=chunk_bytes or own[0], carry=carry)
+    shards = partitions_for(spark, total, shard_bytes or own[1])
+    texts = chunks.select("chunk", "ids", "lengths", "z")
+    most = max(heavy, HEAVY_PER_CHUNK * chunks.count())
+    no_marks = F.lit(None).cast("array<struct<shard:int,level:int,marks:binary>>").alias("marks")
+    every: DataFrame | None = None
+    for level in range(1, LEVELS + 2):
+        if every is None:
+            todo = texts.select("*", no_marks)
+        else:  # only chunks with windows of heavy anchors go on
+            todo = texts.join(every.filter((F.col("level") == level - 1) & (F.col("heavy") > 0)).select("chunk").distinct(), "chunk", "left_semi")
+            todo = todo.join(by_chunk(every, "level", "marks"), "chunk")
+        marks = repeated_anchors(todo, units, window, gram, shards, most if level <= LEVELS else NO_ID)
+        marks = materialize(spark, marks.withColumn("level", F.lit(level)), f"marks-{level}")
+        every = marks if every is None else every.unionByName(marks)
+        if not marks.filter("heavy > 0").limit(1).count():
+            break
+    return Prepared(chunks, by_chunk(every, "level", "marks"), shards, window, gram, units)
+
+
+def contexts_of(p: Prepared, positional: bool) -> DataFrame:
+    """Step 3: contexts of each chunk for each shard."""
+    texts = p.chunks.select("chunk", "ids", "lengths", "z").join(p.marks, "chunk", "left")
+    return send_contexts(texts, p.units, p.window, p.gram, p.shards, positional)
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, units: UnitsOf, judge: Judge, window: int, gram: int, positional: bool, finish, schema: str,
-                   chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = 8 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+                   carry: tuple[str, ...] = (), **sizes) -> DataFrame:
     """``finish(row, units, flagged)`` for each chunk of ``docs``: a record batch of ``schema``."""
-    chunks = chunk_documents(spark, docs, single_spaces=units is word_units, chunk_bytes=chunk_bytes, carry=carry)
-    total = chunks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    shards = partitions_for(spark, total, shard_bytes)
-    texts = chunks.select("chunk", "ids", "lengths", "z")
-    marks = materialize(spark, repeated_anchors(texts, units, window, gram, shards), "marks")
-    per_chunk = by_chunk(marks, "marks")
-    flags = materialize(spark, judged(send_contexts(texts.join(per_chunk, "chunk", "left"), units, window, gram, shards, positional), judge), "flags")
-    ready = chunks.join(per_chunk.join(by_chunk(flags, "flags"), "chunk", "full"), "chunk", "left")
+    p = prepare(spark, docs, units, window, gram, carry=carry, **sizes)
+    flags = materialize(spark, judged(contexts_of(p, positional), judge), "flags")
+    ready = p.chunks.join(p.marks.join(by_chunk(flags, "flags"), "chunk", "full"), "chunk", "left")
+    shards = p.shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

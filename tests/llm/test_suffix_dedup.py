@@ -48,7 +48,8 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,sizes", [(1, {}), (2, {"chunk_bytes": 700, "shard_bytes": 3000}), (3, {"chunk_bytes": 100, "shard_bytes": 1000})])
+@pytest.mark.parametrize("seed,sizes", [(1, {}), (2, {"chunk_bytes": 700, "shard_bytes": 3000}), (3, {"chunk_bytes": 100, "shard_bytes": 1000}),
+                                        (4, {"chunk_bytes": 700, "shard_bytes": 3000, "heavy": 2}), (5, {"chunk_bytes": 20_000, "shard_bytes": 1000, "heavy": 0})])
 def test_matches_brute_force(spark, seed, sizes):
     rows = corpus(seed)
     got = S.dedup_digest(spark, make_docs(spark, rows).repartition(3), **sizes).collect()
@@ -65,6 +66,46 @@ def test_empty_table_and_kept_texts(spark):
     assert got == sorted([(1, "x " + p, len(p) + 2, "en", "z"), (2, " y", 2, "en", "z"), (2, " y", 2, "en", "z"), (None, "", 0, "en", "z")], key=str)
 
 
+@pytest.fixture
+def eager(monkeypatch):
+    """Anchors are heavy by ``heavy`` alone, however many chunks there are."""
+    monkeypatch.setattr(R, "HEAVY_PER_CHUNK", 0)
+
+
+@pytest.mark.parametrize("heavy", [0, 1, 3, 20])
+def test_heavy_anchors_change_no_result(spark, eager, heavy):
+    rows = corpus(6)
+    got = S.dedup_digest(spark, make_docs(spark, rows).repartition(3), chunk_bytes=900, shard_bytes=3000, heavy=heavy).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def stock_phrase(n):
+    """A phrase of 44 bytes in other surroundings each time, beside repeated and single text."""
+    rng = random.Random(1)
+    text = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    return [(i, text(150) + "as everybody in this great country knows well" + text(150)) for i in range(n)]
+
+
+def test_a_stock_phrase_is_spread_over_shards_and_rows_grow_as_the_corpus(spark, eager):
+    largest, sent, marked = [], [], []
+    for n in (2_000, 8_000):
+        docs = make_docs(spark, stock_phrase(n)).repartition(4)
+        total = 345 * n
+        chunk, shard = int((total * 100) ** 0.5), int((total * 300) ** 0.5)  # as the root of the corpus, small for the test
+        p = R.prepare(spark, docs, R.byte_units, S.WINDOW, S.GRAM, chunk_bytes=chunk, shard_bytes=shard, heavy=100)
+        rows = R.contexts_of(p, False).groupBy("shard").agg({"n": "sum", "*": "count"}).collect()
+        largest.append(max(r["sum(n)"] for r in rows))
+        sent.append(sum(r["count(1)"] for r in rows))
+        marked.append(p.marks.selectExpr("sum(size(marks))").first()[0])
+    assert largest[1] <= 1.5 * largest[0] and largest[1] < 400  # one shard had 1,934 and 7,555 of them without the levels
+    assert sent[1] <= 5 * sent[0] and marked[1] <= 5 * marked[0]
+
+
+def test_sizes_grow_as_the_root():
+    a, b = R.sizes_for(840 << 20), R.sizes_for(4 * 840 << 20)
+    assert [round(y / x, 2) for x, y in zip(a, b)] == [2, 2] and R.sizes_for(10 ** 14) == (R.MOST_BYTES, R.MOST_BYTES)
+
+
 def test_maximal_repeats_have_all_their_occurrences():
     texts = [b"-abcdefgh+", b"*abcdefgh+", b"/abcdefXX", b"abcdefgh"]
     got = {(r.length, tuple(sorted(zip(r.texts.tolist(), r.offsets.tolist())))) for r in S.maximal_repeats(
