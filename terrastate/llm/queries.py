@@ -71,10 +71,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.license_scan(spark, documents(spark, sf_dir)))
+    return licenses.digest(licenses.notice_scan(spark, documents(spark, sf_dir)))
 
 
-ORACLES["op8_license_scans"] = licenses.oracle_sql()
+ORACLES["op8_license_scans"] = licenses.notices_sql()
 
 
 @query

@@ -119,3 +119,65 @@ def test_runs_match_the_oracle(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
     rows = con.execute(L.oracle_sql(run=run)).fetchall()
     assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in L.digest(L.license_scan(spark, docs, run=run)).collect())
+
+
+def brute_notices(rows, notices, threshold):
+    out = []
+    for d, t in rows:
+        words, best = re.findall(L.WORD, lower(t)), {}
+        for label, text, must in notices:
+            x, must, run = set(text.split()), set(must.split()), L.run_length(text)
+            for i in range(max(1, len(words) - run + 1)):
+                block = set(words[i:i + run])
+                if must <= block and len(block & x) >= L.need(len(x), threshold):
+                    best[label] = max(best.get(label, 0), len(block & x) / len(x))
+        out.append((d, len(words), sorted((k, round(v, 9)) for k, v in best.items())))
+    return sorted(out, key=str)
+
+
+def notice_corpus():
+    """Notices with words left out and put in, over line ends, at any place of a stretch, beside other text."""
+    rng, rows = random.Random(9), corpus()
+    for k, (_, text, _) in enumerate(L.NOTICES):
+        for n in range(14):
+            words = ["zebra", "the", "of"] * rng.randint(0, 30)
+            for w in text.split():
+                words += [w] if rng.random() < 0.93 else [] if rng.random() < 0.5 else ["x9", w]
+            words += [rng.choice(["the", "software", "x9"]) for _ in range(rng.randint(0, 60))]
+            rows.append((1000 + 100 * k + n, "".join(w.upper() if rng.random() < 0.2 else w + rng.choice([" ", " ", ", ", "\n", "\n * "]) for w in words)))
+    return rows
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
+def test_notices_match_brute_force(spark, threshold):
+    rows = notice_corpus()
+    got = L.notice_scan(spark, make_docs(spark, rows), threshold=threshold).collect()
+    assert sorted(((r.doc_id, r.n_words, [(m.label, round(m.containment, 9)) for m in r.matches]) for r in got), key=str) == brute_notices(
+        rows, L.NOTICES, threshold)
+
+
+def test_notices_match_the_oracle(spark, tmp_path):
+    import duckdb
+
+    docs = make_docs(spark, notice_corpus())
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    rows = con.execute(L.notices_sql()).fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in L.digest(L.notice_scan(spark, docs)).collect())
+
+
+def test_unrelated_words_get_no_label(spark):
+    rows = [(1, "the license was released under pressure"), (2, "under the weather we released a driving license"), (3, "MIT gave a license"),
+            (4, "Released under\n# the MIT license."), (5, " ".join(["released", *["x"] * 9, "under", "the", *["y"] * 9, "mit", "license"])), *wrapped()[:2]]
+    rows = [(k, t) for k, (_, t) in enumerate(rows, 1)]
+    scan = L.notice_scan(spark, make_docs(spark, rows))
+    assert {r.doc_id: r.labels for r in L.digest(scan).collect()} == {1: "", 2: "", 3: "", 4: "mit", 5: "", 6: "bsd", 7: "mpl"}
+    assert not re.search("Python|Pandas|Arrow", scan._jdf.queryExecution().executedPlan().toString())
+
+
+def test_notices_of_an_empty_table_and_bad_notices(spark):
+    assert L.notice_scan(spark, make_docs(spark, [])).collect() == []
+    for bad in ([("a", "one two", "")], [("a", "one two", "three")]):
+        with pytest.raises(ValueError):
+            L.notice_scan(spark, make_docs(spark, []), bad)
