@@ -9,10 +9,10 @@ words) that occur more than once in the corpus.  The steps they share:
    windows have equal anchors.  Each chunk sends the distinct anchor hashes it
    holds, and gets back for each whether it occurs anywhere else, and whether it
    is *heavy*: held in more different surroundings than one shard should see,
-   as a stock phrase is.  Windows of heavy anchors go on to the gram of next
-   least hash, and so on; those whose first ``LEVELS`` anchors are all heavy are
-   dealt by the hash of the whole window.  What a window's anchor is thus depends
-   on its own units and on counts over the whole corpus only, never on the chunk.
+   as a stock phrase is.  Windows of heavy anchors are marked once more, by the
+   grams of next least hash up to the ``LEVELS``-th and by the whole window, and
+   take the first of these that is not heavy.  What a window's anchor is thus
+   depends on its own units and on counts over the whole corpus, never on the chunk.
 3. Windows of repeated anchors are candidates.  A run of windows with the same
    anchor, with all their units, is a context.  Equal contexts of a chunk are one
    row (with the first document that holds it), dealt to shards by anchor; equal
@@ -45,11 +45,11 @@ from terrastate.llm.common import materialize, mix64, partitions_for, text_rows
 
 MOST_BYTES = 64 << 20
 CHUNK_SQUARE, SHARD_SQUARE = 4_800, 76_000  # chunks (shards) hold the root of so many times the corpus: 2 and 8 MB of 840 MB
-HEAVY, HEAVY_PER_CHUNK, LEVELS = 2_000, 8, 3
+HEAVY, HEAVY_BYTES, LEVELS = 2_000, 256, 3
 NO_ID = np.iinfo(np.int64).max  # a null id counts as after all others
 CHUNKS = "chunk long, ids array<long>, lengths array<long>, z binary"
-ANCHORS = "shard int, chunk long, n int, hashes binary, kinds binary"
-MARKS = "chunk long, shard int, marks binary, heavy int"
+ANCHORS = "shard int, level int, chunk long, n int, hashes binary, kinds binary"
+MARKS = "chunk long, shard int, level int, marks binary, heavy int"
 
 _rng = np.random.default_rng(20)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -250,48 +250,82 @@ def runs_of(starts: np.ndarray, places: np.ndarray, anchors: np.ndarray) -> Cont
     return Contexts(starts[change], np.diff(np.concatenate([change, [len(starts)]])), anchors[change])
 
 
-def nth_places(starts: np.ndarray, grams: np.ndarray, width: int, n: int, block: int = 1 << 16) -> np.ndarray:
-    """The (first) place of the gram of ``n``-th least hash in each window, or -1 where it has fewer."""
-    out = np.empty(len(starts), np.int64)
+def next_places(starts: np.ndarray, grams: np.ndarray, width: int, block: int = 1 << 15) -> list[np.ndarray]:
+    """The (first) places of the grams of second, third, ... least hash in each window up to ``LEVELS``, -1 where it has fewer."""
+    out = [np.empty(len(starts), np.int64) for _ in range(LEVELS - 1)]
     none, low = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(32)
     for at in range(0, len(starts), block):
         part = starts[at:at + block]
         key = ((grams[part[:, None] + np.arange(width)] >> low) << low) | np.arange(width, dtype=np.uint64)
         best = key.min(1)
-        for _ in range(n - 1):
-            best = np.where((key >> low) > (best >> low)[:, None], key, none).min(1)
-        out[at:at + block] = np.where(best == none, -1, part + (best & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        for places in out:
+            key[(key >> low) <= (best >> low)[:, None]] = none
+            best = key.min(1)
+            places[at:at + block] = np.where(best == none, -1, part + (best & np.uint64(0xFFFFFFFF)).astype(np.int64))
     return out
 
 
-Marks = list[dict[int, bytes]]  # of each level so far, by shard
+Marks = dict[int, dict[int, bytes]]  # by level and shard
 
 
-def anchored(u: Units, window: int, gram: int, shards: int, marks: Marks) -> tuple[Contexts, Contexts | None]:
-    """The candidate contexts by the marks so far, and those whose anchors are to be marked next (None: none)."""
+@dataclass
+class Level:
+    """Anchors of some windows at one level: which of the windows have one, and their runs."""
+
+    number: int
+    has: np.ndarray
+    runs: Contexts
+
+
+def further_levels(u: Units, starts: np.ndarray, grams: np.ndarray, window: int, width: int) -> list[Level]:
+    """The levels behind the first of windows whose first anchor is heavy; the last one is the whole window."""
+    out = []
+    for number, places in enumerate(next_places(starts, grams, width), 2):
+        has = places >= 0
+        out.append(Level(number, has, runs_of(starts[has], places[has], mix64(grams[places[has]] ^ LEVEL_CODE[number]))))
+    with np.errstate(over="ignore"):
+        whole = mix64(gram_hashes(u.hashes, window)[starts] ^ LEVEL_CODE[0])
+    out.append(Level(LEVELS + 1, np.ones(len(starts), bool), Contexts(starts, np.ones(len(starts), np.int64), whole)))
+    return out
+
+
+def heavy_starts(runs: Contexts, heavy: np.ndarray) -> np.ndarray:
+    cut = runs.of(heavy)
+    return np.repeat(cut.first, cut.count) + np.arange(int(cut.count.sum())) - np.repeat(np.cumsum(cut.count) - cut.count, cut.count)
+
+
+def to_mark(u: Units, window: int, gram: int, shards: int, marks: Marks) -> list[Level]:
+    """The levels to be marked next: the first, or those behind it of the windows whose first anchor is heavy."""
     starts, places, grams = window_anchors(u, window, gram)
-    anchors = grams[places] if len(places) else np.zeros(0, np.uint64)
-    done: list[Contexts] = []
-    runs = runs_of(starts, places, anchors)
-    for level, known in enumerate(marks, 1):
-        again, heavy = marked(runs.anchor, shards, known)
-        done.append(runs.of(again & ~heavy))
-        cut = runs.of(again & heavy)
-        if not len(cut.first):
-            return joined(done), None
-        starts = np.repeat(cut.first, cut.count) + np.arange(int(cut.count.sum())) - np.repeat(np.cumsum(cut.count) - cut.count, cut.count)
-        whole = np.ones(len(starts), bool)
-        parts = []
-        if level < LEVELS:
-            places = nth_places(starts, grams, window - gram + 1, level + 1)
-            whole = places < 0
-            parts.append(runs_of(starts[~whole], places[~whole], mix64(grams[places[~whole]] ^ LEVEL_CODE[level])))
-        single = starts[whole]
-        with np.errstate(over="ignore"):
-            windows = mix64(gram_hashes(u.hashes, window)[single] ^ LEVEL_CODE[LEVELS])
-        parts.append(Contexts(single, np.ones(len(single), np.int64), windows))
-        runs = joined(parts)
-    return (joined(done) if done else runs.of(np.zeros(len(runs.first), bool))), runs
+    runs = runs_of(starts, places, grams[places] if len(places) else np.zeros(0, np.uint64))
+    if not marks:
+        return [Level(1, np.ones(len(starts), bool), runs)]
+    again, heavy = marked(runs.anchor, shards, marks.get(1, {}))
+    starts = heavy_starts(runs, again & heavy)
+    return further_levels(u, starts, grams, window, window - gram + 1) if len(starts) else []
+
+
+def candidate_contexts(u: Units, window: int, gram: int, shards: int, marks: Marks) -> Contexts:
+    """Contexts of the windows whose anchor, the first that is not heavy, occurs again."""
+    starts, places, grams = window_anchors(u, window, gram)
+    runs = runs_of(starts, places, grams[places] if len(places) else np.zeros(0, np.uint64))
+    if not len(runs.first):
+        return runs
+    again, heavy = marked(runs.anchor, shards, marks.get(1, {}))
+    found = [runs.of(again & ~heavy)]
+    starts = heavy_starts(runs, again & heavy)
+    if not len(starts):
+        return found[0]
+    undecided = np.ones(len(starts), bool)
+    for level in further_levels(u, starts, grams, window, window - gram + 1):
+        at = np.flatnonzero(level.has)
+        run_again, run_heavy = marked(level.runs.anchor, shards, marks.get(level.number, {}))
+        run = np.repeat(np.arange(len(level.runs.first)), level.runs.count)  # of each window that has this level
+        own = undecided[at] & ~run_heavy[run]
+        take = own & run_again[run]
+        found.append(runs_of(starts[at[take]], run[take], level.runs.anchor[run[take]]))
+        undecided[at[own]] = False
+    return joined(found)
 
 
 def marked(anchors: np.ndarray, shards: int, known: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -325,23 +359,22 @@ UnitsOf = Callable[[list, list, bytes], Units]
 
 
 def repeated_anchors(chunks: DataFrame, units: UnitsOf, window: int, gram: int, shards: int, most: int) -> DataFrame:
-    """(chunk, shard, marks, heavy): two bits for each distinct anchor hash of the chunk in the shard, of the level that the
-    chunk's marks lead to: whether it occurs again, and whether in more than ``most`` surroundings."""
+    """(chunk, shard, level, marks, heavy): two bits for each distinct anchor hash of the chunk in the shard, of the levels
+    that are to be marked next: whether it occurs again, and whether in more than ``most`` surroundings."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 u = units(r["ids"], r["lengths"], r["z"])
-                _, runs = anchored(u, window, gram, shards, marks_of(r))
                 rows = []
-                if runs is not None:
-                    low, counts, shard, index = distinct_anchors(runs.anchor, shards)
+                for level in to_mark(u, window, gram, shards, marks_of(r)):
+                    low, counts, shard, index = distinct_anchors(level.runs.anchor, shards)
                     with np.errstate(over="ignore"):
-                        kinds = np.minimum(surroundings(u, runs, index, counts, window), 255).astype(np.uint8)
+                        kinds = np.minimum(surroundings(u, level.runs, index, counts, window), 255).astype(np.uint8)
                     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(low)]):
-                        rows.append((int(shard[lo]), r["chunk"], hi - lo, pack(np.diff(low[lo:hi], prepend=np.uint32(0))), pack(kinds[lo:hi])))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                                      ["shard", "chunk", "n", "hashes", "kinds"])
+                        rows.append((int(shard[lo]), level.number, r["chunk"], hi - lo, pack(np.diff(low[lo:hi], prepend=np.uint32(0))), pack(kinds[lo:hi])))
+                kinds_of = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds_of)], ["shard", "level", "chunk", "n", "hashes", "kinds"])
 
     def meet(rows):
         parts, kinds, n = [], [], rows.column("n").to_pylist()
@@ -351,17 +384,15 @@ def repeated_anchors(chunks: DataFrame, units: UnitsOf, window: int, gram: int,
         held = np.concatenate(kinds).astype(np.int64)
         _, index, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         again = (counts[index] > 1) | (held > 0)
-        heavy = np.bincount(index, weights=np.maximum(held, 1))[index] > most
+        last = rows.column("level")[0].as_py() > LEVELS  # a whole window is in one surrounding only
+        heavy = again & (np.bincount(index, weights=np.maximum(held, 1))[index] > most) & (not last)
         ends = np.cumsum(n).tolist()
         marks = [np.packbits([again[hi - size:hi], heavy[hi - size:hi]], axis=1).tobytes() for size, hi in zip(n, ends)]
         weights = [int(heavy[hi - size:hi].sum()) for size, hi in zip(n, ends)]
-        return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"), "marks": pa.array(marks, pa.binary()), "heavy": pa.array(weights, pa.int32())})
-
-    return chunks.mapInArrow(send, ANCHORS).groupBy("shard").applyInArrow(meet, MARKS)
+        return pa.table({"chunk": rows.column("chunk"), "shard": rows.column("shard"), "level": rows.column("level"), "marks": pa.array(marks, pa.binary()),
+                         "heavy": pa.array(weights, pa.int32())})
 
-
-def candidate_contexts(u: Units, window: int, gram: int, shards: int, marks: Marks) -> Contexts:
-    return anchored(u, window, gram, shards, marks)[0]
+    return chunks.mapInArrow(send, ANCHORS).groupBy("level", "shard").applyInArrow(meet, MARKS)
 
 
 @dataclass
@@ -419,11 +450,9 @@ def send_contexts(chunks: DataFrame, units: UnitsOf, window: int, gram: int, sha
 
 
 def marks_of(row: dict) -> Marks:
-    out: Marks = []
-    for m in sorted(row["marks"] or (), key=lambda m: m["level"]):
-        while len(out) < m["level"]:
-            out.append({})
-        out[m["level"] - 1][m["shard"]] = m["marks"]
+    out: Marks = {}
+    for m in row["marks"] or ():
+        out.setdefault(m["level"], {})[m["shard"]] = m["marks"]
     return out
 
 
@@ -508,28 +537,21 @@ class Prepared:
 
 def prepare(spark: SparkSession, docs: DataFrame, units: UnitsOf, window: int, gram: int, chunk_bytes: int | None = None,
             shard_bytes: int | None = None, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> Prepared:
-    """Steps 1 and 2.  ``heavy``: surroundings of an anchor up to which it is not heavy, or ``HEAVY_PER_CHUNK`` times the
-    chunks if that is more."""
+    """Steps 1 and 2.  ``heavy``: surroundings of an anchor up to which it is not heavy, or one for ``HEAVY_BYTES`` of a shard
+    if that is more."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     own = sizes_for(total)
     chunks = chunk_documents(spark, docs, single_spaces=units is word_units, chunk_bytes=chunk_bytes or own[0], carry=carry)
     shards = partitions_for(spark, total, shard_bytes or own[1])
     texts = chunks.select("chunk", "ids", "lengths", "z")
-    most = max(heavy, HEAVY_PER_CHUNK * chunks.count())
+    most = max(heavy, (shard_bytes or own[1]) // HEAVY_BYTES)
     no_marks = F.lit(None).cast("array<struct<shard:int,level:int,marks:binary>>").alias("marks")
-    every: DataFrame | None = None
-    for level in range(1, LEVELS + 2):
-        if every is None:
-            todo = texts.select("*", no_marks)
-        else:  # only chunks with windows of heavy anchors go on
-            todo = texts.join(every.filter((F.col("level") == level - 1) & (F.col("heavy") > 0)).select("chunk").distinct(), "chunk", "left_semi")
-            todo = todo.join(by_chunk(every, "level", "marks"), "chunk")
-        marks = repeated_anchors(todo, units, window, gram, shards, most if level <= LEVELS else NO_ID)
-        marks = materialize(spark, marks.withColumn("level", F.lit(level)), f"marks-{level}")
-        every = marks if every is None else every.unionByName(marks)
-        if not marks.filter("heavy > 0").limit(1).count():
-            break
-    return Prepared(chunks, by_chunk(every, "level", "marks"), shards, window, gram, units)
+    marks = materialize(spark, repeated_anchors(texts.select("*", no_marks), units, window, gram, shards, most), "marks")
+    crowded = marks.filter("heavy > 0").select("chunk").distinct()
+    if crowded.limit(1).count():  # only chunks with windows of heavy anchors go on
+        todo = texts.join(crowded, "chunk", "left_semi").join(by_chunk(marks, "level", "marks"), "chunk")
+        marks = marks.unionByName(materialize(spark, repeated_anchors(todo, units, window, gram, shards, most), "marks-2"))
+    return Prepared(chunks, by_chunk(marks, "level", "marks"), shards, window, gram, units)
 
 
 def contexts_of(p: Prepared, positional: bool) -> DataFrame:

@@ -57,7 +57,7 @@ def test_matches_brute_force(spark, seed, sizes):
 
 @pytest.mark.parametrize("heavy", [0, 2])
 def test_heavy_anchors_change_no_result(spark, monkeypatch, heavy):
-    monkeypatch.setattr(R, "HEAVY_PER_CHUNK", 0)
+    monkeypatch.setattr(R, "HEAVY_BYTES", 1 << 60)
     rows = corpus(7)
     got = S.dedup_digest(spark, make_docs(spark, rows).repartition(3), chunk_bytes=900, shard_bytes=3000, heavy=heavy).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
