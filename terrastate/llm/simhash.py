@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrastate.functions.names import free_name
 from terrastate.llm.common import materialize, text_rows
 from terrastate.llm.components import components
 
@@ -104,20 +105,33 @@ def forward_offsets(radius: int) -> list[tuple[int, int, int, int]]:
     return [d for d in near if d >= (0, 0, 0, 0)]
 
 
-def fingerprint_links(spark: SparkSession, distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Spanning links (a, b) of the fingerprints in ``distinct`` (column fp, no repeats)."""
-    parts = distinct.select("fp", *[q.alias(f"q{k}") for k, q in enumerate(quarter_counts("fp"))])
+def fingerprint_links(spark: SparkSession, distinct: DataFrame, radius: int = 3, tile: int = TILE, partners: int = 512) -> DataFrame:
+    """Spanning links (a, b) of the fingerprints in ``distinct`` (column fp, no repeats).
+
+    ``partners``: about how many tiles one join key holds against a tile."""
     keys = [f"q{k}" for k in range(4)]
+    parts = distinct.select("fp", *[q.alias(k) for k, q in zip(keys, quarter_counts("fp"))])
     sizes = parts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).alias("cuts"))  # 17^4 rows at most
     cut = parts.join(sizes, keys).withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")))
     tiles = materialize(spark, cut.groupBy(*keys, "cut").agg(F.collect_list("fp").alias("fps")), "tiles")
+
+    # which cells meet, without their fingerprints: cells and cuts only
+    cells = materialize(spark, tiles.groupBy(*keys).agg(F.max("cut").alias("last")), "cells")
     offsets = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in forward_offsets(radius)])
-    left = (tiles.select(F.explode(offsets).alias("d"), *keys, F.col("cut").alias("cut_a"), F.col("fps").alias("fps_a"))
-            .select("cut_a", "fps_a", *[(F.col(f"q{k}") + F.col(f"d.d{k}")).alias(f"q{k}") for k in range(4)],
-                    (F.expr("d.d0 = 0 AND d.d1 = 0 AND d.d2 = 0 AND d.d3 = 0")).alias("own")))
-    # never by broadcast: the exploded side is many times what its file size makes the planner expect
-    pairs = (left.hint("merge").join(tiles, keys).filter("NOT own OR cut_a <= cut")
-             .select(F.col("fps_a").alias("a"), F.col("fps").alias("b"), F.expr("own AND cut_a = cut").alias("same")))
+    left = (cells.select(F.explode(offsets).alias("d"), *[F.col(k).alias(f"a{k}") for k in keys], F.col("last").alias("last_a"))
+            .select("*", *[(F.col(f"aq{k}") + F.col(f"d.d{k}")).alias(f"q{k}") for k in range(4)],
+                    F.expr("d.d0 = 0 AND d.d1 = 0 AND d.d2 = 0 AND d.d3 = 0").alias("own")).drop("d"))
+    met = materialize(spark, left.join(cells.withColumnRenamed("last", "last_b"), keys), "cell-pairs")
+    # tiles that a tile meets lie in as many groups as keep each bounded, and every group has a copy of the tile
+    groups = met.groupBy(*keys).agg(F.ceil(F.sum(F.col("last_a") + 1) / partners).alias("groups"))
+    met = met.join(groups, keys).select("*", F.explode(F.sequence(F.lit(0).cast("long"), "last_a")).alias("cut_a"))
+    met = met.select("*", F.explode(F.sequence(F.when(F.col("own"), F.col("cut_a")).otherwise(0), "last_b")).alias("cut"))
+    met = met.withColumn("group", F.pmod(F.xxhash64(*[f"aq{k}" for k in range(4)], "cut_a"), F.col("groups")))
+    first = tiles.select(*[F.col(k).alias(f"a{k}") for k in keys], F.col("cut").alias("cut_a"), F.col("fps").alias("a"))
+    second = tiles.join(groups, keys).select(*keys, "cut", F.col("fps").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    # by merge, never by broadcast: the sides with fingerprints are many times what the planner expects
+    pairs = (met.hint("merge").join(first, [*[f"aq{k}" for k in range(4)], "cut_a"]).hint("merge").join(second, [*keys, "cut", "group"])
+             .select("a", "b", F.expr("own AND cut_a = cut").alias("same")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,14 +167,16 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = 3, r
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: the one of smallest doc_id, of repeated rows any."""
+    """One row of each component, with all columns of ``docs``: the one of smallest doc_id, of repeated rows any.  Helper
+    columns take names that no column has."""
     found = simhash_components(spark, docs, shingle, radius)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f"))
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = keyed.join(first.select(F.col("f.row_key").alias("_row_key")), "_row_key", "left_semi")
-    # rows of equal id and text are copies of one row: partitioned and sorted by the join already
-    number = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
-    return kept.withColumn("_n", number).filter("_n = 1").select(*docs.columns)
+    key, text, number = free_name(docs, "row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")), free_name(docs, "number")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
+    kept = keyed.join(first.select(F.col("f.row_key").alias(key)), key, "left_semi")
+    # rows of equal id and text are copies of one row; the hash alone may be that of another row, which stays too
+    copies = Window.partitionBy(key, F.col("doc_id"), F.sha2(text, 256)).orderBy(key)
+    return kept.withColumn(number, F.row_number().over(copies)).filter(F.col(number) == 1).select(*docs.columns)
 
 
 def hex_fingerprint(fp):

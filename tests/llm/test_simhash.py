@@ -2,7 +2,9 @@
 
 import random
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fixtures_llm import make_docs
 from terrastate.llm import simhash as S
@@ -60,11 +62,12 @@ def test_matches_brute_force(spark):
     assert run(spark, rows, radius=12) == brute_components(rows, 12)
 
 
-def test_many_small_tiles_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("partners", [512, 3])
+def test_many_small_tiles_lose_no_link(spark, partners):
     rng = random.Random(2)
     base = [rng.getrandbits(63) for _ in range(40)]
     fps = sorted({b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base for _ in range(8)} | set(base))
-    links = S.fingerprint_links(spark, spark.createDataFrame([(f,) for f in fps], "fp long"), 3, tile=2)
+    links = S.fingerprint_links(spark, spark.createDataFrame([(f,) for f in fps], "fp long"), 3, tile=2, partners=partners)
     parent = {f: f for f in fps}
 
     def find(x):
@@ -94,3 +97,13 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows, 3)})
     assert S.keep_one_of_each(spark, make_docs(spark, [(None, "a b c"), (None, "a b c"), (None, "q r s t")])).count() == 2
     assert S.keep_one_of_each(spark, make_docs(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    docs = make_docs(spark, corpus())
+    for name in ("_row_key", "_n", "_Number", "root", "fp", "row_key"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    kept = S.keep_one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    assert all(r["_row_key"] == f"_row_key{r.doc_id}" and r["_n"] == f"_n{r.doc_id}" and r["_Number"] == f"_Number{r.doc_id}" for r in kept.collect())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(corpus(), 3)})
