@@ -83,3 +83,36 @@ def test_edge_rows(spark):
     assert D.contamination(spark, make_docs(spark, []), bench(spark, items)).count() == 0
     assert D.contamination(spark, make_docs(spark, rows), bench(spark, [])).count() == 0
     assert D.keep_clean(spark, make_docs(spark, rows), bench(spark, [])).count() == len(rows)
+
+
+def test_the_longest_match_is_found():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randint(1, 4) for _ in range(rng.randint(1, 40))] for _ in range(2))
+        want = max((n for n in range(1, 41) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i:i + n] == b[j:j + n]), default=0)
+        assert D.longest_match(D.Rolling(a), D.Rolling(b), 1, 40) == want
+
+
+def test_long_items_take_no_longer_than_their_words():
+    import time
+
+    rng = random.Random(6)
+    item = [rng.randint(1, 3000) for _ in range(4000)]
+    pieces = [item[a:a + rng.randint(20, 300)] for a in range(0, 4000, 150)]
+    rng.shuffle(pieces)
+    text = [w for p in pieces for w in [*p, 5000]]
+    before = time.process_time()
+    tiles = D.tile(item, text, 5)
+    assert time.process_time() - before < 1  # 29 s by falling lengths
+    assert sum(n for _, _, n in tiles) > 3000
+    before = time.process_time()
+    assert D.tile([1] * 4000, [1] * 9000, 5) == [(0, 0, 4000)] and sum(n for _, _, n in D.tile([1, 2] * 2000, [1, 2, 3] * 3000, 2)) == 4000
+    assert time.process_time() - before < 1
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "what is a quark"), (2, "北京是中国的首都"), (3, "Yes, sir"), (4, "東京タワー")]
+    rows = [(1, "so: What is a quark? Nobody knows"), (2, "is a quark what"), (3, "他说北京是中国的首都。"), (4, "yes sir"), (5, "what is a muon"),
+            (6, "中国的北京"), (7, "昨日東京タワーへ")]
+    got = sorted((r.doc_id, r.item_id, r.item_words) for r in D.contamination(spark, make_docs(spark, rows), bench(spark, items)).collect())
+    assert got == [(1, 1, 4), (3, 2, 8), (7, 4, 5)]
