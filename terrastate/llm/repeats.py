@@ -137,6 +137,13 @@ def byte_units(ids: list, lengths: list, z: bytes) -> Units:
     return Units(BYTE_CODE[np.frombuffer(data, np.uint8)], starts, ids, data)
 
 
+def powers_of(base: np.uint64, most: int) -> np.ndarray:
+    """The powers of an odd number from 0 to ``most``, modulo 2**64."""
+    out = np.full(most + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -157,7 +164,7 @@ def word_units(ids: list, lengths: list, z: bytes) -> Units:
     end = np.flatnonzero(last) + 1
     if len(begin):
         place = np.arange(len(raw)) - np.repeat(begin, np.diff(np.concatenate([[0], begin[1:], [len(raw)]])))
-        power = np.cumprod(np.concatenate([[1], np.full(int((end - begin).max()), MULTIPLIER, np.uint64)]).astype(np.uint64))
+        power = powers_of(MULTIPLIER, int((end - begin).max()))
         value = np.where(inside, BYTE_CODE[raw] * power[np.clip(place, 0, len(power) - 1)], np.uint64(0))
         hashes = mix64(np.add.reduceat(value, begin))
     else:
@@ -344,11 +351,10 @@ def surroundings(u: Units, runs: Contexts, index: np.ndarray, counts: np.ndarray
     out = np.zeros(len(counts), np.int64)
     often = np.flatnonzero(counts[index] > 1)
     if len(often):
-        powers = np.cumprod(np.concatenate([[1], np.full(len(u.hashes), MULTIPLIER, np.uint64)]).astype(np.uint64))
+        powers, back = powers_of(MULTIPLIER, len(u.hashes)), powers_of(INVERSE, len(u.hashes))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u.hashes * powers[:-1], dtype=np.uint64)])
         a = runs.first[often]
         b = a + runs.count[often] + window - 1
-        back = np.cumprod(np.concatenate([[1], np.full(len(u.hashes), INVERSE, np.uint64)]).astype(np.uint64))
         text = mix64((total[b] - total[a]) * back[a]) ^ (b - a).astype(np.uint64)
         pairs = np.unique(np.stack([index[often].astype(np.uint64), text]), axis=1)
         np.add.at(out, pairs[0].astype(np.int64), 1)
