@@ -3,8 +3,11 @@
 Candidate regions come from ``repeats``; equal regions are one text with the
 places of its copies.  Each shard confirms which windows recur in its texts,
 compiles them into an Aho-Corasick automaton (a letter stands for a word), and
-streams the texts of all documents through it to locate every occurrence.  Every occurrence but the first (smallest doc_id, then earliest in
-the document) is removed; phrases may overlap themselves.
+streams the texts of all documents through it to locate every occurrence.
+Every occurrence but the first (smallest doc_id, then earliest in the document)
+is removed; phrases may overlap themselves.  ``dedup_spans`` gives each
+document's removed spans and the text that is left, ``dedup_texts`` the table
+with its texts replaced.
 
 Results: a null or empty text has no words and nothing removed; places in
 documents with the same id are in order of their start; a null id counts as
@@ -14,12 +17,15 @@ gives no rows.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrastate.llm import repeats as R
 
@@ -66,46 +72,117 @@ def first_places(texts: list[str], counts: np.ndarray, ids: np.ndarray, starts:
     return first_id, first_start
 
 
-def judge(shard: R.Shard) -> np.ndarray:
+def judge_of(window: int) -> R.Judge:
     """Bits of the windows of each context that also stand in an earlier place."""
-    found: dict[bytes, int] = {}
-    text = np.fromiter((found.setdefault(t, len(found)) for t in shard.units), np.int64, len(shard.units))
-    order = np.lexsort((shard.starts, shard.ids, text))
-    head = order[np.concatenate([[True], np.diff(text[order]) > 0])]  # first place of each different text
-    ids, starts, counts = shard.ids[head], shard.starts[head], shard.counts[head]
+    def judge(shard: R.Shard) -> np.ndarray:
+        found: dict[bytes, int] = {}
+        text = np.fromiter((found.setdefault(t, len(found)) for t in shard.units), np.int64, len(shard.units))
+        order = np.lexsort((shard.starts, shard.ids, text))
+        head = order[np.concatenate([[True], np.diff(text[order]) > 0])]  # first place of each different text
+        ids, starts, counts = shard.ids[head], shard.starts[head], shard.counts[head]
+        first_id = np.empty((len(found), int(counts.max())), np.int64)
+        first_start = np.empty_like(first_id)
+        for part, spelled in alphabets(list(found), window, counts):
+            a, b = first_places(spelled, counts[part], ids[part], starts[part], recurring(spelled, counts[part], window), window)
+            first_id[part, :a.shape[1]], first_start[part, :b.shape[1]] = a, b
+        a, b, k = first_id[text], first_start[text], np.arange(first_id.shape[1])
+        own, start = shard.ids[:, None], shard.starts[:, None] + k
+        return R.window_bits(((a < own) | ((a == own) & (b < start))) & (shard.counts[:, None] > k))
+    return judge
+
+
+def alphabets(texts: list[bytes], window: int, counts: np.ndarray, most: int = MOST_LETTERS) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Texts spelled with a letter a word, in parts of at most ``most`` different words: all in one where they have no more,
+    else those linked by shared windows together, so every window is met whole."""
     letters: dict[bytes, str] = {}
-    spelled = []
-    for t in found:
-        spelled.append("".join([letters.get(w) or letters.setdefault(w, letter(len(letters))) for w in t.split(b" ")]))
-        if len(letters) > MOST_LETTERS:
-            raise ValueError("a shard has more different words than letters; use smaller shards")
-    first_id, first_start = first_places(spelled, counts, ids, starts, recurring(spelled, counts, WINDOW), WINDOW)
-    a, b, k = first_id[text], first_start[text], np.arange(first_id.shape[1])
-    own, start = shard.ids[:, None], shard.starts[:, None] + k
-    return R.window_bits(((a < own) | ((a == own) & (b < start))) & (shard.counts[:, None] > k))
-
-
-def _digest(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
-    total = np.concatenate([[0], np.cumsum(flagged)])
+    spelled: list[str] = []
+    for t in texts:
+        spelled.append("".join([letters.get(w) or letters.setdefault(w, letter(len(letters))) for w in t.split(b" ")]) if len(letters) <= most else "")
+    if len(letters) <= most:
+        yield np.arange(len(texts)), spelled
+        return
+    owner: dict[tuple, int] = {}
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, (t, n) in enumerate(zip(texts, counts.tolist())):
+        words = t.split(b" ")
+        for k in range(n):
+            a, b = find(owner.setdefault(tuple(words[k:k + window]), i)), find(i)
+            root[max(a, b)] = min(a, b)
+    groups: dict[int, list[int]] = {}
+    for i in range(len(texts)):
+        groups.setdefault(find(i), []).append(i)
+    for part in groups.values():
+        own: dict[bytes, str] = {}
+        out = ["".join([own.get(w) or own.setdefault(w, letter(len(own))) for w in texts[i].split(b" ")]) for i in part]
+        if len(own) > most:
+            raise ValueError("texts linked by shared windows have more different words than there are letters")
+        yield np.array(part), out
+
+
+SPANS = "array<struct<start:long,past:long>>"
+_SPAN = pa.struct([("start", pa.int64()), ("past", pa.int64())])
+
+
+def _documents(u: R.Units, n: int, flagged: np.ndarray) -> Iterator[tuple[int, list[dict], str]]:
+    """Words, removed spans (in words) and the text that is left of each document of a chunk."""
     begin, end = u.places
+    total = np.concatenate([[0], np.cumsum(flagged)])
     bounds = u.starts.tolist()
-    rows = []
-    for doc_id, a, b in zip(row["ids"], bounds, bounds[1:]):
-        n = int(total[b] - total[a])
-        if not n:
+    for a, b in zip(bounds[:n], bounds[1:]):
+        spans: list[dict] = []
+        if total[b] == total[a]:
             kept = u.data[begin[a]:end[b - 1]] if b > a else b""  # words stand one space apart in the chunk
         else:
-            keep = np.flatnonzero(~flagged[a:b]) + a
-            kept = b" ".join([u.data[x:y] for x, y in zip(begin[keep].tolist(), end[keep].tolist())])
-        rows.append((doc_id, b - a, n, hashlib.sha256(kept).hexdigest()))
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(list(zip(*rows)) or [()] * 4, [pa.int64()] * 3 + [pa.string()])],
-                           ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            own = np.diff(np.concatenate([[0], flagged[a:b].astype(np.int8), [0]]))
+            spans = [{"start": x, "past": y} for x, y in zip(np.flatnonzero(own > 0).tolist(), np.flatnonzero(own < 0).tolist())]
+            cuts = [0, *(v for span in spans for v in (span["start"], span["past"])), b - a]
+            kept = b" ".join([u.data[begin[a + x]:end[a + y - 1]] for x, y in zip(cuts[::2], cuts[1::2]) if y > x])
+        yield b - a, spans, kept.decode("utf-8", "surrogatepass")
+
+
+def gram_of(window: int) -> int:
+    """Words of an anchor: five, more where a window would have more than 64 of them."""
+    return max(min(GRAM, window), window - 63)
+
+
+def dedup_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
+    """doc_id, n_words, removed (spans in words: start, past the end), text (the words left, joined by one space) of each document."""
+    def finish(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
+        words, spans, texts = zip(*_documents(u, len(row["ids"]), flagged))
+        return pa.record_batch([pa.array(row["ids"], pa.int64()), pa.array(words, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(texts, pa.string())],
+                               ["doc_id", "n_words", "removed", "text"])
+
+    return R.repeated_units(spark, docs, R.word_units, judge_of(window), window, gram_of(window), True, finish,
+                            f"doc_id long, n_words long, removed {SPANS}, text string", **sizes)
+
+
+def dedup_texts(spark: SparkSession, docs: DataFrame, window: int = WINDOW, **sizes) -> DataFrame:
+    """The rows of ``docs``, with all their columns, their texts without the repeats (words left, joined by one space); a
+    column n_chars is the new length."""
+    names = docs.columns
+    carry = tuple(c for c in names if c not in ("text", "n_chars"))
+    schema = T.StructType([T.StructField("n_chars", T.LongType()) if f.name == "n_chars" else f for f in docs.schema.fields])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def finish(row: dict, u: R.Units, flagged: np.ndarray) -> pa.RecordBatch:
+        kept = [text for _, _, text in _documents(u, len(row["ids"]), flagged)]
+        made = {"text": kept, "n_chars": list(map(len, kept))} | {c: row[f"carry{k}"] for k, c in enumerate(carry)}
+        return pa.record_batch([pa.array(made[c], t) for c, t in zip(names, types)], names)
+
+    return R.repeated_units(spark, docs, R.word_units, judge_of(window), window, gram_of(window), True, finish, schema, carry=carry, **sizes)
 
 
-def dedup_digest(spark: SparkSession, docs: DataFrame, **sizes) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each document."""
-    return R.repeated_units(spark, docs, R.word_units, judge, WINDOW, GRAM, True, _digest,
-                            "doc_id long, n_words long, n_removed long, kept_sha256 string", **sizes)
+def digest(found: DataFrame) -> DataFrame:
+    """The registered query's columns of ``dedup_spans``."""
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 #: The registered query in plain SQL, over all windows.

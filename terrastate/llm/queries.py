@@ -58,7 +58,7 @@ ORACLES["op5_suffix_array_dedup"] = suffix_dedup.ORACLE_SQL
 
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_dedup.dedup_digest(spark, documents(spark, sf_dir))
+    return phrase_dedup.digest(phrase_dedup.dedup_spans(spark, documents(spark, sf_dir), window=20))
 
 
 ORACLES["op6_substring_dedup"] = phrase_dedup.ORACLE_SQL

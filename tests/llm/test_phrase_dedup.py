@@ -51,7 +51,7 @@ def corpus(seed, n=50):
 @pytest.mark.parametrize("seed,sizes", [(1, {}), (2, {"chunk_bytes": 700, "shard_bytes": 3000}), (3, {"chunk_bytes": 100, "shard_bytes": 1000})])
 def test_matches_brute_force(spark, seed, sizes):
     rows = corpus(seed)
-    got = S.dedup_digest(spark, make_docs(spark, rows).repartition(3), **sizes).collect()
+    got = S.digest(S.dedup_spans(spark, make_docs(spark, rows).repartition(3), **sizes)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
@@ -59,12 +59,12 @@ def test_matches_brute_force(spark, seed, sizes):
 def test_heavy_anchors_change_no_result(spark, monkeypatch, heavy):
     monkeypatch.setattr(R, "HEAVY_BYTES", 1 << 60)
     rows = corpus(7)
-    got = S.dedup_digest(spark, make_docs(spark, rows).repartition(3), chunk_bytes=900, shard_bytes=3000, heavy=heavy).collect()
+    got = S.digest(S.dedup_spans(spark, make_docs(spark, rows).repartition(3), chunk_bytes=900, shard_bytes=3000, heavy=heavy)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
 def test_empty_table(spark):
-    assert S.dedup_digest(spark, make_docs(spark, [])).collect() == []
+    assert S.dedup_spans(spark, make_docs(spark, [])).collect() == []
 
 
 def test_automaton_locates_every_occurrence():
@@ -78,3 +78,49 @@ def test_automaton_locates_every_occurrence():
 def test_letters_are_all_different():
     picked = [0, 1, S.LETTERS - 1, S.LETTERS, S.LETTERS + 1, S.MOST_LETTERS]
     assert len({S.letter(k) for k in picked}) == len(picked) and not any(0xD800 <= ord(S.letter(k)) < 0xE000 for k in picked)
+
+
+def brute_spans(rows, n):
+    first, out = {}, []
+    docs = [(d, R.NO_ID if d is None else d, (t or "").encode().split()) for d, t in rows]
+    for _, key, w in docs:
+        for i in range(len(w) - n + 1):
+            s = tuple(w[i:i + n])
+            first[s] = min(first.get(s, (key, i)), (key, i))
+    for d, key, w in docs:
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if first[tuple(w[i:i + n])] < (key, i):
+                gone[i:i + n] = [True] * n
+        spans, k = [], 0
+        while k < len(w):
+            past = k
+            while past < len(w) and gone[past]:
+                past += 1
+            if past > k:
+                spans.append((k, past))
+            k = past + 1
+        out.append((d, len(w), spans, b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window", [3, 20, 90])
+def test_spans_and_texts_of_any_window(spark, window):
+    rows = corpus(8)
+    found = S.dedup_spans(spark, make_docs(spark, rows).repartition(2), window=window, chunk_bytes=900, shard_bytes=3000).collect()
+    got = sorted(((r.doc_id, r.n_words, [(s.start, s.past) for s in r.removed], r.text) for r in found), key=str)
+    want = brute_spans(rows, window)
+    assert got == want
+    docs = make_docs(spark, rows)
+    texts = S.dedup_texts(spark, docs, window=window)
+    assert texts.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.n_chars, r.score) for r in texts.collect()), key=str) == sorted(((d, t, len(t), "z") for d, _, _, t in want), key=str)
+
+
+def test_more_words_than_letters():
+    texts = [b"a b c d", b"x b c d", b"p q r s", b"p q r t", b"u v w y"]
+    parts = list(S.alphabets(texts, 3, np.array([2] * 5), most=6))
+    assert sorted(sorted(p.tolist()) for p, _ in parts) == [[0, 1], [2, 3], [4]]
+    assert all(len(set("".join(s))) <= 6 for _, s in parts)
+    whole = list(S.alphabets(texts, 3, np.array([2] * 5)))
+    assert len(whole) == 1 and whole[0][0].tolist() == [0, 1, 2, 3, 4]
