@@ -26,8 +26,9 @@ from terrastate.llm.common import partitions_for, text_rows
 SKETCHES, ORDER, K = 32, 2, 2
 DIGITS = 8  # hex digits of a bin
 EMPTY = "0" * DIGITS
-#: A packed item: bin (5 bits), 34 bits of hash, 24 bits of place (texts beyond 16 million words wrap).
-PLACE_BITS, HASH_BITS = 24, 34
+#: A packed item: bin (5 bits), 28 bits of hash, 30 bits of place (no string holds more words).
+PLACE_BITS, HASH_BITS = 30, 28
+NULL_RANGES = 1024  # ranges of the rows without id
 
 
 def add_fingerprint(rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -93,8 +94,9 @@ def with_next(spark: SparkSession, docs: DataFrame, per_task: int = 2_000, most_
     of the one after it in order of descending doc_id (nulls last, ties by
     text); the first follows the last.
 
-    Quantiles of the ids cut the order into at most ``most_ranges`` ranges; each
-    is a window of its own, which is the only shuffle of the texts.  The last
+    Quantiles of the ids cut the order into at most ``most_ranges`` ranges, the
+    hash of the text those without id; each is a window of its own, which is the
+    only shuffle of the texts.  The last
     row of a range takes the first of the range after it: those heads (one a
     range) are found by id and read again.
     """
@@ -103,8 +105,9 @@ def with_next(spark: SparkSession, docs: DataFrame, per_task: int = 2_000, most_
     cuts = rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000).alias("c")).first().c or []
     cuts = sorted(set(cuts))
     ends = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # range 0 has the largest ids; nulls come after all others
-    range_of = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
+    # range 0 has the largest ids; nulls come after all others, cut by the hash that orders them
+    by_hash = F.shiftright(F.xxhash64("text"), 54).cast("int") + NULL_RANGES // 2
+    range_of = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1) + by_hash).otherwise(
         F.lit(len(cuts)) - F.size(F.filter(ends, lambda c: c <= F.col("doc_id")))).alias("_r")
 
     first = F.min(F.struct(F.bitwise_not("doc_id").alias("d"), F.xxhash64("text").alias("h"))).alias("f")

@@ -67,3 +67,13 @@ def test_occurrences_count(spark):
 def test_no_python_in_the_plan(spark):
     plan = O.edited_fingerprints(spark, make_docs(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_rows_without_id_form_one_chain_too(spark):
+    rows = [(None, f"text {i} of many") for i in range(150)] + [(i, f"own {i}") for i in range(20)]
+    got = O.with_next(spark, make_docs(spark, rows), per_task=7).select("doc_id", "text", "next_text").collect()
+    after, at, seen = {r.text: r.next_text for r in got}, "own 19", []
+    while at not in seen:
+        seen.append(at)
+        at = after[at]
+    assert len(got) == len(seen) == 170 and seen[:20] == [f"own {i}" for i in range(19, -1, -1)] and at == "own 19"
