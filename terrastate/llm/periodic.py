@@ -242,7 +242,7 @@ def periodic_runs(docs: DataFrame, least: int = 24, times: int = 3) -> DataFrame
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text: the query's documents. With h = crc32(doc_id) divisible by ten, words from a = g % n on (g = h / 10, of n
     words) are those of a stretch of p = 1 + (n - a) / (3 + g % 8) words, again and again.  A null id counts as h = 0."""
-    rows = text_rows(docs).withColumn("bare", F.expr(r"btrim(text, ' \t\n\u000b\f\r')"))
+    rows = text_rows(docs).withColumn("bare", F.btrim("text", F.lit(WHITE)))
     h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0))
     rows = rows.withColumn("g", F.when((h % 10 == 0) & (F.col("bare") != ""), F.floor(h / 10)))
     words = F.split("bare", r"[\x20\x09-\x0D]+")
