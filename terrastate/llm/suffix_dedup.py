@@ -83,9 +83,10 @@ def maximal_repeats(texts: list[bytes], copies: np.ndarray, counts: np.ndarray,
     left = sizes[owner] - offset
     width = int(left.max())
     padded = np.concatenate([flat, np.zeros(width, np.uint8)])
+    suffixes = np.lib.stride_tricks.sliding_window_view(padded, width)
     for part in _parts(grams[place], width):
         o, f, n = owner[part], offset[part], left[part]
-        keys = padded[place[part][:, None] + np.arange(width)]
+        keys = suffixes[place[part]]
         keys[np.arange(width) >= n[:, None]] = 0
         order = np.argsort(np.ascontiguousarray(keys).view(f"S{width}").ravel(), kind="stable")
         keys, o, f, n = keys[order], o[order], f[order], n[order]
@@ -100,7 +101,7 @@ def maximal_repeats(texts: list[bytes], copies: np.ndarray, counts: np.ndarray,
             yield Repeat(int(n[i]), o[i:i + 1], f[i:i + 1])
 
 
-def _parts(grams: np.ndarray, width: int, most: int = 48 << 20) -> Iterator[np.ndarray]:
+def _parts(grams: np.ndarray, width: int, most: int = 8 << 20) -> Iterator[np.ndarray]:
     """Suffixes in parts of bounded size; those with equal first bytes stay together."""
     parts = max(1, -(-len(grams) * width // most))
     if parts == 1:
@@ -130,10 +131,9 @@ def judge(shard: R.Shard) -> np.ndarray:
 def _documents(ids: list, u: R.Units, flagged: np.ndarray) -> Iterator[tuple]:
     """(doc_id, n_bytes, n_removed, n_spans, kept bytes) of each document of a chunk."""
     raw = np.frombuffer(u.data, np.uint8)
-    total = np.concatenate([[0], np.cumsum(flagged)])
     bounds = u.starts.tolist()
     for doc_id, a, b in zip(ids, bounds, bounds[1:]):
-        n = int(total[b] - total[a])
+        n = int(np.count_nonzero(flagged[a:b]))
         if not n:
             yield doc_id, b - a, 0, 0, u.data[a:b]
         else:
