@@ -3,6 +3,7 @@
 import dataclasses
 import hashlib
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 import zstandard
 
 from fixtures_llm import make_docs
+from terrastate.llm.common import SHUFFLE_CLEANUP, materialize
 from terrastate.llm import repeats as R
 from terrastate.llm import suffix_dedup as S
 
@@ -189,3 +191,16 @@ def test_shards_are_judged_in_passes_where_contexts_are_many(spark):
     once = R.contexts_of(dataclasses.replace(p, passes=1), False).select("shard").distinct().collect()
     assert p.passes > 1 and all({s % p.passes for s in own} <= {k} for k, own in enumerate(shards))
     assert set().union(*shards) == {r["shard"] for r in once}
+
+
+def test_what_a_step_shuffled_goes_when_it_is_written(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = held()
+    written = materialize(spark, spark.range(1_000).groupBy("id").count(), "held")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and written.count() == 1_000
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
