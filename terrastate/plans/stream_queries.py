@@ -197,8 +197,8 @@ def q_redelivery_stream(spark, sf):
 def q_ownership_diff_stream(spark, sf):
     """Both environments' clicks followed by one stream; the diff is kept up tile by tile."""
     path = scratch_path(spark, "difference")
-    clicks = (d.clicks_b(spark, sf).withColumn("side", F.lit("prod"))
-              .unionByName(d.clicks_b_replica(spark, sf).withColumn("side", F.lit("local"))))
+    clicks = (d.clicks_b(spark, sf, wide=True).withColumn("side", F.lit("prod"))
+              .unionByName(d.clicks_b_replica(spark, sf, wide=True).withColumn("side", F.lit("local"))))
     follow(spark, sf, lambda log, at: runners.start(log, runners.difference_sink(path, audit_every=2), checkpoint=at), clicks)
     return runners.difference(spark, path)
 

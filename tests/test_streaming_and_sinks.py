@@ -1,6 +1,8 @@
 """Stream = batch on the smallest fixture, sinks that write and read back,
 and independence from the session time zone."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +214,23 @@ def test_dedup_stream_drops_no_click_that_was_never_seen(spark):
         runners.start(stream, so.dedup_sink(index, so.batch_files(out)), checkpoint=at).awaitTermination()
     got = [(r.click_id, r.arrival_ns // hour) for r in spark.read.parquet(out).collect()]
     assert sorted(got, key=str) == sorted([("1", 100), (None, 100), (None, 100), ("2", 100), ("", 101), ("", 101), ("3", 90), (None, 90)], key=str)
+
+
+def test_ownership_diff_stream_over_order_keys_whose_click_ids_pass_64_bits(spark, tmp_path):
+    """An id of 20 digits overflowed; on equal times the least id owns the tile, also beyond 64 bits."""
+    day, us = 1_700_000_000_000_000, 1  # microseconds
+    big = 54_000_000  # a multiple of 3: the replica misses it
+    lines = [(big, 1, 1, 1, day), (big + 1, 2, 2, 1, day), (big + 1, 7, 1, 2, day), (5, 1, 2, 1, day - 10 ** 9),
+             # the same time on tile 3: 1 us less and 100 order keys more; (big + 1) has the least id
+             (big + 1, 3, 2, 1, day), (big + 101, 3, 1, 1, day - us), (big + 201, 3, 1, 1, day - 2 * us),
+             # on tile 4 the replica misses the owner (a key that 3 divides) and takes the other of the same time
+             (big, 4, 1, 1, day), (big + 100, 4, 2, 1, day - us)]
+    tables = {"lineitem": pa.table({"l_orderkey": pa.array([x[0] for x in lines], pa.int64()), "l_partkey": pa.array([x[1] for x in lines], pa.int64()),
+                                    "l_suppkey": pa.array([x[2] for x in lines], pa.int64()), "l_linenumber": pa.array([x[3] for x in lines], pa.int32()),
+                                    "l_shipdate": pa.array([x[4] for x in lines], pa.timestamp("us"))}),
+              "supplier": pa.table({"s_suppkey": pa.array([1, 2], pa.int64()), "s_nationkey": pa.array([10, 20], pa.int32())}),
+              "nation": pa.table({"n_nationkey": pa.array([10, 20], pa.int32()), "n_name": ["ONE", "TWO"]})}
+    for name, rows in tables.items():
+        pq.write_table(rows, tmp_path / f"{name}.parquet")
+    got = load_all()["ownership_diff_stream"].build(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "one", "two"), (4, "one", "two"), (7, "one", None)]
